@@ -47,15 +47,33 @@ def tokenize_str(text) -> Column:
     return F.array_join(word_tokens(detok_byte_bpe(text)), " ")
 
 
+# Lambdas below never reference an outer array: the optimizer may inline a
+# computed array column into a lambda body, re-evaluating it per element.  The
+# arrays travel in the fold accumulator instead (evaluated once per row).
+
+def _window_hits(hay, needle, first_only: bool) -> Column:
+    """Start offsets where ``needle`` occurs contiguously in ``hay`` (fold, O(n*m))."""
+    h, n = _c(hay), _c(needle)
+    init = F.struct(h.alias("h"), n.alias("n"), F.array().cast("array<int>").alias("hits"))
+
+    def step(acc, i):
+        m = F.size(acc["n"])
+        hit = F.slice(acc["h"], i + 1, m) == acc["n"]
+        if first_only:
+            hit = hit & (F.size(acc["hits"]) == 0)
+        return F.struct(acc["h"], acc["n"],
+                        F.when(hit, F.concat(acc["hits"], F.array(i))).otherwise(acc["hits"]).alias("hits"))
+
+    span = F.size(h) - F.size(n)
+    return F.when(span >= 0,
+                  F.aggregate(F.sequence(F.lit(0), F.greatest(span, F.lit(0))), init, step,
+                              lambda acc: acc["hits"])
+                  ).otherwise(F.array().cast("array<int>"))
+
+
 def contains_window(hay, needle) -> Column:
     """``needle`` (array) occurs contiguously in ``hay`` (array); empty needle is true."""
-    h, n = _c(hay), _c(needle)
-    m = F.size(n)
-    return F.when(
-        F.size(h) >= m,
-        F.exists(F.sequence(F.lit(0), F.size(h) - m),
-                 lambda i: F.slice(h, i + 1, m) == n),
-    ).otherwise(F.lit(False))
+    return F.size(_window_hits(hay, needle, first_only=True)) > 0
 
 
 def is_in_list(tok, value) -> Column:
@@ -65,19 +83,19 @@ def is_in_list(tok, value) -> Column:
 
 def token_positions(tokens, value_tokens) -> Column:
     """all (start, exclusive_end) where ``value_tokens`` occurs in ``tokens``."""
-    t, v = _c(tokens), _c(value_tokens)
-    m = F.size(v)
-    starts = F.when(F.size(t) >= m,
-                    F.filter(F.sequence(F.lit(0), F.size(t) - m),
-                             lambda i: F.slice(t, i + 1, m) == v)
-                    ).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda s: F.struct(s.alias("start"), (s + m).alias("end")))
+    v = _c(value_tokens)
+    starts = _window_hits(tokens, v, first_only=False)
+    return F.zip_with(starts, F.array_repeat(F.size(v), F.size(starts)),
+                      lambda s, m: F.struct(s.alias("start"), (s + m).alias("end")))
 
 
 def span_labels(n_tokens, start, end) -> Column:
     """0/1 vector of length n with ones on [start, end)."""
-    return F.transform(F.sequence(F.lit(0), _c(n_tokens) - 1),
-                       lambda i: F.when((i >= _c(start)) & (i < _c(end)), 1).otherwise(0))
+    n = _c(n_tokens)
+    ones = F.greatest(F.least(_c(end), n) - F.greatest(_c(start), F.lit(0)), F.lit(0))
+    lead = F.least(F.greatest(_c(start), F.lit(0)), n)
+    return F.concat(F.array_repeat(F.lit(0), lead), F.array_repeat(F.lit(1), ones),
+                    F.array_repeat(F.lit(0), F.greatest(n - lead - ones, F.lit(0))))
 
 
 def undo_wordpiece(tokens, start, end) -> Column:

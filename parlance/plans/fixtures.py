@@ -132,3 +132,34 @@ def dst_predictions_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     ren = [F.col(f"`{s}_{k}`").alias(f"{k}_{s}") for s in DST_SLOTS for k in PRED_FIELDS]
     guid = F.array(F.lit("test"), F.col("dialog_id").cast("string"), F.col("turn").cast("string"))
     return wide.select(guid.alias("guid"), *ren)
+
+
+# Slot names of the derived tag sequences ('time' is a substring of 'leave_time').
+TAG_SLOTS = ("time", "leave_time", "area")
+
+
+def _tag_of(h: Column) -> Column:
+    d = F.substring(h, 1, 1)
+    name = F.element_at(F.array(*[F.lit(s) for s in TAG_SLOTS]), (hexint(h, 2, 2) % 3 + 1).cast("int"))
+    return (F.when(d < "7", F.lit("O"))
+            .when(d < "a", F.concat(F.lit("B-"), name))
+            .when(d < "d", F.concat(F.lit("I-"), name))
+            .when(d == "d", F.lit("[PAD]"))
+            .when(d == "e", F.concat(F.lit("X-"), name))
+            .otherwise(F.concat(F.lit("I-"), name)))
+
+
+def tag_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold and predicted BIO tags per user turn, one tag per word token (dialog_id, turn, toks, gold, pred)."""
+    t = user_turns(spark, sf_dir)
+    n = F.size("toks")
+    idx = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    t = t.select("dialog_id", "turn", "toks",
+                 F.transform(idx, lambda i: md5_of("bg", F.col("dialog_id"), F.col("turn"), i)).alias("gh"),
+                 F.transform(idx, lambda i: md5_of("bp", F.col("dialog_id"), F.col("turn"), i)).alias("ph"))
+    t = t.select("dialog_id", "turn", "toks", "ph", F.transform("gh", _tag_of).alias("gold"))
+    return t.select("dialog_id", "turn", "toks", "gold",
+                    # zip_with evaluates ``gold`` once (a lambda reference would be inlined per element)
+                    F.zip_with("gold", "ph", lambda g, h: F.when(F.substring(h, 1, 1) < "b", g)
+                               .otherwise(_tag_of(h))).alias("pred"),
+                    md5_of("bx", F.col("dialog_id"), F.col("turn")).alias("rh"))

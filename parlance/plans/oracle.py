@@ -144,3 +144,69 @@ prepared AS (
                  WHEN gt_value NOT IN ('none', 'dontcare', 'true', 'false')
                       AND coalesce(list_contains(({DST_MAPS})[gt_value], joint_pd), false) THEN 1 ELSE 0 END AS value_ok
   FROM cf)"""
+
+
+def sql_tag_of(h: str) -> str:
+    from .fixtures import TAG_SLOTS
+    name = f"{sql_list(TAG_SLOTS)}[('0x' || substr({h}, 2, 2))::BIGINT % 3 + 1]"
+    d = f"substr({h}, 1, 1)"
+    return (f"(CASE WHEN {d} < '7' THEN 'O' WHEN {d} < 'a' THEN 'B-' || {name} WHEN {d} < 'd' THEN 'I-' || {name} "
+            f"WHEN {d} = 'd' THEN '[PAD]' WHEN {d} = 'e' THEN 'X-' || {name} ELSE 'I-' || {name} END)")
+
+
+def _md5_parts(prefix: str, *cols: str) -> str:
+    return "md5(" + " || ':' || ".join([q(prefix)] + [f"CAST({c} AS VARCHAR)" for c in cols]) + ")"
+
+
+TAGS = USER_TURNS + f""",
+tg0 AS (
+  SELECT dialog_id, turn, toks,
+         list_transform(range(0, len(toks)), lambda i: {_md5_parts('bg', 'dialog_id', 'turn', 'i')}) AS gh,
+         list_transform(range(0, len(toks)), lambda i: {_md5_parts('bp', 'dialog_id', 'turn', 'i')}) AS ph,
+         {_md5_parts('bx', 'dialog_id', 'turn')} AS rh
+  FROM ut),
+tg1 AS (SELECT *, list_transform(gh, lambda h: {sql_tag_of('h')}) AS gold FROM tg0),
+tags AS (
+  SELECT dialog_id, turn, toks, gold, rh,
+         list_transform(ph, lambda h, i: CASE WHEN substr(h, 1, 1) < 'b' THEN gold[i] ELSE {sql_tag_of('h')} END) AS pred
+  FROM tg1)"""
+
+
+def _type(s: str) -> str:
+    return f"(CASE WHEN position('-' IN {s}) > 0 THEN split_part({s}, '-', 1) END)"
+
+
+def _key(s: str) -> str:
+    return f"substr({s}, position('-' IN {s}) + 1)"
+
+
+def sql_bio_spans(t: str) -> str:
+    """Independent formulation: each B starts a span that ends at the first closer after it."""
+    closes = (f"({t}[j + 1] IN ('O', '[PAD]') OR {_type(f'{t}[j + 1]')} = 'B' "
+              f"OR ({_type(f'{t}[j + 1]')} = 'I' AND {_key(f'{t}[j + 1]')} <> {_key(f'{t}[b + 1]')}))")
+    return (f"list_transform(list_filter(range(0, len({t})), lambda b: {_type(f'{t}[b + 1]')} = 'B'), "
+            f"lambda b: {_key(f'{t}[b + 1]')} || ':' || CAST(b AS VARCHAR) || '-' || "
+            f"CAST(coalesce(list_min(list_filter(range(b + 1, len({t})), lambda j: {closes})), len({t})) AS VARCHAR))")
+
+
+SPAN_PAIRS = TAGS + f""",
+gs AS (SELECT dialog_id, turn, {sql_bio_spans('gold')} AS spans FROM tags),
+ps AS (SELECT dialog_id, turn, {sql_bio_spans('pred')} AS spans FROM tags WHERE substr(rh, 1, 1) < 'e'),
+pairs AS (
+  SELECT dialog_id, turn, ps.spans AS pred_spans, gs.spans AS true_spans,
+         ps.spans IS NOT NULL AS has_pred, gs.spans IS NOT NULL AS has_true
+  FROM ps FULL OUTER JOIN gs USING (dialog_id, turn)),
+types AS (SELECT DISTINCT split_part(s, ':', 1) AS slot_type FROM gs, unnest(gs.spans) t(s)),
+tx AS (
+  SELECT dialog_id, turn, slot_type, has_pred, has_true,
+         list_filter(coalesce(pred_spans, []), lambda p: contains(p, slot_type)) AS p,
+         list_filter(coalesce(true_spans, []), lambda l: contains(l, slot_type)) AS l
+  FROM pairs CROSS JOIN types),
+per_type AS (
+  SELECT slot_type,
+         sum(CASE WHEN has_pred AND len(p) > 0 AND has_true AND p = l THEN 1 ELSE 0 END) AS tp,
+         sum(CASE WHEN has_pred AND len(p) > 0 THEN 1 ELSE 0 END) AS n_pred,
+         sum(CASE WHEN has_true AND len(l) > 0 THEN 1 ELSE 0 END) AS n_true
+  FROM tx GROUP BY slot_type),
+f AS (SELECT *, tp / (1e-5 + n_pred) AS precision, tp / (1e-5 + n_true) AS recall FROM per_type),
+f1 AS (SELECT *, 2 * precision * recall / (1e-5 + precision + recall) AS f1 FROM f)"""
