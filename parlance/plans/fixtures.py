@@ -163,3 +163,31 @@ def tag_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.zip_with("gold", "ph", lambda g, h: F.when(F.substring(h, 1, 1) < "b", g)
                                .otherwise(_tag_of(h))).alias("pred"),
                     md5_of("bx", F.col("dialog_id"), F.col("turn")).alias("rh"))
+
+
+# The seven benchmark dataset keys (assignment of derived rows).
+BENCH_DATASETS = ("hwu", "clinc", "banking", "restaurant8k", "dstc8", "multiwoz", "top")
+N_SOURCES = 20
+
+
+def intent_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as labelled utterances: pos, text, category (= source), lang, split, pred, dataset."""
+    d = read_table(spark, sf_dir, "documents")
+    hs = md5_of("split", F.col("doc_id"))
+    hp = md5_of("ip", F.col("doc_id"))
+    hd = md5_of("ds", F.col("doc_id"))
+    names = F.array(*[F.lit(x) for x in BENCH_DATASETS])
+    return d.select(
+        F.col("doc_id").alias("pos"), "text", F.col("source").alias("category"), "lang",
+        F.when(F.substring(hs, 1, 1) < "c", F.lit("train")).otherwise(F.lit("test")).alias("split"),
+        F.when(F.substring(hp, 1, 1) < "b", F.col("source"))
+        .otherwise(F.concat(F.lit("src"), (hexint(hp, 2, 4) % N_SOURCES).cast("string"))).alias("pred"),
+        F.element_at(names, (hexint(hd, 1, 4) % 7 + 1).cast("int")).alias("dataset"))
+
+
+def run_predictions(intents: DataFrame, runs: int = 5) -> DataFrame:
+    """Five prediction runs per row: (pos, run, category, dataset, pred)."""
+    x = intents.select("pos", "category", "dataset", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"))
+    hp = md5_of("ir", F.col("run"), F.col("pos"))
+    return x.withColumn("pred", F.when(F.substring(hp, 1, 1) < "a", F.col("category"))
+                        .otherwise(F.concat(F.lit("src"), (hexint(hp, 2, 4) % N_SOURCES).cast("string"))))

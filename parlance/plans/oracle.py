@@ -210,3 +210,27 @@ per_type AS (
   FROM tx GROUP BY slot_type),
 f AS (SELECT *, tp / (1e-5 + n_pred) AS precision, tp / (1e-5 + n_true) AS recall FROM per_type),
 f1 AS (SELECT *, 2 * precision * recall / (1e-5 + precision + recall) AS f1 FROM f)"""
+
+
+INTENTS = f"""WITH intents AS (
+  SELECT doc_id AS pos, text, source AS category, lang,
+         CASE WHEN substr(md5('split:' || CAST(doc_id AS VARCHAR)), 1, 1) < 'c' THEN 'train' ELSE 'test' END AS split,
+         CASE WHEN substr(md5('ip:' || CAST(doc_id AS VARCHAR)), 1, 1) < 'b' THEN source
+              ELSE 'src' || CAST(('0x' || substr(md5('ip:' || CAST(doc_id AS VARCHAR)), 2, 4))::BIGINT % 20 AS VARCHAR)
+         END AS pred,
+         {{ds}}[('0x' || substr(md5('ds:' || CAST(doc_id AS VARCHAR)), 1, 4))::BIGINT % 7 + 1] AS dataset
+  FROM documents)"""
+
+
+def intents_cte() -> str:
+    from .fixtures import BENCH_DATASETS
+    return INTENTS.replace("{ds}", sql_list(BENCH_DATASETS))
+
+
+RUNS = """,
+runs AS (
+  SELECT pos, category, dataset, run,
+         CASE WHEN substr(md5('ir:' || CAST(run AS VARCHAR) || ':' || CAST(pos AS VARCHAR)), 1, 1) < 'a' THEN category
+              ELSE 'src' || CAST(('0x' || substr(md5('ir:' || CAST(run AS VARCHAR) || ':' || CAST(pos AS VARCHAR)), 2, 4))::BIGINT % 20 AS VARCHAR)
+         END AS pred
+  FROM intents CROSS JOIN range(0, 5) r(run))"""
