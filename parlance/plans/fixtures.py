@@ -191,3 +191,35 @@ def run_predictions(intents: DataFrame, runs: int = 5) -> DataFrame:
     hp = md5_of("ir", F.col("run"), F.col("pos"))
     return x.withColumn("pred", F.when(F.substring(hp, 1, 1) < "a", F.col("category"))
                         .otherwise(F.concat(F.lit("src"), (hexint(hp, 2, 4) % N_SOURCES).cast("string"))))
+
+
+# Pieces of the derived time/text phrases.
+PHRASE_PREP = ("at", "from", "by", "until", "after", "around")
+PHRASE_SEP = ("", ":", ".", " ", ";")
+PHRASE_MIN = ("", "00", "15", "30", "45", "5")
+PHRASE_SUFFIX = ("", "pm", "p.m.", "am", " pm", "a.m.", " p.m")
+PHRASE_TAIL = ("", "three star", "four-star hotel", "don't", "guesthouse", "b & b", "b&b.", "archaelogy",
+               "zero star.", "bed & breakfast")
+LABEL_SLOTS = ("taxi-leaveAt", "train-arriveBy", "restaurant-book_time", "hotel-type", "hotel-parking",
+               "hotel-internet", "attraction-name", "hotel-area")
+LABEL_VALUES = ("", "not mentioned", "yes", "free", "no", "hotel", "guest house", "guesthouse")
+
+
+def _pick(options, h: Column, start: int) -> Column:
+    arr = F.array(*[F.lit(o) for o in options])
+    return F.element_at(arr, (hexint(h, start, 2) % len(options) + 1).cast("int"))
+
+
+def time_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, turn, phrase, slot, value): text with time/star/b&b expressions built from each utterance."""
+    c = read_table(spark, sf_dir, "conversations")
+    h = md5_of("tp", F.col("conv_id"), F.col("turn"))
+    toks = word_tokens(F.lower("text"))
+    hour = (hexint(h, 1, 2) % 25).cast("string")
+    phrase = F.concat(F.array_join(F.slice(toks, 1, 2), " "), F.lit(" "), _pick(PHRASE_PREP, h, 3), F.lit(" "),
+                      hour, _pick(PHRASE_SEP, h, 5), _pick(PHRASE_MIN, h, 7), _pick(PHRASE_SUFFIX, h, 9),
+                      F.lit(" "), _pick(PHRASE_TAIL, h, 11))
+    value = F.when(F.substring(h, 13, 1) < "8", _pick(LABEL_VALUES, h, 14)).otherwise(
+        F.concat(hour, _pick(PHRASE_SEP, h, 5), _pick(PHRASE_MIN, h, 7), _pick(PHRASE_SUFFIX, h, 9)))
+    return c.select("conv_id", "turn", phrase.alias("phrase"), _pick(LABEL_SLOTS, h, 16).alias("slot"),
+                    value.alias("value"))

@@ -234,3 +234,24 @@ runs AS (
               ELSE 'src' || CAST(('0x' || substr(md5('ir:' || CAST(run AS VARCHAR) || ':' || CAST(pos AS VARCHAR)), 2, 4))::BIGINT % 20 AS VARCHAR)
          END AS pred
   FROM intents CROSS JOIN range(0, 5) r(run))"""
+
+
+def _pick_sql(options, start: int, h: str = "h") -> str:
+    return f"{sql_list(options)}[('0x' || substr({h}, {start}, 2))::BIGINT % {len(options)} + 1]"
+
+
+def phrases_cte() -> str:
+    from .fixtures import (LABEL_SLOTS, LABEL_VALUES, PHRASE_MIN, PHRASE_PREP, PHRASE_SEP, PHRASE_SUFFIX,
+                           PHRASE_TAIL)
+    hour = "CAST(('0x' || substr(h, 1, 2))::BIGINT % 25 AS VARCHAR)"
+    return f"""WITH ph0 AS (
+  SELECT conv_id, turn, {sql_toks('lower(text)')} AS toks,
+         md5('tp:' || CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR)) AS h FROM conversations),
+phrases AS (
+  SELECT conv_id, turn,
+    array_to_string(toks[1:2], ' ') || ' ' || {_pick_sql(PHRASE_PREP, 3)} || ' ' || {hour} || {_pick_sql(PHRASE_SEP, 5)}
+      || {_pick_sql(PHRASE_MIN, 7)} || {_pick_sql(PHRASE_SUFFIX, 9)} || ' ' || {_pick_sql(PHRASE_TAIL, 11)} AS phrase,
+    {_pick_sql(LABEL_SLOTS, 16)} AS slot,
+    CASE WHEN substr(h, 13, 1) < '8' THEN {_pick_sql(LABEL_VALUES, 14)}
+         ELSE {hour} || {_pick_sql(PHRASE_SEP, 5)} || {_pick_sql(PHRASE_MIN, 7)} || {_pick_sql(PHRASE_SUFFIX, 9)} END AS value
+  FROM ph0)"""
