@@ -86,13 +86,13 @@ def first_run(labels) -> tuple[Column, Column]:
 def elementwise_or(arrays) -> Column:
     """OR (max) of equally long 0/1 vectors given as an array of arrays."""
     a = _c(arrays)
-    return F.aggregate(a, F.element_at(a, 1),
+    return F.aggregate(a, F.try_element_at(a, F.lit(1)),
                        lambda acc, v: F.zip_with(acc, v, lambda x, y: F.greatest(x, y)))
 
 
 def ids_to_tokens(ids, vocab: Column) -> Column:
     """id array -> token array through a vocabulary array (0-based ids)."""
-    return F.transform(_c(ids), lambda i: F.element_at(vocab, (i + 1).cast("int")))
+    return F.transform(_c(ids), lambda i: F.try_element_at(vocab, (i + 1).cast("int")))
 
 
 def truncate_triple(a_len, b_len, h_len, budget) -> tuple[Column, Column, Column]:

@@ -76,10 +76,10 @@ def exact_match(pairs: DataFrame) -> DataFrame:
 def benchmark_summary(scores: DataFrame) -> DataFrame:
     """Per-dataset score x100 under its display name, plus the mean of all, in the fixed order."""
     names = F.create_map(*[x for k, v in DATASET_LABELS.items() for x in (F.lit(k), F.lit(v))])
-    per = scores.select(F.element_at(names, F.col("dataset")).alias("label"), (F.col("score") * 100).alias("value"))
+    per = scores.select(F.try_element_at(names, F.col("dataset")).alias("label"), (F.col("score") * 100).alias("value"))
     avg = per.agg(F.avg("value").alias("value")).select(F.lit("Average").alias("label"), "value")
     order = F.create_map(*[x for i, k in enumerate(SUMMARY_ORDER) for x in (F.lit(k), F.lit(i))])
-    return per.unionByName(avg).select("label", F.element_at(order, F.col("label")).alias("ord"),
+    return per.unionByName(avg).select("label", F.try_element_at(order, F.col("label")).alias("ord"),
                                        F.round("value", 6).alias("value"))
 
 

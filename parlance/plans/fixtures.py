@@ -223,3 +223,89 @@ def time_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(hour, _pick(PHRASE_SEP, h, 5), _pick(PHRASE_MIN, h, 7), _pick(PHRASE_SUFFIX, h, 9)))
     return c.select("conv_id", "turn", phrase.alias("phrase"), _pick(LABEL_SLOTS, h, 16).alias("slot"),
                     value.alias("value"))
+
+
+# Belief-state slots of the derived multi-domain dialogues (domain, category, name).
+MW_SLOTS = (("hotel", "semi", "area"), ("hotel", "semi", "name"), ("hotel", "book", "people"),
+            ("hotel", "book", "stay"), ("hotel", "semi", "parking"), ("taxi", "semi", "leaveAt"),
+            ("restaurant", "semi", "food"), ("restaurant", "book", "people"))
+MW_POOL = ("centre", "north", "cheap", "2", "3", "guesthouse")
+MW_SPECIAL = ("5pm", "yes", "free", "no", "hotel", "guest house")
+ACT_DOMAINS = ("Hotel", "Restaurant", "Taxi", "Booking", "Train")
+ACT_TYPES = ("Inform", "Request", "Recommend", "Select", "Book", "NoOffer")
+ACT_SLOTS = ("Area", "Name", "Price", "People", "Leave", "Day", "Food", "none", "Stay")
+
+
+def mw_slot_name(domain: str, category: str, name: str) -> str:
+    return f"{domain}-book_{name}" if category == "book" else f"{domain}-{name}"
+
+
+def mw_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(dialog_id, utt_idx, text, is_sys, toks): conversations as dialogue logs."""
+    c = read_table(spark, sf_dir, "conversations")
+    flip = F.substring(md5_of("fl", F.col("conv_id"), F.col("turn")), 1, 2) < "08"   # a few misordered logs
+    return c.select(F.col("conv_id").alias("dialog_id"), F.col("turn").alias("utt_idx"), "text",
+                    ((F.col("role") != "user") != flip).alias("is_sys"), word_tokens(F.lower("text")).alias("toks"))
+
+
+def mw_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Belief state of every system utterance: (dialog_id, utt_idx, domain, category, name, value, booked).
+
+    The state is cumulative: a slot changes at a system turn with probability
+    ~3/8 and otherwise keeps its previous value (empty = not mentioned).
+    """
+    from ..operators.windows import carry_forward
+    u = mw_utterances(spark, sf_dir)
+    w = Window.partitionBy("dialog_id").orderBy("utt_idx")
+    u = u.withColumn("prev_toks", F.lag("toks").over(w)).where(F.col("is_sys"))
+    slots = F.array(*[F.struct(F.lit(d).alias("domain"), F.lit(c).alias("category"), F.lit(n).alias("name"))
+                      for d, c, n in MW_SLOTS])
+    x = u.select("dialog_id", "utt_idx", "toks", "prev_toks", F.posexplode(slots).alias("si", "s"))
+    x = x.select("dialog_id", "utt_idx", "toks", "prev_toks", "si", "s.*",
+                 md5_of("mw", F.col("dialog_id"), F.col("utt_idx"), F.col("si")).alias("h"))
+    h = F.col("h")
+    pt = F.coalesce(F.col("prev_toks"), F.array().cast("array<string>"))
+    d2 = F.substring(h, 2, 1)
+    new = (F.when(d2 < "6", _win(pt, hexint(h, 4, 2) % F.greatest(F.size(pt), F.lit(1)), 1 + hexint(h, 6, 1) % 2))
+           .when(d2 < "9", _win(F.col("toks"), hexint(h, 4, 2) % F.greatest(F.size("toks"), F.lit(1)), F.lit(1)))
+           .when(d2 < "b", F.lit("dontcare"))
+           .when(d2 < "c", F.lit(""))
+           .when(d2 < "e", F.element_at(F.array(*[F.lit(v) for v in MW_POOL]), (hexint(h, 7, 2) % 6 + 1).cast("int")))
+           .otherwise(F.element_at(F.array(*[F.lit(v) for v in MW_SPECIAL]), (hexint(h, 7, 2) % 6 + 1).cast("int"))))
+    x = x.withColumn("upd", F.when(F.substring(h, 1, 1) < "6", new))
+    x = x.withColumn("booked_v", F.when((F.col("category") == "book") & (F.substring(h, 3, 1) >= "d"),
+                                        _win(F.col("toks"), hexint(h, 9, 2) % F.greatest(F.size("toks"), F.lit(1)),
+                                             F.lit(1))))
+    s = carry_forward(x, ["dialog_id", "si"], "utt_idx", "upd", "value", default="")
+    return s.select("dialog_id", "utt_idx", "si", "domain", "category", "name", "value", "booked_v")
+
+
+def mw_acts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dialogue acts per system utterance: (dialog_id, turn = 1-based system turn, pos, act, slot, value).
+
+    Some turns carry no annotation object at all (``annotated`` false).
+    """
+    u = mw_utterances(spark, sf_dir).where(F.col("is_sys"))
+    w = Window.partitionBy("dialog_id").orderBy("utt_idx")
+    u = u.withColumn("turn", F.row_number().over(w).cast("bigint"))
+    x = u.select("dialog_id", "turn", "toks", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("pos"))
+    h = md5_of("ma", F.col("dialog_id"), F.col("turn"), F.col("pos"))
+    h0 = md5_of("mt", F.col("dialog_id"), F.col("turn"))
+    pick = lambda opts, i: F.element_at(F.array(*[F.lit(o) for o in opts]),
+                                        (hexint(h, i, 2) % len(opts) + 1).cast("int"))
+    dv = F.substring(h, 9, 1)
+    value = (F.when(dv < "8", _win(F.col("toks"), hexint(h, 10, 2) % F.greatest(F.size("toks"), F.lit(1)), F.lit(1)))
+             .when(dv < "a", F.lit("?")).when(dv < "b", F.lit("None"))
+             .when(dv < "d", F.upper(_win(F.col("toks"), hexint(h, 10, 2) % F.greatest(F.size("toks"), F.lit(1)),
+                                          F.lit(1))))
+             .otherwise(F.element_at(F.array(*[F.lit(v) for v in MW_POOL]), (hexint(h, 12, 2) % 6 + 1).cast("int"))))
+    return x.select("dialog_id", "turn", "pos",
+                    F.concat(pick(ACT_DOMAINS, 1), F.lit("-"), pick(ACT_TYPES, 3)).alias("act"),
+                    pick(ACT_SLOTS, 5).alias("slot"), F.concat(F.lit(" "), value).alias("value"),
+                    (F.substring(h0, 1, 1) != "f").alias("annotated"))
+
+
+# A small label map for the derived dialogues.
+MW_LABEL_MAPS = {"centre": ["center", "downtown"], "north": ["northern"], "cheap": ["inexpensive"],
+                 "guest house": ["guesthouse", "guest houses"]}
+MW_SLOT_NAMES = tuple(mw_slot_name(*s) for s in MW_SLOTS)

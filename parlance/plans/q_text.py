@@ -29,16 +29,17 @@ def q_normalise_text(spark, sf):
     return fx.time_phrases(spark, sf).select("conv_id", "turn", N.normalise_text("phrase").alias("normalised"))
 
 
-def _sql_label():
-    t = N.sql_normalise_time("value")
-    v2 = ("(CASE WHEN contains(slot, 'type') OR contains(slot, 'name') OR contains(slot, 'destination') "
-          "OR contains(slot, 'departure') THEN replace(value, 'guesthouse', 'guest house') ELSE value END)")
-    return (f"CASE WHEN value IN ('', 'not mentioned') THEN 'none' "
-            f"WHEN contains(slot, 'leaveAt') OR contains(slot, 'arriveBy') OR slot = 'restaurant-book_time' THEN {t} "
-            f"WHEN slot IN ('hotel-parking', 'hotel-internet') AND {v2} IN ('yes', 'free') THEN 'true' "
-            f"WHEN slot IN ('hotel-parking', 'hotel-internet') AND {v2} = 'no' THEN 'false' "
-            f"WHEN slot = 'hotel-type' AND {v2} = 'hotel' THEN 'true' "
-            f"WHEN slot = 'hotel-type' AND {v2} = 'guest house' THEN 'false' ELSE {v2} END")
+def _sql_label(slot: str = "slot", value: str = "value"):
+    t = N.sql_normalise_time(value)
+    v2 = (f"(CASE WHEN contains({slot}, 'type') OR contains({slot}, 'name') OR contains({slot}, 'destination') "
+          f"OR contains({slot}, 'departure') THEN replace({value}, 'guesthouse', 'guest house') ELSE {value} END)")
+    return (f"(CASE WHEN {value} IN ('', 'not mentioned') THEN 'none' "
+            f"WHEN contains({slot}, 'leaveAt') OR contains({slot}, 'arriveBy') OR {slot} = 'restaurant-book_time' "
+            f"THEN {t} "
+            f"WHEN {slot} IN ('hotel-parking', 'hotel-internet') AND {v2} IN ('yes', 'free') THEN 'true' "
+            f"WHEN {slot} IN ('hotel-parking', 'hotel-internet') AND {v2} = 'no' THEN 'false' "
+            f"WHEN {slot} = 'hotel-type' AND {v2} = 'hotel' THEN 'true' "
+            f"WHEN {slot} = 'hotel-type' AND {v2} = 'guest house' THEN 'false' ELSE {v2} END)")
 
 
 @register("normalise_label", P + f"""
@@ -62,7 +63,7 @@ def q_fix_label_alias(spark, sf):
     toks = word_tokens(F.lower("text"))
     raw = F.when(F.substring(h, 20, 1) < "8", F.element_at(F.array(*[F.lit(x) for x in _ALIAS_IN]),
                                                            (fx.hexint(h, 21, 2) % 4 + 1).cast("int"))) \
-        .otherwise(F.coalesce(F.element_at(toks, 1), F.lit("")))
+        .otherwise(F.coalesce(F.try_element_at(toks, F.lit(1)), F.lit("")))
     return c.select("conv_id", "turn", raw.alias("raw")).select("conv_id", "turn", "raw",
                                                                N.fix_label_alias("raw").alias("fixed"))
 

@@ -40,9 +40,9 @@ def unpivot_predictions(wide: DataFrame, slots, with_file: bool = False,
     g = F.col("guid")
     keep = ["_file"] if with_file else []
     return (wide.select(*keep,
-                        F.element_at(g, 1).alias("set_type"),
+                        F.try_element_at(g, F.lit(1)).alias("set_type"),
                         F.array_join(F.slice(g, 2, F.size(g) - 2), "-").cast(dialog_type).alias("dialog_id"),
-                        F.element_at(g, -1).cast("bigint").alias("turn"),
+                        F.try_element_at(g, F.lit(-1)).cast("bigint").alias("turn"),
                         F.explode(entries).alias("e"))
             .select(*keep, "set_type", "dialog_id", "turn", "e.*"))
 
