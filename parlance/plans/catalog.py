@@ -5,4 +5,5 @@ from . import q_tags  # noqa: F401
 from . import q_corpus  # noqa: F401
 from . import q_text  # noqa: F401
 from . import q_dialogue  # noqa: F401
+from . import q_vectors  # noqa: F401
 from .registry import REGISTRY  # noqa: F401

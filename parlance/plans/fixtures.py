@@ -231,9 +231,10 @@ MW_SLOTS = (("hotel", "semi", "area"), ("hotel", "semi", "name"), ("hotel", "boo
             ("restaurant", "semi", "food"), ("restaurant", "book", "people"))
 MW_POOL = ("centre", "north", "cheap", "2", "3", "guesthouse")
 MW_SPECIAL = ("5pm", "yes", "free", "no", "hotel", "guest house")
-ACT_DOMAINS = ("Hotel", "Restaurant", "Taxi", "Booking", "Train")
+ACT_PAIRS = (("Hotel", "Area"), ("Hotel", "Name"), ("Hotel", "People"), ("Hotel", "Stay"), ("Taxi", "Leave"),
+             ("Restaurant", "Food"), ("Restaurant", "People"), ("Booking", "People"), ("Booking", "Stay"),
+             ("Train", "Day"), ("Hotel", "none"), ("Restaurant", "Price"))
 ACT_TYPES = ("Inform", "Request", "Recommend", "Select", "Book", "NoOffer")
-ACT_SLOTS = ("Area", "Name", "Price", "People", "Leave", "Day", "Food", "none", "Stay")
 
 
 def mw_slot_name(domain: str, category: str, name: str) -> str:
@@ -257,17 +258,18 @@ def mw_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.windows import carry_forward
     u = mw_utterances(spark, sf_dir)
     w = Window.partitionBy("dialog_id").orderBy("utt_idx")
-    u = u.withColumn("prev_toks", F.lag("toks").over(w)).where(F.col("is_sys"))
+    u = (u.withColumn("prev_toks", F.lag("toks").over(w)).withColumn("prev2_toks", F.lag("toks", 2).over(w))
+         .where(F.col("is_sys")))
     slots = F.array(*[F.struct(F.lit(d).alias("domain"), F.lit(c).alias("category"), F.lit(n).alias("name"))
                       for d, c, n in MW_SLOTS])
-    x = u.select("dialog_id", "utt_idx", "toks", "prev_toks", F.posexplode(slots).alias("si", "s"))
-    x = x.select("dialog_id", "utt_idx", "toks", "prev_toks", "si", "s.*",
+    x = u.select("dialog_id", "utt_idx", "toks", "prev_toks", "prev2_toks", F.posexplode(slots).alias("si", "s"))
+    x = x.select("dialog_id", "utt_idx", "toks", "prev_toks", "prev2_toks", "si", "s.*",
                  md5_of("mw", F.col("dialog_id"), F.col("utt_idx"), F.col("si")).alias("h"))
     h = F.col("h")
     pt = F.coalesce(F.col("prev_toks"), F.array().cast("array<string>"))
     d2 = F.substring(h, 2, 1)
     new = (F.when(d2 < "6", _win(pt, hexint(h, 4, 2) % F.greatest(F.size(pt), F.lit(1)), 1 + hexint(h, 6, 1) % 2))
-           .when(d2 < "9", _win(F.col("toks"), hexint(h, 4, 2) % F.greatest(F.size("toks"), F.lit(1)), F.lit(1)))
+           .when(d2 < "9", _win(F.coalesce(F.col("prev2_toks"), F.array().cast("array<string>")), F.lit(0), F.lit(1)))
            .when(d2 < "b", F.lit("dontcare"))
            .when(d2 < "c", F.lit(""))
            .when(d2 < "e", F.element_at(F.array(*[F.lit(v) for v in MW_POOL]), (hexint(h, 7, 2) % 6 + 1).cast("int")))
@@ -294,14 +296,15 @@ def mw_acts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda opts, i: F.element_at(F.array(*[F.lit(o) for o in opts]),
                                         (hexint(h, i, 2) % len(opts) + 1).cast("int"))
     dv = F.substring(h, 9, 1)
-    value = (F.when(dv < "8", _win(F.col("toks"), hexint(h, 10, 2) % F.greatest(F.size("toks"), F.lit(1)), F.lit(1)))
+    value = (F.when(dv < "4", _win(F.col("toks"), F.lit(0), F.lit(1)))
+             .when(dv < "8", _win(F.col("toks"), hexint(h, 10, 2) % F.greatest(F.size("toks"), F.lit(1)), F.lit(1)))
              .when(dv < "a", F.lit("?")).when(dv < "b", F.lit("None"))
              .when(dv < "d", F.upper(_win(F.col("toks"), hexint(h, 10, 2) % F.greatest(F.size("toks"), F.lit(1)),
                                           F.lit(1))))
              .otherwise(F.element_at(F.array(*[F.lit(v) for v in MW_POOL]), (hexint(h, 12, 2) % 6 + 1).cast("int"))))
     return x.select("dialog_id", "turn", "pos",
-                    F.concat(pick(ACT_DOMAINS, 1), F.lit("-"), pick(ACT_TYPES, 3)).alias("act"),
-                    pick(ACT_SLOTS, 5).alias("slot"), F.concat(F.lit(" "), value).alias("value"),
+                    F.concat(pick([d for d, _ in ACT_PAIRS], 1), F.lit("-"), pick(ACT_TYPES, 3)).alias("act"),
+                    pick([sl for _, sl in ACT_PAIRS], 1).alias("slot"), F.concat(F.lit(" "), value).alias("value"),
                     (F.substring(h0, 1, 1) != "f").alias("annotated"))
 
 

@@ -42,9 +42,10 @@ turns AS (
   FROM kept u JOIN kept n ON n.dialog_id = u.dialog_id AND n.utt_idx = u.utt_idx + 1
   LEFT JOIN kept sb ON sb.dialog_id = u.dialog_id AND sb.utt_idx = u.utt_idx - 1
   WHERE u.utt_idx % 2 = 0),
-m0 AS (SELECT *, lag(toks) OVER (PARTITION BY dialog_id ORDER BY utt_idx) AS prev_toks FROM mwu),
+m0 AS (SELECT *, lag(toks) OVER (PARTITION BY dialog_id ORDER BY utt_idx) AS prev_toks,
+              lag(toks, 2) OVER (PARTITION BY dialog_id ORDER BY utt_idx) AS prev2_toks FROM mwu),
 m1 AS (
-  SELECT dialog_id, utt_idx, toks, coalesce(prev_toks, []::VARCHAR[]) AS pt, si,
+  SELECT dialog_id, utt_idx, toks, coalesce(prev_toks, []::VARCHAR[]) AS pt, coalesce(prev2_toks, []::VARCHAR[]) AS pt2, si,
          {_DOM}[si + 1] AS domain, {_CAT}[si + 1] AS category, {_NAM}[si + 1] AS name,
          md5('mw:' || CAST(dialog_id AS VARCHAR) || ':' || CAST(utt_idx AS VARCHAR) || ':' || CAST(si AS VARCHAR)) AS h
   FROM m0 CROSS JOIN range(0, {len(fx.MW_SLOTS)}) r(si) WHERE is_sys),
@@ -52,7 +53,7 @@ m2 AS (
   SELECT *,
     CASE WHEN substr(h, 1, 1) < '6' THEN
       CASE WHEN substr(h, 2, 1) < '6' THEN {_win('pt', _hx(4, 2) + ' % greatest(len(pt), 1)', '1 + ' + _hx(6, 1) + ' % 2')}
-           WHEN substr(h, 2, 1) < '9' THEN {_win('toks', _hx(4, 2) + ' % greatest(len(toks), 1)', '1')}
+           WHEN substr(h, 2, 1) < '9' THEN {_win('pt2', '0', '1')}
            WHEN substr(h, 2, 1) < 'b' THEN 'dontcare'
            WHEN substr(h, 2, 1) < 'c' THEN ''
            WHEN substr(h, 2, 1) < 'e' THEN {_SL(fx.MW_POOL)}[{_hx(7, 2)} % 6 + 1]
@@ -89,9 +90,10 @@ a1 AS (SELECT dialog_id, turn, toks, pos,
               substr(md5('mt:' || CAST(dialog_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR)), 1, 1) <> 'f' AS annotated
        FROM a0 CROSS JOIN range(0, 3) r(pos)),
 acts AS (
-  SELECT dialog_id, turn, pos, {_ACT_PICK(fx.ACT_DOMAINS, 1)} || '-' || {_ACT_PICK(fx.ACT_TYPES, 3)} AS act,
-         {_ACT_PICK(fx.ACT_SLOTS, 5)} AS slot,
-         ' ' || CASE WHEN substr(h, 9, 1) < '8' THEN {_win('toks', _hx(10, 2) + ' % greatest(len(toks), 1)', '1')}
+  SELECT dialog_id, turn, pos, {_ACT_PICK([d for d, _ in fx.ACT_PAIRS], 1)} || '-' || {_ACT_PICK(fx.ACT_TYPES, 3)} AS act,
+         {_ACT_PICK([sl for _, sl in fx.ACT_PAIRS], 1)} AS slot,
+         ' ' || CASE WHEN substr(h, 9, 1) < '4' THEN {_win('toks', '0', '1')}
+                     WHEN substr(h, 9, 1) < '8' THEN {_win('toks', _hx(10, 2) + ' % greatest(len(toks), 1)', '1')}
                      WHEN substr(h, 9, 1) < 'a' THEN '?' WHEN substr(h, 9, 1) < 'b' THEN 'None'
                      WHEN substr(h, 9, 1) < 'd' THEN upper({_win('toks', _hx(10, 2) + ' % greatest(len(toks), 1)', '1')})
                      ELSE {_SL(fx.MW_POOL)}[{_hx(12, 2)} % 6 + 1] END AS value,
