@@ -163,3 +163,41 @@ def word_bio(words, word_slot) -> Column:
     return F.zip_with(ws, prev, lambda s, p: F.when(s.isNull(), F.lit("O"))
                       .when(p.isNotNull() & (p == s), F.concat(F.lit("I-"), s))
                       .otherwise(F.concat(F.lit("B-"), s)))
+
+
+def brackets_to_bio(utterance) -> Column:
+    """``[IN:X w [SL:Y w ] ]`` -> ``w:TAG w:TAG <=> IN_X`` (tags are the open-bracket path joined by ``_``).
+
+    One left-to-right fold over ``split(' ')`` with a struct state (intent,
+    started, first-word flag, open tags, output); no UDF.  The first word after
+    a newly opened tag gets ``B-``, later ones ``I-``; ``]`` pops.
+    """
+    toks = F.split(_c(utterance), " ")
+    init = F.struct(F.lit(None).cast("string").alias("intent"), F.lit(False).alias("started"),
+                    F.lit(True).alias("first"), F.array().cast("array<string>").alias("tags"),
+                    F.array().cast("array<string>").alias("out"))
+
+    def step(acc, t):
+        stripped = F.regexp_replace(t, r"^\[+|\[+$", "")
+        is_open, is_close = t.startswith("["), t.startswith("]")
+        n = F.size(acc["tags"])
+        path = F.array_join(acc["tags"], "_")
+        cur = F.when(n == 0, F.lit("O")).when(acc["first"], F.concat(F.lit("B-"), path)) \
+            .otherwise(F.concat(F.lit("I-"), path))
+        return (F.when(is_open & ~acc["started"],
+                       F.struct(F.replace(stripped, F.lit("IN:"), F.lit("IN_")).alias("intent"),
+                                F.lit(True).alias("started"), acc["first"], acc["tags"], acc["out"]))
+                .when(is_open, F.struct(acc["intent"], acc["started"], F.lit(True).alias("first"),
+                                        F.concat(acc["tags"], F.array(F.replace(F.replace(
+                                            stripped, F.lit("IN:"), F.lit("IN_")), F.lit("SL:"), F.lit("SL_"))))
+                                        .alias("tags"), acc["out"]))
+                .when(is_close, F.struct(acc["intent"], acc["started"], acc["first"],
+                                         F.when(n > 0, F.slice(acc["tags"], 1, n - 1)).otherwise(acc["tags"])
+                                         .alias("tags"), acc["out"]))
+                .otherwise(F.struct(acc["intent"], acc["started"],
+                                    F.when(n > 0, F.lit(False)).otherwise(acc["first"]).alias("first"), acc["tags"],
+                                    F.concat(acc["out"], F.array(F.concat(t, F.lit(":"), cur))).alias("out"))))
+
+    return F.aggregate(toks, init, step,
+                       lambda acc: F.when(acc["intent"].isNotNull(),
+                                          F.concat(F.array_join(acc["out"], " "), F.lit(" <=> "), acc["intent"])))

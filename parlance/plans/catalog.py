@@ -7,4 +7,5 @@ from . import q_text  # noqa: F401
 from . import q_dialogue  # noqa: F401
 from . import q_vectors  # noqa: F401
 from . import q_features  # noqa: F401
+from . import q_sources  # noqa: F401
 from .registry import REGISTRY  # noqa: F401

@@ -312,3 +312,58 @@ def mw_acts(spark: SparkSession, sf_dir: str) -> DataFrame:
 MW_LABEL_MAPS = {"centre": ["center", "downtown"], "north": ["northern"], "cheap": ["inexpensive"],
                  "guest house": ["guesthouse", "guest houses"]}
 MW_SLOT_NAMES = tuple(mw_slot_name(*s) for s in MW_SLOTS)
+
+
+# Intents and slot labels of the derived bracketed parses.
+TOP_INTENTS = ("GET_EVENT", "GET_DIRECTIONS", "GET_INFO_TRAFFIC", "UNSUPPORTED")
+TOP_SLOTS = ("LOCATION", "DATE_TIME", "IN:GET_LOCATION", "DESTINATION")
+
+
+def top_parses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bracketed parses over every user utterance: (dialog_id, turn, parse)."""
+    t = user_turns(spark, sf_dir)
+    hi = md5_of("ti", F.col("dialog_id"), F.col("turn"))
+    intent = F.element_at(F.array(*[F.lit(x) for x in TOP_INTENTS]), (hexint(hi, 1, 2) % 4 + 1).cast("int"))
+    slot_names = F.array(*[F.lit(x) for x in TOP_SLOTS])
+
+    def word(w, i):
+        h = md5_of("tw", F.col("dialog_id"), F.col("turn"), i)
+        d = F.substring(h, 1, 1)
+        opener = F.concat(F.lit("[SL:"), F.element_at(slot_names, (hexint(h, 2, 2) % 4 + 1).cast("int")), F.lit(" "))
+        clean = F.regexp_replace(w, r"[\t ]", "_")
+        return F.concat(F.when(d < "3", opener).otherwise(F.lit("")), clean,
+                        F.when((d >= "3") & (d < "6"), F.lit(" ]")).otherwise(F.lit("")))
+
+    parse = F.concat(F.lit("[IN:"), intent, F.lit(" "), F.array_join(F.transform("toks", word), " "), F.lit(" ]"))
+    return t.select("dialog_id", "turn", parse.alias("parse"))
+
+
+# Requested-slot contexts and label slots of the derived slot examples.
+SLOT_CONTEXTS = ((), ("time",), ("date", "time"))
+SLOT_LABELS = ("time", "date", "people", "area")
+
+
+def slot_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Restaurant-style slot examples over user utterances (pos, userInput, context, labels)."""
+    u = read_table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    h = md5_of("se", F.col("conv_id"), F.col("turn"))
+    n = F.greatest(F.length("text"), F.lit(1))
+    ctx_i = (hexint(h, 1, 2) % 4).cast("int")
+    ctx = (F.when(ctx_i == 1, F.array(F.lit("time"))).when(ctx_i == 2, F.array(F.lit("date"), F.lit("time")))
+           .when(ctx_i == 3, F.array().cast("array<string>")))
+
+    def label(k):
+        s = (hexint(h, 3 + 6 * k, 4) % n).cast("int")
+        e = s + 1 + (hexint(h, 7 + 6 * k, 2) % 20).cast("int")
+        d = F.substring(h, 20 + k, 1)
+        return F.struct(F.element_at(F.array(*[F.lit(x) for x in SLOT_LABELS]), (hexint(h, 22 + k, 1) % 4 + 1).cast("int"))
+                        .alias("slot"),
+                        F.struct(F.when(d < "e", s).alias("startIndex"), F.when(d < "c", e).alias("endIndex"))
+                        .alias("valueSpan"))
+
+    n_lab = (hexint(h, 25, 1) % 3).cast("int")
+    labels = F.slice(F.array(label(0), label(1)), 1, n_lab)
+    return u.select((F.col("conv_id") * 1000 + F.col("turn")).alias("pos"),
+                    F.struct(F.col("text")).alias("userInput"),
+                    F.when(ctx_i > 0, F.struct(ctx.alias("requestedSlots"))).alias("context"),
+                    labels.alias("labels"))

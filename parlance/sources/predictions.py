@@ -47,12 +47,15 @@ def unpivot_predictions(wide: DataFrame, slots, with_file: bool = False,
             .select(*keep, "set_type", "dialog_id", "turn", "e.*"))
 
 
-def read_prediction_files(spark: SparkSession, pattern: str, slots, dialog_type: str = "string") -> DataFrame:
+def read_prediction_files(spark: SparkSession, pattern: str, slots, dialog_type: str = "string",
+                          multi_line: bool = True) -> DataFrame:
     """SC11: glob JSON prediction files (one array of records per file) into one long table.
 
     The source file becomes a column, so scoring all runs is one job with the
-    file as an extra group key.
+    file as an extra group key.  ``multi_line=True`` reads the decoder's own
+    files (one indented JSON array per file); ``False`` reads JSON lines whose
+    lines are arrays of records.
     """
-    raw = (spark.read.schema(record_schema(slots)).option("multiLine", True).json(pattern)
+    raw = (spark.read.schema(record_schema(slots)).option("multiLine", multi_line).json(pattern)
            .withColumn("_file", F.col("_metadata.file_path")))
     return unpivot_predictions(raw, slots, with_file=True, dialog_type=dialog_type)
