@@ -9,4 +9,5 @@ from . import q_vectors  # noqa: F401
 from . import q_features  # noqa: F401
 from . import q_sources  # noqa: F401
 from . import q_dialogue_sets  # noqa: F401
+from . import q_stream  # noqa: F401
 from .registry import REGISTRY  # noqa: F401
