@@ -256,3 +256,49 @@ def cumulative_history(utts: DataFrame, dialog="dialog_id", order="utt_idx", tex
     w = Window.partitionBy(dialog).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     hist = F.array_join(F.collect_list(text).over(w), sep)
     return utts.withColumn("history", F.trim(F.regexp_replace(hist, r"\s+", " ")))
+
+
+def batch_examples(batched: DataFrame, key: str = "pos", label: str = "label", seed: str = "0",
+                   label_retries: int = 8, fill_factor: int = 2) -> DataFrame:
+    """Per batch, one example for every label in the batch (not a batch member), then random
+    distinct examples until the set holds min(N, fill_factor x batch size) rows.
+
+    ``batched``: every row with its ``batch`` id (T8).  Draws are md5 draws over
+    per-label and global dense indices; a label draw retries ``label_retries``
+    times and then keeps its last draw (the reference gives up after too many
+    retries too); the fill draws a bounded number of candidates per batch
+    (3x what is needed, plus 16) and keeps the first distinct ones.
+    """
+    rows = batched.select(key, label, "batch")
+    members = rows.select("batch", key)
+    lab_idx = dense_index(rows.select(key, label), [label], key, "lidx", count_col="n_label")
+    glob = dense_index(rows.select(key), [], key, "gidx")
+    n_all = F.lit(rows.count())                       # one scalar for the whole set
+    # one example per label present in the batch
+    bl = rows.select("batch", label).distinct()
+    sizes = lab_idx.groupBy(label).agg(F.max("n_label").alias("n_label"))
+    att = (bl.join(sizes, label)
+           .select("batch", label, "n_label", F.explode(F.sequence(F.lit(0), F.lit(label_retries - 1))).alias("a"))
+           .withColumn("lidx", draw_index(seed, F.col("n_label"), F.col("batch"), F.col(label), F.col("a"))))
+    cand = att.join(lab_idx.select(label, "lidx", key), [label, "lidx"])
+    free = cand.join(members, ["batch", key], "left_anti").groupBy("batch", label).agg(F.min("a").alias("a"))
+    last = cand.where(F.col("a") == label_retries - 1).select("batch", label, key)
+    chosen_free = cand.join(free, ["batch", label, "a"]).select("batch", label, key)
+    picked = chosen_free.unionByName(last.join(free, ["batch", label], "left_anti"))
+    per_label = picked.select("batch", key, F.lit("label").alias("kind"), F.lit(-1).cast("bigint").alias("attempt"))
+    # random fill up to min(N, fill_factor x batch size)
+    bsz = rows.groupBy("batch").agg(F.count(F.lit(1)).alias("bs"))
+    nlab = per_label.groupBy("batch").agg(F.countDistinct(key).alias("nl"))
+    need = (bsz.join(nlab, "batch", "left").withColumn("n_all", n_all)
+            .withColumn("need", F.least(F.col("n_all"), F.col("bs") * fill_factor) - F.coalesce("nl", F.lit(0))))
+    fill = (need.where(F.col("need") > 0)
+            .select("batch", "need", "n_all", F.explode(F.sequence(F.lit(0), F.col("need") * 3 + 15)).alias("f"))
+            .withColumn("gidx", draw_index(seed, F.col("n_all"), F.col("batch"), F.lit("fill"), F.col("f"))))
+    fill = fill.join(glob.select("gidx", key), "gidx")
+    taken = members.unionByName(per_label.select("batch", key))
+    fill = fill.join(taken, ["batch", key], "left_anti")
+    first = fill.groupBy("batch", key, "need").agg(F.min("f").alias("f"))
+    w = Window.partitionBy("batch").orderBy("f")
+    fill_rows = (first.withColumn("r", F.row_number().over(w)).where(F.col("r") <= F.col("need"))
+                 .select("batch", key, F.lit("fill").alias("kind"), F.col("f").cast("bigint").alias("attempt")))
+    return per_label.unionByName(fill_rows)

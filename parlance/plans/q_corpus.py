@@ -327,3 +327,13 @@ def q_union_subdomains(spark, sf):
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+@register("batch_examples")
+def q_batch_examples(spark, sf):
+    """T7 over the training intents, batches of 32 from T8, class index as the label."""
+    r = fx.intent_rows(spark, sf).where(F.col("split") == "train")
+    vocab = C.distinct_vocab(r)
+    enc, _ = C.label_encode(r.select("pos", "category"), vocab, out="label")
+    b = C.batches(enc.select("pos", "label"), 32, seed=SEED).select("pos", "label", "batch")
+    return C.batch_examples(b, seed=SEED)

@@ -146,3 +146,40 @@ def test_sample_per_class_rejects_small_classes(spark):
     with pytest.raises(ValueError):
         C.sample_per_class(rows, 5)
     assert C.sample_per_class(rows, 3).count() == 6
+
+
+def test_batch_examples_invariants(spark):
+    rows = spark.createDataFrame([(i, i % 5, i // 8) for i in range(64)], "pos long, label long, batch long")
+    ex = C.batch_examples(rows, seed="3").collect()
+    members = {(r[2], r[0]) for r in rows.collect()}
+    labels = {r[0]: r[1] for r in rows.collect()}
+    by = {}
+    for r in ex:
+        by.setdefault(r["batch"], []).append(r)
+    for b, rs in by.items():
+        pos = [r["pos"] for r in rs]
+        assert len(pos) == len(set(pos)) == 16
+        lab_picks = [r for r in rs if r["kind"] == "label"]
+        want = {labels[p] for (bb, p) in members if bb == b}
+        assert {labels[r["pos"]] for r in lab_picks} == want
+        assert all((b, r["pos"]) not in members for r in rs)
+
+
+def test_registry_round_trip(spark, tmp_path):
+    from parlance.sources import registry
+    from parlance.sources.sinks import write_csv_quoted
+    df = spark.createDataFrame([("hi, \"you\"\nthere", "greet"), ("bye", "leave")], "text string, category string")
+    write_csv_quoted(df, str(tmp_path / "hwu" / "train.csv"))
+    back = registry.load(spark, "hwu", "train", str(tmp_path))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+    assert registry.task_of("multiwoz") == "dst"
+
+
+def test_config_tables(spark, tmp_path):
+    from parlance.config import config_tables, load_dataset_config, read_config_frame
+    p = tmp_path / "cfg.json"
+    p.write_text('{"class_types": ["none", "copy_value"], "slots": ["a-b"], "label_maps": {"x": ["y", "z"]}}')
+    cfg = load_dataset_config(spark, str(p))
+    assert cfg.class_types == ("none", "copy_value") and cfg.label_maps == {"x": ["y", "z"]}
+    ct, sl, lv = config_tables(read_config_frame(spark, str(p)))
+    assert lv.count() == 2 and sl.first()["name"] == "a-b"
