@@ -235,7 +235,7 @@ def tail_pool(rows: DataFrame, group: list[str], key="pos", keep: str = "half",
 def batches(rows: DataFrame, size: int, seed: str = "0", key="pos") -> DataFrame:
     """A fixed pseudo-random order (md5 of seed and key), cut into batches of ``size``."""
     r = rows.withColumn("__h", draw_hash(seed, F.col(key)))
-    idx = dense_index(r, [], "__h", "order_idx", buckets=64)
+    idx = dense_index(r, [], "__h", "order_idx")
     return idx.withColumn("batch", F.floor(F.col("order_idx") / size)).drop("__h")
 
 

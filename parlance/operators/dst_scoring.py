@@ -100,20 +100,21 @@ def prepare(preds: DataFrame, cfg: DatasetConfig, keys=("dialog_id", "turn", "sl
     dialog, turn, slot = keys
     maps = label_map_column(tokenized_label_maps(cfg.label_maps))
     pd = F.col("pd_value")
-    t = (preds
-         .withColumn("gt_value", tokenize_str("slot_groundtruth"))
-         .withColumn("pd_value", tokenize_str("slot_prediction")))
-    t = t.withColumn("mark_len", F.when(F.substring(pd, 1, 3) == MARK_SPACE, 3)
-                     .when(F.substring(pd, 1, 2) == MARK, 2).otherwise(0))
-    t = t.withColumn("iv", F.when(F.col("mark_len") > 0, F.expr("substring(pd_value, mark_len + 1)")))
-    t = (t.withColumn("gt_toks", word_tokens("gt_value"))
-         .withColumn("iv_toks", word_tokens("iv"))
-         .withColumn("informed", slot_inform_value("gt_value", "iv", maps, "gt_toks", "iv_toks")))
-    u, e = update_rule(cfg, "class_prediction", "pd_value", "mark_len", "informed",
-                       F.col("iv") != NONE)
-    t = (t.withColumn("update", u).withColumn("update_error", e)
-         .drop("mark_len", "iv", "gt_toks", "iv_toks", "informed"))
-    s = carry_forward(t, [dialog, slot], turn, "update", "joint_pd", default=NONE, block_size=block_size)
+    # few projections (each DataFrame step is analysed again on the client)
+    t = preds.select("*", tokenize_str("slot_groundtruth").alias("gt_value"),
+                     tokenize_str("slot_prediction").alias("pd_value"))
+    mark_len = F.when(F.substring(pd, 1, 3) == MARK_SPACE, 3).when(F.substring(pd, 1, 2) == MARK, 2).otherwise(0)
+    iv = (F.when(F.substring(pd, 1, 3) == MARK_SPACE, F.substring(pd, 4, 1 << 30))
+          .when(F.substring(pd, 1, 2) == MARK, F.substring(pd, 3, 1 << 30)))
+    t = t.select("*", mark_len.alias("mark_len"), iv.alias("iv"), word_tokens("gt_value").alias("gt_toks"),
+                 word_tokens(iv).alias("iv_toks"))
+    t = t.select("*", slot_inform_value("gt_value", "iv", maps, "gt_toks", "iv_toks").alias("informed"))
+    u, e = update_rule(cfg, "class_prediction", "pd_value", "mark_len", "informed", F.col("iv") != NONE)
+    t = t.select(*[c for c in t.columns if c not in ("mark_len", "iv", "gt_toks", "iv_toks", "informed")],
+                 u.alias("update"), e.alias("update_error"))
+    # shuffle by (dialogue, block) only: the per-turn goal aggregate reuses this partitioning
+    s = carry_forward(t, [dialog, slot], turn, "update", "joint_pd", default=NONE, block_size=block_size,
+                      partition_by=[dialog], keep_block="turn_block")
     return s.withColumn("value_ok", value_correct("gt_value", "joint_pd", maps))
 
 
@@ -124,7 +125,9 @@ def update_violations(prepared: DataFrame) -> DataFrame:
 
 def joint_goal_accuracy(prepared: DataFrame, dialog="dialog_id", turn="turn") -> DataFrame:
     """A4: per turn the product (min) of slot correctness, averaged over turns."""
-    per_turn = prepared.groupBy(dialog, turn).agg(F.min("value_ok").alias("turn_ok"))
+    # the block of a turn is a function of the turn: grouping by it too keeps the earlier partitioning
+    keys = [dialog, "turn_block", turn] if "turn_block" in prepared.columns else [dialog, turn]
+    per_turn = prepared.groupBy(*keys).agg(F.min("value_ok").alias("turn_ok"))
     return per_turn.agg(F.count(F.lit(1)).alias("n_turns"),
                         F.round(F.avg("turn_ok"), 6).alias("joint_goal_acc"))
 
@@ -226,17 +229,14 @@ def score_report(preds: DataFrame, cfg: DatasetConfig, block_size: int = 4096) -
     """The whole scorer as one long report (metric, scope, value).
 
     Joint goal accuracy, per-slot value accuracy, per-slot class/span/refer
-    accuracy.  One scan of the predictions feeds all of them.
+    accuracy -- all from the one prepared table (its exchange is shared).
     """
     prepared = prepare(preds, cfg, block_size=block_size)
     jga = joint_goal_accuracy(prepared).select(F.lit("joint_goal_acc").alias("metric"),
                                               F.lit("__all__").alias("scope"),
                                               F.col("joint_goal_acc").alias("value"))
-    sva = slot_value_accuracy(prepared).select(F.lit("value_acc").alias("metric"),
-                                               F.col("slot").alias("scope"), F.col("value_acc").alias("value"))
-    sra = span_refer_accuracy(preds, cfg)
-    extra = sra.select(F.col("slot").alias("scope"),
-                       F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"))
-                                           for m in ("span_acc", "refer_acc", "class_acc")])).alias("m"))
-    extra = extra.select("m.metric", "scope", "m.value")
-    return jga.unionByName(sva).unionByName(extra)
+    per_slot = slot_value_accuracy(prepared).join(span_refer_accuracy(prepared, cfg), "slot")
+    metrics = ("value_acc", "span_acc", "refer_acc", "class_acc")
+    extra = per_slot.select(F.col("slot").alias("scope"), F.explode(F.array(*[
+        F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("m"))
+    return jga.unionByName(extra.select("m.metric", "scope", "m.value"))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 64
+DEFAULT_BUCKETS = 4096   # per group: a hot group is numbered by up to 4096 tasks
 
 
 def md5_bucket(key: Column, buckets: int) -> Column:

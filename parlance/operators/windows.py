@@ -6,16 +6,16 @@ rows, so the running operators here split every key into blocks of
 ``block_size`` consecutive order values and pass the state across blocks with
 one small aggregate:
 
-1. ``groupBy(keys, block)`` with a partial (map-side) aggregate gives the last
-   value of each block -- at most one row per block leaves each map task;
-2. a window over those block summaries (``#rows / block_size`` rows per key)
-   carries the value to the *next existing* block as one extra "seed" row;
-3. the row-level window runs per ``(keys, block)``, so no task ever sees more
-   than ``block_size`` + 1 rows of one key.
-
-No join is needed: seed rows are unioned in and dropped again.  With short keys
-there is one block per key and the plan is the textbook window plus a tiny
-aggregate.
+1. rows are hash-partitioned once by (keys, block); the row-level window runs
+   per (keys, block), so no task sorts more than ``block_size`` rows of a key;
+2. from the same exchange, a per-block aggregate gives each block's last value
+   (one row per block);
+3. a window over those block summaries (``#rows / block_size`` rows per key)
+   gives every block the value carried in from earlier blocks, joined back on
+   (keys, block) -- a small side against an already co-partitioned big side.
+
+With short keys there is one block per key and the plan is the textbook window
+plus a tiny aggregate.
 """
 
 from __future__ import annotations
@@ -33,61 +33,64 @@ def _block(order_col: str, block_size: int) -> Column:
     return F.floor(F.col(order_col) / F.lit(block_size)).cast("bigint")
 
 
+def _blocked(df: DataFrame, keys: list[str], order: str, block_size: int,
+             partition_by: list[str] | None) -> DataFrame:
+    """Add the block column and hash-partition once by (partition keys, block).
+
+    Both the row-level window and the per-block summary read this one
+    exchange (Spark reuses it), so the input is computed and shuffled once.
+    """
+    d = df.withColumn(_BLK, _block(order, block_size))
+    return d.repartition(*(partition_by or keys), _BLK)
+
+
 def carry_forward(df: DataFrame, keys: list[str], order: str, value: str, out: str,
-                  default=None, block_size: int = DEFAULT_BLOCK) -> DataFrame:
+                  default=None, block_size: int = DEFAULT_BLOCK, partition_by: list[str] | None = None,
+                  keep_block: str | None = None) -> DataFrame:
     """``out`` = last non-null ``value`` at or before each row, per key.
 
     Equivalent to ``coalesce(last(value, true) over (partition by keys order by
-    order rows unbounded preceding), default)``.
+    order rows unbounded preceding), default)``.  ``partition_by`` (a subset of
+    ``keys``) chooses the shuffle keys, e.g. the dialogue alone so that later
+    per-turn aggregates reuse the partitioning; ``keep_block`` keeps the block
+    column under that name for such aggregates.
     """
-    cols = df.columns
-    d = df.withColumn(_BLK, _block(order, block_size))
-    # one partial aggregate: last non-null value of every block (null if none)
-    blocks = (d.groupBy(*keys, _BLK)
-              .agg(F.max_by(F.col(value), F.when(F.col(value).isNotNull(), F.col(order))).alias("__last")))
-    bw = Window.partitionBy(*keys).orderBy(_BLK)
-    seeds = (blocks
-             .withColumn("__carry", F.last("__last", ignorenulls=True).over(
-                 bw.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-             .withColumn("__next", F.lead(_BLK).over(bw))
-             .where(F.col("__next").isNotNull() & F.col("__carry").isNotNull())
-             .select(*keys, F.col("__next").alias(_BLK), F.col("__carry").alias("__v")))
-    rows = d.select(*cols, _BLK, F.col(value).alias("__v"), F.lit(False).alias(_SEED))
-    seed_rows = seeds.select(*[F.lit(None).cast(df.schema[c].dataType).alias(c) if c not in keys
-                               else F.col(c) for c in cols], _BLK, "__v", F.lit(True).alias(_SEED))
-    u = rows.unionByName(seed_rows)
-    w = (Window.partitionBy(*keys, _BLK)
-         .orderBy(F.col(_SEED).desc(), F.col(order))
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    res = u.withColumn(out, F.last("__v", ignorenulls=True).over(w)).where(~F.col(_SEED))
+    x = _blocked(df, keys, order, block_size, partition_by)
+    wrow = (Window.partitionBy(*keys, _BLK).orderBy(order)
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    local = x.withColumn("__local", F.last(F.col(value), ignorenulls=True).over(wrow))
+    # one row per block: its last non-null value; carried over earlier blocks of the key
+    summary = (x.groupBy(*keys, _BLK)
+               .agg(F.max_by(F.col(value), F.when(F.col(value).isNotNull(), F.col(order))).alias("__last")))
+    bw = Window.partitionBy(*keys).orderBy(_BLK).rowsBetween(Window.unboundedPreceding, -1)
+    carry = summary.select(*keys, _BLK, F.last("__last", ignorenulls=True).over(bw).alias("__carry"))
+    res = local.join(carry, [*keys, _BLK], "left")
+    val = F.coalesce(F.col("__local"), F.col("__carry"))
     if default is not None:
-        res = res.withColumn(out, F.coalesce(F.col(out), F.lit(default)))
-    return res.drop(_BLK, _SEED, "__v")
+        val = F.coalesce(val, F.lit(default))
+    res = res.withColumn(out, val)
+    if keep_block:
+        res = res.withColumnRenamed(_BLK, keep_block)
+    return res.drop(_BLK, "__local", "__carry")
 
 
 def previous_value(df: DataFrame, keys: list[str], order: str, value: str, out: str,
-                   default=None, block_size: int = DEFAULT_BLOCK) -> DataFrame:
+                   default=None, block_size: int = DEFAULT_BLOCK, partition_by: list[str] | None = None
+                   ) -> DataFrame:
     """W6 building block: ``lag(value, 1, default)`` per key, block-split like ``carry_forward``."""
-    cols = df.columns
-    d = df.withColumn(_BLK, _block(order, block_size))
-    summary = (d.groupBy(*keys, _BLK)
-               .agg(F.max_by(F.col(value), F.col(order)).alias("__last")))
+    x = _blocked(df, keys, order, block_size, partition_by)
+    w = Window.partitionBy(*keys, _BLK).orderBy(order)
+    local = (x.withColumn("__lag", F.lag(F.col(value)).over(w))
+             .withColumn("__first", F.row_number().over(w) == 1))
+    summary = x.groupBy(*keys, _BLK).agg(F.max_by(F.col(value), F.col(order)).alias("__last"))
     bw = Window.partitionBy(*keys).orderBy(_BLK)
-    seeds = (summary.withColumn("__next", F.lead(_BLK).over(bw))
-             .where(F.col("__next").isNotNull())
-             .select(*keys, F.col("__next").alias(_BLK), F.col("__last").alias("__v")))
-    rows = d.select(*cols, _BLK, F.col(value).alias("__v"), F.lit(False).alias(_SEED))
-    seed_rows = seeds.select(*[F.lit(None).cast(df.schema[c].dataType).alias(c) if c not in keys
-                               else F.col(c) for c in cols], _BLK, "__v", F.lit(True).alias(_SEED))
-    w = Window.partitionBy(*keys, _BLK).orderBy(F.col(_SEED).desc(), F.col(order))
-    res = (rows.unionByName(seed_rows)
-           .withColumn(out, F.lag("__v", 1).over(w))
-           .withColumn("__first", F.row_number().over(w))
-           .where(~F.col(_SEED)))
+    prev = summary.select(*keys, _BLK, F.lag("__last").over(bw).alias("__prev_blk"),
+                          (F.row_number().over(bw) == 1).alias("__first_blk"))
+    res = local.join(prev, [*keys, _BLK], "left")
+    val = F.when(~F.col("__first"), F.col("__lag")).otherwise(F.col("__prev_blk"))
     if default is not None:
-        # only the very first row of a key has no predecessor at all
-        res = res.withColumn(out, F.when((F.col("__first") == 1), F.lit(default)).otherwise(F.col(out)))
-    return res.drop(_BLK, _SEED, "__v", "__first")
+        val = F.when(F.col("__first") & F.col("__first_blk"), F.lit(default)).otherwise(val)
+    return res.withColumn(out, val).drop(_BLK, "__lag", "__first", "__prev_blk", "__first_blk")
 
 
 def running_max_flag(df: DataFrame, keys: list[str], order: str, flag: str, out: str) -> DataFrame:
