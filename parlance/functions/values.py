@@ -46,6 +46,16 @@ def _loose_match(a: Column, a_toks: Column, b: Column, b_toks: Column) -> Column
     return (a == b) | contains_window(b_toks, a_toks) | contains_window(a_toks, b_toks)
 
 
+def any_variant_matches(variants: Column, other: Column, other_toks: Column) -> Column:
+    """Some variant equals / contains / is contained in ``other`` (tokens carried in the accumulator)."""
+    init = F.struct(other.alias("o"), other_toks.alias("ot"), F.lit(False).alias("hit"))
+    res = F.aggregate(F.coalesce(variants, F.array().cast("array<string>")), init,
+                      lambda acc, x: F.struct(acc["o"], acc["ot"],
+                                              (acc["hit"] | _loose_match(x, word_tokens(x), acc["o"], acc["ot"]))
+                                              .alias("hit")))
+    return res["hit"]
+
+
 def inform_match(value, informed, maps: Column) -> Column:
     """F10 core: does the (normalised) value match one informed value (equal, containment, variants)."""
     vl, il = _c(value), _c(informed)
@@ -53,10 +63,8 @@ def inform_match(value, informed, maps: Column) -> Column:
     il_vars = variants_of(maps, il)
     vl_vars = variants_of(maps, vl)
     return (_loose_match(vl, vt, il, it)
-            | F.when(il_vars.isNotNull(),
-                     F.exists(il_vars, lambda x: _loose_match(x, word_tokens(x), vl, vt)))
-            .otherwise(F.coalesce(F.exists(vl_vars, lambda x: _loose_match(x, word_tokens(x), il, it)),
-                                  F.lit(False))))
+            | F.when(il_vars.isNotNull(), any_variant_matches(il_vars, vl, vt))
+            .otherwise(any_variant_matches(vl_vars, il, it)))
 
 
 def first_informed(value, informed_list, maps: Column) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..config import (COPY_VALUE, DONTCARE, FALSE, INFORM, NON_VARIANT_VALUES, NONE, REFER, TRUE,
                       DatasetConfig, label_map_column, tokenized_label_maps, variants_of)
 from ..functions.text import contains_window, tokenize_str, word_tokens
+from ..functions.values import any_variant_matches
 from .windows import carry_forward
 
 # referral/inform value marks written by the state decoder.
@@ -46,10 +47,8 @@ def slot_inform_value(gold, informed, maps: Column, gold_toks=None, informed_tok
 
     hit = (
         both_ways(g, gt, v, vt)
-        | F.when(v_vars.isNotNull(),
-                 F.exists(v_vars, lambda x: both_ways(x, word_tokens(x), g, gt)))
-          .otherwise(F.coalesce(
-              F.exists(g_vars, lambda x: both_ways(x, word_tokens(x), v, vt)), F.lit(False)))
+        | F.when(v_vars.isNotNull(), any_variant_matches(v_vars, g, gt))
+          .otherwise(any_variant_matches(g_vars, v, vt))
     )
     return F.when(hit, g).otherwise(v)
 
@@ -200,8 +199,8 @@ def confusion_offdiag(preds: DataFrame, cfg: DatasetConfig, slot="slot") -> Data
     grid = (rows.select(F.col("gt"), "n_gt")
             .select(F.col("gt").alias("gt_class"), "n_gt",
                     F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("pd_class")))
-    full = (F.broadcast(grid).join(cells, (F.col("gt_class") == F.col("gt")) & (F.col("pd_class") == F.col("pd")),
-                                   "left"))
+    # both sides are at most K x K rows (K = class types): no hint needed, AQE sizes them at run time
+    full = grid.join(cells, (F.col("gt_class") == F.col("gt")) & (F.col("pd_class") == F.col("pd")), "left")
     return full.select("gt_class", "pd_class",
                        F.round(F.coalesce(F.col("miss"), F.lit(0)) / F.col("n_gt"), 6).alias("rate"))
 
