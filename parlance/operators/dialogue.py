@@ -58,14 +58,23 @@ def explode_dialogues(logs: DataFrame, map_col: str = "dialogues") -> DataFrame:
 def cut_at_misorder(utts: DataFrame, dialog="dialog_id", order="utt_idx", is_sys="is_sys") -> DataFrame:
     """Keep a dialogue up to (not including) the first utterance that breaks user/system alternation.
 
-    The first utterance must be a user one.  The cut point is a per-dialogue
-    minimum (partial aggregate), applied with an equi-join.
+    The first utterance must be a user one.  Each utterance is grouped with its
+    predecessor by emitting itself under its own position and under the next
+    one -- one shuffle on (dialogue, position), groups of at most two rows, so
+    a long dialogue spreads over all tasks; the cut is a per-dialogue minimum
+    (partial aggregate) joined back.
     """
-    p = previous_value(utts.withColumn("__s", F.col(is_sys).cast("int")), [dialog], order, "__s", "__prev",
-                       default=1)
-    bad = p.where(F.col("__s") == F.col("__prev")).groupBy(dialog).agg(F.min(order).alias("__cut"))
-    return (p.join(bad, dialog, "left").where(F.col("__cut").isNull() | (F.col(order) < F.col("__cut")))
-            .drop("__s", "__prev", "__cut"))
+    s = F.col(is_sys).cast("int")
+    none = F.lit(None).cast("int")
+    both = F.array(F.struct(F.col(order).alias("p"), s.alias("s"), none.alias("prev")),
+                   F.struct((F.col(order) + 1).alias("p"), none.alias("s"), s.alias("prev")))
+    copies = utts.select(dialog, F.explode(both).alias("e")).select(dialog, F.col("e.p").alias("__p"),
+                                                                  F.col("e.s").alias("__s"), F.col("e.prev").alias("__prev"))
+    pairs = copies.groupBy(dialog, "__p").agg(F.max("__s").alias("__s"), F.max("__prev").alias("__prev"))
+    bad = (pairs.where(F.col("__s").isNotNull() & (F.col("__s") == F.coalesce(F.col("__prev"), F.lit(1))))
+           .groupBy(dialog).agg(F.min("__p").alias("__cut")))
+    return (utts.join(bad, dialog, "left").where(F.col("__cut").isNull() | (F.col(order) < F.col("__cut")))
+            .drop("__cut"))
 
 
 def pair_turns(utts: DataFrame, dialog="dialog_id", order="utt_idx", toks="toks") -> DataFrame:
@@ -73,16 +82,24 @@ def pair_turns(utts: DataFrame, dialog="dialog_id", order="utt_idx", toks="toks"
 
     Expects contiguous positions after ``cut_at_misorder`` (user at even
     positions).  Turn t uses utterance 2t (user), 2t-1 (system, empty for t=0)
-    and takes its state changes from utterance 2t+1.
+    and takes its state changes from utterance 2t+1.  Every utterance is
+    emitted under the turn(s) it belongs to and one ``groupBy(dialogue, turn)``
+    assembles the pairs: one shuffle, at most three rows per group.
     """
-    usr = utts.where(F.col(order) % 2 == 0).select(dialog, order, F.col(toks).alias("usr_toks"))
-    sysb = utts.where(F.col(order) % 2 == 1).select(dialog, (F.col(order) + 1).alias(order),
-                                                     F.col(toks).alias("sys_toks"))
-    nxt = utts.where(F.col(order) % 2 == 1).select(dialog, (F.col(order) - 1).alias(order),
-                                                    F.col(order).alias("next_sys_idx"))
-    t = usr.join(nxt, [dialog, order]).join(sysb, [dialog, order], "left")
-    return t.select(dialog, (F.col(order) / 2).cast("bigint").alias("turn"), order, "next_sys_idx",
-                    F.coalesce("sys_toks", F.array().cast("array<string>")).alias("sys_toks"), "usr_toks")
+    p = F.col(order)
+    even = (p % 2 == 0)
+    role_rows = F.when(even, F.array(F.struct((p / 2).cast("bigint").alias("turn"), F.lit("usr").alias("role")))) \
+        .otherwise(F.array(F.struct(((p + 1) / 2).cast("bigint").alias("turn"), F.lit("sys_before").alias("role")),
+                           F.struct(((p - 1) / 2).cast("bigint").alias("turn"), F.lit("sys_after").alias("role"))))
+    x = utts.select(dialog, order, toks, F.explode(role_rows).alias("r")).select(dialog, "r.turn", "r.role", order, toks)
+    g = x.groupBy(dialog, "turn").agg(
+        F.max(F.when(F.col("role") == "usr", F.col(order))).alias(order),
+        F.max(F.when(F.col("role") == "sys_after", F.col(order))).alias("next_sys_idx"),
+        F.first(F.when(F.col("role") == "usr", F.col(toks)), ignorenulls=True).alias("usr_toks"),
+        F.first(F.when(F.col("role") == "sys_before", F.col(toks)), ignorenulls=True).alias("sys_toks"))
+    return g.where(F.col(order).isNotNull() & F.col("next_sys_idx").isNotNull()).select(
+        dialog, "turn", order, "next_sys_idx", F.coalesce("sys_toks", F.array().cast("array<string>")).alias("sys_toks"),
+        "usr_toks")
 
 
 def booked_overrides(meta: DataFrame) -> DataFrame:
