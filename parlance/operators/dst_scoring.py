@@ -227,15 +227,40 @@ def span_refer_accuracy(preds: DataFrame, cfg: DatasetConfig, slot="slot") -> Da
 def score_report(preds: DataFrame, cfg: DatasetConfig, block_size: int = 4096) -> DataFrame:
     """The whole scorer as one long report (metric, scope, value).
 
-    Joint goal accuracy, per-slot value accuracy, per-slot class/span/refer
-    accuracy -- all from the one prepared table (its exchange is shared).
+    One pass over the prepared table: a grouping-sets aggregate computes the
+    per-turn goal (min over slots) and every per-slot metric together; only the
+    small per-turn result is aggregated again for joint goal accuracy.
     """
     prepared = prepare(preds, cfg, block_size=block_size)
-    jga = joint_goal_accuracy(prepared).select(F.lit("joint_goal_acc").alias("metric"),
-                                              F.lit("__all__").alias("scope"),
-                                              F.col("joint_goal_acc").alias("value"))
-    per_slot = slot_value_accuracy(prepared).join(span_refer_accuracy(prepared, cfg), "slot")
-    metrics = ("value_acc", "span_acc", "refer_acc", "class_acc")
-    extra = per_slot.select(F.col("slot").alias("scope"), F.explode(F.array(*[
-        F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("m"))
-    return jga.unionByName(extra.select("m.metric", "scope", "m.value"))
+    cv, rf = cfg.class_index(COPY_VALUE), cfg.class_index(REFER)
+    hit = F.col("class_label_id") == F.col("class_prediction")
+    pos_ok = F.when(F.col("class_label_id") == cv,
+                    F.when(hit & (F.col("start_pos") == F.col("start_prediction"))
+                           & (F.col("end_pos") == F.col("end_prediction")), 1.0).otherwise(0.0))
+    ref_ok = (F.when(F.col("class_label_id") == rf, F.when(hit & (F.col("refer_id") == F.col("refer_prediction")), 1.0)
+                     .otherwise(0.0)) if rf is not None else F.lit(None).cast("double"))
+    x = prepared.select("dialog_id", "turn_block", "turn", "slot", "value_ok", pos_ok.alias("pos_ok"),
+                        ref_ok.alias("ref_ok"), hit.cast("double").alias("cls_ok"))
+    g = x.groupingSets([["dialog_id", "turn_block", "turn"], ["slot"]], "dialog_id", "turn_block", "turn", "slot").agg(
+        F.grouping_id().alias("gid"), F.min("value_ok").alias("turn_ok"), F.avg("value_ok").alias("value_acc"),
+        F.avg("pos_ok").alias("span_acc"), F.avg("ref_ok").alias("refer_acc"), F.avg("cls_ok").alias("class_acc"))
+    # one more partial aggregate keyed by scope: all per-turn rows fold into '__all__' (joint goal),
+    # each per-slot row is its own scope -- a single chain, no branch recomputes the prepared table
+    per_turn_row = F.col("slot").isNull()
+    h = g.select(F.when(per_turn_row, F.lit("__all__")).otherwise(F.col("slot")).alias("scope"),
+                 F.when(per_turn_row, F.col("turn_ok")).alias("turn_ok"),
+                 *[F.when(~per_turn_row, F.col(m)).alias(m) for m in ("value_acc", "span_acc", "refer_acc", "class_acc")])
+    r = h.groupBy("scope").agg(F.avg("turn_ok").alias("joint_goal_acc"),
+                               *[F.max(m).alias(m) for m in ("value_acc", "span_acc", "refer_acc", "class_acc")])
+    metrics = ("joint_goal_acc", "value_acc", "span_acc", "refer_acc", "class_acc")
+
+    def val(m):
+        v = F.coalesce(F.col(m), F.lit(1.0)) if m in ("span_acc", "refer_acc") else F.col(m)
+        return F.round(v, 6).cast("double")
+
+    rows = r.select("scope", F.explode(F.array(*[
+        F.struct(F.lit(m).alias("metric"),
+                 F.when((F.col("scope") == "__all__") == (m == "joint_goal_acc"), val(m)).alias("value"),
+                 ((F.col("scope") == "__all__") == F.lit(m == "joint_goal_acc")).alias("keep"))
+        for m in metrics])).alias("m"))
+    return rows.where("m.keep").select("m.metric", "scope", "m.value")
