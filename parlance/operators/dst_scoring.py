@@ -84,7 +84,11 @@ def update_rule(cfg: DatasetConfig, pd_class, pd_slot, mark_len, informed, infor
 
 
 def value_correct(gold, pred, maps: Column) -> Column:
-    """Equal, or a label-map variant of a gold value other than none/dontcare/true/false."""
+    """D16 with J5: equal, or a label-map variant of a gold value other than none/dontcare/true/false.
+
+    The variant test is a lookup in the (config-bounded) label-map literal, so the
+    implied join on (canonical, variant) needs no shuffle.
+    """
     g, p = _c(gold), _c(pred)
     via_variant = F.coalesce(F.exists(variants_of(maps, g), lambda x: x == p), F.lit(False))
     return F.when(g == p, 1).when(~g.isin(*NON_VARIANT_VALUES) & via_variant, 1).otherwise(0)

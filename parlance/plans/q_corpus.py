@@ -320,6 +320,7 @@ UNION ALL SELECT lang, pos, category FROM intents WHERE lang = 'fr'
 UNION ALL SELECT lang, pos, category FROM intents WHERE lang = 'de'
 UNION ALL SELECT lang, pos, category FROM intents WHERE lang = 'es'""")
 def q_union_subdomains(spark, sf):
+    """Sub-domain sets appended (languages of the documents stand in for the four sub-domains)."""
     r = fx.intent_rows(spark, sf)
     parts = [r.where(F.col("lang") == d).select(F.col("lang").alias("domain"), "pos", "category")
              for d in ("en", "fr", "de", "es")]
