@@ -269,7 +269,10 @@ def batch_examples(batched: DataFrame, key: str = "pos", label: str = "label", s
     retries too); the fill draws a bounded number of candidates per batch
     (3x what is needed, plus 16) and keeps the first distinct ones.
     """
-    rows = batched.select(key, label, "batch")
+    # the batched rows feed many branches below: cut the lineage once (reliable checkpoint in the shared folder)
+    from ..session import shared_dir
+    shared_dir(batched.sparkSession)
+    rows = batched.select(key, label, "batch").checkpoint(eager=True)
     members = rows.select("batch", key)
     lab_idx = dense_index(rows.select(key, label), [label], key, "lidx", count_col="n_label")
     glob = dense_index(rows.select(key), [], key, "gidx")

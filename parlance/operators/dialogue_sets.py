@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..config import label_map_column
 from ..functions.text import token_positions, word_tokens
 from ..functions.values import label_existence
-from .windows import carry_forward, previous_value
+from .windows import carry_forward
 
 
 def _last_pos(positions: Column) -> tuple[Column, Column]:
@@ -43,8 +43,7 @@ def transcript_examples(rows: DataFrame, label_maps: dict) -> DataFrame:
     (other than copy_value / inform) -> none; inform label = value when inform."""
     t = transcript_turn_label(rows, label_maps)
     t = t.withColumn("__seen_upd", F.when(F.col("class_raw") != "none", F.col("class_raw")))
-    t = carry_forward(t, ["dialog_id", "slot"], "turn", "__seen_upd", "__seen_incl")
-    t = previous_value(t, ["dialog_id", "slot"], "turn", "__seen_incl", "seen_class")
+    t = carry_forward(t, ["dialog_id", "slot"], "turn", "__seen_upd", None, exclusive_out="seen_class")
     final = (F.when(F.col("class_raw") == "unpointable", F.lit("none"))
              .when(F.col("seen_class").isNotNull() & (F.col("class_raw") == F.col("seen_class"))
                    & ~F.col("class_raw").isin("copy_value", "inform"), F.lit("none"))
@@ -96,6 +95,5 @@ def span_examples(rows: DataFrame) -> DataFrame:
     """D8 per turn plus the dialogue-state class of earlier turns (``diag_state``, none at turn 0)."""
     t = span_turn_label(rows)
     t = t.withColumn("__u", F.when(~F.col("class_label").isin("none", "error"), F.col("class_label")))
-    t = carry_forward(t, ["dialog_id", "slot"], "turn", "__u", "__incl")
-    t = previous_value(t, ["dialog_id", "slot"], "turn", "__incl", "diag_state")
-    return t.withColumn("diag_state", F.coalesce("diag_state", F.lit("none"))).drop("__u", "__incl")
+    t = carry_forward(t, ["dialog_id", "slot"], "turn", "__u", None, default="none", exclusive_out="diag_state")
+    return t.drop("__u")

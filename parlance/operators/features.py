@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .windows import carry_forward, previous_value
+from .windows import carry_forward
 
 # Special tokens and their ids.
 PAD, UNK, CLS, SEP, MASK = "[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]"
@@ -213,9 +213,8 @@ def materialise(df: DataFrame, base: str, **params) -> DataFrame:
 def running_class_state(preds: DataFrame, keys=("dialog_id", "slot"), order="turn") -> DataFrame:
     """Class-state input of each turn = last non-zero predicted class of earlier turns (0 at turn 0)."""
     u = preds.withColumn("__u", F.when(F.col("class_prediction") != 0, F.col("class_prediction")))
-    c = carry_forward(u, list(keys), order, "__u", "__incl", default=0)
-    p = previous_value(c, list(keys), order, "__incl", "diag_state_in", default=0)
-    return p.drop("__u", "__incl")
+    c = carry_forward(u, list(keys), order, "__u", None, default=0, exclusive_out="diag_state_in")
+    return c.drop("__u")
 
 
 def per_turn_eval(preds: DataFrame, cfg, batch_size: int, order: str = "ex_idx") -> DataFrame:

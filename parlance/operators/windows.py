@@ -44,34 +44,42 @@ def _blocked(df: DataFrame, keys: list[str], order: str, block_size: int,
     return d.repartition(*(partition_by or keys), _BLK)
 
 
-def carry_forward(df: DataFrame, keys: list[str], order: str, value: str, out: str,
+def carry_forward(df: DataFrame, keys: list[str], order: str, value: str, out: str | None,
                   default=None, block_size: int = DEFAULT_BLOCK, partition_by: list[str] | None = None,
-                  keep_block: str | None = None) -> DataFrame:
+                  keep_block: str | None = None, exclusive_out: str | None = None) -> DataFrame:
     """``out`` = last non-null ``value`` at or before each row, per key.
 
     Equivalent to ``coalesce(last(value, true) over (partition by keys order by
-    order rows unbounded preceding), default)``.  ``partition_by`` (a subset of
+    order rows unbounded preceding), default)``.  ``exclusive_out`` adds the
+    same value strictly *before* the row (rows unbounded preceding .. 1
+    preceding) from the same pass -- use it instead of a lag over the result,
+    which would read the input twice more.  ``partition_by`` (a subset of
     ``keys``) chooses the shuffle keys, e.g. the dialogue alone so that later
     per-turn aggregates reuse the partitioning; ``keep_block`` keeps the block
     column under that name for such aggregates.
     """
     x = _blocked(df, keys, order, block_size, partition_by)
-    wrow = (Window.partitionBy(*keys, _BLK).orderBy(order)
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = x.withColumn("__local", F.last(F.col(value), ignorenulls=True).over(wrow))
+    wb = Window.partitionBy(*keys, _BLK).orderBy(order)
+    local = x
+    if out:
+        local = local.withColumn("__local", F.last(F.col(value), ignorenulls=True).over(
+            wb.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    if exclusive_out:
+        local = local.withColumn("__local_x", F.last(F.col(value), ignorenulls=True).over(
+            wb.rowsBetween(Window.unboundedPreceding, -1)))
     # one row per block: its last non-null value; carried over earlier blocks of the key
     summary = (x.groupBy(*keys, _BLK)
                .agg(F.max_by(F.col(value), F.when(F.col(value).isNotNull(), F.col(order))).alias("__last")))
     bw = Window.partitionBy(*keys).orderBy(_BLK).rowsBetween(Window.unboundedPreceding, -1)
     carry = summary.select(*keys, _BLK, F.last("__last", ignorenulls=True).over(bw).alias("__carry"))
     res = local.join(carry, [*keys, _BLK], "left")
-    val = F.coalesce(F.col("__local"), F.col("__carry"))
-    if default is not None:
-        val = F.coalesce(val, F.lit(default))
-    res = res.withColumn(out, val)
+    for col, loc in ((out, "__local"), (exclusive_out, "__local_x")):
+        if col:
+            val = F.coalesce(F.col(loc), F.col("__carry"))
+            res = res.withColumn(col, F.coalesce(val, F.lit(default)) if default is not None else val)
     if keep_block:
         res = res.withColumnRenamed(_BLK, keep_block)
-    return res.drop(_BLK, "__local", "__carry")
+    return res.drop(_BLK, "__local", "__local_x", "__carry")
 
 
 def previous_value(df: DataFrame, keys: list[str], order: str, value: str, out: str,

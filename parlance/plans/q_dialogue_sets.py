@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.normalize import LABEL_FIX, fix_label_alias
 from ..operators import dialogue_sets as DS
-from ..operators.windows import carry_forward, previous_value
+from ..operators.windows import carry_forward
 from . import fixtures as fx
 from . import oracle as osql
 from .q_dialogue import MW, _mw
@@ -118,8 +118,7 @@ def _sim_rows(spark, sf):
     x = x.withColumn("src", src).withColumn("upd", new) \
         .withColumn("span", F.when(src == "usr", F.struct(F.col("slot"), a_u.alias("start"), (a_u + l_u).alias("exclusive_end")))
                     .when(src == "sys", F.struct(F.col("slot"), a_s.alias("start"), (a_s + 1).alias("exclusive_end"))))
-    x = carry_forward(x, ["dialog_id", "slot"], "turn", "upd", "value")
-    x = previous_value(x, ["dialog_id", "slot"], "turn", "value", "prev_value")
+    x = carry_forward(x, ["dialog_id", "slot"], "turn", "upd", "value", exclusive_out="prev_value")
     # the annotated spans of a turn: one array per utterance (bounded by the slot list)
     spans = x.groupBy("dialog_id", "turn").agg(
         F.filter(F.collect_list(F.when(F.col("src") == "usr", F.col("span"))), lambda s: s.isNotNull()).alias("usr_spans"),

@@ -102,3 +102,18 @@ def test_tokeniser_matches_python_split(spark):
     for r in got:
         want = [x for x in (p.strip() for p in re.split(r"(\W+)", r["t"])) if x]
         assert r["w"] == want, r["t"]
+
+
+def test_hot_dialogue_small_blocks(spark):
+    """One dialogue holds most rows: the block-split state still equals the plain running value."""
+    rnd = random.Random(11)
+    rows = [(0, t, "s", rnd.choice([None, None, None, "a", "b"])) for t in range(3000)]
+    rows += [(d, t, "s", rnd.choice([None, "c"])) for d in range(1, 40) for t in range(5)]
+    df = spark.createDataFrame(rows, "d long, t long, slot string, v string")
+    got = {(r["d"], r["t"]): r["c"] for r in
+           carry_forward(df, ["d", "slot"], "t", "v", "c", default="none", block_size=64, partition_by=["d"]).collect()}
+    last = {}
+    for d, t, _, v in rows:
+        if v is not None:
+            last[d] = v
+        assert got[(d, t)] == last.get(d, "none")
