@@ -16,6 +16,8 @@ through its task instead of being held in memory.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -186,26 +188,29 @@ FOLD_SCHEMA = T.StructType([
 
 
 def _referral(value: str, slot: str, seen: dict, label_maps: dict) -> str:
-    """Another slot already holding the value (Q7: a variant hit does not stop the scan)."""
-    import re
-    referred = "none"
-    if slot in NO_REFERRAL_SLOTS:
-        return referred
-    for s in seen:
-        if s in NO_REFERRAL_SLOTS:
-            continue
-        if re.match(PEOPLE_SLOT_PATTERN, s) and slot == STAY_SLOT:
-            continue
-        if re.match(PEOPLE_SLOT_PATTERN, slot) and s == STAY_SLOT:
-            continue
-        if slot != s and (slot not in seen or seen[slot] != value):
-            if seen[s] == value:
-                return s
-            for variant in label_maps.get(value, ()):
-                if seen[s] == variant:
-                    referred = s
-                    break
-    return referred
+    """The slot another (earlier seen) slot's value refers to, or 'none'.
+
+    Among the eligible seen slots (insertion order): the first one holding the
+    value itself wins; failing that, the *last* one holding a label-map variant
+    of it (Q7: a variant hit does not end the scan).  Nothing is eligible when
+    the slot already holds the value; booleans/stars never refer, and
+    people-count slots never refer to/from the stay length.
+    """
+    if slot in NO_REFERRAL_SLOTS or seen.get(slot, None) == value:
+        return "none"
+    people = re.compile(PEOPLE_SLOT_PATTERN)
+
+    def eligible(s: str) -> bool:
+        crossed = (people.match(s) and slot == STAY_SLOT) or (people.match(slot) and s == STAY_SLOT)
+        return s != slot and s not in NO_REFERRAL_SLOTS and not crossed
+
+    candidates = [s for s in seen if eligible(s)]
+    exact = [s for s in candidates if seen[s] == value]
+    if exact:
+        return exact[0]
+    variants = set(label_maps.get(value, ()))
+    loose = [s for s in candidates if seen[s] in variants]
+    return loose[-1] if loose else "none"
 
 
 def make_fold(label_maps: dict, label_value_repetitions: bool = False):

@@ -183,3 +183,14 @@ def test_config_tables(spark, tmp_path):
     assert cfg.class_types == ("none", "copy_value") and cfg.label_maps == {"x": ["y", "z"]}
     ct, sl, lv = config_tables(read_config_frame(spark, str(p)))
     assert lv.count() == 2 and sl.first()["name"] == "a-b"
+
+
+def test_referral_rule():
+    from parlance.operators.dialogue import _referral
+    maps = {"centre": ["center", "downtown"]}
+    assert _referral("centre", "hotel-area", {"a-x": "downtown", "b-y": "center"}, maps) == "b-y"   # last variant hit
+    assert _referral("centre", "hotel-area", {"a-x": "downtown", "b-y": "centre"}, maps) == "b-y"   # exact wins
+    assert _referral("centre", "hotel-area", {"hotel-area": "centre", "b-y": "centre"}, maps) == "none"
+    assert _referral("2", "hotel-book_stay", {"hotel-book_people": "2"}, maps) == "none"
+    assert _referral("2", "restaurant-book_people", {"hotel-book_people": "2"}, maps) == "hotel-book_people"
+    assert _referral("yes", "hotel-parking", {"a-x": "yes"}, maps) == "none"
