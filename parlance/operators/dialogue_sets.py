@@ -34,8 +34,8 @@ def transcript_turn_label(rows: DataFrame, label_maps: dict, label_col: str = "l
            .when(sys_["found"], F.lit("inform"))
            .otherwise(F.lit("unpointable")))
     return rows.withColumn("label_value", lab).withColumn("class_raw", cls) \
-        .withColumn("label_start", F.when(cls == "copy_value", s).otherwise(-1)) \
-        .withColumn("label_end", F.when(cls == "copy_value", e).otherwise(-1))
+        .withColumn("label_start", F.when(cls == "copy_value", s).otherwise(-1).cast("bigint")) \
+        .withColumn("label_end", F.when(cls == "copy_value", e).otherwise(-1).cast("bigint"))
 
 
 def transcript_examples(rows: DataFrame, label_maps: dict) -> DataFrame:

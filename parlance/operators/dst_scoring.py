@@ -205,7 +205,7 @@ def confusion_offdiag(preds: DataFrame, cfg: DatasetConfig, slot="slot") -> Data
                     F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("pd_class")))
     # both sides are at most K x K rows (K = class types): no hint needed, AQE sizes them at run time
     full = grid.join(cells, (F.col("gt_class") == F.col("gt")) & (F.col("pd_class") == F.col("pd")), "left")
-    return full.select("gt_class", "pd_class",
+    return full.select("gt_class", F.col("pd_class").cast("bigint").alias("pd_class"),
                        F.round(F.coalesce(F.col("miss"), F.lit(0)) / F.col("n_gt"), 6).alias("rate"))
 
 

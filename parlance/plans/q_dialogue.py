@@ -238,7 +238,8 @@ def q_values_shared_by_slots(spark, sf):
 @register("too_long_rate", MW + """,
 h AS (SELECT *, coalesce(flatten(list_reverse(array_agg(list_concat(sys_toks, usr_toks))
          OVER (PARTITION BY dialog_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))), []) AS hst FROM turns)
-SELECT sum(CASE WHEN len(sys_toks) + len(usr_toks) + len(hst) > 180 - 4 THEN 1 ELSE 0 END) AS n_long, count(*) AS n FROM h""")
+SELECT CAST(sum(CASE WHEN len(sys_toks) + len(usr_toks) + len(hst) > 180 - 4 THEN 1 ELSE 0 END) AS BIGINT) AS n_long,
+       count(*) AS n FROM h""")
 def q_too_long_rate(spark, sf):
     return D.too_long_rate(D.history_newest_first(_mw(spark, sf)[2]), 180)
 

@@ -121,7 +121,7 @@ a AS (SELECT scope, class_idx,
       FROM x GROUP BY scope, class_idx),
 b AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 1.0 END AS precision,
                 CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 1.0 END AS recall FROM a)
-SELECT scope, class_idx, {names}[class_idx + 1] AS class_name,
+SELECT scope, CAST(class_idx AS INTEGER) AS class_idx, {names}[class_idx + 1] AS class_name,
        CAST(tp AS BIGINT) AS tp, CAST(tn AS BIGINT) AS tn, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn,
        round(precision, 6) AS precision, round(recall, 6) AS recall,
        round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 1.0 END, 6) AS f1,

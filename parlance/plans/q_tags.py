@@ -156,8 +156,8 @@ l AS (SELECT {K2}, list_transform(gold, lambda g: CASE WHEN g LIKE 'B-%' OR g LI
       FROM tags),
 s AS (SELECT *, list_position(lab, 1) - 1 AS st FROM l)
 SELECT {K2}, greatest(st, 0) AS start_pos,
-       CASE WHEN st < 0 THEN 0 ELSE coalesce(list_min(list_filter(range(0, len(lab)),
-            lambda i: i > st AND lab[i + 1] <> 1)), len(lab)) - 1 END AS end_pos
+       CAST(CASE WHEN st < 0 THEN 0 ELSE coalesce(list_min(list_filter(range(0, len(lab)),
+            lambda i: i > st AND lab[i + 1] <> 1)), len(lab)) - 1 END AS INTEGER) AS end_pos
 FROM s""")
 def q_first_span(spark, sf):
     t = fx.tag_sequences(spark, sf)

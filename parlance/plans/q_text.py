@@ -128,8 +128,8 @@ def q_label_existence(spark, sf):
 
 
 @register("last_occurrence", DT + f"""
-SELECT dialog_id, turn, slot, coalesce(list_max({_STARTS}), -1) AS start_pos,
-       CASE WHEN len({_STARTS}) > 0 THEN list_max({_STARTS}) + len({_VT}) ELSE -1 END AS end_pos FROM dt""")
+SELECT dialog_id, turn, slot, CAST(coalesce(list_max({_STARTS}), -1) AS INTEGER) AS start_pos,
+       CAST(CASE WHEN len({_STARTS}) > 0 THEN list_max({_STARTS}) + len({_VT}) ELSE -1 END AS INTEGER) AS end_pos FROM dt""")
 def q_last_occurrence(spark, sf):
     d = _dst_with_tokens(spark, sf)
     vt = word_tokens("gt_value")
