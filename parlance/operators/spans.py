@@ -110,13 +110,17 @@ def span_type_rows(pairs: DataFrame, types: list[str] | None = None, exact: bool
     """
     if types is None:
         tdf = gold_types(pairs.where("has_true"), true_col)
-        # size check first (a count of the distinct types), collect only when literal-sized
-        n = tdf.count()
-        if n > MAX_LITERAL_TYPES:
+        # stream the distinct types and stop after MAX+1: the size check and the fetch are one pass
+        types = []
+        for r in tdf.toLocalIterator():
+            types.append(r[0])
+            if len(types) > MAX_LITERAL_TYPES:
+                break
+        if len(types) > MAX_LITERAL_TYPES:
             if not exact:
-                raise ValueError(f"{n} slot types: too many for substring matching; use exact=True")
+                raise ValueError("too many slot types for substring matching; use exact=True")
             return _with_types_join(pairs, tdf, pred_col, true_col)
-        types = sorted(r[0] for r in tdf.collect())
+        types = sorted(types)
     return _with_types_literal(pairs, types, exact, pred_col, true_col)
 
 
