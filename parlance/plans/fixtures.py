@@ -211,12 +211,11 @@ def _pick(options, h: Column, start: int) -> Column:
 
 
 def time_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(conv_id, turn, phrase, slot, value): text with time/star/b&b expressions built from each utterance."""
+    """(conv_id, turn, phrase, slot, value): each whole utterance (lower-cased) with time/star/b&b expressions appended."""
     c = read_table(spark, sf_dir, "conversations")
     h = md5_of("tp", F.col("conv_id"), F.col("turn"))
-    toks = word_tokens(F.lower("text"))
     hour = (hexint(h, 1, 2) % 25).cast("string")
-    phrase = F.concat(F.array_join(F.slice(toks, 1, 2), " "), F.lit(" "), _pick(PHRASE_PREP, h, 3), F.lit(" "),
+    phrase = F.concat(F.lower("text"), F.lit(" "), _pick(PHRASE_PREP, h, 3), F.lit(" "),
                       hour, _pick(PHRASE_SEP, h, 5), _pick(PHRASE_MIN, h, 7), _pick(PHRASE_SUFFIX, h, 9),
                       F.lit(" "), _pick(PHRASE_TAIL, h, 11))
     value = F.when(F.substring(h, 13, 1) < "8", _pick(LABEL_VALUES, h, 14)).otherwise(

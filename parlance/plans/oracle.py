@@ -245,11 +245,11 @@ def phrases_cte() -> str:
                            PHRASE_TAIL)
     hour = "CAST(('0x' || substr(h, 1, 2))::BIGINT % 25 AS VARCHAR)"
     return f"""WITH ph0 AS (
-  SELECT conv_id, turn, {sql_toks('lower(text)')} AS toks,
+  SELECT conv_id, turn, text, {sql_toks('lower(text)')} AS toks,
          md5('tp:' || CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR)) AS h FROM conversations),
 phrases AS (
   SELECT conv_id, turn,
-    array_to_string(toks[1:2], ' ') || ' ' || {_pick_sql(PHRASE_PREP, 3)} || ' ' || {hour} || {_pick_sql(PHRASE_SEP, 5)}
+    lower(text) || ' ' || {_pick_sql(PHRASE_PREP, 3)} || ' ' || {hour} || {_pick_sql(PHRASE_SEP, 5)}
       || {_pick_sql(PHRASE_MIN, 7)} || {_pick_sql(PHRASE_SUFFIX, 9)} || ' ' || {_pick_sql(PHRASE_TAIL, 11)} AS phrase,
     {_pick_sql(LABEL_SLOTS, 16)} AS slot,
     CASE WHEN substr(h, 13, 1) < '8' THEN {_pick_sql(LABEL_VALUES, 14)}
