@@ -177,7 +177,17 @@ def q_fuzzy_inform_label(spark, sf):
     return d.select("dialog_id", "turn", "slot", r["found"].alias("found"), r["value"].alias("informed_value"))
 
 
-@register("delex_values")
+def _sql_delex(arr: str, value: str) -> str:
+    vt = osql.sql_toks(value)
+    step = (f"CASE WHEN acc[i + 1 : i + len({vt})] = {vt} THEN list_concat(acc[1 : i], "
+            f"list_transform(range(0, len({vt})), lambda z: '[UNK]'), acc[i + len({vt}) + 1 :]) ELSE acc END")
+    return (f"(CASE WHEN {value} = 'none' OR len({vt}) = 0 OR len({arr}) < len({vt}) THEN {arr} ELSE "
+            f"list_reduce(range(0, len({arr}) - len({vt}) + 1), lambda acc, i: {step}, {arr}) END)")
+
+
+@register("delex_values", DT + f""",
+dx1 AS (SELECT dialog_id, turn, slot, iv, {_sql_delex('toks', 'gt_value')} AS a1 FROM dt)
+SELECT dialog_id, turn, slot, array_to_string({_sql_delex('a1', 'iv')}, ' ') AS delexicalised FROM dx1""")
 def q_delex_values(spark, sf):
     d = _dst_with_tokens(spark, sf)
     out = V.delex("toks", F.array(F.col("gt_value"), F.col("iv")))

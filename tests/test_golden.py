@@ -194,3 +194,11 @@ def test_referral_rule():
     assert _referral("2", "hotel-book_stay", {"hotel-book_people": "2"}, maps) == "none"
     assert _referral("2", "restaurant-book_people", {"hotel-book_people": "2"}, maps) == "hotel-book_people"
     assert _referral("yes", "hotel-parking", {"a-x": "yes"}, maps) == "none"
+
+
+def test_delex_and_letter_compat(spark):
+    from parlance.functions.values import delex
+    toks = F.array(*[F.lit(x) for x in ["a", "n", "o", "x", "e", "a", "b"]])
+    vals = F.array(F.lit("none"), F.lit("a b"))
+    assert one(spark, delex(toks, vals)) == ["a", "n", "o", "x", "e", "[UNK]", "[UNK]"]
+    assert one(spark, delex(toks, vals, compat_letters=True)) == ["a", "[UNK]", "[UNK]", "x", "[UNK]", "[UNK]", "[UNK]"]
