@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import label_map_column
-from ..functions.text import token_positions, word_tokens
 from ..functions.values import label_existence
 from .windows import carry_forward
 

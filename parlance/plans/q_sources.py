@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import STRIP_WS_CLASS, word_tokens
+from ..functions.text import STRIP_WS_CLASS
 from ..functions.values import span_words_to_slot, split_words
 from ..operators import corpus as C
 from ..operators import spans as S
