@@ -199,13 +199,16 @@ def confusion_offdiag(preds: DataFrame, cfg: DatasetConfig, slot="slot") -> Data
     k = len(cfg.class_types)
     cells = pc.groupBy("gt", "pd").agg(F.sum(F.when(F.col("gt") != F.col("pd"), F.col("n")).otherwise(0))
                                         .alias("miss"))
-    rows = pc.groupBy("gt").agg(F.sum("n").alias("n_gt"))
-    grid = (rows.select(F.col("gt"), "n_gt")
-            .select(F.col("gt").alias("gt_class"), "n_gt",
-                    F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("pd_class")))
-    # both sides are at most K x K rows (K = class types): no hint needed, AQE sizes them at run time
-    full = grid.join(cells, (F.col("gt_class") == F.col("gt")) & (F.col("pd_class") == F.col("pd")), "left")
-    return full.select("gt_class", F.col("pd_class").cast("bigint").alias("pd_class"),
+    rows = pc.groupBy(F.col("gt").alias("gt_class")).agg(F.sum("n").alias("n_gt"))
+    # the K x K grid of the configured classes (generated, not joined); every side is at most K x K rows
+    ids = F.sequence(F.lit(0).cast("bigint"), F.lit(k - 1).cast("bigint"))
+    grid = (cells.sparkSession.range(1)
+            .select(F.explode(ids).alias("gt_class"))
+            .select("gt_class", F.explode(ids).alias("pd_class")))
+    full = (grid.join(rows, "gt_class", "left")
+            .join(cells, (F.col("gt_class") == F.col("gt")) & (F.col("pd_class") == F.col("pd")), "left"))
+    # a class that never occurs as gold has an empty row (printed as ---- by the reference)
+    return full.select("gt_class", "pd_class",
                        F.round(F.coalesce(F.col("miss"), F.lit(0)) / F.col("n_gt"), 6).alias("rate"))
 
 

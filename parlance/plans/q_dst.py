@@ -142,10 +142,12 @@ def q_turn_class_prf_per_slot(spark, sf):
 @register("confusion_offdiag", osql.DST_LONG + f""",
 pc AS (SELECT class_label_id AS gt, class_prediction AS pd, count(*) AS n FROM dst GROUP BY ALL),
 rows_ AS (SELECT gt, sum(n) AS n_gt FROM pc GROUP BY gt),
-grid AS (SELECT gt AS gt_class, n_gt, pd_class FROM rows_ CROSS JOIN range(0, {len(fx.DST_CLASS_TYPES)}) r(pd_class)),
+grid AS (SELECT g.i AS gt_class, p.i AS pd_class FROM range(0, {len(fx.DST_CLASS_TYPES)}) g(i),
+                range(0, {len(fx.DST_CLASS_TYPES)}) p(i)),
 cells AS (SELECT gt, pd, sum(CASE WHEN gt <> pd THEN n ELSE 0 END) AS miss FROM pc GROUP BY gt, pd)
 SELECT gt_class, pd_class, round(coalesce(miss, 0) / n_gt, 6) AS rate
-FROM grid LEFT JOIN cells ON grid.gt_class = cells.gt AND grid.pd_class = cells.pd""")
+FROM grid LEFT JOIN rows_ ON rows_.gt = grid.gt_class
+LEFT JOIN cells ON grid.gt_class = cells.gt AND grid.pd_class = cells.pd""")
 def q_confusion_offdiag(spark, sf):
     return dst.confusion_offdiag(fx.dst_predictions_long(spark, sf), fx.DST_CONFIG)
 

@@ -202,3 +202,10 @@ def test_delex_and_letter_compat(spark):
     vals = F.array(F.lit("none"), F.lit("a b"))
     assert one(spark, delex(toks, vals)) == ["a", "n", "o", "x", "e", "[UNK]", "[UNK]"]
     assert one(spark, delex(toks, vals, compat_letters=True)) == ["a", "[UNK]", "[UNK]", "x", "[UNK]", "[UNK]", "[UNK]"]
+
+
+def test_confusion_empty_gold_row(spark):
+    df = spark.createDataFrame([("s", 0, 1), ("s", 0, 0)], "slot string, class_label_id long, class_prediction long")
+    cfg = DatasetConfig(("a", "b", "c"), ("s",), {})
+    r = {(x["gt_class"], x["pd_class"]): x["rate"] for x in dst.confusion_offdiag(df, cfg).collect()}
+    assert len(r) == 9 and r[(0, 1)] == 0.5 and r[(0, 0)] == 0.0 and r[(2, 0)] is None

@@ -117,3 +117,17 @@ def test_hot_dialogue_small_blocks(spark):
         if v is not None:
             last[d] = v
         assert got[(d, t)] == last.get(d, "none")
+
+
+def test_normalisers_match_python_re(spark):
+    """Java-regex normalisers (with the literal 12h->24h steps) against Python ``re`` on every derived phrase."""
+    from parlance.functions.normalize import normalise_label, normalise_text
+    from parlance.plans.fixtures import time_phrases
+    from tests.test_dialogue_fold import norm_label, norm_text
+    rows = time_phrases(spark, "/root/testdata/sf0.01").select(
+        "phrase", "slot", "value", normalise_text("phrase").alias("t"),
+        normalise_label("slot", "value").alias("l")).collect()
+    assert len(rows) > 500
+    for r in rows:
+        assert r["t"] == norm_text(r["phrase"]), r["phrase"]
+        assert r["l"] == norm_label(r["slot"], r["value"]), (r["slot"], r["value"])
