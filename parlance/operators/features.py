@@ -121,7 +121,7 @@ def expand_word_labels(labels, n_pieces, label_vocab: tuple[str, ...]) -> Column
     lv = F.array(*[F.lit(x) for x in label_vocab]).cast("array<string>")
 
     def per_word(lab, k):
-        i_form = F.regexp_replace(lab, "^B-", "I-")
+        i_form = F.replace(lab, F.lit("B-"), F.lit("I-"))          # every occurrence, like str.replace
         rest = F.when(F.array_contains(lv, i_form), i_form).otherwise(lab)
         return F.concat(F.array(lab), F.array_repeat(rest, F.greatest(k - 1, F.lit(0))))
 

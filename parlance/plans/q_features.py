@@ -26,8 +26,8 @@ def _u(key: str, i: str, salt: str) -> str:
 @register("subword_label_expand", osql.TAGS + f"""
 SELECT dialog_id, turn, array_to_string(flatten(list_transform(list_zip(gold, list_transform(toks, lambda w: 1 + length(w) // 4)),
   lambda e: list_concat([e[1]], list_transform(range(0, e[2] - 1), lambda z:
-    CASE WHEN list_contains({osql.sql_list(TAG_LABELS)}, regexp_replace(e[1], '^B-', 'I-'))
-         THEN regexp_replace(e[1], '^B-', 'I-') ELSE e[1] END)))), ' ') AS piece_labels
+    CASE WHEN list_contains({osql.sql_list(TAG_LABELS)}, replace(e[1], 'B-', 'I-'))
+         THEN replace(e[1], 'B-', 'I-') ELSE e[1] END)))), ' ') AS piece_labels
 FROM tags""")
 def q_subword_label_expand(spark, sf):
     t = fx.tag_sequences(spark, sf)
