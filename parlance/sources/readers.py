@@ -11,8 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import STRIP_WS_CLASS
 from ..session import fresh_path
 
+
+def _strip(col):
+    """``str.strip()``: every whitespace character at both ends (Spark's trim only removes spaces)."""
+    return F.regexp_replace(col, f"^[{STRIP_WS_CLASS}]+|[{STRIP_WS_CLASS}]+$", "")
+
 INTENT_SCHEMA = T.StructType([T.StructField("text", T.StringType()), T.StructField("category", T.StringType())])
 
 SLOT_EXAMPLE_SCHEMA = T.StructType([
@@ -75,7 +81,7 @@ def read_keyed_logs(spark: SparkSession, path: str) -> DataFrame:
 
 def read_tsv_field(spark: SparkSession, path: str, field: int = 3) -> DataFrame:
     """SC7: strip each line, split on tab, keep field ``field`` (1-based)."""
-    return spark.read.text(path).select(F.try_element_at(F.split(F.trim("value"), "\t"), F.lit(field)).alias("value"))
+    return spark.read.text(path).select(F.try_element_at(F.split(_strip(F.col("value")), "\t"), F.lit(field)).alias("value"))
 
 
 def read_tagged_lines(spark: SparkSession, path: str, compat_first_colon: bool = False) -> DataFrame:
@@ -84,8 +90,8 @@ def read_tagged_lines(spark: SparkSession, path: str, compat_first_colon: bool =
     Words are split at their *last* colon; ``compat_first_colon`` reproduces the
     reference, which takes the part after the first colon as the tag (Q13).
     """
-    parts = F.split(F.col("value"), " <=> ")
-    items = F.split(F.trim(F.try_element_at(parts, F.lit(1))), " +")
+    parts = F.split(_strip(F.col("value")), " <=> ")
+    items = F.regexp_extract_all(F.try_element_at(parts, F.lit(1)), F.lit(f"[^{STRIP_WS_CLASS}]+"), 0)
     if compat_first_colon:
         tok = F.transform(items, lambda w: F.try_element_at(F.split(w, ":"), F.lit(1)))
         tag = F.transform(items, lambda w: F.try_element_at(F.split(w, ":"), F.lit(2)))
