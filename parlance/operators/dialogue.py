@@ -190,7 +190,8 @@ FOLD_SCHEMA = T.StructType([
 def _referral(value: str, slot: str, seen: dict, label_maps: dict) -> str:
     """The slot another (earlier seen) slot's value refers to, or 'none'.
 
-    Among the eligible seen slots (insertion order): the first one holding the
+    ``seen`` holds every slot of the slot list, in slot-list order, with 'none'
+    for slots not seen yet.  Among the eligible slots: the first one holding the
     value itself wins; failing that, the *last* one holding a label-map variant
     of it (Q7: a variant hit does not end the scan).  Nothing is eligible when
     the slot already holds the value; booleans/stars never refer, and
@@ -213,14 +214,18 @@ def _referral(value: str, slot: str, seen: dict, label_maps: dict) -> str:
     return loose[-1] if loose else "none"
 
 
-def make_fold(label_maps: dict, label_value_repetitions: bool = False):
+def make_fold(label_maps: dict, slots: tuple[str, ...]):
     """Per-partition streaming fold over rows sorted by (dialog_id, turn, slot_idx)."""
     import pandas as pd
 
+    def fresh_values() -> dict:
+        # every slot starts as 'none', in slot-list order (referral scans slots in this order)
+        return {s: "none" for s in slots}
+
     def fold(batches):
         cur = None
         seen_class: dict = {}
-        seen_value: dict = {}
+        seen_value: dict = fresh_values()
         diag: dict = {}
         new_diag: dict = {}
         turn = None
@@ -229,14 +234,12 @@ def make_fold(label_maps: dict, label_value_repetitions: bool = False):
             for r in pdf.itertuples(index=False):
                 if r.dialog_id != cur:
                     cur, turn = r.dialog_id, None
-                    seen_class, seen_value, diag, new_diag = {}, {}, {}, {}
+                    seen_class, seen_value, diag, new_diag = {}, fresh_values(), {}, {}
                 if r.turn != turn:
                     diag = dict(new_diag)
                     turn = r.turn
                 slot = r.slot
                 value = r.value_label
-                if not r.modified and label_value_repetitions and slot in seen_class:
-                    value = seen_value[slot]
                 referred = "none"
                 s_pos, e_pos = -1, -1
                 if value in NON_POINTABLE:
@@ -250,9 +253,6 @@ def make_fold(label_maps: dict, label_value_repetitions: bool = False):
                     referred = _referral(value, slot, seen_value, label_maps)
                     cls = "refer" if referred != "none" else "unpointable"
                 informed_value = r.informed_value if (value not in NON_POINTABLE and not r.in_usr) else "none"
-                if label_value_repetitions and slot in seen_class and cls == "copy_value" \
-                        and list(seen_value.values()).count(value) > 1:
-                    cls, s_pos, e_pos = "none", -1, -1
                 if cls == "unpointable":
                     final, ref = "none", "none"
                 elif slot in seen_class and cls == seen_class[slot] and cls not in ("copy_value", "inform"):
@@ -271,17 +271,28 @@ def make_fold(label_maps: dict, label_value_repetitions: bool = False):
     return fold
 
 
-def label_turns(features: DataFrame, label_maps: dict, label_value_repetitions: bool = False) -> DataFrame:
+def label_turns(features: DataFrame, label_maps: dict, label_value_repetitions: bool = False,
+                slots: tuple[str, ...] | None = None) -> DataFrame:
     """D5/D6/D9/W13 slot loop over precomputed per-(turn, slot) features.
 
+    ``slots`` is the slot list (its order matters for referrals); by default the
+    distinct slots of ``features`` ordered by ``slot_idx``.  The value-repetition
+    option is not offered: under it the value of an unchanged slot depends on
+    the loop's own earlier decisions, so the per-row features could not be
+    precomputed without emitting every earlier value of the slot.
+
     ``features``: dialog_id, turn, slot_idx, slot, modified, value_label,
     in_usr, last_start, last_end, informed, informed_value.
     """
+    if label_value_repetitions:
+        raise NotImplementedError("label_value_repetitions needs the fold to evaluate value features itself")
+    if slots is None:
+        slots = tuple(r["slot"] for r in features.select("slot_idx", "slot").distinct().orderBy("slot_idx").collect())
     ordered = (features.repartition("dialog_id")
                .sortWithinPartitions("dialog_id", "turn", "slot_idx")
                .select("dialog_id", "turn", "slot", "modified", "value_label", "in_usr", "last_start",
                        "last_end", "informed", "informed_value"))
-    return ordered.mapInPandas(make_fold(label_maps, label_value_repetitions), FOLD_SCHEMA)
+    return ordered.mapInPandas(make_fold(label_maps, tuple(slots)), FOLD_SCHEMA)
 
 
 def turn_slot_features(turns: DataFrame, changes: DataFrame, acts: DataFrame, slots: tuple[str, ...],

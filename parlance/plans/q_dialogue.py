@@ -247,7 +247,7 @@ def q_too_long_rate(spark, sf):
 def _labelled(spark, sf):
     _, _, turns, _, changes, acts = _mw(spark, sf)
     feats = D.turn_slot_features(turns, changes, acts, fx.MW_SLOT_NAMES, fx.MW_LABEL_MAPS)
-    return D.label_turns(feats, fx.MW_LABEL_MAPS)
+    return D.label_turns(feats, fx.MW_LABEL_MAPS, slots=fx.MW_SLOT_NAMES)
 
 
 @register("build_turns_multidomain")

@@ -185,7 +185,8 @@ def q_turns_to_features(spark, sf):
     """Labelled turns -> word pieces, truncation, packing and per-slot span/class/refer labels."""
     from ..operators.dialogue import history_newest_first, label_turns, turn_slot_features
     _, _, turns, _, changes, acts = _mw(spark, sf)
-    lab = label_turns(turn_slot_features(turns, changes, acts, fx.MW_SLOT_NAMES, fx.MW_LABEL_MAPS), fx.MW_LABEL_MAPS)
+    lab = label_turns(turn_slot_features(turns, changes, acts, fx.MW_SLOT_NAMES, fx.MW_LABEL_MAPS), fx.MW_LABEL_MAPS,
+                      slots=fx.MW_SLOT_NAMES)
     t = history_newest_first(turns)
     vocab = FE.collect_vocab(FE.build_vocab(fx.mw_utterances(spark, sf), "toks", top_k=500))
     words = t.select("dialog_id", "turn", F.concat("sys_toks", "usr_toks", "hst_toks").alias("w"),
