@@ -53,14 +53,15 @@ def _c(x) -> Column:
 
 
 def normalise_time(text) -> Column:
-    """F3."""
-    t = _c(text)
+    """F3.  Every step needs a digit to match, so texts without one skip the chain (exact)."""
+    src = _c(text)
+    t = src
     for pat, rep in TIME_STEPS:
         t = F.regexp_replace(t, pat, rep)
     for hour in range(12):
         t = F.regexp_replace(t, f"{hour:02d}{PM_PATTERN}", f"{hour + 12}$1")
     t = F.regexp_replace(t, f"([0-9]{{2}}){PM_PATTERN}", "$1$2")
-    return F.regexp_replace(t, *HOUR24_STEP)
+    return F.when(src.rlike("[0-9]"), F.regexp_replace(t, *HOUR24_STEP)).otherwise(src)
 
 
 def normalise_text(text) -> Column:
