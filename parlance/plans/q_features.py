@@ -168,13 +168,46 @@ def _decode_input(spark, sf):
                     F.regexp_replace("slot_prediction", "^§§ ?", "").alias("inform_value"))
 
 
-@register("decode_state")
+def _decode_sql() -> str:
+    n = len(fx.DST_SLOTS)
+    none_list = osql.sql_list(["none"] * n)
+    step = (f"list_reduce(range(0, {n}), lambda a, i: CASE WHEN t.cs[i + 1] = 5 THEN list_transform(a, lambda v, j: "
+            f"CASE WHEN j = i + 1 THEN a[((t.rps[i + 1] - 1) % {n} + {n}) % {n} + 1] ELSE v END) ELSE a END, "
+            f"list_transform(range(0, {n}), lambda i: CASE t.cs[i + 1] WHEN 1 THEN 'dontcare' WHEN 2 THEN t.spans[i + 1] "
+            f"WHEN 3 THEN 'true' WHEN 4 THEN 'false' WHEN 6 THEN '§§' || t.ivs[i + 1] ELSE acc[-1][i + 1] END))")
+    return osql.DST_LONG + f""",
+di AS (SELECT dst.dialog_id, dst.turn, list_position({osql.sql_list(fx.DST_SLOTS)}, dst.slot) - 1 AS slot_idx,
+              class_prediction AS c, refer_prediction AS rp, start_prediction AS sp, end_prediction AS ep,
+              flatten(list_transform(ut.toks, lambda w: CASE WHEN length(w) > 4 THEN [substr(w, 1, 4), '##' || substr(w, 5)]
+                                                        ELSE [w] END)) AS pieces,
+              regexp_replace(slot_prediction, '^§§ ?', '') AS iv
+       FROM dst JOIN ut USING (dialog_id, turn)),
+dj AS (SELECT *, regexp_replace(replace(array_to_string(pieces[sp + 1 : ep + 1], ' '), ' ##', ''), '^##', '') AS span FROM di),
+tt AS (SELECT dialog_id, turn, list(c ORDER BY slot_idx) AS cs, list(rp ORDER BY slot_idx) AS rps,
+              list(span ORDER BY slot_idx) AS spans, list(iv ORDER BY slot_idx) AS ivs FROM dj GROUP BY dialog_id, turn),
+dd AS (SELECT dialog_id, list({{'turn': turn, 'cs': cs, 'rps': rps, 'spans': spans, 'ivs': ivs}} ORDER BY turn) AS turns
+       FROM tt GROUP BY dialog_id),
+fo AS (SELECT dialog_id, turns, list_reduce(turns, lambda acc, t: list_append(acc, {step}), [{none_list}]) AS states
+       FROM dd),
+ex AS (SELECT dialog_id, turns, states, unnest(generate_series(1, len(turns))) AS k FROM fo),
+ex2 AS (SELECT dialog_id, turns[k].turn AS turn, turns[k].cs AS cs, states[k + 1] AS st,
+               unnest(generate_series(1, {n})) AS i FROM ex)
+SELECT dialog_id, turn, {osql.sql_list(fx.DST_SLOTS)}[i] AS slot, st[i] AS slot_prediction, cs[i] = 5 AS referral FROM ex2"""
+
+
+DECODE_SQL = _decode_sql()
+
+
+@register("decode_state", DECODE_SQL.rsplit("SELECT dialog_id, turn,", 1)[0]
+          + "SELECT dialog_id, turn, " + osql.sql_list(fx.DST_SLOTS) + "[i] AS slot, st[i] AS slot_prediction FROM ex2")
 def q_decode_state(spark, sf):
     return FE.decode_state(_decode_input(spark, sf), fx.DST_CONFIG, fx.DST_SLOTS).select(
         "dialog_id", "turn", "slot", "slot_prediction")
 
 
-@register("resolve_refer")
+@register("resolve_refer", DECODE_SQL.rsplit("SELECT dialog_id, turn,", 1)[0]
+          + "SELECT dialog_id, turn, " + osql.sql_list(fx.DST_SLOTS) + "[i] AS slot, st[i] AS slot_prediction FROM ex2 "
+          + "WHERE cs[i] = 5")
 def q_resolve_refer(spark, sf):
     d = FE.decode_state(_decode_input(spark, sf), fx.DST_CONFIG, fx.DST_SLOTS)
     return d.where("referral").select("dialog_id", "turn", "slot", "slot_prediction")
