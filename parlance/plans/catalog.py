@@ -10,4 +10,5 @@ from . import q_features  # noqa: F401
 from . import q_sources  # noqa: F401
 from . import q_dialogue_sets  # noqa: F401
 from . import q_stream  # noqa: F401
+from . import q_dialogue_fold  # noqa: F401  (oracles for the slot loop)
 from .registry import REGISTRY  # noqa: F401

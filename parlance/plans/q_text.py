@@ -155,10 +155,10 @@ def q_token_labels(spark, sf):
                     F.array_join(span_labels("n", "s", "e").cast("array<string>"), "").alias("labels"))
 
 
-def _sql_inform_match(vl: str, il: str) -> str:
+def _sql_inform_match(vl: str, il: str, maps: str | None = None) -> str:
     def loose(a, b):
         return f"({a} = {b} OR {osql.sql_iil(b, a)} OR {osql.sql_iil(a, b)})"
-    m = osql.DST_MAPS
+    m = maps or osql.DST_MAPS
     return (f"({loose(vl, il)} OR (CASE WHEN ({m})[{il}] IS NOT NULL THEN "
             f"coalesce(list_bool_or(list_transform(({m})[{il}], lambda x_: {loose('x_', vl)})), false) "
             f"ELSE coalesce(list_bool_or(list_transform(({m})[{vl}], lambda x_: {loose('x_', il)})), false) END))")

@@ -17,3 +17,11 @@ def register(name: str, sql: str | None = None):
         REGISTRY[name] = (fn, sql)
         return fn
     return deco
+
+
+def attach_oracle(name: str, sql: str) -> None:
+    """Give an already registered query its oracle SQL (kept next to the oracle's own recipe)."""
+    fn, old = REGISTRY[name]
+    if old is not None:
+        raise ValueError(f"{name} already has an oracle")
+    REGISTRY[name] = (fn, sql)
