@@ -199,7 +199,8 @@ def feature_key(**params) -> str:
 
 def materialise(df: DataFrame, base: str, **params) -> DataFrame:
     """SK4: write the features once per parameter set under ``base`` and read them back (lineage cut)."""
-    path = f"{base.rstrip('/')}/features-{feature_key(**params)}"
+    # the output schema joins the key, so a changed feature layout never reads an old cache
+    path = f"{base.rstrip('/')}/features-{feature_key(schema=df.schema.simpleString(), **params)}"
     spark = df.sparkSession
     try:
         return spark.read.parquet(path)

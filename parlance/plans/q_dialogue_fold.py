@@ -124,3 +124,11 @@ SELECT dialog_id, turn, slot, seen_value, diag_state FROM lab""")
 
 
 _register()
+
+
+def _register_features():
+    from .q_features import _attach
+    _attach()
+
+
+_register_features()

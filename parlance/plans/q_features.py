@@ -108,7 +108,47 @@ def _vocab(spark, sf):
     return FE.collect_vocab(FE.build_vocab(fx.user_turns(spark, sf), "toks", top_k=500))
 
 
-@register("subword_encode")
+def _wp_ctes(vocab_src: str, words_src: str) -> str:
+    """Vocabulary from ``vocab_src`` (a CTE with ``toks``) and a ``wp(w, pieces)`` table for the distinct words of
+    ``words_src`` (a CTE with a ``w`` column): greedy longest-match pieces by a recursive CTE."""
+    sp = " UNION ALL ".join(f"SELECT {osql.q(t)} AS token, 0 AS grp, {i} AS k1, '' AS k2"
+                            for i, t in enumerate(FE.SPECIALS))
+    return f""",
+wd AS (SELECT unnest(toks) AS w FROM {vocab_src}),
+cnt AS (SELECT w, count(*) AS n FROM wd GROUP BY w),
+top AS (SELECT w AS token, 1 AS grp, -n AS k1, w AS k2 FROM cnt ORDER BY n DESC, w LIMIT 500),
+chs AS (SELECT DISTINCT ch FROM (SELECT unnest(string_split(w, '')) AS ch FROM wd) WHERE ch <> ''),
+allv AS ({sp} UNION ALL SELECT * FROM top UNION ALL SELECT ch, 2, 0, ch FROM chs
+         UNION ALL SELECT '##' || ch, 3, 0, ch FROM chs),
+vocab AS (SELECT token, row_number() OVER (ORDER BY grp, k1, k2) - 1 AS id
+          FROM (SELECT DISTINCT ON (token) token, grp, k1, k2 FROM allv ORDER BY token, grp, k1, k2)),
+vl AS (SELECT list(token) AS toks_v FROM vocab),
+dw AS (SELECT DISTINCT w FROM {words_src}),
+wp AS (
+  WITH RECURSIVE r(w, st, pieces, failed) AS (
+    SELECT w, 0, []::VARCHAR[], false FROM dw
+    UNION ALL
+    SELECT w, CASE WHEN e IS NULL THEN st ELSE e END, CASE WHEN e IS NULL THEN pieces
+           ELSE list_append(pieces, CASE WHEN st = 0 THEN '' ELSE '##' END || substr(w, st + 1, e - st)) END, e IS NULL
+    FROM (SELECT r.w, r.st, r.pieces,
+                 (list_filter(range(length(r.w), r.st, -1), lambda e:
+                    list_contains(vl.toks_v, CASE WHEN r.st = 0 THEN '' ELSE '##' END || substr(r.w, r.st + 1, e - r.st))))[1] AS e
+          FROM r, vl WHERE r.st < length(r.w) AND NOT r.failed))
+  SELECT w, CASE WHEN failed THEN ['[UNK]'] ELSE pieces END AS pieces FROM r WHERE failed OR st >= length(w))"""
+
+
+def _wordpiece_sql() -> str:
+    """Oracle: the same vocabulary recipe, then greedy longest-match pieces per distinct word (recursive CTE)."""
+    return osql.USER_TURNS + _wp_ctes("ut", "wd") + f""",
+tw AS (SELECT dialog_id, turn, unnest(toks) AS w, unnest(range(1, len(toks) + 1)) AS k FROM ut),
+enc AS (SELECT tw.dialog_id, tw.turn, flatten(list(wp.pieces ORDER BY k)) AS pieces FROM tw JOIN wp USING (w)
+        GROUP BY tw.dialog_id, tw.turn)
+SELECT ut.dialog_id, ut.turn, array_to_string(coalesce(enc.pieces, []), ' ') AS pieces,
+       CAST(len(coalesce(enc.pieces, [])) AS INTEGER) AS n_pieces
+FROM ut LEFT JOIN enc USING (dialog_id, turn)"""
+
+
+@register("subword_encode", _wordpiece_sql())
 def q_subword_encode(spark, sf):
     enc = FE.subword_encode(fx.user_turns(spark, sf), "toks", _vocab(spark, sf), ["dialog_id", "turn"])
     return enc.select("dialog_id", "turn", F.array_join("pieces", " ").alias("pieces"),
@@ -241,9 +281,10 @@ def q_turns_to_features(spark, sf):
                             F.array_repeat(F.lit(0), F.col("kh")), MAX_LEN)
     cls, s, en = FE.first_span_class(F.col("class_label"), labels)
     refer_list = F.array(*[F.lit(x) for x in ("none",) + fx.MW_SLOT_NAMES])
-    return lab.select("dialog_id", "turn", "slot", cls.alias("class_type"), s.alias("start_pos"), en.alias("end_pos"),
-                      (F.array_position(refer_list, F.col("refer_label")) - 1).alias("refer_id"),
-                      (F.col("ka") + F.col("kb") + F.col("kh") + FE.TOKEN_CORRECTION).alias("n_input"))
+    return lab.select("dialog_id", "turn", "slot", cls.alias("class_type"), s.cast("int").alias("start_pos"),
+                      en.cast("int").alias("end_pos"),
+                      (F.array_position(refer_list, F.col("refer_label")) - 1).cast("int").alias("refer_id"),
+                      (F.col("ka") + F.col("kb") + F.col("kh") + FE.TOKEN_CORRECTION).cast("int").alias("n_input"))
 
 
 @register("materialise_features")
@@ -252,3 +293,50 @@ def q_materialise_features(spark, sf):
     feats = q_turns_to_features(spark, sf)
     return FE.materialise(feats, shared_dir(spark) + "/feature-cache", sf=sf, max_len=MAX_LEN, vocab_top_k=500,
                           slots=fx.MW_SLOT_NAMES, dropout=0.0)
+
+
+def _features_sql() -> str:
+    from .q_dialogue_fold import FOLD_SQL
+    m = MAX_LEN - FE.TOKEN_CORRECTION
+    refer_list = osql.sql_list(("none",) + fx.MW_SLOT_NAMES)
+    return FOLD_SQL + f""",
+hs AS (SELECT dialog_id, turn, sys_toks, usr_toks,
+              coalesce(flatten(list_reverse(array_agg(list_concat(sys_toks, usr_toks)) OVER (PARTITION BY dialog_id
+                ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))), []::VARCHAR[]) AS hst FROM turns),
+hw AS (SELECT dialog_id, turn, list_concat(list_concat(sys_toks, usr_toks), hst) AS words, len(sys_toks) AS na,
+              len(usr_toks) AS nb FROM hs),
+words_all AS (SELECT unnest(words) AS w FROM hw)""" + _wp_ctes("mwu", "words_all") + f""",
+hx AS (SELECT dialog_id, turn, na, nb, unnest(words) AS w, unnest(range(1, len(words) + 1)) AS k FROM hw),
+hp AS (SELECT hx.dialog_id, hx.turn, any_value(hx.na) AS na, any_value(hx.nb) AS nb,
+              list(len(wp.pieces) ORDER BY hx.k) AS np FROM hx JOIN wp USING (w) GROUP BY hx.dialog_id, hx.turn),
+hq AS (SELECT *, coalesce(list_sum(np[1 : na]), 0) AS pa, coalesce(list_sum(np[na + 1 : na + nb]), 0) AS pb,
+              coalesce(list_sum(np), 0) AS tot FROM hp),
+hr AS (SELECT *, tot - pa - pb AS ph, greatest(0, pa + pb - {m}) AS xx, least(greatest(0, pa + pb - {m}), abs(pa - pb)) AS gap
+       FROM hq),
+hs2 AS (SELECT *, CASE WHEN pa > pb THEN pa - gap ELSE pa END AS a1, CASE WHEN pb >= pa THEN pb - gap ELSE pb END AS b1,
+               xx - gap AS rest FROM hr),
+hk AS (SELECT *, CAST(a1 - floor(rest / 2) AS BIGINT) AS ka, CAST(b1 - ceil(rest / 2) AS BIGINT) AS kb,
+              CAST(greatest(0, least(ph, {m} - pa - pb)) AS BIGINT) AS kh FROM hs2),
+fl AS (SELECT lab.dialog_id, lab.turn, lab.slot, lab.class_label, lab.refer_label, hk.ka, hk.kb, hk.kh,
+              flatten(list_transform(range(0, hk.nb), lambda i: list_transform(range(0, hk.np[hk.na + i + 1]),
+                lambda z: CASE WHEN i >= lab.label_start AND i < lab.label_end THEN 1 ELSE 0 END))) AS wl
+       FROM lab JOIN hk ON hk.dialog_id = lab.dialog_id AND hk.turn = lab.turn),
+fp AS (SELECT *, list_resize(list_concat(list_concat(list_concat(list_concat(list_concat([0],
+                 list_transform(range(0, ka), lambda z: 0)), [0]), wl[1 : kb]), list_concat([0],
+                 list_transform(range(0, kh), lambda z: 0))), [0]), {MAX_LEN}, 0) AS labels FROM fl),
+fs AS (SELECT *, coalesce(list_position(labels, 1), 0) - 1 AS st FROM fp),
+fz AS (SELECT *, coalesce(list_position(labels[greatest(st, 0) + 1 :], 0), 0) AS z FROM fs)
+SELECT dialog_id, turn, slot,
+       CASE WHEN class_label = 'copy_value' AND st < 0 THEN 'none' ELSE class_label END AS class_type,
+       CAST(greatest(st, 0) AS INTEGER) AS start_pos,
+       CAST(CASE WHEN st < 0 THEN 0 WHEN z = 0 THEN len(labels) - 1 ELSE st + z - 2 END AS INTEGER) AS end_pos,
+       CAST(list_position({refer_list}, refer_label) - 1 AS INTEGER) AS refer_id,
+       CAST(ka + kb + kh + {FE.TOKEN_CORRECTION} AS INTEGER) AS n_input
+FROM fz"""
+
+
+def _attach():
+    from .registry import attach_oracle
+    sql = _features_sql()
+    attach_oracle("turns_to_features", sql)
+    attach_oracle("materialise_features", sql)
