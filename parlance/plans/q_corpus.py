@@ -330,7 +330,49 @@ def q_union_subdomains(spark, sf):
     return out
 
 
-@register("batch_examples")
+def _batch_examples_sql() -> str:
+    from ..operators.ordering import sql_dense_index
+    md = lambda *parts: "md5(" + " || ':' || ".join([f"'{SEED}'"] + [f"CAST({p} AS VARCHAR)" for p in parts]) + ")"
+    draw = lambda n, *parts: f"('0x' || substr({md(*parts)}, 1, 8))::BIGINT % greatest({n}, 1)"
+    return I + f""",
+tr AS (SELECT pos, category FROM intents WHERE split = 'train'),
+voc AS (SELECT category, row_number() OVER (ORDER BY category) - 1 AS label FROM (SELECT DISTINCT category FROM tr)),
+enc AS (SELECT tr.pos, voc.label FROM tr JOIN voc USING (category)),
+bh AS (SELECT pos, label, md5('{SEED}:' || CAST(pos AS VARCHAR)) AS hh FROM enc),
+bo AS (SELECT pos, label, row_number() OVER (ORDER BY ('0x' || substr(md5(hh), 1, 8))::BIGINT % {DEFAULT_BUCKETS}, hh) - 1 AS oi
+       FROM bh),
+rws AS (SELECT pos, label, CAST(floor(oi / 32) AS BIGINT) AS batch FROM bo),
+nall AS (SELECT count(*) AS n_all FROM rws),
+lab_idx AS ({sql_dense_index('rws', ['label'], 'pos', 'lidx', DEFAULT_BUCKETS, 'n_label')}),
+gix AS ({sql_dense_index('rws', [], 'pos', 'gidx', DEFAULT_BUCKETS)}),
+bl AS (SELECT DISTINCT batch, label FROM rws),
+sizes AS (SELECT label, max(n_label) AS n_label FROM lab_idx GROUP BY label),
+att AS (SELECT bl.batch, bl.label, a, {draw('sizes.n_label', 'bl.batch', 'bl.label', 'a')} AS lidx
+        FROM bl JOIN sizes USING (label) CROSS JOIN range(0, 8) r(a)),
+cand AS (SELECT att.batch, att.label, att.a, lab_idx.pos FROM att JOIN lab_idx ON lab_idx.label = att.label
+         AND lab_idx.lidx = att.lidx),
+free AS (SELECT c.batch, c.label, min(c.a) AS a FROM cand c
+         WHERE NOT EXISTS (SELECT 1 FROM rws m WHERE m.batch = c.batch AND m.pos = c.pos) GROUP BY c.batch, c.label),
+picked AS (SELECT c.batch, c.pos FROM cand c JOIN free f ON f.batch = c.batch AND f.label = c.label AND f.a = c.a
+           UNION ALL
+           SELECT c.batch, c.pos FROM cand c WHERE c.a = 7
+             AND NOT EXISTS (SELECT 1 FROM free f WHERE f.batch = c.batch AND f.label = c.label)),
+bsz AS (SELECT batch, count(*) AS bs FROM rws GROUP BY batch),
+nlab AS (SELECT batch, count(DISTINCT pos) AS nl FROM picked GROUP BY batch),
+need AS (SELECT bsz.batch, least(nall.n_all, bsz.bs * 2) - coalesce(nlab.nl, 0) AS need, nall.n_all
+         FROM bsz CROSS JOIN nall LEFT JOIN nlab USING (batch)),
+fl AS (SELECT need.batch, need.need, f, {draw('need.n_all', 'need.batch', "'fill'", 'f')} AS gidx
+       FROM need, range(0, 100000) r(f) WHERE need.need > 0 AND f <= need.need * 3 + 15),
+fp AS (SELECT fl.batch, fl.need, fl.f, gix.pos FROM fl JOIN gix USING (gidx)),
+fk AS (SELECT * FROM fp WHERE NOT EXISTS (SELECT 1 FROM rws m WHERE m.batch = fp.batch AND m.pos = fp.pos)
+                          AND NOT EXISTS (SELECT 1 FROM picked p WHERE p.batch = fp.batch AND p.pos = fp.pos)),
+ff AS (SELECT batch, pos, any_value(need) AS need, min(f) AS f FROM fk GROUP BY batch, pos),
+fr AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY f) AS r FROM ff)
+SELECT batch, pos, 'label' AS kind, CAST(-1 AS BIGINT) AS attempt FROM picked
+UNION ALL SELECT batch, pos, 'fill', CAST(f AS BIGINT) FROM fr WHERE r <= need"""
+
+
+@register("batch_examples", _batch_examples_sql())
 def q_batch_examples(spark, sf):
     """T7 over the training intents, batches of 32 from T8, class index as the label."""
     r = fx.intent_rows(spark, sf).where(F.col("split") == "train")
