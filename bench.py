@@ -40,22 +40,28 @@ def main():
     warm = int(os.environ.get("BENCH_WARM", "3"))
     names = [n for n in (sys.argv[1:] or HEADLINE) if n in REGISTRY]
     spark = build_session(f"local[{cpus}]", int(cpus) * 2, app="parlance-bench")
-    times, cold = {}, {}
+    times, cold, errors = {}, {}, {}
     for name in names:
         fn = REGISTRY[name][0]
         runs = []
-        for i in range(1 + warm):
-            t0 = time.perf_counter()
-            fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
-            dt = time.perf_counter() - t0
-            if i == 0:
-                cold[name] = round(dt, 3)
-            else:
-                runs.append(dt)
-        times[name] = round(statistics.median(runs) if runs else cold[name], 3)
+        try:
+            for i in range(1 + warm):
+                t0 = time.perf_counter()
+                fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
+                dt = time.perf_counter() - t0
+                if i == 0:
+                    cold[name] = round(dt, 3)
+                else:
+                    runs.append(dt)
+            times[name] = round(statistics.median(runs) if runs else cold[name], 3)
+        except Exception as e:  # noqa: BLE001 -- one failing query must not lose the whole line
+            errors[name] = str(e)[:200]
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
-    print(json.dumps({"metric": "sum_median_warm_query_seconds", "value": round(sum(times.values()), 3),
-                      "unit": "sec", "queries": times, "cold": cold, "sf": sf, "cpus": int(cpus)}))
+    out = {"metric": "sum_median_warm_query_seconds", "value": round(sum(times.values()), 3),
+           "unit": "sec", "queries": times, "cold": cold, "sf": sf, "cpus": int(cpus)}
+    if errors:
+        out["errors"] = errors
+    print(json.dumps(out))
 
 
 if __name__ == "__main__":
