@@ -283,12 +283,14 @@ def batch_examples(batched: DataFrame, key: str = "pos", label: str = "label", s
     att = (bl.join(sizes, label)
            .select("batch", label, "n_label", F.explode(F.sequence(F.lit(0), F.lit(label_retries - 1))).alias("a"))
            .withColumn("lidx", draw_index(seed, F.col("n_label"), F.col("batch"), F.col(label), F.col("a"))))
-    cand = att.join(lab_idx.select(label, "lidx", key), [label, "lidx"])
+    # candidates and picks feed several branches each: cut their lineage too (reliable checkpoints)
+    cand = att.join(lab_idx.select(label, "lidx", key), [label, "lidx"]).checkpoint(eager=True)
     free = cand.join(members, ["batch", key], "left_anti").groupBy("batch", label).agg(F.min("a").alias("a"))
     last = cand.where(F.col("a") == label_retries - 1).select("batch", label, key)
     chosen_free = cand.join(free, ["batch", label, "a"]).select("batch", label, key)
     picked = chosen_free.unionByName(last.join(free, ["batch", label], "left_anti"))
-    per_label = picked.select("batch", key, F.lit("label").alias("kind"), F.lit(-1).cast("bigint").alias("attempt"))
+    per_label = picked.select("batch", key, F.lit("label").alias("kind"),
+                              F.lit(-1).cast("bigint").alias("attempt")).checkpoint(eager=True)
     # random fill up to min(N, fill_factor x batch size)
     bsz = rows.groupBy("batch").agg(F.count(F.lit(1)).alias("bs"))
     nlab = per_label.groupBy("batch").agg(F.countDistinct(key).alias("nl"))
