@@ -6,8 +6,9 @@ the same state lives in Spark's state store, keyed by dialogue:
 * ``withWatermark`` bounds lateness; rows wait in the key's state until the
   watermark passes them, then are applied in event-time order, so the output
   equals the batch carry-forward on the same rows;
-* an event-time timeout drops the state of a dialogue once it has been idle
-  past the watermark (finished dialogues do not pile up in the store);
+* an event-time timer flushes a dialogue's buffered rows once the watermark
+  passes them, and (optionally) drops the state of a dialogue idle past the
+  watermark by ``expire_idle_ms`` so finished dialogues do not pile up;
 * state per key is one dialogue's open slots plus its not-yet-final rows --
   never a whole stream, never the driver.
 
@@ -34,7 +35,7 @@ END_MARKER_ID = -(1 << 62)
 STATE_SCHEMA = T.StructType([T.StructField("values", T.StringType()), T.StructField("pending", T.StringType())])
 
 
-def _processor(default: str, idle_ms: int):
+def _processor(default: str, expire_idle_ms: int | None):
     import pandas as pd
 
     def fn(key, pdfs, state):
@@ -42,8 +43,9 @@ def _processor(default: str, idle_ms: int):
         if state.exists:
             values = json.loads(state.get[0])
             pending = json.loads(state.get[1])
-        if state.hasTimedOut:
-            wm = None                                   # idle: everything buffered is final
+        timed_out = state.hasTimedOut
+        if timed_out:
+            wm = None                                   # watermark passed the key's timer: buffered rows are final
         else:
             for pdf in pdfs:
                 for r in pdf.itertuples(index=False):
@@ -57,12 +59,16 @@ def _processor(default: str, idle_ms: int):
             if upd is not None:
                 values[slot] = upd
             out.append((key[0], pd.Timestamp(ts_us, unit="us"), slot, upd, values.get(slot, default)))
-        if state.hasTimedOut and not keep:
-            state.remove()
+        if timed_out and not keep and expire_idle_ms is not None and not ready:
+            state.remove()                              # idle past the expiry: the dialogue is finished
         else:
             state.update((json.dumps(values), json.dumps(keep)))
-            last = max([p[0] // 1000 for p in ready + keep] or [wm or 0])
-            state.setTimeoutTimestamp(max(last, wm or 0) + idle_ms)
+            if keep:
+                # wake up once the watermark passes the newest buffered row, even if no data comes
+                state.setTimeoutTimestamp(max(p[0] // 1000 for p in keep) + 1)
+            elif expire_idle_ms is not None:
+                last = max([p[0] // 1000 for p in ready] or [wm or 0])
+                state.setTimeoutTimestamp(max(last, wm or 0) + expire_idle_ms)
         if out:
             yield pd.DataFrame(out, columns=[f.name for f in OUT_SCHEMA.fields])
 
@@ -70,12 +76,16 @@ def _processor(default: str, idle_ms: int):
 
 
 def stream_state(stream: DataFrame, watermark: str = "10 minutes", default: str = "none",
-                 idle_ms: int = 3_600_000) -> DataFrame:
-    """(dialog_id, ts, slot, update) stream -> (..., value): last non-null update per (dialogue, slot)."""
+                 expire_idle_ms: int | None = None) -> DataFrame:
+    """(dialog_id, ts, slot, update) stream -> (..., value): last non-null update per (dialogue, slot).
+
+    ``expire_idle_ms``: drop a dialogue's state once the watermark is that far past
+    its last row (finished dialogues); ``None`` keeps state like the batch operator.
+    """
     from pyspark.sql.streaming.state import GroupStateTimeout
     return (stream.withWatermark("ts", watermark)
             .groupBy("dialog_id")
-            .applyInPandasWithState(_processor(default, idle_ms), OUT_SCHEMA, STATE_SCHEMA, "append",
+            .applyInPandasWithState(_processor(default, expire_idle_ms), OUT_SCHEMA, STATE_SCHEMA, "append",
                                     GroupStateTimeout.EventTimeTimeout))
 
 
@@ -87,28 +97,35 @@ def event_turns(events: DataFrame) -> DataFrame:
 
 
 def run_available_now(spark: SparkSession, turns: DataFrame, slices: int = 4, watermark: str = "10 minutes") -> DataFrame:
-    """Replay ``turns`` as a file stream (``slices`` files in time order), run ST1 to completion, return the output."""
+    """Replay ``turns`` as a stream in ``slices`` event-time slices, run ST1 to completion, return the output.
+
+    Each slice is appended to the source folder and processed by its own
+    ``availableNow`` run on the same checkpoint, so a slice is exactly one
+    micro-batch (however many files it has) and the watermark only advances
+    between slices -- no row of a slice is ever behind the watermark.  A last
+    end-of-stream marker row moves the watermark past all data, so every
+    dialogue's buffered rows become final.
+    """
     src = fresh_path(spark, "stream-src")
+    out, ckpt = fresh_path(spark, "stream-out"), fresh_path(spark, "stream-ckpt")
     bounds = turns.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
     lo, hi = bounds["lo"], bounds["hi"]
-    step = (hi - lo) / slices if hi and lo and hi > lo else None
-    for i in range(slices):
+    if hi is None:
+        return spark.createDataFrame([], OUT_SCHEMA)
+    step = (hi - lo) / slices if hi > lo else None
+    parts = []
+    for i in range(slices if step else 1):
         if step is None:
-            part = turns if i == 0 else turns.limit(0)
+            parts.append(turns)
         else:
             a, b = lo + step * i, lo + step * (i + 1)
-            part = turns.where((F.col("ts") >= a) & ((F.col("ts") < b) if i < slices - 1 else F.lit(True)))
+            parts.append(turns.where((F.col("ts") >= a) & ((F.col("ts") < b) if i < slices - 1 else F.lit(True))))
+    parts.append(spark.createDataFrame([(END_MARKER_ID, None, "event", None)], turns.schema)
+                 .withColumn("ts", F.lit(hi).cast("timestamp") + F.expr("INTERVAL 30 DAYS")))
+    for i, part in enumerate(parts):
         part.write.mode("append").parquet(f"{src}/slice={i:04d}")
-    # end-of-stream marker: one row far past the data moves the watermark so every
-    # dialogue's buffered rows become final (its own output is dropped below)
-    if hi is not None:
-        marker = spark.createDataFrame([(END_MARKER_ID, None, "event", None)], turns.schema) \
-            .withColumn("ts", F.lit(hi).cast("timestamp") + F.expr("INTERVAL 30 DAYS"))
-        marker.write.mode("append").parquet(f"{src}/slice={slices:04d}")
-    out, ckpt = fresh_path(spark, "stream-out"), fresh_path(spark, "stream-ckpt")
-    stream = (spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 1)
-              .option("recursiveFileLookup", True).parquet(src))
-    q = (stream_state(stream, watermark).writeStream.format("parquet").option("path", out)
-         .option("checkpointLocation", ckpt).outputMode("append").trigger(availableNow=True).start())
-    q.awaitTermination()
+        stream = spark.readStream.schema(turns.schema).option("recursiveFileLookup", True).parquet(src)
+        q = (stream_state(stream, watermark).writeStream.format("parquet").option("path", out)
+             .option("checkpointLocation", ckpt).outputMode("append").trigger(availableNow=True).start())
+        q.awaitTermination()
     return spark.read.schema(OUT_SCHEMA).parquet(out).where(F.col("dialog_id") != END_MARKER_ID)
