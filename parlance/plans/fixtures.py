@@ -298,8 +298,8 @@ def mw_acts(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = (F.when(dv < "4", _win(F.col("toks"), F.lit(0), F.lit(1)))
              .when(dv < "8", _win(F.col("toks"), hexint(h, 10, 2) % F.greatest(F.size("toks"), F.lit(1)), F.lit(1)))
              .when(dv < "a", F.lit("?")).when(dv < "b", F.lit("None"))
-             .when(dv < "d", F.upper(_win(F.col("toks"), hexint(h, 10, 2) % F.greatest(F.size("toks"), F.lit(1)),
-                                          F.lit(1))))
+             .when(dv < "d", F.translate(_win(F.col("toks"), hexint(h, 10, 2) % F.greatest(F.size("toks"), F.lit(1)),
+                                              F.lit(1)), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
              .otherwise(F.element_at(F.array(*[F.lit(v) for v in MW_POOL]), (hexint(h, 12, 2) % 6 + 1).cast("int"))))
     return x.select("dialog_id", "turn", "pos",
                     F.concat(pick([d for d, _ in ACT_PAIRS], 1), F.lit("-"), pick(ACT_TYPES, 3)).alias("act"),

@@ -95,7 +95,8 @@ acts AS (
          ' ' || CASE WHEN substr(h, 9, 1) < '4' THEN {_win('toks', '0', '1')}
                      WHEN substr(h, 9, 1) < '8' THEN {_win('toks', _hx(10, 2) + ' % greatest(len(toks), 1)', '1')}
                      WHEN substr(h, 9, 1) < 'a' THEN '?' WHEN substr(h, 9, 1) < 'b' THEN 'None'
-                     WHEN substr(h, 9, 1) < 'd' THEN upper({_win('toks', _hx(10, 2) + ' % greatest(len(toks), 1)', '1')})
+                     WHEN substr(h, 9, 1) < 'd' THEN translate({_win('toks', _hx(10, 2) + ' % greatest(len(toks), 1)', '1')},
+                                                               'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')
                      ELSE {_SL(fx.MW_POOL)}[{_hx(12, 2)} % 6 + 1] END AS value,
          annotated
   FROM a1),

@@ -154,7 +154,7 @@ def q_argmax_class(spark, sf):
 @register("first_span", osql.TAGS + f""",
 l AS (SELECT {K2}, list_transform(gold, lambda g: CASE WHEN g LIKE 'B-%' OR g LIKE 'I-%' THEN 1 ELSE 0 END) AS lab
       FROM tags),
-s AS (SELECT *, list_position(lab, 1) - 1 AS st FROM l)
+s AS (SELECT *, coalesce(list_position(lab, 1), 0) - 1 AS st FROM l)
 SELECT {K2}, greatest(st, 0) AS start_pos,
        CAST(CASE WHEN st < 0 THEN 0 ELSE coalesce(list_min(list_filter(range(0, len(lab)),
             lambda i: i > st AND lab[i + 1] <> 1)), len(lab)) - 1 END AS INTEGER) AS end_pos
