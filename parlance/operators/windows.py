@@ -99,9 +99,3 @@ def previous_value(df: DataFrame, keys: list[str], order: str, value: str, out:
     if default is not None:
         val = F.when(F.col("__first") & F.col("__first_blk"), F.lit(default)).otherwise(val)
     return res.withColumn(out, val).drop(_BLK, "__lag", "__first", "__prev_blk", "__first_blk")
-
-
-def running_max_flag(df: DataFrame, keys: list[str], order: str, flag: str, out: str) -> DataFrame:
-    """W7 helper: has any earlier-or-current row of the key raised ``flag``."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn(out, F.max(F.col(flag).cast("int")).over(w))

@@ -209,3 +209,14 @@ def test_confusion_empty_gold_row(spark):
     cfg = DatasetConfig(("a", "b", "c"), ("s",), {})
     r = {(x["gt_class"], x["pd_class"]): x["rate"] for x in dst.confusion_offdiag(df, cfg).collect()}
     assert len(r) == 9 and r[(0, 1)] == 0.5 and r[(0, 0)] == 0.0 and r[(2, 0)] is None
+
+
+def test_update_violations_table(spark):
+    idx = {n: i for i, n in enumerate(CFG.class_types)}
+    rows = [(1, 0, "s", idx["inform"], "plain value", "z"), (1, 1, "s", 9, "x", "z"), (1, 2, "s", idx["inform"], "§§ y", "z")]
+    df = spark.createDataFrame([r + (0,) * 8 for r in rows],
+                               "dialog_id long, turn long, slot string, class_prediction long, slot_prediction string, "
+                               "slot_groundtruth string, class_label_id long, start_pos long, start_prediction long, "
+                               "end_pos long, end_prediction long, refer_id long, refer_prediction long, x int")
+    bad = {r["turn"]: r["update_error"] for r in dst.update_violations(dst.prepare(df, CFG)).collect()}
+    assert bad == {0: "unexpected slot value format", 1: "unexpected class type"}
