@@ -256,9 +256,17 @@ def mw_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     from ..operators.windows import carry_forward
     u = mw_utterances(spark, sf_dir)
-    w = Window.partitionBy("dialog_id").orderBy("utt_idx")
-    u = (u.withColumn("prev_toks", F.lag("toks").over(w)).withColumn("prev2_toks", F.lag("toks", 2).over(w))
-         .where(F.col("is_sys")))
+    # the two previous utterances of each one, by position (positions are contiguous): every utterance is
+    # emitted under its own position and the next two, and one grouped shuffle collects them -- no
+    # dialogue-wide window
+    copies = F.array(*[F.struct((F.col("utt_idx") + k).alias("p"), F.lit(k).alias("k")) for k in range(3)])
+    e = u.select("dialog_id", "is_sys", "toks", F.explode(copies).alias("c"))
+    g = e.groupBy("dialog_id", F.col("c.p").alias("utt_idx")).agg(
+        F.max(F.when(F.col("c.k") == 0, F.col("is_sys"))).alias("is_sys"),
+        F.first(F.when(F.col("c.k") == 0, F.col("toks")), ignorenulls=True).alias("toks"),
+        F.first(F.when(F.col("c.k") == 1, F.col("toks")), ignorenulls=True).alias("prev_toks"),
+        F.first(F.when(F.col("c.k") == 2, F.col("toks")), ignorenulls=True).alias("prev2_toks"))
+    u = g.where(F.col("is_sys"))
     slots = F.array(*[F.struct(F.lit(d).alias("domain"), F.lit(c).alias("category"), F.lit(n).alias("name"))
                       for d, c, n in MW_SLOTS])
     x = u.select("dialog_id", "utt_idx", "toks", "prev_toks", "prev2_toks", F.posexplode(slots).alias("si", "s"))
@@ -286,9 +294,10 @@ def mw_acts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Some turns carry no annotation object at all (``annotated`` false).
     """
+    from ..operators.ordering import dense_index
     u = mw_utterances(spark, sf_dir).where(F.col("is_sys"))
-    w = Window.partitionBy("dialog_id").orderBy("utt_idx")
-    u = u.withColumn("turn", F.row_number().over(w).cast("bigint"))
+    # 1-based number of each system utterance in its dialogue: exact rank without a dialogue-wide window
+    u = dense_index(u, ["dialog_id"], "utt_idx", "turn0", range_block=64).withColumn("turn", F.col("turn0") + 1)
     x = u.select("dialog_id", "turn", "toks", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("pos"))
     h = md5_of("ma", F.col("dialog_id"), F.col("turn"), F.col("pos"))
     h0 = md5_of("mt", F.col("dialog_id"), F.col("turn"))
