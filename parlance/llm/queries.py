@@ -1,4 +1,6 @@
 """All registered queries of this subpackage (importing the modules fills the registry)."""
 
 from . import q_quality  # noqa: F401
+from . import q_shards  # noqa: F401
+from . import q_simhash  # noqa: F401
 from .registry import LLM_QUERIES  # noqa: F401
