@@ -3,4 +3,5 @@
 from . import q_quality  # noqa: F401
 from . import q_shards  # noqa: F401
 from . import q_simhash  # noqa: F401
+from . import q_tokens  # noqa: F401
 from .registry import LLM_QUERIES  # noqa: F401
