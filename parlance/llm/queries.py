@@ -5,4 +5,5 @@ from . import q_shards  # noqa: F401
 from . import q_simhash  # noqa: F401
 from . import q_tokens  # noqa: F401
 from . import q_packed  # noqa: F401
+from . import q_decontam  # noqa: F401
 from .registry import LLM_QUERIES  # noqa: F401
