@@ -9,10 +9,13 @@ each relaxes the best score at that position with the score at its start plus
 its own.  A character that no piece covers takes the unknown penalty and is
 written as its UTF-8 bytes' pieces.  Ties keep the longer last piece.
 
-The segmentation is the one of greatest summed piece score, as the unigram
-model defines it.  The scores of a BPE model are merge ranks, so for such a
-file the ids differ in places from the ids that merging gives (README has the
-measured share); both decode to the same text.
+What is relaxed depends on the model's kind.  A unigram model's ids are the
+segmentation of greatest summed score.  A BPE model's scores are merge ranks,
+whose sum means nothing to the model: there the pass keeps, at each position,
+the piece that merging would leave last, which is the one piece that stands the
+merges next to the last piece of the prefix before it (``stands``); the ids are
+the library's.  ``best_score`` gives the greatest-sum segmentation for either
+kind; both decode to the same text.
 
 Units seen by a Python worker are remembered in a memo of bounded size.
 
@@ -25,6 +28,7 @@ gives an empty result.
 from __future__ import annotations
 
 import re
+import zlib
 
 import ahocorasick
 import numpy as np
@@ -52,17 +56,20 @@ class PieceModel:
         self.unknown_id = sp.unk_id()
         plain = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         self._set([(sp.id_to_piece(i), i, sp.get_score(i)) for i in plain])
+        ranks = [s for s in self.score.values() if s > -1e8]
+        self.merging = len(set(ranks)) == len(ranks) and all(s <= 0 and s == int(s) for s in ranks)
         self.memo = worker_store(f"pieces {path}")
 
     @classmethod
-    def of(cls, pieces: list[tuple[str, float]], byte_fallback: bool = True) -> PieceModel:
+    def of(cls, pieces: list[tuple[str, float]], byte_fallback: bool = True,
+           merging: bool = False) -> PieceModel:
         """A model from (piece, score) rows; ids 0 .. are unknown, the bytes, the pieces."""
         self = cls.__new__(cls)
         self.unknown_id, first = 0, 1
         self.byte_id = {b: first + b for b in range(256)} if byte_fallback else {}
         first += len(self.byte_id)
         self._set([(p, first + i, s) for i, (p, s) in enumerate(pieces)])
-        self.memo = {}
+        self.merging, self.memo = merging, {}
         return self
 
     def _set(self, rows: list[tuple[str, int, float]]) -> None:
@@ -72,12 +79,61 @@ class PieceModel:
         self.auto.make_automaton()
         self.singles = {p for p, _, _ in rows if len(p) == 1}
         self.unknown = min((s for _, _, s in rows), default=0.0) - UNKNOWN_PENALTY
+        self.score = {p: s for p, _, s in rows}
+        self.pairs: dict[tuple[str, str], bool] = {}
         self.raw = {i: p.replace(SPACE, " ").encode() for p, i, _ in rows}
         self.raw |= {i: bytes([b]) for b, i in self.byte_id.items()}
         self.raw[self.unknown_id] = " ⁇ ".encode()
 
+    def merged(self, text: str) -> list[str]:
+        """The pieces that merging leaves of a short text: the best-scored neighbour pair first, leftmost on ties."""
+        parts = list(text)
+        while len(parts) > 1:
+            best, at = None, -1
+            for i in range(len(parts) - 1):
+                s = self.score.get(parts[i] + parts[i + 1])
+                if s is not None and (best is None or s > best):
+                    best, at = s, i
+            if best is None:
+                break
+            parts[at:at + 2] = [parts[at] + parts[at + 1]]
+        return parts
+
+    def stands(self, left: str, right: str) -> bool:
+        """Whether two neighbouring pieces are what merging leaves of their text (left empty: one piece alone)."""
+        known = self.pairs.get((left, right))
+        if known is None:
+            if len(self.pairs) >= MEMO_UNITS:
+                self.pairs.clear()
+            known = self.pairs[left, right] = self.merged(left + right) == ([left, right] if left else [right])
+        return known
+
+    def consistent(self, unit: str) -> list[int]:
+        """Ids that merging gives, in one pass over the automaton's matches."""
+        n = len(unit)
+        last: list[tuple | None] = [("", None)] + [None] * n       # last piece of the prefix, its id
+        gaps = [i for i, c in enumerate(unit) if c not in self.singles] if not self.singles.issuperset(unit) else []
+        gap = 0
+        for end, (size, i, _) in self.auto.iter(unit):
+            while gap < len(gaps) and gaps[gap] <= end:
+                last[gaps[gap] + 1] = (unit[gaps[gap]], None)      # a character without a piece never merges
+                gap += 1
+            before = last[end + 1 - size]
+            if last[end + 1] is None and before is not None:
+                piece = unit[end + 1 - size:end + 1]
+                if self.stands(before[0], piece) and (not before[0] or self.stands("", piece)):
+                    last[end + 1] = (piece, i)
+        for at in gaps[gap:]:
+            last[at + 1] = (unit[at], None)
+        ids, at = [], n
+        while at:
+            piece, i = last[at]
+            ids.extend([i] if i is not None else reversed(self._bytes(piece)))
+            at -= len(piece)
+        return ids[::-1]
+
     def viterbi(self, unit: str) -> tuple[list[int], float]:
-        """Ids and score of the best segmentation of a unit (in the model's form)."""
+        """Ids and score of the best-scored segmentation of a unit (in the model's form)."""
         n = len(unit)
         best, back = [0.0] + [-np.inf] * n, [None] * (n + 1)
         gaps = [i for i, c in enumerate(unit) if c not in self.singles] if not self.singles.issuperset(unit) else []
@@ -106,22 +162,31 @@ class PieceModel:
     def _bytes(self, char: str) -> list[int]:
         return [self.byte_id[b] for b in char.encode()] if self.byte_id else [self.unknown_id]
 
-    def encode(self, text: str) -> tuple[np.ndarray, float]:
-        """Ids (int32) and score of a whole text."""
-        if not text:
-            return np.zeros(0, np.int32), 0.0
-        units = _UNIT.findall(" " + text.replace(SPACE, " "))
-        memo = self.memo
-        got = []
-        for u in units:
+    def _units(self, text: str) -> list[tuple[bytes, bytes, float]]:
+        """For each unit: ids of the model's kind, ids of the best score, that score."""
+        memo, got = self.memo, []
+        for u in _UNIT.findall(" " + text.replace(SPACE, " ")) if text else ():
             x = memo.get(u)
             if x is None:
                 if len(memo) >= MEMO_UNITS:
                     memo.clear()
-                ids, score = self.viterbi(u.replace(" ", SPACE))
-                x = memo[u] = (np.array(ids, np.int32).tobytes(), score)
+                unit = u.replace(" ", SPACE)
+                ids, score = self.viterbi(unit)
+                best = np.array(ids, np.int32).tobytes()
+                own = np.array(self.consistent(unit), np.int32).tobytes() if self.merging else best
+                x = memo[u] = (own, best, score)
             got.append(x)
-        return np.frombuffer(b"".join([g[0] for g in got]), np.int32), float(sum([g[1] for g in got]))
+        return got
+
+    def encode(self, text: str) -> np.ndarray:
+        """Ids (int32) of a whole text."""
+        return np.frombuffer(b"".join([g[0] for g in self._units(text)]), np.int32)
+
+    def best_score(self, text: str) -> tuple[np.ndarray, np.ndarray, float]:
+        """Ids as ``encode`` gives them, ids of the greatest summed score, and that score."""
+        got = self._units(text)
+        return (np.frombuffer(b"".join([g[0] for g in got]), np.int32),
+                np.frombuffer(b"".join([g[1] for g in got]), np.int32), float(sum([g[2] for g in got])))
 
     def decode(self, ids) -> str:
         """The text of a sequence of ids, without the space put in front; bytes that are no UTF-8 become U+FFFD."""
@@ -144,7 +209,7 @@ def encoded(docs: DataFrame, model_path: str, text_col: str = "text", out: str =
     @F.pandas_udf("array<int>")
     def ids(text: pd.Series) -> pd.Series:
         model = load_model(model_path)
-        return pd.Series([model.encode(t)[0] for t in text])
+        return pd.Series([model.encode(t) for t in text])
 
     return docs.withColumn(out, ids(whole_text(f"`{text_col}`")))
 
@@ -163,21 +228,25 @@ def decoded(rows: DataFrame, model_path: str, ids_col: str = "ids", out: str = "
 
 
 def encoded_summary(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_chars, n_tokens, score, ids_crc32 (ids as little-endian unsigned 32-bit numbers), round_trip."""
-    import zlib
+    """doc_id, n_chars, n_tokens, ids_crc32, best_score, best_score_tokens, best_score_crc32, round_trip.
+
+    crc32 is over the ids as little-endian unsigned 32-bit numbers; round_trip: both sequences decode to the text.
+    """
 
     def run(batches):
         model = load_model(model_path)
         for b in batches:
             rows = []
             for t in b["text"]:
-                ids, score = model.encode(t)
-                rows.append((len(t), len(ids), score, zlib.crc32(ids.astype("<u4").tobytes()),
-                             model.decode(ids.tolist()) == t.replace(SPACE, " ")))
-            yield pd.DataFrame({"doc_id": b["doc_id"], **{c: [r[i] for r in rows] for i, c in enumerate(
-                ("n_chars", "n_tokens", "score", "ids_crc32", "round_trip"))}})
-
+                ids, best, score = model.best_score(t)
+                back = t.replace(SPACE, " ")
+                rows.append((len(t), len(ids), zlib.crc32(ids.astype("<u4").tobytes()), score, len(best),
+                             zlib.crc32(best.astype("<u4").tobytes()),
+                             model.decode(ids.tolist()) == back and model.decode(best.tolist()) == back))
+            yield pd.DataFrame({"doc_id": b["doc_id"], **{c: [r[i] for r in rows] for i, c in enumerate(names)}})
+
+    names = ("n_chars", "n_tokens", "ids_crc32", "best_score", "best_score_tokens", "best_score_crc32", "round_trip")
     rows = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInPandas(run, f"doc_id {kind}, n_chars long, n_tokens long, score double, ids_crc32 long, "
-                                 "round_trip boolean")
+    return rows.mapInPandas(run, f"doc_id {kind}, n_chars long, n_tokens long, ids_crc32 long, best_score double, "
+                                 "best_score_tokens long, best_score_crc32 long, round_trip boolean")
