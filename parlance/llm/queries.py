@@ -7,4 +7,5 @@ from . import q_tokens  # noqa: F401
 from . import q_packed  # noqa: F401
 from . import q_decontam  # noqa: F401
 from . import q_pieces  # noqa: F401
+from . import q_toxicity  # noqa: F401
 from .registry import LLM_QUERIES  # noqa: F401
