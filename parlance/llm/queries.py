@@ -9,4 +9,5 @@ from . import q_decontam  # noqa: F401
 from . import q_pieces  # noqa: F401
 from . import q_toxicity  # noqa: F401
 from . import q_langid  # noqa: F401
+from . import q_lm  # noqa: F401
 from .registry import LLM_QUERIES  # noqa: F401
