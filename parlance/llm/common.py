@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import fresh_path
+
 #: The white space of the word rule, as the inside of a character class (space, \t \n \v \f \r).
 SPACES = r"\x20\x09-\x0D"
 
@@ -15,30 +15,22 @@ def read_documents(spark: SparkSession, sf_dir: str, name: str = "documents") ->
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor sees, from ``spark.checkpoint.dir``.
-
-    It is read from the session; a session without one is an error, because a
-    machine-local default would lose files on a cluster.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return folder.rstrip("/")
-
-
-def fresh_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage is cut at files that survive lost executors."""
     spark = df.sparkSession
-    path = fresh_folder(spark, name)
+    path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores appended while the table has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def whole_text(col: str = "text"):
     """The text, null read as empty."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))

@@ -29,6 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import PandasUDFType
 
+from .common import free_name
+
 ROWS_PER_LANGUAGE = 400
 LANDMARKS = 256
 RIDGE = 1e-2
@@ -163,8 +165,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def predicted(docs: DataFrame, model: Model, text_col: str = "text", out: str = "language") -> DataFrame:
     """``docs`` with a struct ``out`` of lang_pred and score."""
-    if out in docs.columns:
-        raise ValueError(f"the input already has a column {out!r}; choose another name for the result")
+    out = free_name(docs, out)
 
     def run(batches):
         for text in batches:

@@ -29,7 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_folder, saved, whole_text
+from ..session import fresh_path
+from .common import saved, whole_text
 from .units import UnitEncoder
 
 BLOCK = 4096
@@ -227,6 +228,6 @@ def crc32_joined(a: int, b: int, n: int) -> int:
 def packed_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id",
                      text_col: str = "text") -> DataFrame:
     """Write the packed folder under the shared folder and read its documents back."""
-    path = fresh_folder(docs.sparkSession, "packed-ids")
+    path = fresh_path(docs.sparkSession, "packed-ids")
     write_packed(docs, tokenizer_path, path, end_id, id_col, text_col)
     return documents_of(saved(read_packed(docs.sparkSession, path), "packed-pieces"))

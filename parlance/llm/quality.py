@@ -7,8 +7,8 @@ nothing is shuffled, so a hot source or a long document costs only its bytes.
 
 Defined cases: null or empty text has no words, fails the base rule and is not
 kept; repeated rows are judged one by one; extra input columns are carried by
-``apply_rules`` untouched (working columns are kept in one struct whose name
-is checked against the input); an empty table gives an empty result.
+``apply_rules`` untouched (a column named like the result makes the result's
+name end in underscores); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES
+from .common import SPACES, free_name
 
 # Frequent function words of the four languages the tables hold.
 STOP_WORDS = (
@@ -144,9 +144,8 @@ def apply_rules(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...]
 
     ``base_failed``: fewer than 50 words, or over half of the words in repeated three-word windows.
     """
-    if out in docs.columns:
-        raise ValueError(f"the input already has a column {out!r}; choose another name for the result")
-    arrays, numbers = measures(F.col(text_col))
+    out = free_name(docs, out)
+    arrays, numbers = measures(F.col(f"`{text_col}`"))
     a = docs.withColumn(out, F.struct(*[e.alias(k) for k, e in arrays.items()]))
     for name, make in (("hashes", lambda q: _hashes(q["words"])),
                        ("ordered", lambda q: F.sort_array(q["hashes"])),
@@ -161,9 +160,13 @@ def apply_rules(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...]
 
 
 def kept_documents(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The documents that pass, with their own columns."""
-    out = "quality"
-    while out in docs.columns:
-        out += "_"
-    return apply_rules(docs, text_col, rules, out).filter(F.col(out)["kept"]).select(
-        *[F.col(f"`{k}`") for k in docs.columns])
+    """The documents that pass, with their own columns.
+
+    The row number beside the verdict keeps the optimiser from copying the filter into every layer below, which
+    would compute the metrics many times over.
+    """
+    out = free_name(docs, "quality")
+    judged = apply_rules(docs, text_col, rules, out)
+    nth = free_name(judged, "nth")
+    return (judged.withColumn(nth, F.monotonically_increasing_id()).filter(F.col(out)["kept"] & (F.col(nth) >= 0))
+            .drop(out, nth))

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, whole_text
+from .common import free_name, saved, whole_text
 from .components import components
 
 BITS = 64
@@ -241,27 +241,28 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, id_col: st
 def deduplicated(docs: DataFrame, width: int = 3, radius: int = 2, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group: the one with the least id (repeated ids: one of their rows)."""
+    gone_id, row = free_name(docs, "gone_id"), free_name(docs, "row")
     found = saved(near_duplicates(docs, width, radius, id_col, text_col), "near-duplicates")
     stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    gone = found.filter(~stays).select(F.col("doc_id").alias("__gone")).distinct()
+    gone = found.filter(~stays).select(F.col("doc_id").alias(gone_id)).distinct()
     repeated = found.filter(stays).groupBy("root").count().filter("count > 1")
-    ids = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__gone"))
+    ids = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(gone_id))
     few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     if repeated.isEmpty():                    # ids name rows, so the rows to leave out are known by id
         return docs.join(F.broadcast(gone) if few else gone, ids, "left_anti")
     # an id occurs on several rows: fingerprint the rows themselves and keep one row of each group
-    keyed = docs.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
-    fp_rows = _with_fingerprint(keyed, width, id_col, text_col)
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row))
+    fp_rows = _with_fingerprint(keyed, row, width, id_col, text_col)
     classes = found.select("fp", "root", "component_id").distinct()
-    pick = (fp_rows.join(classes, "fp").filter(F.col(f"__row.`{id_col}`").cast("long").eqNullSafe(F.col("component_id")))
-            .groupBy("root").agg(F.first("__row").alias("__row")))
-    return pick.select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
+    pick = (fp_rows.join(classes, "fp").filter(F.col(f"{row}.`{id_col}`").cast("long").eqNullSafe(F.col("component_id")))
+            .groupBy("root").agg(F.first(row).alias(row)))
+    return pick.select(*[F.col(f"{row}.`{c}`").alias(c) for c in docs.columns])
 
 
-def _with_fingerprint(keyed: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+def _with_fingerprint(keyed: DataFrame, row: str, width: int, id_col: str, text_col: str) -> DataFrame:
     @F.pandas_udf("long")
     def fp_of(text: pd.Series) -> pd.Series:
         return pd.Series([majority(np.array(h, dtype=np.uint64)) if (h := text_hashes(t.encode(), width)) else 0
                           for t in text], dtype="int64")
 
-    return keyed.select("__row", fp_of(whole_text(f"__row.`{text_col}`")).alias("fp"))
+    return keyed.select(row, fp_of(whole_text(f"{row}.`{text_col}`")).alias("fp"))

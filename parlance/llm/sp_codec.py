@@ -21,7 +21,8 @@ Units seen by a Python worker are remembered in a memo of bounded size.
 
 Defined cases: null and empty texts have no ids and decode to the empty text;
 U+2581 in a text comes back as a space, as in the library; ties and repeated
-rows give equal ids; extra columns are kept by ``encoded``; an empty table
+rows give equal ids; extra columns are kept by ``encoded`` (a column named
+like the result makes the result's name end in underscores); an empty table
 gives an empty result.
 """
 
@@ -37,7 +38,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import free_name, whole_text
 from .units import worker_store
 
 SPACE = "▁"
@@ -203,8 +204,7 @@ def load_model(path: str) -> PieceModel:
 
 def encoded(docs: DataFrame, model_path: str, text_col: str = "text", out: str = "ids") -> DataFrame:
     """``docs`` with an array column of ids."""
-    if out in docs.columns:
-        raise ValueError(f"the input already has a column {out!r}; choose another name for the result")
+    out = free_name(docs, out)
 
     @F.pandas_udf("array<int>")
     def ids(text: pd.Series) -> pd.Series:
@@ -216,8 +216,7 @@ def encoded(docs: DataFrame, model_path: str, text_col: str = "text", out: str =
 
 def decoded(rows: DataFrame, model_path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """``rows`` with the text of an id array (null: null)."""
-    if out in rows.columns:
-        raise ValueError(f"the input already has a column {out!r}; choose another name for the result")
+    out = free_name(rows, out)
 
     @F.pandas_udf("string")
     def text(ids: pd.Series) -> pd.Series:

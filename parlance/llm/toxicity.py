@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import PandasUDFType
 
-from .common import whole_text
+from .common import free_name, whole_text
 
 TRAIN_ROWS = 6_000      # labelled rows that are learned from, at most
 FEATURES = 1_024        # weights
@@ -186,8 +186,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with the score (0 to 1) of each whole text."""
-    if out in docs.columns:
-        raise ValueError(f"the input already has a column {out!r}; choose another name for the result")
+    out = free_name(docs, out)
 
     def score(batches):
         run = model.scorer()
@@ -201,8 +200,6 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sc
 def kept_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    threshold: float = 0.5) -> DataFrame:
     """The documents that score below the threshold, with their own columns."""
-    out = "score"
-    while out in docs.columns:
-        out += "_"
+    out = free_name(docs, "score")
     model = train(docs, labels, id_col, text_col)
     return scored(docs, model, text_col, out).filter(F.col(out) < threshold).drop(out)
