@@ -6,7 +6,7 @@ The engine never owns the cluster configuration: callers hand in their own
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
@@ -36,20 +36,18 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for lineage cuts and round-trip files.
+    """Folder for lineage cuts and round-trip files, read from ``spark.checkpoint.dir``.
 
-    On a cluster this is the shared folder named by ``spark.checkpoint.dir``.
-    Only when the session has none (local tests) a fresh local folder is set.
+    On a cluster a missing setting is an error: a machine-local folder would
+    give each executor its own files.  Only a session whose executors are
+    threads of this process (``local[...]``, as in tests) gets a fresh one.
     """
-    conf = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not conf:
-        conf = tempfile.mkdtemp(prefix="parlance-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.sparkContext.setCheckpointDir(conf)
-        try:
-            spark.conf.set("spark.checkpoint.dir", conf)
-        except Exception:  # noqa: BLE001 -- some sessions reject core confs at run time; the context has it
-            pass
-    elif not spark.sparkContext.getCheckpointDir():
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        conf = tempfile.mkdtemp(prefix="parlance-ckpt-")
+    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(conf)
     return conf.rstrip("/")
 
