@@ -203,6 +203,7 @@ def _compare(radius: int):
 
 def links(fps: DataFrame, radius: int, bucket: int = BUCKET) -> DataFrame:
     """Edges (u, v) that span the same components as all pairs of ``fps`` (distinct, column fp) within ``radius`` bits."""
+    bucket = max(bucket, 1 << radius)     # a smaller bucket could not be split: all its free bits may differ
     masks = [_signed(m) for m in first_masks(radius)]
     rows = fps.select("fp", F.explode(F.array(*map(F.lit, masks))).alias("mask"))
     found = None
@@ -221,7 +222,8 @@ def links(fps: DataFrame, radius: int, bucket: int = BUCKET) -> DataFrame:
             break
         masks = sorted({x for xs in finer.values() for x in xs})
         table = F.create_map(*[c for m, xs in finer.items() for c in (F.lit(m), F.array(*map(F.lit, xs)))])
-        rows = hot.select("fp", F.explode(table[F.col("mask")]).alias("mask"))
+        # two buckets may lead a fingerprint to one finer bucket; it is a member there once
+        rows = hot.select("fp", F.explode(table[F.col("mask")]).alias("mask")).distinct()
     return found
 
 
