@@ -161,7 +161,7 @@ class PieceModel:
             best[at + 1], back[at + 1] = s, (1, None)
 
     def _bytes(self, char: str) -> list[int]:
-        return [self.byte_id[b] for b in char.encode()] if self.byte_id else [self.unknown_id]
+        return [self.byte_id[b] for b in char.replace(SPACE, " ").encode()] if self.byte_id else [self.unknown_id]
 
     def _units(self, text: str) -> list[tuple[bytes, bytes, float]]:
         """For each unit: ids of the model's kind, ids of the best score, that score."""
