@@ -259,51 +259,55 @@ def cumulative_history(utts: DataFrame, dialog="dialog_id", order="utt_idx", tex
 
 
 def batch_examples(batched: DataFrame, key: str = "pos", label: str = "label", seed: str = "0",
-                   label_retries: int = 8, fill_factor: int = 2) -> DataFrame:
+                   fill_factor: int = 2) -> DataFrame:
     """Per batch, one example for every label in the batch (not a batch member), then random
     distinct examples until the set holds min(N, fill_factor x batch size) rows.
 
-    ``batched``: every row with its ``batch`` id (T8).  Draws are md5 draws over
-    per-label and global dense indices; a label draw retries ``label_retries``
-    times and then keeps its last draw (the reference gives up after too many
-    retries too); the fill draws a bounded number of candidates per batch
-    (3x what is needed, plus 16) and keeps the first distinct ones.
+    ``batched``: every row with its ``batch`` id (T8).  Per-label and global
+    dense indices are in md5 order.  A label's example is the first row that is
+    no batch member, walking the label's index from a hashed start; the walk
+    needs one step more than the batch has members of that label.  A label all
+    of whose rows are in the batch keeps the row at the start.  The fill walks
+    the global index the same way: what is needed plus what is taken already
+    are enough steps.  Both walks are exact and their total length is linear in
+    the rows.
     """
     # the batched rows feed many branches below: cut the lineage once (reliable checkpoint in the shared folder)
     from ..session import shared_dir
     shared_dir(batched.sparkSession)
     rows = batched.select(key, label, "batch").checkpoint(eager=True)
     members = rows.select("batch", key)
-    lab_idx = dense_index(rows.select(key, label), [label], key, "lidx", count_col="n_label")
+    lab_idx = dense_index(rows.select(key, label), [label], key, "lidx", count_col="n_label").checkpoint(eager=True)
     glob = dense_index(rows.select(key), [], key, "gidx")
     n_all = F.lit(rows.count())                       # one scalar for the whole set
     # one example per label present in the batch
-    bl = rows.select("batch", label).distinct()
-    sizes = lab_idx.groupBy(label).agg(F.max("n_label").alias("n_label"))
-    att = (bl.join(sizes, label)
-           .select("batch", label, "n_label", F.explode(F.sequence(F.lit(0), F.lit(label_retries - 1))).alias("a"))
-           .withColumn("lidx", draw_index(seed, F.col("n_label"), F.col("batch"), F.col(label), F.col("a"))))
-    # candidates and picks feed several branches each: cut their lineage too (reliable checkpoints)
-    cand = att.join(lab_idx.select(label, "lidx", key), [label, "lidx"]).checkpoint(eager=True)
-    free = cand.join(members, ["batch", key], "left_anti").groupBy("batch", label).agg(F.min("a").alias("a"))
-    last = cand.where(F.col("a") == label_retries - 1).select("batch", label, key)
-    chosen_free = cand.join(free, ["batch", label, "a"]).select("batch", label, key)
-    picked = chosen_free.unionByName(last.join(free, ["batch", label], "left_anti"))
-    per_label = picked.select("batch", key, F.lit("label").alias("kind"),
-                              F.lit(-1).cast("bigint").alias("attempt")).checkpoint(eager=True)
+    walk = (rows.where(F.col(label).isNotNull()).groupBy("batch", label).agg(F.count(F.lit(1)).alias("m"))
+            .join(lab_idx.groupBy(label).agg(F.max("n_label").alias("n_label")), label)
+            .withColumn("start", draw_index(seed, F.col("n_label"), F.col("batch"), F.col(label)))
+            .select("batch", label, "n_label", "start",
+                    F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(F.col("n_label") - 1, F.col("m")))).alias("a"))
+            .withColumn("lidx", (F.col("start") + F.col("a")) % F.col("n_label")))
+    cand = walk.join(lab_idx.select(label, "lidx", key), [label, "lidx"])
+    inside = members.withColumn("member", F.lit(True))
+    per_label = (cand.join(inside, ["batch", key], "left").groupBy("batch", label)
+                 .agg(F.coalesce(F.min_by(key, F.when(F.col("member").isNull(), F.col("a"))),
+                                 F.min_by(key, "a")).alias(key))
+                 .select("batch", key, F.lit("label").alias("kind"), F.lit(-1).cast("bigint").alias("attempt"))
+                 .checkpoint(eager=True))
     # random fill up to min(N, fill_factor x batch size)
-    bsz = rows.groupBy("batch").agg(F.count(F.lit(1)).alias("bs"))
-    nlab = per_label.groupBy("batch").agg(F.countDistinct(key).alias("nl"))
-    need = (bsz.join(nlab, "batch", "left").withColumn("n_all", n_all)
-            .withColumn("need", F.least(F.col("n_all"), F.col("bs") * fill_factor) - F.coalesce("nl", F.lit(0))))
-    fill = (need.where(F.col("need") > 0)
-            .select("batch", "need", "n_all", F.explode(F.sequence(F.lit(0), F.col("need") * 3 + 15)).alias("f"))
-            .withColumn("gidx", draw_index(seed, F.col("n_all"), F.col("batch"), F.lit("fill"), F.col("f"))))
-    fill = fill.join(glob.select("gidx", key), "gidx")
-    taken = members.unionByName(per_label.select("batch", key))
-    fill = fill.join(taken, ["batch", key], "left_anti")
-    first = fill.groupBy("batch", key, "need").agg(F.min("f").alias("f"))
+    taken = members.unionByName(per_label.select("batch", key)).distinct()
+    need = (rows.groupBy("batch").agg(F.count(F.lit(1)).alias("bs"))
+            .join(per_label.groupBy("batch").agg(F.count(F.lit(1)).alias("nl")), "batch", "left")
+            .join(taken.groupBy("batch").agg(F.count(F.lit(1)).alias("nt")), "batch")
+            .withColumn("need", F.least(n_all, F.col("bs") * fill_factor) - F.coalesce("nl", F.lit(0)))
+            .where(F.col("need") > 0))
+    fill = (need.withColumn("start", draw_index(seed, n_all, F.col("batch"), F.lit("fill")))
+            .select("batch", "need", "start",
+                    F.explode(F.sequence(F.lit(0).cast("bigint"),
+                                         F.least(n_all, F.col("need") + F.col("nt")) - 1)).alias("f"))
+            .withColumn("gidx", (F.col("start") + F.col("f")) % n_all)
+            .join(glob.select("gidx", key), "gidx").join(taken, ["batch", key], "left_anti"))
     w = Window.partitionBy("batch").orderBy("f")
-    fill_rows = (first.withColumn("r", F.row_number().over(w)).where(F.col("r") <= F.col("need"))
+    fill_rows = (fill.withColumn("r", F.row_number().over(w)).where(F.col("r") <= F.col("need"))
                  .select("batch", key, F.lit("fill").alias("kind"), F.col("f").cast("bigint").alias("attempt")))
     return per_label.unionByName(fill_rows)

@@ -345,29 +345,25 @@ rws AS (SELECT pos, label, CAST(floor(oi / 32) AS BIGINT) AS batch FROM bo),
 nall AS (SELECT count(*) AS n_all FROM rws),
 lab_idx AS ({sql_dense_index('rws', ['label'], 'pos', 'lidx', DEFAULT_BUCKETS, 'n_label')}),
 gix AS ({sql_dense_index('rws', [], 'pos', 'gidx', DEFAULT_BUCKETS)}),
-bl AS (SELECT DISTINCT batch, label FROM rws),
 sizes AS (SELECT label, max(n_label) AS n_label FROM lab_idx GROUP BY label),
-att AS (SELECT bl.batch, bl.label, a, {draw('sizes.n_label', 'bl.batch', 'bl.label', 'a')} AS lidx
-        FROM bl JOIN sizes USING (label) CROSS JOIN range(0, 8) r(a)),
-cand AS (SELECT att.batch, att.label, att.a, lab_idx.pos FROM att JOIN lab_idx ON lab_idx.label = att.label
-         AND lab_idx.lidx = att.lidx),
-free AS (SELECT c.batch, c.label, min(c.a) AS a FROM cand c
-         WHERE NOT EXISTS (SELECT 1 FROM rws m WHERE m.batch = c.batch AND m.pos = c.pos) GROUP BY c.batch, c.label),
-picked AS (SELECT c.batch, c.pos FROM cand c JOIN free f ON f.batch = c.batch AND f.label = c.label AND f.a = c.a
-           UNION ALL
-           SELECT c.batch, c.pos FROM cand c WHERE c.a = 7
-             AND NOT EXISTS (SELECT 1 FROM free f WHERE f.batch = c.batch AND f.label = c.label)),
-bsz AS (SELECT batch, count(*) AS bs FROM rws GROUP BY batch),
-nlab AS (SELECT batch, count(DISTINCT pos) AS nl FROM picked GROUP BY batch),
-need AS (SELECT bsz.batch, least(nall.n_all, bsz.bs * 2) - coalesce(nlab.nl, 0) AS need, nall.n_all
-         FROM bsz CROSS JOIN nall LEFT JOIN nlab USING (batch)),
-fl AS (SELECT need.batch, need.need, f, {draw('need.n_all', 'need.batch', "'fill'", 'f')} AS gidx
-       FROM need, range(0, 100000) r(f) WHERE need.need > 0 AND f <= need.need * 3 + 15),
-fp AS (SELECT fl.batch, fl.need, fl.f, gix.pos FROM fl JOIN gix USING (gidx)),
-fk AS (SELECT * FROM fp WHERE NOT EXISTS (SELECT 1 FROM rws m WHERE m.batch = fp.batch AND m.pos = fp.pos)
-                          AND NOT EXISTS (SELECT 1 FROM picked p WHERE p.batch = fp.batch AND p.pos = fp.pos)),
-ff AS (SELECT batch, pos, any_value(need) AS need, min(f) AS f FROM fk GROUP BY batch, pos),
-fr AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY f) AS r FROM ff)
+mem AS (SELECT batch, label, count(*) AS m FROM rws GROUP BY batch, label),
+st AS (SELECT mem.*, n_label, {draw('n_label', 'batch', 'label')} AS start FROM mem JOIN sizes USING (label)),
+walk AS (SELECT batch, label, n_label, start, unnest(range(0, least(n_label, m + 1))) AS a FROM st),
+cand AS (SELECT walk.batch, walk.label, walk.a, x.pos,
+                EXISTS (SELECT 1 FROM rws r WHERE r.batch = walk.batch AND r.pos = x.pos) AS inside
+         FROM walk JOIN lab_idx x ON x.label = walk.label AND x.lidx = (walk.start + walk.a) % walk.n_label),
+picked AS (SELECT batch, pos FROM (SELECT *, row_number() OVER (PARTITION BY batch, label ORDER BY inside, a) AS r
+                                   FROM cand) WHERE r = 1),
+taken AS (SELECT batch, pos FROM rws UNION SELECT batch, pos FROM picked),
+nt AS (SELECT batch, count(*) AS nt FROM taken GROUP BY batch),
+nlab AS (SELECT batch, count(*) AS nl FROM picked GROUP BY batch),
+need AS (SELECT batch, least(n_all, bs * 2) - coalesce(nl, 0) AS need, nt, n_all
+         FROM (SELECT batch, count(*) AS bs FROM rws GROUP BY batch) JOIN nt USING (batch) LEFT JOIN nlab USING (batch), nall),
+fs AS (SELECT *, {draw('n_all', 'batch', "'fill'")} AS start FROM need WHERE need > 0),
+fw AS (SELECT batch, need, n_all, start, unnest(range(0, least(n_all, need + nt))) AS f FROM fs),
+fk AS (SELECT fw.batch, fw.need, fw.f, gix.pos FROM fw JOIN gix ON gix.gidx = (fw.start + fw.f) % fw.n_all
+       WHERE NOT EXISTS (SELECT 1 FROM taken t WHERE t.batch = fw.batch AND t.pos = gix.pos)),
+fr AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY f) AS r FROM fk)
 SELECT batch, pos, 'label' AS kind, CAST(-1 AS BIGINT) AS attempt FROM picked
 UNION ALL SELECT batch, pos, 'fill', CAST(f AS BIGINT) FROM fr WHERE r <= need"""
 
