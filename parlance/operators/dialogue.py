@@ -5,25 +5,18 @@ turns, join each user turn with the neighbouring system utterances on
 ``utt_idx +- 1`` (equi-joins, no dialogue-wide window), find state changes
 with the block-split ``previous_value``, look acts up with two left joins.
 
-The one order-dependent part -- the per-slot labelling loop, where a slot's
-referral reads values written earlier *in the same turn* -- runs as a
-streaming fold: rows are hash-partitioned by dialogue and sorted by
-(dialogue, turn, slot) inside each partition, then ``mapInPandas`` walks them
-keeping only the state of the current dialogue (a few dicts of slot size).
-No dialogue is ever materialised as a whole, so a very long one streams
-through its task instead of being held in memory.
+Slot labelling needs no loop over a dialogue: seen values and classes are
+values carried forward over (dialogue, slot), split into blocks of turns, and a
+referral compares the slots of one turn.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.normalize import normalise_label
-from .windows import previous_value
+from .windows import DEFAULT_BLOCK, carry_forward, previous_value
 
 # Act types that inform a value.
 INFORM_ACTS = ("inform", "recommend", "select", "book")
@@ -175,124 +168,81 @@ def too_long_rate(turns: DataFrame, max_len: int, correction: int = 4) -> DataFr
                      F.count(F.lit(1)).alias("n"))
 
 
-# ---------------------------------------------------------------- the fold
-
-FOLD_SCHEMA = T.StructType([
-    T.StructField("dialog_id", T.LongType()), T.StructField("turn", T.LongType()),
-    T.StructField("slot", T.StringType()), T.StructField("class_raw", T.StringType()),
-    T.StructField("class_label", T.StringType()), T.StructField("refer_label", T.StringType()),
-    T.StructField("informed_value", T.StringType()), T.StructField("inform_slot", T.IntegerType()),
-    T.StructField("diag_state", T.StringType()), T.StructField("seen_value", T.StringType()),
-    T.StructField("label_start", T.IntegerType()), T.StructField("label_end", T.IntegerType()),
-])
-
+# ---------------------------------------------------------- slot labelling
 
-def _referral(value: str, slot: str, seen: dict, label_maps: dict) -> str:
-    """The slot another (earlier seen) slot's value refers to, or 'none'.
+def _referred(me: Column, others: Column, variants: Column) -> Column:
+    """The slot of ``others`` that ``me`` (slot_idx, slot, value, before) refers to, or 'none'.
 
-    ``seen`` holds every slot of the slot list, in slot-list order, with 'none'
-    for slots not seen yet.  Among the eligible slots: the first one holding the
-    value itself wins; failing that, the *last* one holding a label-map variant
-    of it (Q7: a variant hit does not end the scan).  Nothing is eligible when
-    the slot already holds the value; booleans/stars never refer, and
-    people-count slots never refer to/from the stay length.
+    ``others``: all slots of the turn in list order, with the value held
+    ``before`` the turn and ``after`` it.  What a slot can see of another one is
+    the value after this turn if that slot comes earlier in the list, else the
+    value before it.  A slot holding the value itself wins (the first one);
+    without one, the last slot holding a variant of the value does.
     """
-    if slot in NO_REFERRAL_SLOTS or seen.get(slot, None) == value:
-        return "none"
-    people = re.compile(PEOPLE_SLOT_PATTERN)
-
-    def eligible(s: str) -> bool:
-        crossed = (people.match(s) and slot == STAY_SLOT) or (people.match(slot) and s == STAY_SLOT)
-        return s != slot and s not in NO_REFERRAL_SLOTS and not crossed
-
-    candidates = [s for s in seen if eligible(s)]
-    exact = [s for s in candidates if seen[s] == value]
-    if exact:
-        return exact[0]
-    variants = set(label_maps.get(value, ()))
-    loose = [s for s in candidates if seen[s] in variants]
-    return loose[-1] if loose else "none"
-
-
-def make_fold(label_maps: dict, slots: tuple[str, ...]):
-    """Per-partition streaming fold over rows sorted by (dialog_id, turn, slot_idx)."""
-    import pandas as pd
-
-    def fresh_values() -> dict:
-        # every slot starts as 'none', in slot-list order (referral scans slots in this order)
-        return {s: "none" for s in slots}
-
-    def fold(batches):
-        cur = None
-        seen_class: dict = {}
-        seen_value: dict = fresh_values()
-        diag: dict = {}
-        new_diag: dict = {}
-        turn = None
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                if r.dialog_id != cur:
-                    cur, turn = r.dialog_id, None
-                    seen_class, seen_value, diag, new_diag = {}, fresh_values(), {}, {}
-                if r.turn != turn:
-                    diag = dict(new_diag)
-                    turn = r.turn
-                slot = r.slot
-                value = r.value_label
-                referred = "none"
-                s_pos, e_pos = -1, -1
-                if value in NON_POINTABLE:
-                    cls = value
-                elif r.in_usr:
-                    cls = "copy_value"
-                    s_pos, e_pos = int(r.last_start), int(r.last_end)
-                elif r.informed:
-                    cls = "inform"
-                else:
-                    referred = _referral(value, slot, seen_value, label_maps)
-                    cls = "refer" if referred != "none" else "unpointable"
-                informed_value = r.informed_value if (value not in NON_POINTABLE and not r.in_usr) else "none"
-                if cls == "unpointable":
-                    final, ref = "none", "none"
-                elif slot in seen_class and cls == seen_class[slot] and cls not in ("copy_value", "inform"):
-                    final, ref = "none", "none"
-                else:
-                    final, ref = cls, referred
-                if cls != "none":
-                    seen_class[slot] = cls
-                    seen_value[slot] = value
-                    new_diag[slot] = "copy_value" if cls == "unpointable" else cls
-                out.append((r.dialog_id, r.turn, slot, cls, final, ref, informed_value,
-                            1 if informed_value != "none" else 0, diag.get(slot, "none"),
-                            seen_value.get(slot, "none"), s_pos, e_pos))
-            yield pd.DataFrame(out, columns=[f.name for f in FOLD_SCHEMA.fields])
-
-    return fold
+    people = f"^{PEOPLE_SLOT_PATTERN}"
+    visible = lambda o: F.when(o["slot_idx"] < me["slot_idx"], o["after"]).otherwise(o["before"])
+    about_stay = lambda o: ((o["slot"].rlike(people) & (me["slot"] == STAY_SLOT))
+                            | (me["slot"].rlike(people) & (o["slot"] == STAY_SLOT)))
+    open_to = F.filter(others, lambda o: (o["slot_idx"] != me["slot_idx"]) & ~o["slot"].isin(*NO_REFERRAL_SLOTS)
+                       & ~about_stay(o))
+    same = F.filter(open_to, lambda o: visible(o) == me["value"])
+    alike = F.filter(open_to, lambda o: F.coalesce(F.array_contains(variants, visible(o)), F.lit(False)))
+    barred = me["slot"].isin(*NO_REFERRAL_SLOTS) | (me["before"] == me["value"])
+    return F.when(barred, F.lit("none")).otherwise(F.coalesce(
+        F.get(same, F.lit(0))["slot"], F.try_element_at(alike, F.lit(-1))["slot"], F.lit("none")))
 
 
 def label_turns(features: DataFrame, label_maps: dict, label_value_repetitions: bool = False,
-                slots: tuple[str, ...] | None = None) -> DataFrame:
-    """D5/D6/D9/W13 slot loop over precomputed per-(turn, slot) features.
+                slots: tuple[str, ...] | None = None, block_size: int = DEFAULT_BLOCK) -> DataFrame:
+    """Class, referral, informed value, span and running state of every (turn, slot).
 
-    ``slots`` is the slot list (its order matters for referrals); by default the
-    distinct slots of ``features`` ordered by ``slot_idx``.  The value-repetition
-    option is not offered: under it the value of an unchanged slot depends on
-    the loop's own earlier decisions, so the per-row features could not be
-    precomputed without emitting every earlier value of the slot.
+    A slot has a class other than 'none' exactly in the turns that give it a
+    value, so the seen value is the value carried forward over (dialogue, slot)
+    and needs no loop; it is split into blocks of turns (``windows``).
+    Referrals compare the slots of one turn (an array of the slot list).  The
+    class carried forward exclusively gives both the last seen class and the
+    dialogue state before the turn.
+
+    ``slots`` is accepted for callers that pass their list; the order is ``slot_idx``.
+    The value-repetition option is not offered: under it the value of an
+    unchanged slot depends on the labels of earlier turns.
 
     ``features``: dialog_id, turn, slot_idx, slot, modified, value_label,
     in_usr, last_start, last_end, informed, informed_value.
     """
+    from ..config import label_map_column
     if label_value_repetitions:
-        raise NotImplementedError("label_value_repetitions needs the fold to evaluate value features itself")
-    if slots is None:
-        slots = tuple(r["slot"] for r in features.select("slot_idx", "slot").distinct().orderBy("slot_idx").collect())
-    ordered = (features.repartition("dialog_id")
-               .sortWithinPartitions("dialog_id", "turn", "slot_idx")
-               .select("dialog_id", "turn", "slot", "modified", "value_label", "in_usr", "last_start",
-                       "last_end", "informed", "informed_value"))
-    return ordered.mapInPandas(make_fold(label_maps, tuple(slots)), FOLD_SCHEMA)
+        raise NotImplementedError("label_value_repetitions: values would depend on the labels of earlier turns")
+    key, pointable = ["dialog_id", "slot"], ~F.col("value_label").isin(*NON_POINTABLE)
+    x = features.withColumn("given", F.when(F.col("value_label") != "none", F.col("value_label")))
+    x = carry_forward(x, key, "turn", "given", "after", default="none", exclusive_out="before", block_size=block_size)
+    one = F.struct("slot_idx", "slot", F.col("value_label").alias("value"), "before", "after",
+                   (pointable & ~F.col("in_usr") & ~F.col("informed")).alias("may_refer"),
+                   F.when(~pointable, F.col("value_label")).when(F.col("in_usr"), "copy_value")
+                   .when(F.col("informed"), "inform").alias("found"),
+                   F.when(pointable & ~F.col("in_usr"), F.col("informed_value")).otherwise("none").alias("informed_value"),
+                   F.when(pointable & F.col("in_usr"), F.col("last_start")).otherwise(-1).cast("int").alias("label_start"),
+                   F.when(pointable & F.col("in_usr"), F.col("last_end")).otherwise(-1).cast("int").alias("label_end"))
+    turn = x.groupBy("dialog_id", "turn").agg(F.sort_array(F.collect_list(one)).alias("all"))   # one entry a slot
+    maps = label_map_column(label_maps)
+    refer = F.transform("all", lambda me: F.when(me["may_refer"], _referred(me, F.col("all"), maps[me["value"]]))
+                        .otherwise("none"))
+    y = (turn.withColumn("refer", refer).select("dialog_id", "turn", F.inline(F.arrays_zip("all", "refer")))
+         .select("dialog_id", "turn", "all.*", "refer")
+         .withColumn("class_raw", F.coalesce("found", F.when(F.col("refer") != "none", "refer").otherwise("unpointable")))
+         .withColumn("marked", F.when(F.col("class_raw") != "none", F.col("class_raw"))))
+    y = carry_forward(y, key, "turn", "marked", None, exclusive_out="last_class", block_size=block_size)
+    dropped = (F.col("class_raw") == "unpointable") | (
+        F.coalesce(F.col("class_raw") == F.col("last_class"), F.lit(False))
+        & ~F.col("class_raw").isin("copy_value", "inform"))
+    return y.select(
+        "dialog_id", "turn", "slot", "class_raw",
+        F.when(dropped, "none").otherwise(F.col("class_raw")).alias("class_label"),
+        F.when(dropped, "none").otherwise(F.col("refer")).alias("refer_label"),
+        "informed_value", (F.col("informed_value") != "none").cast("int").alias("inform_slot"),
+        F.coalesce(F.when(F.col("last_class") == "unpointable", "copy_value").otherwise(F.col("last_class")),
+                   F.lit("none")).alias("diag_state"),
+        F.col("after").alias("seen_value"), "label_start", "label_end")
 
 
 def turn_slot_features(turns: DataFrame, changes: DataFrame, acts: DataFrame, slots: tuple[str, ...],

@@ -1,7 +1,7 @@
 """DuckDB oracle for the multi-domain slot loop.
 
-The Spark side is the streaming ``mapInPandas`` fold (``operators.dialogue``);
-here the same loop is a per-dialogue ``list_reduce`` over turns with an inner
+The Spark side is carried values and an array a turn (``operators.dialogue``);
+here the labelling is a per-dialogue ``list_reduce`` over turns with an inner
 ``list_reduce`` over the slots, carrying seen classes, seen values (slot
 order) and the dialogue state.
 """
