@@ -31,11 +31,34 @@ SLOT_EXAMPLE_SCHEMA = T.StructType([
     T.StructField("pos", T.LongType()),
 ])
 
-UTTERANCE_SCHEMA = "struct<text:string,metadata:map<string,string>,toks_joined:string>"
+# belief state of an utterance by domain; a nested value (the ``booked`` list) stays its JSON text in the string map
+METADATA_SCHEMA = "map<string,struct<book:map<string,string>,semi:map<string,string>>>"
+UTTERANCE_SCHEMA = f"struct<text:string,metadata:{METADATA_SCHEMA}>"
 KEYED_LOG_SCHEMA = f"map<string,struct<log:array<{UTTERANCE_SCHEMA}>>>"
+# acts of a dialogue by turn; a turn without annotation holds a plain string, kept as its text
+KEYED_ACTS_SCHEMA = "map<string,map<string,string>>"
+TURN_ACTS_SCHEMA = "map<string,array<array<string>>>"
+TRANSCRIPTS_SCHEMA = ("array<struct<dialogue_idx:string,dialogue:array<struct<turn_idx:int,system_transcript:string,"
+                      "transcript:string,turn_label:array<array<string>>>>>>")
+_SIM_UTTERANCE = "struct<tokens:array<string>,slots:array<struct<slot:string,start:int,exclusive_end:int>>>"
+SPAN_DIALOGUES_SCHEMA = ("array<struct<dialogue_id:string,turns:array<struct<"
+                         f"system_utterance:{_SIM_UTTERANCE},user_utterance:{_SIM_UTTERANCE},"
+                         "dialogue_state:array<struct<slot:string,value:string>>>>>>")
 JSON_SETS_SCHEMA = "map<string,array<array<string>>>"
 
 
+def json_objects(spark: SparkSession, path: str, schema: str, whole_files: bool = False) -> DataFrame:
+    """One parsed value (column ``value``) a line, or a file.
+
+    ``whole_files``: each file is one JSON value, indented or not.  A file is
+    then one task's work; a large one is converted to one value a line (or to
+    Parquet) once.  What cannot be parsed raises instead of reading as nothing.
+    """
+    raw = spark.read.text(path, wholetext=whole_files)
+    raw = raw.where(F.trim("value") != "")
+    return raw.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("value"))
+
+
 def read_intent_csv(spark: SparkSession, path: str) -> DataFrame:
     """SC1: comma CSV with header ``text,category`` (quoted fields may hold newlines)."""
     return (spark.read.schema(INTENT_SCHEMA).option("header", True).option("multiLine", True)
@@ -59,10 +82,10 @@ def read_many_files(spark: SparkSession, path: str) -> DataFrame:
                      .alias("category"))
 
 
-def read_json_sets(spark: SparkSession, path: str, keep=("train", "test", "val")) -> DataFrame:
+def read_json_sets(spark: SparkSession, path: str, keep=("train", "test", "val"), whole_files: bool = False) -> DataFrame:
     """SC4: JSON objects of named sets ``{set: [[text, category], ...]}``; other sets are dropped."""
-    raw = spark.read.text(path)
-    sets = raw.select(F.explode(F.from_json("value", JSON_SETS_SCHEMA)).alias("set_name", "rows"))
+    raw = json_objects(spark, path, JSON_SETS_SCHEMA, whole_files)
+    sets = raw.select(F.explode("value").alias("set_name", "rows"))
     return (sets.where(F.col("set_name").isin(*keep))
             .select("set_name", F.explode("rows").alias("r"))
             .select("set_name", F.try_element_at(F.col("r"), F.lit(1)).alias("text"), F.try_element_at(F.col("r"), F.lit(2)).alias("category")))
@@ -74,9 +97,59 @@ def read_json_array(spark: SparkSession, path: str, schema: T.StructType = SLOT_
     return spark.read.schema(schema).option("multiLine", multi_line).json(path)
 
 
-def read_keyed_logs(spark: SparkSession, path: str) -> DataFrame:
-    """SC6: JSON objects keyed by dialogue id, one object per line (``dialogues`` map column)."""
-    return spark.read.text(path).select(F.from_json("value", KEYED_LOG_SCHEMA).alias("dialogues"))
+def read_keyed_logs(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
+    """SC6: JSON objects keyed by dialogue id (``dialogues`` map column), one a line or one a file."""
+    return json_objects(spark, path, KEYED_LOG_SCHEMA, whole_files).withColumnRenamed("value", "dialogues")
+
+
+def read_keyed_acts(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
+    """Dialogue acts ``{dialogue: {turn: {act: [[slot, value], ...]}}}``: one row a (slot, value), in order.
+
+    A turn whose value is a string ("No Annotation") gives one row with ``annotated`` false.
+    """
+    turns = (json_objects(spark, path, KEYED_ACTS_SCHEMA, whole_files)
+             .select(F.explode("value").alias("dialog_id", "turns"))
+             .select("dialog_id", F.explode("turns").alias("turn", "acts")))
+    plain = ~F.ltrim("acts").startswith("{")
+    acts = F.when(~plain, F.from_json("acts", TURN_ACTS_SCHEMA))
+    rows = turns.select("dialog_id", F.col("turn").cast("bigint").alias("turn"), plain.alias("plain"),
+                        F.posexplode_outer(F.map_entries(acts)).alias("act_pos", "a"))
+    return (rows.select("dialog_id", "turn", "plain", "act_pos", F.col("a.key").alias("act"),
+                        F.posexplode_outer("a.value").alias("pair_pos", "p"))
+            .where(F.col("plain") | F.col("p").isNotNull())
+            .select("dialog_id", "turn", (F.coalesce("act_pos", F.lit(0)) * F.lit(1 << 20).cast("bigint")
+                                          + F.coalesce("pair_pos", F.lit(0))).alias("pos"), "act",
+                    F.try_element_at("p", F.lit(1)).alias("slot"), F.try_element_at("p", F.lit(2)).alias("value"),
+                    (~F.col("plain")).alias("annotated")))
+
+
+def read_transcripts(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
+    """Transcript dialogues: one row a turn (dialog_id, turn, system_transcript, transcript, turn_label pairs)."""
+    d = json_objects(spark, path, TRANSCRIPTS_SCHEMA, whole_files).select(F.inline("value"))
+    return d.select(F.col("dialogue_idx").alias("dialog_id"), F.inline("dialogue")).withColumnRenamed("turn_idx", "turn")
+
+
+def read_span_dialogues(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
+    """Span dialogues: one row a turn (dialog_id, turn, both utterances' tokens and spans, dialogue state)."""
+    d = json_objects(spark, path, SPAN_DIALOGUES_SCHEMA, whole_files).select(F.inline("value"))
+    t = d.select(F.col("dialogue_id").alias("dialog_id"), F.posexplode("turns").alias("turn", "t"))
+    return t.select("dialog_id", F.col("turn").cast("bigint").alias("turn"), "t.*")
+
+
+def belief_state(utterances: DataFrame) -> DataFrame:
+    """The state rows of utterances with typed ``metadata``: domain, category, name, value, booked_v.
+
+    ``booked_v`` is the value of the first booked entry with that name; the list itself is no slot.
+    """
+    u = utterances.select("dialog_id", "utt_idx", F.explode("metadata").alias("domain", "m"))
+    u = u.withColumn("booked", F.get(F.from_json(F.col("m.book")["booked"], "array<map<string,string>>"), F.lit(0)))
+    side = lambda c: F.transform(F.map_entries(F.coalesce(F.col(f"m.{c}"), F.create_map().cast("map<string,string>"))),
+                                 lambda e: F.struct(F.lit(c).alias("category"), e["key"].alias("name"),
+                                                    e["value"].alias("value")))
+    s = u.select("dialog_id", "utt_idx", "domain", "booked", F.inline(F.concat(side("book"), side("semi"))))
+    s = s.where(~((F.col("category") == "book") & (F.col("name") == "booked")))
+    return s.select("dialog_id", "utt_idx", "domain", "category", "name", "value",
+                    F.try_element_at("booked", F.col("name")).alias("booked_v"))
 
 
 def read_tsv_field(spark: SparkSession, path: str, field: int = 3) -> DataFrame:
@@ -110,13 +183,13 @@ def write_keyed_logs(spark: SparkSession, utts: DataFrame) -> str:
     One dialogue's log is one JSON object by definition of the format.
     """
     path = fresh_path(spark, "keyed-logs")
-    item = F.struct("utt_idx", "text", "is_sys", F.array_join("toks", " ").alias("toks_joined"))
+    item = F.struct("utt_idx", "text", "is_sys")
     per = utts.groupBy("dialog_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    empty = F.create_map().cast("map<string,string>")
+    state = F.create_map(F.lit("hotel"), F.struct(empty.alias("book"), empty.alias("semi")))   # system side has one
     log = F.transform("items", lambda x: F.struct(
-        x["text"].alias("text"),
-        F.when(x["is_sys"], F.create_map(F.lit("sys"), F.lit("1")))
-        .otherwise(F.create_map().cast("map<string,string>")).alias("metadata"),
-        x["toks_joined"].alias("toks_joined")))
+        x["text"].alias("text"), F.when(x["is_sys"], state).otherwise(
+            F.create_map().cast(METADATA_SCHEMA)).alias("metadata")))
     obj = per.select(F.to_json(F.create_map(F.col("dialog_id").cast("string"),
                                             F.struct(log.alias("log")))).alias("value"))
     obj.write.text(path)

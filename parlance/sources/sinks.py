@@ -56,6 +56,7 @@ def pack_submission(outputs: DataFrame, path: str | None = None, run_col: str |
     """SK5: per dataset (and run) the ordered outputs -- one folder per dataset, JSON lines sorted by ``pos``."""
     path = path or fresh_path(outputs.sparkSession, "submission")
     keys = ["dataset"] + ([run_col] if run_col else [])
-    (outputs.repartition(*keys).sortWithinPartitions(*keys, "pos")
+    # ranges of (dataset, run, position): a large dataset is many files, whose names keep the order
+    (outputs.repartitionByRange(*keys, "pos").sortWithinPartitions(*keys, "pos")
      .write.partitionBy(*keys).json(path))
     return path
