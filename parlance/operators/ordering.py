@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+SUPER_BLOCK = 1024       # blocks whose offsets are summed in one group
 DEFAULT_BUCKETS = 4096   # per group: a hot group is numbered by up to 4096 tasks
 
 
@@ -37,10 +38,24 @@ def dense_index(df: DataFrame, group: list[str], order: str, out: str = "idx",
     b = df.withColumn("__b", bucket)
     counts = b.groupBy(*group, "__b").agg(F.count(F.lit(1)).alias("__n"))
     gw = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-    offs = counts.withColumn("__off", F.coalesce(
-        F.sum("__n").over(gw.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    if count_col:
-        offs = offs.withColumn(count_col, F.sum("__n").over(gw))
+
+    def before(w):
+        return F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    if range_block:
+        # as many buckets as the data has blocks: their offsets are summed in two levels
+        counts = counts.withColumn("__s", F.floor(F.col("__b") / SUPER_BLOCK).cast("bigint"))
+        supers = counts.groupBy(*group, "__s").agg(F.sum("__n").alias("__n"))
+        supers = supers.withColumn("__soff", before(gw.orderBy("__s")))
+        if count_col:
+            supers = supers.withColumn(count_col, F.sum("__n").over(gw))
+        offs = (counts.withColumn("__loff", before(Window.partitionBy(*group, "__s").orderBy("__b")))
+                .join(supers.drop("__n"), [*group, "__s"])
+                .withColumn("__off", F.col("__soff") + F.col("__loff")).drop("__s", "__soff", "__loff"))
+    else:
+        offs = counts.withColumn("__off", before(gw.orderBy("__b")))
+        if count_col:
+            offs = offs.withColumn(count_col, F.sum("__n").over(gw))
     rw = Window.partitionBy(*group, "__b").orderBy(order)
     numbered = b.withColumn("__rn", F.row_number().over(rw))
     res = numbered.join(offs.drop("__n"), [*group, "__b"]).withColumn(out, F.col("__off") + F.col("__rn") - 1)

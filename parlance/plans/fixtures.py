@@ -45,12 +45,18 @@ def digit(h: Column, i: int) -> Column:
 def user_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User utterances numbered 0.. per conversation (dialog_id, turn, text, toks)."""
     conv = read_table(spark, sf_dir, "conversations").where(F.col("role") == "user")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return conv.select(F.col("conv_id").alias("dialog_id"),
-                       (F.row_number().over(w) - 1).cast("bigint").alias("turn"),
+    # exact rank in blocks of positions: a long conversation is numbered by many tasks
+    from ..operators.ordering import dense_index
+    conv = dense_index(conv.select("conv_id", "turn", "text"), ["conv_id"], "turn", "nth", range_block=4096)
+    return conv.select(F.col("conv_id").alias("dialog_id"), F.col("nth").cast("bigint").alias("turn"),
                        "text", word_tokens(F.lower("text")).alias("toks"))
 
 
+def row_position(dialog: str, turn: str = "turn") -> Column:
+    """One number for (dialogue, turn) in file order; turns are 32-bit numbers, so pairs never share one."""
+    return F.col(dialog).cast("bigint") * F.lit(1 << 32) + F.col(turn)
+
+
 def _win(toks: Column, start: Column, length: Column) -> Column:
     return F.array_join(F.slice(toks, start + 1, length), " ")
 
@@ -371,7 +377,7 @@ def slot_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     n_lab = (hexint(h, 25, 1) % 3).cast("int")
     labels = F.slice(F.array(label(0), label(1)), 1, n_lab)
-    return u.select((F.col("conv_id") * 1000 + F.col("turn")).alias("pos"),
+    return u.select(row_position("conv_id").alias("pos"),
                     F.struct(F.col("text")).alias("userInput"),
                     F.when(ctx_i > 0, F.struct(ctx.alias("requestedSlots"))).alias("context"),
                     labels.alias("labels"))

@@ -156,9 +156,9 @@ def q_subword_encode(spark, sf):
 
 
 def _dst_ex(spark, sf):
-    p = fx.dst_predictions_long(spark, sf).withColumn("ord", F.col("dialog_id") * (1 << 20) + F.col("turn"))
+    p = fx.dst_predictions_long(spark, sf).withColumn("ord", fx.row_position("dialog_id"))
     turns = p.select("dialog_id", "turn", "ord").distinct()
-    idx = dense_index(turns, [], "ord", "ex_idx", range_block=1 << 24)
+    idx = dense_index(turns, [], "ord", "ex_idx", range_block=1 << 36)
     return p.join(idx.select("dialog_id", "turn", "ex_idx"), ["dialog_id", "turn"])
 
 

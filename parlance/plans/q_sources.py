@@ -73,7 +73,7 @@ def _slot_sql():
           's': CASE WHEN substr(h, {20 + k}, 1) < 'e' THEN {hx(3 + 6 * k, 4)} % nn ELSE 0 END,
           'e': CASE WHEN substr(h, {20 + k}, 1) < 'c' THEN {hx(3 + 6 * k, 4)} % nn + 1 + {hx(7 + 6 * k, 2)} % 20 ELSE -1 END}}""")
     return f"""WITH se0 AS (
-  SELECT conv_id * 1000 + turn AS pos, text, md5('se:' || CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR)) AS h,
+  SELECT conv_id * 4294967296 + turn AS pos, text, md5('se:' || CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR)) AS h,
          greatest(length(text), 1) AS nn, length(text) AS n
   FROM conversations WHERE role = 'user'),
 se1 AS (
@@ -170,7 +170,7 @@ SELECT parse AS value FROM tp""")
 def q_scan_tsv_field(spark, sf):
     p = fx.top_parses(spark, sf)
     lines = p.select(F.concat_ws("\t", F.col("dialog_id").cast("string"), F.col("turn").cast("string"), "parse")
-                     .alias("value"), (F.col("dialog_id") * 1000 + F.col("turn")).alias("pos"))
+                     .alias("value"), fx.row_position("dialog_id").alias("pos"))
     path = K.write_lines(lines, "value", "pos")
     return R.read_tsv_field(spark, path, 3)
 
@@ -188,7 +188,7 @@ SELECT array_to_string(list_transform(items, lambda w: regexp_extract(w, '^(.*):
        array_to_string(list_transform(items, lambda w: regexp_extract(w, ':([^:]*)$', 1)), ' ') AS tags, intent FROM it""")
 def q_scan_tagged_lines(spark, sf):
     p = fx.top_parses(spark, sf)
-    lines = p.select(S.brackets_to_bio("parse").alias("value"), (F.col("dialog_id") * 1000 + F.col("turn")).alias("pos"))
+    lines = p.select(S.brackets_to_bio("parse").alias("value"), fx.row_position("dialog_id").alias("pos"))
     path = K.write_lines(lines, "value", "pos")
     r = R.read_tagged_lines(spark, path)
     return r.select(F.array_join("tokens", " ").alias("tokens"), F.array_join("tags", " ").alias("tags"), "intent")
@@ -223,22 +223,22 @@ def q_cumulative_history(spark, sf):
 
 
 @register("merge_corpus", I + """,
-top AS (SELECT 2 AS source, conv_id * 1000 + turn AS pos, text FROM conversations WHERE role = 'user'),
+top AS (SELECT 2 AS source, conv_id * 4294967296 + turn AS pos, text FROM conversations WHERE role = 'user'),
 hist AS (SELECT conv_id, turn, trim(regexp_replace(string_agg(text, ' [SEP] ' ORDER BY turn) OVER (PARTITION BY conv_id ORDER BY turn
           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '\\s+', ' ', 'g')) AS history FROM conversations)
 SELECT 0 AS source, pos, text FROM intents
 UNION ALL SELECT 1, item_id, text FROM benchmark
 UNION ALL SELECT * FROM top
-UNION ALL SELECT 3, conv_id * 1000 + turn, history FROM hist WHERE turn % 2 = 0""")
+UNION ALL SELECT 3, conv_id * 4294967296 + turn, history FROM hist WHERE turn % 2 = 0""")
 def q_merge_corpus(spark, sf):
     c = fx.read_table(spark, sf, "conversations")
     parts = [
         fx.intent_rows(spark, sf).select(F.lit(0).alias("source"), "pos", "text"),
         fx.read_table(spark, sf, "benchmark").select(F.lit(1).alias("source"), F.col("item_id").alias("pos"), "text"),
-        c.where(F.col("role") == "user").select(F.lit(2).alias("source"), (F.col("conv_id") * 1000 + F.col("turn"))
+        c.where(F.col("role") == "user").select(F.lit(2).alias("source"), (fx.row_position("conv_id"))
                                                 .alias("pos"), "text"),
         C.cumulative_history(c, dialog="conv_id", order="turn", text="text").where(F.col("turn") % 2 == 0)
-        .select(F.lit(3).alias("source"), (F.col("conv_id") * 1000 + F.col("turn")).alias("pos"),
+        .select(F.lit(3).alias("source"), (fx.row_position("conv_id")).alias("pos"),
                 F.col("history").alias("text")),
     ]
     out = parts[0]
