@@ -197,16 +197,27 @@ def feature_key(**params) -> str:
     return hashlib.sha1(json.dumps(params, sort_keys=True, default=str).encode()).hexdigest()[:16]
 
 
-def materialise(df: DataFrame, base: str, **params) -> DataFrame:
-    """SK4: write the features once per parameter set under ``base`` and read them back (lineage cut)."""
-    # the output schema joins the key, so a changed feature layout never reads an old cache
-    path = f"{base.rstrip('/')}/features-{feature_key(schema=df.schema.simpleString(), **params)}"
+def input_state(*tables: DataFrame) -> list[list]:
+    """File, size and modification time of everything the tables read: what a cache key knows of the input."""
+    return [sorted([r["p"], r["s"], str(r["t"])] for r in t.select(
+        F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("s"),
+        F.col("_metadata.file_modification_time").alias("t")).distinct().collect()) for t in tables]
+
+
+def materialise(df: DataFrame, base: str, inputs: list | None = None, **params) -> DataFrame:
+    """SK4: write the features once per input and parameter set under ``base`` and read them back (lineage cut).
+
+    ``inputs`` (see ``input_state``) and the output schema join the key, so
+    changed files or a changed layout never read an old cache.  Only a folder
+    that was written to its end (``_SUCCESS``) counts; any other error of the
+    read is an error.
+    """
+    path = f"{base.rstrip('/')}/features-{feature_key(schema=df.schema.simpleString(), inputs=inputs, **params)}"
     spark = df.sparkSession
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001  -- not written yet
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
         df.write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+    return spark.read.parquet(path)
 
 
 # --------------------------------------------------------- run-time metrics

@@ -86,18 +86,29 @@ def _with_types_literal(rows: DataFrame, types: list[str], exact: bool,
             .select("has_pred", "has_true", "x.slot_type", F.col("x.p").alias("p"), F.col("x.l").alias("l")))
 
 
-def _with_types_join(rows: DataFrame, types: DataFrame, pred_col: str, true_col: str,
-                     key: str = "pos") -> DataFrame:
-    """Exact-type path for very large type lists: equi-join on the span's type, order kept by index."""
+def _substrings(text: Column) -> Column:
+    """All distinct substrings (the empty one too) of a short text."""
+    n = F.length(text)
+    at = F.transform(F.sequence(F.lit(1), n + 1), lambda i: F.transform(
+        F.sequence(F.lit(0), n + 1 - i), lambda k: F.substring(text, i, k)))
+    return F.array_distinct(F.flatten(at))
+
+
+def _with_types_join(rows: DataFrame, types: DataFrame, pred_col: str, true_col: str, exact: bool = True) -> DataFrame:
+    """Path for very large type lists: an equi-join of types with the spans' types or, for the substring test, with
+    the substrings of the distinct spans (a span is short); order kept by index."""
+    keys = [c for c in rows.columns if c not in (pred_col, true_col)]     # name the row, and its two flags
+
     def side(col, tag):
-        return rows.select(key, F.posexplode(col).alias("i", "s")).select(
-            key, "i", span_type("s").alias("slot_type"), F.lit(tag).alias("side"), "s")
-    exploded = side(pred_col, "p").unionByName(side(true_col, "l")).join(types, "slot_type", "left_semi")
-    grouped = exploded.groupBy(key, "slot_type").agg(
+        return rows.select(*keys, F.posexplode(col).alias("i", "s"), F.lit(tag).alias("side"))
+    spans = side(pred_col, "p").unionByName(side(true_col, "l"))
+    own = spans.select("s").distinct()
+    own = own.select("s", span_type("s").alias("slot_type")) if exact else own.select(
+        "s", F.explode(_substrings(F.col("s"))).alias("slot_type"))
+    grouped = spans.join(own.join(types, "slot_type", "left_semi"), "s").groupBy(*keys, "slot_type").agg(
         F.sort_array(F.collect_list(F.when(F.col("side") == "p", F.struct("i", "s")))).alias("p"),
         F.sort_array(F.collect_list(F.when(F.col("side") == "l", F.struct("i", "s")))).alias("l"))
-    return (grouped.join(rows.select(key, "has_pred", "has_true"), key)
-            .select("has_pred", "has_true", "slot_type", F.col("p.s").alias("p"), F.col("l.s").alias("l")))
+    return grouped.select("has_pred", "has_true", "slot_type", F.col("p.s").alias("p"), F.col("l.s").alias("l"))
 
 
 def span_type_rows(pairs: DataFrame, types: list[str] | None = None, exact: bool = False,
@@ -117,9 +128,7 @@ def span_type_rows(pairs: DataFrame, types: list[str] | None = None, exact: bool
             if len(types) > MAX_LITERAL_TYPES:
                 break
         if len(types) > MAX_LITERAL_TYPES:
-            if not exact:
-                raise ValueError("too many slot types for substring matching; use exact=True")
-            return _with_types_join(pairs, tdf, pred_col, true_col)
+            return _with_types_join(pairs, tdf, pred_col, true_col, exact)
         types = sorted(types)
     return _with_types_literal(pairs, types, exact, pred_col, true_col)
 

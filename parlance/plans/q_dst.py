@@ -23,7 +23,8 @@ KEY3 = "dialog_id, turn, slot"
 SELECT set_type, dialog_id, turn, slot, class_label_id, class_prediction, start_pos, start_prediction,
        end_pos, end_prediction, refer_id, refer_prediction, slot_groundtruth, slot_prediction FROM dst""")
 def q_scan_predictions_long(spark, sf):
-    return fx.dst_predictions_long(spark, sf)
+    from ..sources.predictions import unpivot_predictions
+    return unpivot_predictions(fx.dst_predictions_wide(spark, sf), fx.DST_SLOTS, dialog_type="bigint")
 
 
 @register("word_tokenise", f"""

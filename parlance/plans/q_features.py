@@ -291,7 +291,8 @@ def q_turns_to_features(spark, sf):
 def q_materialise_features(spark, sf):
     from ..session import shared_dir
     feats = q_turns_to_features(spark, sf)
-    return FE.materialise(feats, shared_dir(spark) + "/feature-cache", sf=sf, max_len=MAX_LEN, vocab_top_k=500,
+    inputs = FE.input_state(fx.read_table(spark, sf, "conversations"))
+    return FE.materialise(feats, shared_dir(spark) + "/feature-cache", inputs=inputs, max_len=MAX_LEN, vocab_top_k=500,
                           slots=fx.MW_SLOT_NAMES, dropout=0.0)
 
 
