@@ -195,16 +195,22 @@ def q_delex_values(spark, sf):
 
 
 @register("dialogue_state_dict", DT + """,
-e AS (SELECT dialog_id, turn, slot, gt_value FROM dt
-      UNION ALL SELECT dialog_id, turn, slot, iv FROM dt WHERE substr(md5(slot || CAST(turn AS VARCHAR)), 1, 1) < '8'),
-l AS (SELECT dialog_id, turn, slot, last(gt_value) AS value FROM (SELECT * FROM e) GROUP BY dialog_id, turn, slot)
-SELECT dialog_id, turn, count(*) AS n_slots FROM l GROUP BY dialog_id, turn""")
+e AS (SELECT dialog_id, turn, slot, gt_value AS value, 0 AS k FROM dt
+      UNION ALL SELECT dialog_id, turn, slot, iv, 1 FROM dt WHERE substr(md5(slot || CAST(turn AS VARCHAR)), 1, 1) < '8'),
+l AS (SELECT dialog_id, turn, slot, arg_max(coalesce(value, '-'), k) AS value FROM e GROUP BY dialog_id, turn, slot)
+SELECT dialog_id, turn, string_agg(slot || '=' || value, ';' ORDER BY slot) AS state FROM l GROUP BY dialog_id, turn""")
 def q_dialogue_state_dict(spark, sf):
+    """F16 over entries that name some slots twice: the last value of a slot is the one that stays."""
     d = _dst_with_tokens(spark, sf)
-    per_turn = d.groupBy("dialog_id", "turn").agg(F.sort_array(F.collect_list(F.struct(
-        "slot", F.col("gt_value").alias("value")))).alias("entries"))
+    again = F.substring(F.md5(F.concat("slot", F.col("turn").cast("string"))), 1, 1) < "8"
+    one = lambda v: F.struct("slot", F.coalesce(F.col(v), F.lit("-")).alias("value"))
+    per_turn = d.groupBy("dialog_id", "turn").agg(F.concat(
+        F.sort_array(F.collect_list(one("gt_value"))),
+        F.sort_array(F.collect_list(F.when(again, one("iv"))))).alias("entries"))
     m = per_turn.select("dialog_id", "turn", V.state_dict("entries").alias("state"))
-    return m.select("dialog_id", "turn", F.size("state").cast("bigint").alias("n_slots"))
+    entries = F.array_sort(F.transform(F.map_entries("state"), lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v"))))
+    return m.select("dialog_id", "turn", F.array_join(F.transform(
+        entries, lambda e: F.concat_ws("=", e["k"], e["v"])), ";").alias("state"))
 
 
 @register("undo_wordpiece", DT + f""",
