@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.normalize import normalise_label
-from .windows import DEFAULT_BLOCK, carry_forward, previous_value
+from .windows import DEFAULT_BLOCK, carry_forward, previous_value, running_sum_before
 
 # Act types that inform a value.
 INFORM_ACTS = ("inform", "recommend", "select", "book")
@@ -163,7 +163,11 @@ def values_shared_by_slots(state: DataFrame, keys=("dialog_id", "turn")) -> Data
 
 def too_long_rate(turns: DataFrame, max_len: int, correction: int = 4) -> DataFrame:
     """Share of examples whose sys+usr+history length exceeds ``max_len - correction``."""
-    n = F.size("sys_toks") + F.size("usr_toks") + F.size("hst_toks")
+    # the history of a turn is all turns before it: only its size is needed, a running sum
+    own = F.size("sys_toks") + F.size("usr_toks")
+    turns = running_sum_before(turns.select("dialog_id", "turn", own.cast("bigint").alias("own")), ["dialog_id"], "turn",
+                               "own", "past")
+    n = F.col("own") + F.col("past")
     return turns.agg(F.sum(F.when(n > max_len - correction, 1).otherwise(0)).alias("n_long"),
                      F.count(F.lit(1)).alias("n"))
 

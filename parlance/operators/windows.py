@@ -82,6 +82,18 @@ def carry_forward(df: DataFrame, keys: list[str], order: str, value: str, out: s
     return res.drop(_BLK, "__local", "__local_x", "__carry")
 
 
+def running_sum_before(df: DataFrame, keys: list[str], order: str, value: str, out: str,
+                       block_size: int = DEFAULT_BLOCK) -> DataFrame:
+    """``out`` = sum of ``value`` over the rows strictly before each one, per key, block-split like ``carry_forward``."""
+    x = _blocked(df, keys, order, block_size, None)
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    local = F.sum(value).over(before(Window.partitionBy(*keys, _BLK).orderBy(order)))
+    sums = x.groupBy(*keys, _BLK).agg(F.sum(value).alias("__sum"))
+    carry = sums.select(*keys, _BLK, F.sum("__sum").over(before(Window.partitionBy(*keys).orderBy(_BLK))).alias(_SEED))
+    res = x.withColumn("__local", local).join(carry, [*keys, _BLK])
+    return res.withColumn(out, F.coalesce("__local", F.lit(0)) + F.coalesce(_SEED, F.lit(0))).drop(_BLK, "__local", _SEED)
+
+
 def previous_value(df: DataFrame, keys: list[str], order: str, value: str, out: str,
                    default=None, block_size: int = DEFAULT_BLOCK, partition_by: list[str] | None = None
                    ) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import DatasetConfig
+from ..functions.normalize import normalise_text
 from ..functions.text import word_tokens
 from ..session import read_table
 
@@ -251,7 +252,8 @@ def mw_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read_table(spark, sf_dir, "conversations")
     flip = F.substring(md5_of("fl", F.col("conv_id"), F.col("turn")), 1, 2) < "08"   # a few misordered logs
     return c.select(F.col("conv_id").alias("dialog_id"), F.col("turn").alias("utt_idx"), "text",
-                    ((F.col("role") != "user") != flip).alias("is_sys"), word_tokens(F.lower("text")).alias("toks"))
+                    ((F.col("role") != "user") != flip).alias("is_sys"),
+                    word_tokens(normalise_text(F.lower("text"))).alias("toks"))
 
 
 def mw_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:

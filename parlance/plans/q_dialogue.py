@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import normalize as N
 from ..functions.text import span_labels
 from ..operators import dialogue as D
 from . import fixtures as fx
@@ -29,7 +30,7 @@ MW = f"""WITH mwu AS (
   SELECT conv_id AS dialog_id, turn AS utt_idx, text,
          ((role <> 'user') <> (substr(md5('fl:' || CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR)), 1, 2) < '08'))
            AS is_sys,
-         {osql.sql_toks('lower(text)')} AS toks
+         {osql.sql_toks(N.sql_normalise_text('lower(text)'))} AS toks
   FROM conversations),
 cut0 AS (SELECT *, CAST(is_sys AS INTEGER) AS s_,
                 coalesce(lag(CAST(is_sys AS INTEGER)) OVER (PARTITION BY dialog_id ORDER BY utt_idx), 1) AS prev_
@@ -242,7 +243,7 @@ h AS (SELECT *, coalesce(flatten(list_reverse(array_agg(list_concat(sys_toks, us
 SELECT CAST(sum(CASE WHEN len(sys_toks) + len(usr_toks) + len(hst) > 180 - 4 THEN 1 ELSE 0 END) AS BIGINT) AS n_long,
        count(*) AS n FROM h""")
 def q_too_long_rate(spark, sf):
-    return D.too_long_rate(D.history_newest_first(_mw(spark, sf)[2]), 180)
+    return D.too_long_rate(_mw(spark, sf)[2], 180)
 
 
 def _labelled(spark, sf):
