@@ -29,10 +29,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import PandasUDFType
 
-from .common import free_name, whole_text
+from .common import free_name, whole_text, worker_store
 
 TRAIN_ROWS = 6_000      # labelled rows that are learned from, at most
-FEATURES = 1_024        # weights
+FEATURES = 1_024        # weights, or a third of the rows if that is less
 PREFIXES = (4, 5, 6)
 SWAP_WEIGHT = 5.0       # of the counterfactual penalty
 TOXIC_WEIGHT = 2.5      # of a toxic row against another one
@@ -63,6 +63,10 @@ def word_features(word: str) -> list[int]:
     return [h("w" + word) >> 1, *(h("p" + word[:k]) >> 1 for k in PREFIXES if len(word) >= k)]
 
 
+def _packed(words: set[str]) -> bytes:
+    return np.array(sorted({f for w in words for f in word_features(w)}), np.int64).tobytes()
+
+
 def swapped(words: set[str]) -> set[str] | None:
     """The words with each identity term replaced by the next one of its group; None without such a term."""
     terms = words.intersection(_GROUP)
@@ -79,6 +83,7 @@ class Model:
 
     def scorer(self):
         """A function of a list of texts; it remembers words for as long as it lives."""
+        worker_store("toxicity")        # lets go of another operator's memos
         weight = dict(zip(self.features.tolist(), self.weights.tolist()))
         memo: dict[str, tuple] = {}
 
@@ -116,7 +121,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, swaps: list[np.ndarray | Non
     gap = toxic / n1 - (seen - toxic) / n0
     p = seen / len(y)
     rank = gap ** 2 / np.maximum(p * (1 - p), 1e-9) * (seen >= 3)
-    chosen = np.sort(np.argsort(-rank, kind="stable")[:n_features])
+    chosen = np.sort(np.argsort(-rank, kind="stable")[:min(n_features, max(64, len(rows) // 3))])
     chosen = chosen[rank[chosen] > 0]
     spot = np.full(len(every), -1)
     spot[chosen] = np.arange(len(chosen))
@@ -172,16 +177,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             for t in b["text"]:
                 words = words_of(t)
                 other = swapped(words)
-                own.append(np.array(sorted({f for w in words for f in word_features(w)}), np.int64))
-                copies.append(None if other is None else
-                              np.array(sorted({f for w in other for f in word_features(w)}), np.int64))
+                own.append(_packed(words))
+                copies.append(None if other is None else _packed(other))
             yield pd.DataFrame({"y": b["y"], "own": own, "copy": copies})
 
     got = (docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text")).join(drawn, "doc_id")
-           .select("y", "text").mapInPandas(features, "y int, own array<long>, copy array<long>").limit(2 * rows)
-           .toPandas())
-    order = sorted(range(len(got)), key=lambda i: (got["y"][i], got["own"][i].tobytes()))   # result free of row order
-    return fit([got["own"][i] for i in order], got["y"].to_numpy()[order], [got["copy"][i] for i in order])
+           .select("y", "text").mapInPandas(features, "y int, own binary, copy binary").limit(2 * rows).collect())
+    got = sorted((bytes(r["own"]), r["y"], bytes(r["copy"] or b"")) for r in got)    # free of the rows' order
+    return fit([np.frombuffer(o, np.int64) for o, _, _ in got], np.array([y for _, y, _ in got]),
+               [np.frombuffer(c, np.int64) if c else None for _, _, c in got])
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
