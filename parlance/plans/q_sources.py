@@ -302,3 +302,24 @@ def q_score_prediction_files(spark, sf):
     return (per_turn.groupBy("run").agg(F.count(F.lit(1)).alias("n_turns"),
                                         F.round(F.avg("turn_ok"), 6).alias("joint_goal_acc"))
             .orderBy(F.desc("joint_goal_acc"), "run"))
+
+
+_REGISTERED = ("banking", "hwu", "clinc")
+
+
+@register("source_registry", I + f"""
+SELECT dataset, split, text, category FROM intents WHERE dataset IN {_REGISTERED} AND split IN ('train', 'test')""")
+def q_source_registry(spark, sf):
+    """SC12: files in the registered layout, loaded by data set name and split."""
+    from ..session import fresh_path
+    from ..sources import registry
+    root, rows = fresh_path(spark, "registry"), fx.intent_rows(spark, sf)
+    out = None
+    for name in _REGISTERED:
+        for split in ("train", "test"):
+            part = rows.where((F.col("dataset") == name) & (F.col("split") == split)).select("text", "category")
+            K.write_csv_quoted(part, registry.path_of(root, name, split))
+            back = registry.load(spark, name, split, root).select(
+                F.lit(name).alias("dataset"), F.lit(split).alias("split"), "text", "category")
+            out = back if out is None else out.unionByName(back)
+    return out
