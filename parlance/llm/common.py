@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import types
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +26,18 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def worker_store(owner: str, name: str = "") -> dict:
+    """A dict that a Python worker process keeps from task to task, for one operator (``owner``) at a time.
+
+    An operator that asks for its store lets go of what another one left, so a
+    reused worker never holds the memos of several.
+    """
+    holder = sys.modules.setdefault("parlance_worker_store", types.ModuleType("parlance_worker_store")).__dict__
+    if holder.get("owner") != owner:
+        holder["owner"], holder["stores"] = owner, {}
+    return holder["stores"].setdefault(name, {})
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores appended while the table has such a column."""
     taken = {c.lower() for c in df.columns}

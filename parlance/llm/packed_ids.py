@@ -102,7 +102,7 @@ def write_packed(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
     """Encode all documents (each ended by ``end_id``) in ascending id order and write the packed folder."""
 
     def run(batches):
-        enc = UnitEncoder(tokenizer_path, "ids", lambda ids, starts: np.array(ids, "<u4").tobytes(),
+        enc = UnitEncoder(tokenizer_path, "ids", lambda ids, starts: ids.astype("<u4").tobytes(),
                           lambda x, y, n: x + y)
         bits, end = bits_for(max(enc.tok.get_vocab_size(), end_id + 1)), np.array([end_id], "<u4").tobytes()
         part, number, written = TaskContext.get().partitionId(), 0, 0
@@ -119,10 +119,10 @@ def write_packed(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
         for b in batches:
             texts = b["text"].tolist()
             split = [enc.units(t) for t in texts]
-            enc.learn([s[0] for s in split if s], {u for s in split if s for u in s[1:]})
+            enc.learn(split)
             rows = []
             for doc, t, s in zip(b["doc_id"].tolist(), texts, split):
-                code = enc.whole(t) if s is None else enc.bare[s[0]] + b"".join(map(enc.spaced.__getitem__, s[1:]))
+                code = enc.whole(t) if s is None else enc.bare[s[0]] + b"".join(map(enc.spaced.__getitem__, s[1]))
                 code += end
                 at = 0
                 while at < len(code):       # a document longer than a segment goes on in the next one

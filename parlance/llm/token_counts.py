@@ -43,26 +43,27 @@ class ChunkedCounter:
 
     def __init__(self, path: str, chunk: int = CHUNK, overlap: int = OVERLAP, agree: int = AGREE):
         self.short = UnitEncoder(path, "counts", lambda ids, starts: len(ids), lambda x, y, n: x + y)
-        self.enc = UnitEncoder(path, "offsets", _with_offsets, _join_offsets)
+        self.enc = UnitEncoder(path, "offsets", _with_offsets, _join_offsets, offsets=True)
         self.chunk, self.overlap, self.agree = chunk, overlap, agree
         self.widened = 0
 
     def counts(self, texts: list[str]) -> list[int]:
         fits = [t for t in texts if len(t) <= self.chunk]
         split = [self.short.units(t) for t in fits]
-        self.short.learn([s[0] for s in split if s], {u for s in split if s for u in s[1:]})
+        self.short.learn(split)
         spaced, bare = self.short.spaced.__getitem__, self.short.bare
-        done = iter([self.short.whole(t) if s is None else bare[s[0]] + sum(map(spaced, s[1:]))
+        done = iter([self.short.whole(t) if s is None else bare[s[0]] + sum(map(spaced, s[1]))
                      for t, s in zip(fits, split)])
         return [next(done) if len(t) <= self.chunk else len(self.long(t)[0]) for t in texts]
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids and start offsets (characters) of a chunk."""
-        units = self.enc.units(text)
-        if units is None:
-            got, at, units = [self.enc.whole(text)], [0], [text]
+        split = self.enc.units(text)
+        if split is None:
+            got, at = [self.enc.whole(text)], [0]
         else:
-            self.enc.learn(units[:1], set(units[1:]))
+            self.enc.learn([split])
+            units = [split[0], *split[1]]
             got = [self.enc.bare[units[0]], *map(self.enc.spaced.__getitem__, units[1:])]
             lens = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
             at = np.concatenate([[0], lens[0] + np.cumsum(lens[1:] + 1) - (lens[1:] + 1)])
@@ -114,8 +115,8 @@ class ChunkedCounter:
         return None
 
 
-def _with_offsets(ids: list[int], starts: list[int]) -> tuple[bytes, bytes]:
-    return np.array(ids, np.int32).tobytes(), np.array(starts, np.int32).tobytes()
+def _with_offsets(ids: np.ndarray, starts: np.ndarray) -> tuple[bytes, bytes]:
+    return ids.tobytes(), starts.tobytes()
 
 
 def _join_offsets(x: tuple, y: tuple, n: int) -> tuple[bytes, bytes]:

@@ -16,26 +16,20 @@ from __future__ import annotations
 
 import os
 import re
-import sys
-import types
 
 import numpy as np
 from tokenizers import Tokenizer
 
-MEMO_UNITS = 700_000      # units a worker process remembers before it starts over
+from .common import worker_store
+
+MEMO_UNITS = 500_000      # units a worker process remembers before it starts over
 _SPACE_RUN = re.compile(r" \s")
 _UNSAFE = re.compile(r"\s \s")
 
 
-def worker_store(name: str) -> dict:
-    """A dict that lives as long as the Python worker process."""
-    holder = sys.modules.setdefault("parlance_worker_store", types.ModuleType("parlance_worker_store"))
-    return holder.__dict__.setdefault(name, {})
-
-
 def load_tokenizer(path: str) -> Tokenizer:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    kept = worker_store("tokenizers")
+    kept = worker_store("units", "tokenizers")
     if path not in kept:
         kept[path] = Tokenizer.from_file(path)
         kept[path].no_truncation()
@@ -44,60 +38,78 @@ def load_tokenizer(path: str) -> Tokenizer:
 
 
 class UnitEncoder:
-    """Lookups of ``value(ids, starts)`` by unit; ids and starts (characters) are the library's for the unit alone.
+    """Lookups of ``value(ids, starts)`` by unit; ids and starts are the library's for the unit alone.
 
-    ``add(value, value)`` joins the values of neighbouring pieces of one unit.
+    ids is an int32 array; starts (characters) is one too if ``offsets`` is asked for, else None.
+    ``add(value, value, n)`` joins the values of the two pieces of a unit of n characters.
     """
 
-    def __init__(self, path: str, kind: str, value, add, memo_units: int = MEMO_UNITS):
+    def __init__(self, path: str, kind: str, value, add, offsets: bool = False, memo_units: int = MEMO_UNITS):
         self.tok, self.value, self.add, self.memo_units = load_tokenizer(path), value, add, memo_units
+        self.offsets = offsets
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.spaced = worker_store(f"{kind} spaced {path}")     # word -> value of " word"
-        self.bare = worker_store(f"{kind} bare {path}")         # text -> value of the text itself
-
-    def units(self, text: str) -> list[str] | None:
-        """What stands between the text's single spaces; None if the text has to be encoded whole."""
+        self.spaced = worker_store("units", f"{kind} spaced {path}")     # word -> value of " word"
+        self.bare = worker_store("units", f"{kind} bare {path}")         # text -> value of the text itself
+        kept = worker_store("units", "space-led ids")
+        if path not in kept:        # the byte-level alphabet writes a space as U+0120
+            vocab = self.tok.get_vocab()
+            kept[path] = np.zeros(max(vocab.values()) + 1, dtype=bool)
+            kept[path][[i for t, i in vocab.items() if t.startswith("\u0120")]] = True
+        self.space_led = kept[path]
+
+    def units(self, text: str) -> tuple[str, list[str]] | None:
+        """What stands before the first single space, and between the others; None if it has to be encoded whole."""
         if _SPACE_RUN.search(text) and _UNSAFE.search(text):
             return None
         if any(s in text for s in self.special):
             return None
-        return text.split(" ")
+        rest = text.split(" ")
+        return rest.pop(0), rest
+
+    def _of(self, encoding):
+        starts = np.array([a for a, _ in encoding.offsets], np.int32) if self.offsets else None
+        return self.value(np.array(encoding.ids, np.int32), starts)
 
     def whole(self, text: str):
-        e = self.tok.encode(text, add_special_tokens=False)
-        return self.value(e.ids, [a for a, _ in e.offsets])
+        return self._of(self.tok.encode(text, add_special_tokens=False))
 
-    def learn(self, heads: list[str], words: set[str]) -> None:
-        """Have the library encode the units not seen yet."""
+    def learn(self, split: list) -> None:
+        """Have the library encode the units not seen yet; ``split`` holds results of ``units``."""
         for memo in (self.spaced, self.bare):
             if len(memo) > self.memo_units:
                 memo.clear()
+        words: set[str] = set()
+        for s in split:
+            if s is not None:
+                words.update(s[1])
         new = words.difference(self.spaced)
         # letters and one mark: the pre-tokeniser cuts between them, so the two parts answer for the unit
         cut = [w for w in new if w and w[-1] in ",." and w[:-1].isalpha()]
         new.difference_update(cut)
         new.update({w[:-1] for w in cut}.difference(self.spaced))
-        self._ask(self.spaced, list(new), " ")
-        self._ask(self.bare, list({",", ".", *heads}.difference(self.bare)), "")
+        for u in {",", ".", *(s[0] for s in split if s is not None)}.difference(self.bare):
+            self.bare[u] = self.whole(u)
+        plain = [u for u in new if u and not u[0].isspace() and not u[-1].isspace()]
+        for u in new.difference(plain):
+            self.spaced[u] = self.whole(" " + u)
+        for at in range(0, len(plain), 512):
+            self._ask(plain[at:at + 512])
         for w in cut:
             self.spaced[w] = self.add(self.spaced[w[:-1]], self.bare[w[-1]], len(w))
 
-    def _ask(self, memo: dict, units: list[str], lead: str) -> None:
-        """Encode many units in one text, one a line of its own would change them, so each is led by a space."""
-        if not lead:
-            for u, e in zip(units, self.tok.encode_batch(units, add_special_tokens=False)):
-                memo[u] = self.value(e.ids, [a for a, _ in e.offsets])
-            return
-        plain = [u for u in units if u and not u[0].isspace() and not u[-1].isspace()]
-        for u in set(units).difference(plain):
-            e = self.tok.encode(" " + u, add_special_tokens=False)
-            memo[u] = self.value(e.ids, [a for a, _ in e.offsets])
-        for at in range(0, len(plain), 256):
-            part = plain[at:at + 256]
-            e = self.tok.encode(" " + " ".join(part), add_special_tokens=False)
-            ids, starts = e.ids, [a for a, _ in e.offsets]
-            begin = np.cumsum([0, *(len(u) + 1 for u in part)])
-            cuts = np.searchsorted(starts, begin).tolist()
-            for i, u in enumerate(part):
-                a, b, off = cuts[i], cuts[i + 1], int(begin[i])
-                memo[u] = self.value(ids[a:b], [s - off for s in starts[a:b]])
+    def _ask(self, words: list[str]) -> None:
+        """Many words in one text: each word's ids begin at the id that leads with its space."""
+        text = " " + " ".join(words)
+        if self.offsets:
+            e = self.tok.encode(text, add_special_tokens=False)
+            starts = np.array([a for a, _ in e.offsets], np.int32)
+        else:
+            e = self.tok.encode_batch_fast([text], add_special_tokens=False)[0]
+        ids = np.array(e.ids, np.int32)
+        first = np.flatnonzero(self.space_led[ids])
+        if len(first) != len(words):
+            raise ValueError("a word was not cut at its space")
+        at = 0
+        for w, a, b in zip(words, first.tolist(), [*first[1:].tolist(), len(ids)]):
+            self.spaced[w] = self.value(ids[a:b], starts[a:b] - at if self.offsets else None)
+            at += len(w) + 1
