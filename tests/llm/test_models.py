@@ -106,8 +106,14 @@ def test_pseudo_likelihood_learns_order_and_takes_odd_rows(spark, odd, odd_rows,
         want = 0.0
         for at in range(2, 2 + len(ids)):                    # one position at a time, from both sides
             h = np.tanh(sum(net.embed[p][row[at + k]] for p, k in enumerate((-2, -1, 1, 2))))
-            z = (h @ net.out + net.bias).astype(float)
-            want += z[row[at]] - z.max() - np.log(np.exp(z - z.max()).sum())
+            every = []
+            for c in range(pseudo_lm.CLASSES):               # the whole vocabulary's probabilities
+                zc = np.exp((h @ net.out_c + net.bias_c).astype(float))
+                z = np.exp((h @ net.out[c] + net.bias[c]).astype(float))
+                every.append(zc[c] / zc.sum() * z / z.sum())
+            every = np.concatenate(every)
+            assert every.sum() == pytest.approx(1) and len(every) == pseudo_lm.VOCABULARY
+            want += np.log(every[row[at]])
         r = out[i, len(ids)]
         assert r.log_likelihood == pytest.approx(want, rel=1e-3, abs=1e-3)
         assert (r.mean_log_likelihood is None) == (not len(ids))
