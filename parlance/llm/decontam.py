@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import whole_text, worker_store
 
 Q = 10
 ERROR_RATE = 0.08
@@ -227,6 +227,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches, shared=shared):
+            worker_store("decontam")    # lets go of another operator's memos
             for b in batches:
                 hits = [(d, *x) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())
                         for x in shared.value.leaks(t)]
@@ -246,6 +247,7 @@ def clean_documents(docs: DataFrame, items: DataFrame, text_col: str = "text", *
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches, shared=shared):
+            worker_store("decontam")    # lets go of another operator's memos
             for b in batches:
                 yield b.filter(pa.array([not t or not shared.value.leaks(t) for t in b.column(at).to_pylist()],
                                         pa.bool_()))

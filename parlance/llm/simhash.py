@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, saved, whole_text
+from .common import free_name, saved, whole_text, worker_store
 from .components import components
 
 BITS = 64
@@ -74,6 +74,7 @@ def fingerprints(docs: DataFrame, width: int, id_col: str = "doc_id", text_col:
     """(doc_id, fp): one row a document, fp as a signed long."""
 
     def run(batches):
+        worker_store("simhash")         # lets go of another operator's memos
         for b in batches:
             fps = [majority(np.array(h, dtype=np.uint64)) if (h := text_hashes(t.encode(), width)) else 0
                    for t in b["text"]]
