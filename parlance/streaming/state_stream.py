@@ -49,13 +49,15 @@ def _processor(default: str, expire_idle_ms: int | None):
         else:
             for pdf in pdfs:
                 for r in pdf.itertuples(index=False):
-                    pending.append([int(r.ts.value // 1000), r.slot, None if pd.isna(r.update) else r.update])
+                    seq = getattr(r, "seq", None)
+                    pending.append([int(r.ts.value // 1000), 0 if pd.isna(seq) else int(seq), r.slot,
+                                    None if pd.isna(r.update) else r.update])
             wm = state.getCurrentWatermarkMs()
-        pending.sort(key=lambda x: (x[0], x[1]))
+        pending.sort(key=lambda x: (x[0], x[1], x[2]))      # rows of one time by their sequence number
         ready = [p for p in pending if wm is None or p[0] // 1000 <= wm]
         keep = [p for p in pending if not (wm is None or p[0] // 1000 <= wm)]
         out = []
-        for ts_us, slot, upd in ready:
+        for ts_us, _, slot, upd in ready:
             if upd is not None:
                 values[slot] = upd
             out.append((key[0], pd.Timestamp(ts_us, unit="us"), slot, upd, values.get(slot, default)))
@@ -79,6 +81,8 @@ def stream_state(stream: DataFrame, watermark: str = "10 minutes", default: str
                  expire_idle_ms: int | None = None) -> DataFrame:
     """(dialog_id, ts, slot, update) stream -> (..., value): last non-null update per (dialogue, slot).
 
+    An optional column ``seq`` orders the rows of a dialogue that have the same time.
+
     ``expire_idle_ms``: drop a dialogue's state once the watermark is that far past
     its last row (finished dialogues); ``None`` keeps state like the batch operator.
     """
@@ -93,7 +97,8 @@ def event_turns(events: DataFrame) -> DataFrame:
     """The driver's ``events`` as a turn stream: user = dialogue, event_type = slot value (view = keep)."""
     return events.select(F.col("user_id").alias("dialog_id"), F.col("ts").cast("timestamp").alias("ts"),
                          F.lit("event").alias("slot"),
-                         F.when(F.col("event_type") != "view", F.col("event_type")).alias("update"))
+                         F.when(F.col("event_type") != "view", F.col("event_type")).alias("update"),
+                         F.col("event_id").cast("long").alias("seq"))
 
 
 def run_available_now(spark: SparkSession, turns: DataFrame, slices: int = 4, watermark: str = "10 minutes") -> DataFrame:
@@ -120,7 +125,8 @@ def run_available_now(spark: SparkSession, turns: DataFrame, slices: int = 4, wa
         else:
             a, b = lo + step * i, lo + step * (i + 1)
             parts.append(turns.where((F.col("ts") >= a) & ((F.col("ts") < b) if i < slices - 1 else F.lit(True))))
-    parts.append(spark.createDataFrame([(END_MARKER_ID, None, "event", None)], turns.schema)
+    parts.append(spark.createDataFrame([tuple({"dialog_id": END_MARKER_ID, "slot": "event"}.get(c)
+                                               for c in turns.columns)], turns.schema)
                  .withColumn("ts", F.lit(hi).cast("timestamp") + F.expr("INTERVAL 30 DAYS")))
     for i, part in enumerate(parts):
         part.write.mode("append").parquet(f"{src}/slice={i:04d}")
