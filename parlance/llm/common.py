@@ -38,6 +38,13 @@ def worker_store(owner: str, name: str = "") -> dict:
     return holder["stores"].setdefault(name, {})
 
 
+def bounded_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Python workers get at most ``rows`` documents at once, so that a batch of long texts stays small."""
+    now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if now <= 0 or now > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores appended while the table has such a column."""
     taken = {c.lower() for c in df.columns}

@@ -3,7 +3,8 @@
 The pieces of a model are the patterns of an automaton.  A text in the model's
 form (a space is U+2581, one is put in front) is cut where a non-space is
 followed by a space; no piece crosses that cut, so the best segmentation is the
-sum of the units' best ones.  A unit is read once: at each position the
+sum of the units' best ones; a unit is cut again between two characters that
+no piece has side by side.  A part is read once: at each position the
 automaton's output links give every piece that ends there, longest first, and
 each relaxes the best score at that position with the score at its start plus
 its own.  A character that no piece covers takes the unknown penalty and is
@@ -30,6 +31,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 
 import ahocorasick
 import numpy as np
@@ -38,18 +40,20 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, whole_text
-from .units import worker_store
+from .common import free_name, whole_text, worker_store
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-MEMO_UNITS = 500_000
+MEMO_UNITS = 250_000    # about 100 MB a worker
+_EDGE = -1
 _UNIT = re.compile(r" +[^ ]*|[^ ]+")
 
 
 class PieceModel:
     """The pieces of a model file, their automaton, and the two directions."""
 
+    memo_units = MEMO_UNITS
+
     def __init__(self, path: str):
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
@@ -59,7 +63,7 @@ class PieceModel:
         self._set([(sp.id_to_piece(i), i, sp.get_score(i)) for i in plain])
         ranks = [s for s in self.score.values() if s > -1e8]
         self.merging = len(set(ranks)) == len(ranks) and all(s <= 0 and s == int(s) for s in ranks)
-        self.memo = worker_store(f"pieces {path}")
+        self.memo = worker_store("pieces", f"memo {path}")
 
     @classmethod
     def of(cls, pieces: list[tuple[str, float]], byte_fallback: bool = True,
@@ -81,11 +85,23 @@ class PieceModel:
         self.singles = {p for p, _, _ in rows if len(p) == 1}
         self.unknown = min((s for _, _, s in rows), default=0.0) - UNKNOWN_PENALTY
         self.score = {p: s for p, _, s in rows}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.joints = {p[k - 1:k + 1] for p in self.score for k in range(1, len(p))}
+        self.name = {i: p for p, i, _ in rows}
+        self.pairs: dict[int, bool] = {}
         self.raw = {i: p.replace(SPACE, " ").encode() for p, i, _ in rows}
         self.raw |= {i: bytes([b]) for b, i in self.byte_id.items()}
         self.raw[self.unknown_id] = " ⁇ ".encode()
 
+    def _parts(self, unit: str) -> list[str]:
+        """The unit cut where no piece has the two characters side by side (leading spaces stay with what follows)."""
+        joints, at, out = self.joints, 0, []
+        for k in range(1, len(unit)):
+            if unit[k - 1:k + 1] not in joints and unit[k - 1] != " ":
+                out.append(unit[at:k])
+                at = k
+        out.append(unit[at:])
+        return out
+
     def merged(self, text: str) -> list[str]:
         """The pieces that merging leaves of a short text: the best-scored neighbour pair first, leftmost on ties."""
         parts = list(text)
@@ -100,65 +116,73 @@ class PieceModel:
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def stands(self, left: str, right: str) -> bool:
-        """Whether two neighbouring pieces are what merging leaves of their text (left empty: one piece alone)."""
-        known = self.pairs.get((left, right))
+    def stands(self, left: int, right: int) -> bool:
+        """Whether two neighbouring pieces are what merging leaves of their text (left below 0: right alone)."""
+        key = (left << 32) + right
+        known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) >= MEMO_UNITS:
+            if len(self.pairs) >= self.memo_units:
                 self.pairs.clear()
-            known = self.pairs[left, right] = self.merged(left + right) == ([left, right] if left else [right])
+            two = [self.name[left], self.name[right]] if left >= 0 else [self.name[right]]
+            known = self.pairs[key] = self.merged("".join(two)) == two
         return known
 
-    def consistent(self, unit: str) -> list[int]:
-        """Ids that merging gives, in one pass over the automaton's matches."""
-        n = len(unit)
-        last: list[tuple | None] = [("", None)] + [None] * n       # last piece of the prefix, its id
-        gaps = [i for i, c in enumerate(unit) if c not in self.singles] if not self.singles.issuperset(unit) else []
-        gap = 0
-        for end, (size, i, _) in self.auto.iter(unit):
-            while gap < len(gaps) and gaps[gap] <= end:
-                last[gaps[gap] + 1] = (unit[gaps[gap]], None)      # a character without a piece never merges
-                gap += 1
-            before = last[end + 1 - size]
-            if last[end + 1] is None and before is not None:
-                piece = unit[end + 1 - size:end + 1]
-                if self.stands(before[0], piece) and (not before[0] or self.stands("", piece)):
-                    last[end + 1] = (piece, i)
-        for at in gaps[gap:]:
-            last[at + 1] = (unit[at], None)
-        ids, at = [], n
-        while at:
-            piece, i = last[at]
-            ids.extend([i] if i is not None else reversed(self._bytes(piece)))
-            at -= len(piece)
-        return ids[::-1]
-
-    def viterbi(self, unit: str) -> tuple[list[int], float]:
-        """Ids and score of the best-scored segmentation of a unit (in the model's form)."""
+    def segment(self, unit: str) -> tuple[list[int] | None, list[int], float]:
+        """One pass over a unit (in the model's form): ids that merging gives (None for a unigram model), ids of the
+        best-scored segmentation, its score."""
         n = len(unit)
         best, back = [0.0] + [-np.inf] * n, [None] * (n + 1)
-        gaps = [i for i, c in enumerate(unit) if c not in self.singles] if not self.singles.issuperset(unit) else []
-        gap = 0
+        # last[e]: id of the piece that merging leaves last in the prefix e; start of the unit and characters without
+        # a piece, which never merge, are _EDGE; None: not known (yet)
+        last: list[int | None] = [_EDGE] + [None] * n
+        size_of = [0] * (n + 1)
+        gaps = [] if self.singles.issuperset(unit) else [i for i, c in enumerate(unit) if c not in self.singles]
+        gap, merging, pairs = 0, self.merging, self.pairs
         for end, (size, i, score) in self.auto.iter(unit):
             while gap < len(gaps) and gaps[gap] <= end:      # unknown characters up to here, in order
-                self._unknown(best, back, gaps[gap])
+                self._unknown(best, back, last, size_of, gaps[gap])
                 gap += 1
-            s = best[end + 1 - size] + score
-            if s > best[end + 1]:
-                best[end + 1], back[end + 1] = s, (size, i)
+            to = end + 1
+            start = to - size
+            s = best[start] + score
+            if s > best[to]:
+                best[to], back[to] = s, (size, i)
+            if merging and last[to] is None:
+                left = last[start]
+                if left is not None:
+                    known = pairs.get((left << 32) + i)
+                    if self.stands(left, i) if known is None else known:
+                        last[to], size_of[to] = i, size
         for at in gaps[gap:]:
-            self._unknown(best, back, at)
+            self._unknown(best, back, last, size_of, at)
         ids, at = [], n
         while at:
             size, i = back[at]
-            ids.extend([i] if i is not None else reversed(self._bytes(unit[at - 1])))
+            if i is None:
+                ids.extend(reversed(self._bytes(unit[at - 1])))
+            else:
+                ids.append(i)
             at -= size
-        return ids[::-1], best[n]
+        if not merging:
+            return None, ids[::-1], best[n]
+        own, at = [], n
+        while at:
+            if last[at] >= 0:
+                own.append(last[at])
+            else:
+                own.extend(reversed(self._bytes(unit[at - 1])))
+            at -= size_of[at]
+        return own[::-1], ids[::-1], best[n]
 
-    def _unknown(self, best, back, at) -> None:
+    def viterbi(self, unit: str) -> tuple[list[int], float]:
+        """Ids and score of the best-scored segmentation of a unit."""
+        return self.segment(unit)[1:]
+
+    def _unknown(self, best, back, last, size_of, at) -> None:
         s = best[at] + self.unknown
         if s > best[at + 1]:
             best[at + 1], back[at + 1] = s, (1, None)
+        last[at + 1], size_of[at + 1] = _EDGE, 1
 
     def _bytes(self, char: str) -> list[int]:
         return [self.byte_id[b] for b in char.replace(SPACE, " ").encode()] if self.byte_id else [self.unknown_id]
@@ -169,16 +193,20 @@ class PieceModel:
         for u in _UNIT.findall(" " + text.replace(SPACE, " ")) if text else ():
             x = memo.get(u)
             if x is None:
-                if len(memo) >= MEMO_UNITS:
+                if len(memo) >= self.memo_units:
                     memo.clear()
-                unit = u.replace(" ", SPACE)
-                ids, score = self.viterbi(unit)
-                best = np.array(ids, np.int32).tobytes()
-                own = np.array(self.consistent(unit), np.int32).tobytes() if self.merging else best
-                x = memo[u] = (own, best, score)
+                parts = [memo.get(p) or self._part(p) for p in self._parts(u)]
+                x = memo[u] = parts[0] if len(parts) == 1 else (
+                    b"".join([p[0] for p in parts]), b"".join([p[1] for p in parts]), sum([p[2] for p in parts]))
             got.append(x)
         return got
 
+    def _part(self, part: str) -> tuple[bytes, bytes, float]:
+        own, best, score = self.segment(part.replace(" ", SPACE))
+        best = array("i", best).tobytes()
+        x = self.memo[part] = (best if own is None else array("i", own).tobytes(), best, score)
+        return x
+
     def encode(self, text: str) -> np.ndarray:
         """Ids (int32) of a whole text."""
         return np.frombuffer(b"".join([g[0] for g in self._units(text)]), np.int32)
@@ -195,10 +223,11 @@ class PieceModel:
         return b"".join([raw.get(i, b"") for i in ids]).decode("utf-8", "replace").removeprefix(" ")
 
 
-def load_model(path: str) -> PieceModel:
-    kept = worker_store("piece models")
+def load_model(path: str, memo_units: int = MEMO_UNITS) -> PieceModel:
+    kept = worker_store("pieces", "models")
     if path not in kept:
         kept[path] = PieceModel(path)
+    kept[path].memo_units = memo_units
     return kept[path]
 
 
@@ -214,6 +243,24 @@ def encoded(docs: DataFrame, model_path: str, text_col: str = "text", out: str =
     return docs.withColumn(out, ids(whole_text(f"`{text_col}`")))
 
 
+def encoded_and_checked(docs: DataFrame, model_path: str, text_col: str = "text", out: str = "ids",
+                        check: str = "round_trip") -> DataFrame:
+    """``docs`` with the ids and whether they decode to the text, both made in one pass of one worker."""
+    out, check = free_name(docs, out), free_name(docs, check)
+    pair = free_name(docs, "coded")
+
+    def run(text: pd.Series) -> pd.DataFrame:
+        model = load_model(model_path)
+        ids = [model.encode(t) for t in text]
+        same = [model.decode(i.tolist()) == t.replace(SPACE, " ") for i, t in zip(ids, text)]
+        return pd.DataFrame({"ids": pd.Series(ids, dtype=object), "same": pd.Series(same, dtype=bool)})
+
+    udf = F.pandas_udf(run, "ids array<int>, same boolean")
+    kept = [F.col(f"`{c}`") for c in docs.columns]
+    return docs.withColumn(pair, udf(whole_text(f"`{text_col}`"))).select(
+        *kept, F.col(pair)["ids"].alias(out), F.col(pair)["same"].alias(check))
+
+
 def decoded(rows: DataFrame, model_path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """``rows`` with the text of an id array (null: null)."""
     out = free_name(rows, out)
@@ -226,14 +273,15 @@ def decoded(rows: DataFrame, model_path: str, ids_col: str = "ids", out: str = "
     return rows.withColumn(out, text(F.col(f"`{ids_col}`")))
 
 
-def encoded_summary(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encoded_summary(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text",
+                    memo_units: int = MEMO_UNITS) -> DataFrame:
     """doc_id, n_chars, n_tokens, ids_crc32, best_score, best_score_tokens, best_score_crc32, round_trip.
 
     crc32 is over the ids as little-endian unsigned 32-bit numbers; round_trip: both sequences decode to the text.
     """
 
     def run(batches):
-        model = load_model(model_path)
+        model = load_model(model_path, memo_units)
         for b in batches:
             rows = []
             for t in b["text"]:
