@@ -10,10 +10,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from parlance.llm import decontam, quality, simhash, sp_codec, toxicity
-from parlance.llm.common import free_name, read_documents
+from parlance.llm.common import bounded_batches, read_documents
 from parlance.session import fresh_path
 
 PIECES = "piece_bpe_32k.model"
@@ -41,13 +40,8 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their ids (``ids``) and whether these decode to the text (``round_trip``)."""
-    path = public_tokenizers.path(PIECES)
-    ids = free_name(docs, "ids")
-    out = sp_codec.encoded(docs, path, out=ids)
-    back = free_name(out, "decoded")
-    both = sp_codec.decoded(out, path, ids, out=back)
-    same = F.col(back) == F.replace(F.coalesce("text", F.lit("")), F.lit(sp_codec.SPACE), F.lit(" "))
-    return both.withColumn(free_name(both, "round_trip"), same).drop(back)
+    bounded_batches(spark)
+    return sp_codec.encoded_and_checked(docs, public_tokenizers.path(PIECES))
 
 
 STAGES = [
