@@ -2,7 +2,7 @@
 
 Method.  The key of a record is a 64-bit hash of its text, so equal texts are
 neighbours.  A size-weighted sample of keys (exponential priorities, a fixed
-number of rows) gives quantile boundaries of many small ranges; records are
+expected number of rows) gives quantile boundaries of many small ranges; records are
 range-partitioned by them.  A range that is overfull is subdivided: its other
 keys by a second hash of the key (equal texts stay whole), and a key that by
 itself outweighs a quarter of a shard by a hash of the record id, so one text that
@@ -46,12 +46,15 @@ def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                        F.crc32(raw).alias("text_crc32"), F.xxhash64(t).alias("key"))
 
 
-def splitters(rows: DataFrame, n_ranges: int, per_range: int = SAMPLE_PER_RANGE) -> list[int]:
-    """Quantile boundaries of a size-weighted sample of keys (``n_ranges * per_range`` rows at most)."""
+def splitters(rows: DataFrame, n_ranges: int, total: int, per_range: int = SAMPLE_PER_RANGE) -> list[int]:
+    """Quantile boundaries of a size-weighted sample of keys.
+
+    A row's priority is exponential with its size as the rate; rows under ``n / total`` are drawn, which are
+    ``n = n_ranges * per_range`` or fewer in expectation, whatever the number of rows or tasks.
+    """
     unit = (F.pmod(F.xxhash64("doc_id", "key", F.lit("draw")), F.lit(1 << 52)) + 1) / F.lit(float((1 << 52) + 1))
-    drawn = (rows.select("key", (-F.log(unit) / F.col("size")).alias("priority"))
-             .orderBy("priority", "key").limit(n_ranges * per_range))
-    keys = np.sort(np.array([r[0] for r in drawn.select("key").collect()], dtype=np.int64))
+    drawn = rows.filter(-F.log(unit) / F.col("size") < n_ranges * per_range / max(1, total)).select("key")
+    keys = np.sort(np.array([r[0] for r in drawn.collect()], dtype=np.int64))
     if not len(keys):
         return []
     at = (np.arange(1, n_ranges) * len(keys)) // n_ranges
@@ -85,9 +88,8 @@ def assign_shards(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_c
     spark = docs.sparkSession
     rows = saved(sized(docs, id_col, text_col), "shard-rows")
     n_ranges = n_shards * ranges_per_shard
-    ranged = saved(rows.withColumn("range", _range_of(splitters(rows, n_ranges))("key")), "shard-ranges")
-
-    total = ranged.agg(F.sum("size")).first()[0] or 0
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    ranged = saved(rows.withColumn("range", _range_of(splitters(rows, n_ranges, total))("key")), "shard-ranges")
     limit = max(1, math.ceil(total / n_ranges))
     whole = max(2 * limit, math.ceil(WHOLE_GROUP * total / n_shards))
     # keys that are too large for one piece: total / whole rows at most
