@@ -31,7 +31,7 @@ from pyspark.sql.functions import PandasUDFType
 
 from .common import free_name, whole_text, worker_store
 
-TRAIN_ROWS = 6_000      # labelled rows that are learned from, at most
+TRAIN_ROWS = 4_500      # labelled rows that are learned from, at most
 FEATURES = 1_024        # weights, or a third of the rows if that is less
 PREFIXES = (4, 5, 6)
 SWAP_WEIGHT = 5.0       # of the counterfactual penalty
