@@ -248,12 +248,13 @@ def deduplicated(docs: DataFrame, width: int = 3, radius: int = 2, id_col: str =
     found = saved(near_duplicates(docs, width, radius, id_col, text_col), "near-duplicates")
     stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
     gone = found.filter(~stays).select(F.col("doc_id").alias(gone_id)).distinct()
-    repeated = found.filter(stays).groupBy("root").count().filter("count > 1")
+    repeated = found.groupBy("doc_id").count().filter("count > 1")      # null counts as an id here
     ids = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(gone_id))
     few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    if repeated.isEmpty():                    # ids name rows, so the rows to leave out are known by id
+    if repeated.isEmpty():                    # every id names one row, so the rows to leave out are known by id
         return docs.join(F.broadcast(gone) if few else gone, ids, "left_anti")
-    # an id occurs on several rows: fingerprint the rows themselves and keep one row of each group
+    # an id occurs on several rows, in one group or in several: fingerprint the rows themselves and keep one row of
+    # each group
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row))
     fp_rows = _with_fingerprint(keyed, row, width, id_col, text_col)
     classes = found.select("fp", "root", "component_id").distinct()

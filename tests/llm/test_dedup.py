@@ -105,6 +105,19 @@ def test_deduplicated_keeps_one_row_of_each_group(odd, odd_rows, empty):
     assert simhash.deduplicated(empty).count() == 0
 
 
+def test_deduplicated_keeps_a_group_whose_id_is_gone_elsewhere(spark):
+    a, b, c, d = (prose(s, 80) for s in (21, 22, 23, 24))
+    schema = "doc_id long, text string"
+    for rows, groups in (([(5, c), (5, d), (4, d)], {c, d}),                        # 5 leaves d, and is all of c
+                         ([(None, a), (None, b), (3, b)], {a, b}),                  # the same with null ids
+                         ([(5, c), (5, d), (4, d), (None, a), (None, b), (3, b)], {a, b, c, d})):
+        got = simhash.deduplicated(spark.createDataFrame(rows, schema)).collect()
+        assert sorted(r.text for r in got) == sorted(groups)
+        assert {(r.doc_id, r.text) for r in got} <= set(rows)
+    got = simhash.deduplicated(spark.createDataFrame([(5, c), (6, d), (4, d), (None, a), (3, a)], schema)).collect()
+    assert {(r.doc_id, r.text) for r in got} == {(5, c), (4, d), (3, a)}            # unique ids: the least of each group
+
+
 def test_shards_are_even_and_gapless(spark, odd, odd_rows, empty):
     rnd = random.Random(1)
     texts = [prose(s, rnd.randint(1, 60)) for s in range(300)] + ["hot text " * 5] * 400 + [prose(9, 12)] * 9
