@@ -120,6 +120,18 @@ def test_pseudo_likelihood_learns_order_and_takes_odd_rows(spark, odd, odd_rows,
     assert pseudo_lm.scored(empty, *pseudo_lm.train(empty)).count() == 0
 
 
+def test_every_position_is_a_training_target_once(spark):
+    texts = ["one", "a b", prose(5, 40), prose(6, 700)] + [prose(7, 90)] * 5
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    vocab, flat = pseudo_lm.vocabulary(docs), pseudo_lm.Network().flat
+    done = [pseudo_lm._train_pass(docs, vocab, flat, "text", k, pseudo_lm.ROUNDS)[1] for k in range(pseudo_lm.ROUNDS)]
+    assert sum(done) == sum(len(t.split()) for t in texts) and min(done) > 0.3 * sum(done)
+    for t in texts:
+        n = len(t.split())
+        shares = [pseudo_lm.share(t, n, k, pseudo_lm.ROUNDS).tolist() for k in range(pseudo_lm.ROUNDS)]
+        assert sorted(sum(shares, [])) == list(range(n))
+
+
 def slow_quality(t):
     t = t or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", t)
