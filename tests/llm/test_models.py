@@ -132,6 +132,27 @@ def test_every_position_is_a_training_target_once(spark):
         assert sorted(sum(shares, [])) == list(range(n))
 
 
+def test_vocabulary_grows_with_the_corpus(spark):
+    often, seldom = [f"word{i}xy" for i in range(1500)], ["raremy", "oftemy"]     # one ending, two words
+    docs = spark.createDataFrame([(i, " ".join(often)) for i in range(60)] + [(60, " ".join(seldom))],
+                                 "doc_id long, text string").repartition(3)
+    vocab = pseudo_lm.vocabulary(docs)
+    assert sorted(vocab) == sorted(often)
+    tokens = pseudo_lm.Tokens(vocab)
+    ids = tokens(" ".join(often)).tolist()
+    assert len(set(ids)) == 1500 and min(ids) == tokens.buckets and max(ids) < tokens.pad
+    a, b = tokens("raremy oftemy")
+    assert a != b and max(a, b) < tokens.buckets
+    vocab, flat = pseudo_lm.train(docs)
+    net = pseudo_lm.Network(tokens.pad, flat=flat)
+    row = tokens.row([tokens(" ".join(often[:8]))])
+    every = [sum(math.exp(net.log_probability(np.where(np.arange(len(row)) == 4, k, row).astype(np.int32), np.array([4]))[0])
+                 for k in range(tokens.pad))]
+    assert every[0] == pytest.approx(1, abs=1e-3)                                   # one distribution over all tokens
+    out = {r.doc_id: r for r in pseudo_lm.scored(docs, vocab, flat).collect()}
+    assert out[0].log_likelihood == pytest.approx(out[59].log_likelihood) and out[0].n_tokens == 1500
+
+
 def slow_quality(t):
     t = t or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", t)
