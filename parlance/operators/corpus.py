@@ -10,6 +10,8 @@ retried task draws the same rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -232,6 +234,37 @@ def tail_pool(rows: DataFrame, group: list[str], key="pos", keep: str = "half",
     return r.where(cond)
 
 
+def slot_holdout(train: DataFrame, val: DataFrame, test: DataFrame | None, group: list[str], cols: list[str],
+                 key="pos", seed: str = "0", frac_div: int = 10) -> DataFrame:
+    """Every part of a slot set as (part, *group, draw, key), from the ``val`` draws (*group, draw, key).
+
+    ``train`` is the rows whose value (``cols``, in their group) is not among
+    those drawn for ``val``; ``few`` draws a tenth of it with replacement.
+    ``draw`` is null where rows are not drawn.
+    """
+    out = [*group, "draw", key]
+    drawn = train.join(val.select(key).distinct(), key, "left_semi")
+    rest = value_anti(train, drawn, [*group, *cols])
+    few = sample_fraction(rest.select(*group, key), frac_div, seed, key)
+    parts = {"train": rest.withColumn("draw", F.lit(None).cast("bigint")), "val": val, "few": few}
+    if test is not None:
+        parts["test"] = test.withColumn("draw", F.lit(None).cast("bigint"))
+    frames = [f.select(F.lit(name).alias("part"), *[F.col(c).cast("bigint").alias(c) if c == "draw" else c for c in out])
+              for name, f in parts.items()]
+    return reduce(DataFrame.unionByName, frames)
+
+
+def last_rows_val(train: DataFrame, last_n: int = 4000, n_val: int = 1000, key="pos", seed: str = "0",
+                  block: int = 1 << 16) -> DataFrame:
+    """T6, second form: ``n_val`` draws with replacement from the last ``last_n`` rows, as (draw, key)."""
+    pool = tail_pool(train.select(key), [], key, last_n=last_n, block=block)
+    pool = pool.withColumn("pidx", F.col("fidx") - F.greatest(F.col("n_rows") - last_n, F.lit(0)))
+    size = pool.agg(F.count(F.lit(1)).alias("n_pool"))
+    draws = train.sparkSession.range(n_val).select(F.col("id").alias("draw")).crossJoin(F.broadcast(size))
+    draws = draws.withColumn("pidx", draw_index(seed, F.col("n_pool"), F.col("draw")))
+    return draws.join(pool.select("pidx", key), "pidx").select("draw", key)
+
+
 def batches(rows: DataFrame, size: int, seed: str = "0", key="pos") -> DataFrame:
     """A fixed pseudo-random order (md5 of seed and key), cut into batches of ``size``."""
     r = rows.withColumn("__h", draw_hash(seed, F.col(key)))

@@ -275,6 +275,55 @@ def q_split_slot_holdout(spark, sf):
         "lang", F.col("draw").cast("bigint").alias("draw"), "pos")
 
 
+def _holdout_parts_sql(val: str, group: str) -> str:
+    """The parts of T6 from ``val`` (draw, pos and the group), over the CTE ``intents``."""
+    from ..operators.ordering import sql_dense_index
+    g = f"{group}, " if group else ""
+    same = "".join(f" AND d.{c} IS NOT DISTINCT FROM t.{c}" for c in [group] if c)
+    test = f"UNION ALL SELECT 'test', {g}NULL, pos FROM intents WHERE split = 'test'" if group else ""
+    return I + f""",
+{val},
+tn AS (SELECT * FROM intents WHERE split = 'train'),
+dw AS (SELECT * FROM tn WHERE pos IN (SELECT pos FROM val)),
+rest AS (SELECT * FROM tn t WHERE NOT EXISTS (SELECT 1 FROM dw d WHERE d.text IS NOT DISTINCT FROM t.text
+         AND d.category IS NOT DISTINCT FROM t.category{same})),
+fx AS ({sql_dense_index('rest', [], 'pos', 'ridx', DEFAULT_BUCKETS, 'n_rest')}),
+fd AS (SELECT ridx AS draw, n_rest FROM fx WHERE ridx < floor(n_rest / 10)),
+fe AS (SELECT draw, ('0x' || substr(md5('{SEED}:' || CAST(draw AS VARCHAR)), 1, 8))::BIGINT % n_rest AS ridx FROM fd)
+SELECT 'train' AS part, {g}CAST(NULL AS BIGINT) AS draw, pos FROM rest
+UNION ALL SELECT 'val', {g}draw, pos FROM val
+UNION ALL SELECT 'few', {g}CAST(fe.draw AS BIGINT), pos FROM fe JOIN fx USING (ridx)
+{test}"""
+
+
+@register("split_slot_holdout_parts", _holdout_parts_sql(f"""o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY pos) - 1 AS fidx, count(*) OVER (PARTITION BY lang) AS n_rows
+      FROM intents WHERE split = 'train'),
+pool AS (SELECT *, fidx - (n_rows - CAST(ceil(n_rows / 2) AS BIGINT)) AS pidx, CAST(ceil(n_rows / 2) AS BIGINT) AS n_pool
+         FROM o WHERE fidx >= n_rows - ceil(n_rows / 2)),
+te AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY pos) - 1 AS tidx, count(*) OVER (PARTITION BY lang) AS n_test
+       FROM intents WHERE split = 'test'),
+sz AS (SELECT lang, max(n_pool) AS n_pool FROM pool GROUP BY lang),
+dr AS (SELECT te.lang, te.tidx AS draw, sz.n_pool FROM te JOIN sz USING (lang) WHERE te.tidx < floor(te.n_test / 3)),
+dr2 AS (SELECT *, ('0x' || substr(md5('{SEED}:' || lang || ':' || CAST(draw AS VARCHAR)), 1, 8))::BIGINT % n_pool AS pidx FROM dr),
+val AS (SELECT dr2.lang, CAST(dr2.draw AS BIGINT) AS draw, pool.pos FROM dr2 JOIN pool USING (lang, pidx))""", "lang"))
+def q_split_slot_holdout_parts(spark, sf):
+    val = q_split_slot_holdout(spark, sf)
+    return C.slot_holdout(_split(spark, sf, "train"), val, _split(spark, sf, "test"), ["lang"], ["text", "category"],
+                          seed=SEED)
+
+
+@register("split_slot_last_rows", _holdout_parts_sql(f"""o AS (SELECT pos, row_number() OVER (ORDER BY pos) - 1 AS fidx, count(*) OVER () AS n_rows
+      FROM intents WHERE split = 'train'),
+pool AS (SELECT pos, fidx - greatest(n_rows - 4000, 0) AS pidx, least(n_rows, 4000) AS n_pool FROM o WHERE fidx >= n_rows - 4000),
+dr AS (SELECT k AS draw, ('0x' || substr(md5('{SEED}:' || CAST(k AS VARCHAR)), 1, 8))::BIGINT
+              % (SELECT max(n_pool) FROM pool) AS pidx FROM range(1000) r(k)),
+val AS (SELECT CAST(dr.draw AS BIGINT) AS draw, pool.pos FROM dr JOIN pool USING (pidx))""", ""))
+def q_split_slot_last_rows(spark, sf):
+    train = _split(spark, sf, "train")
+    val = C.last_rows_val(train, seed=SEED, block=256)
+    return C.slot_holdout(train, val, None, [], ["text", "category"], seed=SEED)
+
+
 @register("shuffle_batches", I + f""",
 h AS (SELECT pos, md5('{SEED}:' || CAST(pos AS VARCHAR)) AS hh FROM intents),
 o AS (SELECT pos, row_number() OVER (ORDER BY ('0x' || substr(md5(hh), 1, 8))::BIGINT % {DEFAULT_BUCKETS}, hh) - 1 AS oi FROM h)

@@ -63,3 +63,18 @@ def test_ranks_over_many_blocks(spark):
     df = spark.createDataFrame([(g, i * 7) for g in (1, 2) for i in range(3000)], "g long, k long").repartition(5)
     got = dense_index(df, ["g"], "k", "nth", count_col="n", range_block=2).collect()
     assert all(r.nth == r.k // 7 and r.n == 3000 for r in got) and len(got) == 6000
+
+
+def test_slot_holdout_gives_every_part(spark):
+    train = spark.createDataFrame([(i, "ab"[i % 2], f"t{i // 4}", "x") for i in range(200)],
+                                  "pos long, lang string, text string, category string")      # each text twice a language
+    test = spark.createDataFrame([(1000 + i, "ab"[i % 2]) for i in range(7)], "pos long, lang string")
+    val = spark.createDataFrame([("a", 0, 196), ("a", 1, 196), ("b", 0, 191)], "lang string, draw long, pos long")
+    got = C.slot_holdout(train, val, test, ["lang"], ["text", "category"]).collect()
+    part = {p: [r.pos for r in got if r.part == p] for p in ("train", "val", "few", "test")}
+    assert sorted(part["val"]) == [191, 196, 196] and sorted(part["test"]) == list(range(1000, 1007))
+    assert sorted(part["train"]) == sorted(set(range(200)) - {196, 198, 189, 191})     # copies of a drawn row go too
+    assert len(part["few"]) == 19 and set(part["few"]) <= set(part["train"])
+    last = C.last_rows_val(train, last_n=40, n_val=100).collect()
+    assert len(last) == 100 and min(r.pos for r in last) >= 160 and len({r.pos for r in last}) > 20
+    assert len(C.last_rows_val(train).collect()) == 1000                               # fewer rows than the pool
