@@ -10,4 +10,7 @@ from . import q_pieces  # noqa: F401
 from . import q_toxicity  # noqa: F401
 from . import q_langid  # noqa: F401
 from . import q_lm  # noqa: F401
+from . import q_runs  # noqa: F401
+from . import q_divergence  # noqa: F401
+from . import q_bpe  # noqa: F401
 from .registry import LLM_QUERIES  # noqa: F401
