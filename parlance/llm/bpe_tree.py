@@ -27,17 +27,23 @@ error in decoding, null ids decode to null.
 from __future__ import annotations
 
 import base64
+import re
 
 import numpy as np
 import pandas as pd
+import public_tokenizers
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import free_name, whole_text, worker_store
 
-MEMO_PIECES = 400_000     # matches a worker process remembers before it starts over
+MEMO_PIECES = 300_000     # matches, and stretches of text, that a worker process remembers before it starts over
 ROW_BYTES = 64            # matches up to this length are merged together
+# white space as re has it: Unicode White_Space and four more, so a cut stands between characters that are none
+_UNEVEN = re.compile(r" (?:(?=\s)|(?<=\s\s))")
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+GROUP_BYTES = 1 << 15     # places of the matrices (they fit a core's cache)
 NO_PAIR = np.int64(1) << 48
 
 
@@ -56,16 +62,39 @@ class Ranks:
                 if a is not None and b is not None:
                     pairs[a << 32 | b] = i
         self.pairs = pairs
-        self.keys = np.array(sorted(pairs), np.int64)
-        self.values = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
+        # the same as arrays: an open table (an entry lies at its hash or as far behind as the table is full)
+        self.bits = max(4, (4 * len(pairs)).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1), np.full(1 << self.bits, NO_PAIR)
+        key, value = np.fromiter(pairs, np.int64, len(pairs)), np.fromiter(pairs.values(), np.int64, len(pairs))
+        at = self._slot(key)
+        while len(key):
+            free = np.flatnonzero(self.keys[at] < 0)
+            free = free[np.unique(at[free], return_index=True)[1]]
+            self.keys[at[free]], self.values[at[free]] = key[free], value[free]
+            left = np.ones(len(key), bool)
+            left[free] = False
+            key, value, at = key[left], value[left], at[left] + 1 & (1 << self.bits) - 1
+        byte = np.arange(256)
+        self.of_bytes = self.of_pairs(self.single[byte][:, None].repeat(256, 1).ravel(),
+                                      self.single[byte][None].repeat(256, 0).ravel())
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        mixed = (key ^ key >> 27).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def of_pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank (the id of the joined token) of each pair, ``NO_PAIR`` where there is none."""
-        if not len(self.keys):
-            return np.full(left.shape, NO_PAIR)
         key = left << 32 | right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.values[at], NO_PAIR)
+        at = self._slot(key)
+        found, out = self.keys[at], self.values[at]
+        open_ = np.flatnonzero((found != key) & (found >= 0))
+        out[found < 0] = NO_PAIR
+        while len(open_):           # another pair lies there: look one place on
+            at[open_] = at[open_] + 1 & (1 << self.bits) - 1
+            found = self.keys[at[open_]]
+            out[open_] = np.where(found == key[open_], self.values[at[open_]], NO_PAIR)
+            open_ = open_[(found != key[open_]) & (found >= 0)]
+        return out
 
 
 def load_ranks(path: str) -> Ranks:
@@ -124,95 +153,144 @@ def merge_one(piece: bytes, ranks: Ranks) -> list[int]:
 
 
 def merge_rows(pieces: list[bytes], size: int, ranks: Ranks) -> list[bytes]:
-    """The ids (little-endian uint32) of pieces of 2 to ``size`` bytes (a power of two), one tree a matrix row."""
-    k, depth = len(pieces), size.bit_length() - 1
+    """The ids (little-endian uint32) of pieces of 2 to ``size`` bytes (a power of two), one tree a matrix row.
+
+    The matrices are kept flat: place j of row r is ``r * (size + 1) + j``, tree node m is ``r * 2 * size + m``.
+    Place ``size`` of a row stands for "none" on both sides.
+    """
+    k, depth, wide = len(pieces), size.bit_length() - 1, size + 1
     raw = np.frombuffer(b"".join(p.ljust(size, b"\0") for p in pieces), np.uint8).reshape(k, size)
     length = np.fromiter(map(len, pieces), np.int64, k)
-    symbol = ranks.single[raw]
     place = np.arange(size)
-    alive = place < length[:, None]
-    # column ``size`` stands for "none" on both sides
-    after = np.where(place + 1 < length[:, None], place + 1, size)
-    after = np.concatenate([after, np.full((k, 1), size)], axis=1)
-    before = np.broadcast_to(np.concatenate([[size], place[:-1], [size]]), (k, size + 1)).copy()
+    alive = np.zeros((k, wide), bool)
+    alive[:, :size] = place < length[:, None]
+    symbol = np.zeros((k, wide), np.int64)
+    symbol[:, :size] = ranks.single[raw]
+    after = np.full((k, wide), size)
+    after[:, :size - 1][alive[:, 1:size]] = np.broadcast_to(place[1:], (k, size - 1))[alive[:, 1:size]]
+    before = np.broadcast_to(np.concatenate([[size], place]), (k, wide)).copy()
     tree = np.full((k, 2 * size), NO_PAIR)
-    first = np.where(alive[:, 1:], ranks.of_pairs(symbol[:, :-1], symbol[:, 1:]), NO_PAIR)
-    tree[:, size:-1] = np.where(first < NO_PAIR, first * size + place[:-1], NO_PAIR)
+    first = ranks.of_bytes[raw[:, :-1].astype(np.int32) << 8 | raw[:, 1:]]
+    paired = alive[:, 1:size] & (first < NO_PAIR)
+    tree[:, size:-1][paired] = (first * size + place[:-1])[paired]
     for d in range(depth - 1, -1, -1):
         a, b = 1 << d, 2 << d
-        tree[:, a:b] = np.minimum(tree[:, 2 * a:2 * b:2], tree[:, 2 * a + 1:2 * b:2])
-    symbol = np.concatenate([symbol, np.zeros((k, 1), np.int64)], axis=1)
-    live = np.arange(k)
+        np.minimum(tree[:, 2 * a:2 * b:2], tree[:, 2 * a + 1:2 * b:2], out=tree[:, a:b])
+    alive, symbol, after, before, tree = (m.reshape(-1) for m in (alive, symbol, after, before, tree))
+    at, root = np.arange(k) * wide, np.arange(k) * 2 * size         # of the rows that still merge
     while True:
-        live = live[tree[live, 1] < NO_PAIR]
-        if not len(live):
+        least = tree[root + 1]
+        going = least < NO_PAIR
+        if not going.all():
+            at, root, least = at[going], root[going], least[going]
+        if not len(at):
             break
-        rank, j = np.divmod(tree[live, 1], size)
-        dead = after[live, j]
-        follower = after[live, dead]
-        symbol[live, j], after[live, j], before[live, follower] = rank, follower, j
-        alive[live, dead] = False
-        tree[live, size + dead] = NO_PAIR
-        left = before[live, j]
-        for at, right in ((j, follower), (left, j)):
-            there = (at < size) & (right < size)
-            rows, at, right = live[there], at[there], right[there]
-            new = ranks.of_pairs(symbol[rows, at], symbol[rows, right])
-            tree[rows, size + at] = np.where(new < NO_PAIR, new * size + at, NO_PAIR)
-        ended = follower == size        # nothing follows the merged place any more
-        tree[live[ended], size + j[ended]] = NO_PAIR
-        node = np.concatenate([size + dead, size + j, size + np.where(left < size, left, j)])
-        rows = np.concatenate([live, live, live])
+        rank, j = least >> depth, least & size - 1
+        dead = after[at + j]
+        follower, left = after[at + dead], before[at + j]
+        symbol[at + j], after[at + j], before[at + follower] = rank, follower, j
+        alive[at + dead] = False
+        leaf = root + size
+        tree[leaf + dead] = NO_PAIR
+        new = ranks.of_pairs(rank, symbol[at + follower])
+        tree[leaf + j] = np.where((follower < size) & (new < NO_PAIR), new * size + j, NO_PAIR)
+        has_left = np.flatnonzero(left < size)
+        new = ranks.of_pairs(symbol[at[has_left] + left[has_left]], rank[has_left])
+        tree[leaf[has_left] + left[has_left]] = np.where(new < NO_PAIR, new * size + left[has_left], NO_PAIR)
+        # the three paths to the root, a level at a time
+        node = np.concatenate([size + dead, size + j, size + left[has_left]])
+        rows = np.concatenate([root, root, root[has_left]])
         for _ in range(depth):
             node >>= 1
-            tree[rows, node] = np.minimum(tree[rows, 2 * node], tree[rows, 2 * node + 1])
-    ids = symbol[:, :size][alive].astype("<u4").tobytes()
-    ends = (4 * np.cumsum(alive.sum(axis=1))).tolist()
+            child = rows + 2 * node
+            tree[rows + node] = np.minimum(tree[child], tree[child + 1])
+    ids = symbol[alive].astype("<u4").tobytes()
+    ends = (4 * np.cumsum(alive.reshape(k, wide).sum(axis=1))).tolist()
     return [ids[a:b] for a, b in zip([0, *ends], ends)]
 
 
 class TreeEncoder:
-    """Texts to ids (little-endian uint32 bytes)."""
+    """Texts to ids (little-endian uint32 bytes).
+
+    A space between two characters that are not white space begins a match, whatever stands around, so a text is the
+    sum of its stretches between such spaces.  Stretches are looked up first, then the matches within a new one.
+    """
 
     def __init__(self, path: str, pattern: str, memo_pieces: int = MEMO_PIECES, row_bytes: int = ROW_BYTES):
         self.ranks, matcher = load_ranks(path), regex.compile(pattern)
         # findall gives whole matches only where the pattern has no groups
         self.findall = (lambda text: [m.group() for m in matcher.finditer(text)]) if matcher.groups else matcher.findall
-        self.memo = worker_store("bpe tree", f"memo {path}")
+        # stretches: only where the pattern is known to cut at such spaces
+        self.cuts = pattern == public_tokenizers.PATTERN
+        self.pieces, self.stretches, self.heads = (worker_store("bpe tree", f"{k} {path} {pattern}") for k in (
+            "pieces", "stretches", "heads"))
         self.memo_pieces, self.row_bytes = memo_pieces, row_bytes
 
-    def learn(self, pieces: set[str]) -> None:
-        groups: dict[int, list[str]] = {}
-        for piece in pieces:
-            raw = piece.encode()
-            if raw in self.ranks.ids:
-                self.memo[piece] = self.ranks.ids[raw].to_bytes(4, "little")
+    def merged(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece (one match of the pattern)."""
+        known, out = self.ranks.ids, [b""] * len(pieces)
+        groups: dict[int, list[int]] = {}
+        raws = [p.encode() for p in pieces]
+        for k, raw in enumerate(raws):
+            if raw in known:
+                out[k] = known[raw].to_bytes(4, "little")
             elif len(raw) > self.row_bytes:
-                self.memo[piece] = np.array(merge_one(raw, self.ranks), "<u4").tobytes()
-            elif raw:
-                groups.setdefault(1 << (len(raw) - 1).bit_length(), []).append(piece)
+                out[k] = np.array(merge_one(raw, self.ranks), "<u4").tobytes()
             else:
-                self.memo[piece] = b""
-        for size, group in groups.items():
-            rows = max(1, (1 << 18) // size)
+                groups.setdefault((len(raw) - 1).bit_length(), []).append(k)
+        for depth, group in groups.items():
+            rows = max(1, GROUP_BYTES >> depth)
             for at in range(0, len(group), rows):
                 part = group[at:at + rows]
-                self.memo.update(zip(part, merge_rows([p.encode() for p in part], size, self.ranks)))
+                for k, ids in zip(part, merge_rows([raws[k] for k in part], 1 << depth, self.ranks)):
+                    out[k] = ids
+        return out
+
+    def _stretches(self, text: str) -> list[str]:
+        if not self.cuts:
+            return [text]
+        return _CUT.split(text) if _UNEVEN.search(text) else text.split(" ")
+
+    def _learn(self, memo: dict[str, bytes], new: set[str], lead: str) -> None:
+        matches = [(s, self.findall(lead + s)) for s in new]
+        pieces = set().union(*(m for _, m in matches)).difference(self.pieces)
+        if len(self.pieces) + len(pieces) > self.memo_pieces:
+            self.pieces.clear()
+            pieces = set().union(*(m for _, m in matches))
+        pieces = list(pieces)
+        self.pieces.update(zip(pieces, self.merged(pieces)))
+        memo.update((s, b"".join(map(self.pieces.__getitem__, m))) for s, m in matches)
+
+    def _learn_stretches(self, new: set[str]) -> None:
+        """A stretch of letters is one match with its space; with a mark behind, two.  The others go to the pattern."""
+        memo, marks = self.stretches, ",." if self.cuts else ""
+        marked = [s for s in new if s[-1:] in marks and s[:-1].isalpha()]
+        rest = new.difference(marked)
+        words = {s for s in rest if s.isalpha()} if self.cuts else set()
+        rest.difference_update(words)
+        words.update({s[:-1] for s in marked}.difference(memo))
+        words = list(words)
+        memo.update(zip(words, self.merged([" " + w for w in words])))
+        tail = dict(zip(marks, self.merged(list(marks))))
+        for s in marked:
+            memo[s] = memo[s[:-1]] + tail[s[-1]]
+        self._learn(memo, rest, " ")
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out, at = [], 0
         while at < len(texts):
             group, held = [], 0
             while at < len(texts) and held < 1 << 20:       # about a million characters at a time
-                group.append(self.findall(texts[at] or ""))
+                group.append(self._stretches(texts[at] or ""))
                 held += len(texts[at] or "")
                 at += 1
-            new = set().union(*group).difference(self.memo)
-            if len(self.memo) + len(new) > self.memo_pieces:
-                self.memo.clear()
-                new = set().union(*group)
-            self.learn(new)
-            out.extend(b"".join(map(self.memo.__getitem__, g)) for g in group)
+            if len(self.stretches) > self.memo_pieces:
+                self.stretches.clear()
+            self.heads.clear()
+            heads = [g.pop(0) for g in group]
+            self._learn(self.heads, set(heads), "")
+            self._learn_stretches(set().union(*group).difference(self.stretches))
+            out.extend(self.heads[h] + b"".join(map(self.stretches.__getitem__, g)) for h, g in zip(heads, group))
         return out
 
 
