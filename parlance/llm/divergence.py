@@ -17,14 +17,14 @@ a node's multiplicity is that of all rows through it.  The correction between a
 node and an ancestor is computed once, times the node's multiplicity, however
 many terms share the path.
 
-Spark range-partitions the distinct rows in path order, so that a task's tree
-holds whole branches; a branch that no later row can enter is summed up and
-let go, so a task holds one path and its sums, never a whole tree.
+Spark range-partitions the distinct rows in path order, so that a branch lies in
+one task; a task's tree is built from one Arrow batch of rows after the other
+(a path over two batches is then two nodes, whose multiplicities add up).
 
 What one task holds: term counts of the documents it reads (handed on every
-``HELD_TERMS`` entries), a term's sources, and sums for pairs of sources (handed
-on every ``HELD_SUMS``).  The result has a row for each pair of sources of a
-language; what is held of sources is far below that.
+``HELD_TERMS`` entries), a batch of rows with its tree, and a term's sources.
+The result has a row for each pair of sources of a language; what is held of
+sources is far below that.
 
 Defined cases: null text, language or source are read as empty; groups without
 terms and languages without kept terms take part (values 0); repeated rows count
@@ -43,10 +43,9 @@ from pyspark.sql import functions as F
 
 from .common import saved, worker_store
 
-SCALE = 1_000_000_000
+SCALE = 1_000_000_000     # three times three digits, see probability()
 MIN_DOCS = 10             # a term is kept if this many documents of its language hold it
 HELD_TERMS = 400_000
-HELD_SUMS = 1_000_000
 
 # a term: letters A-Z and a-z (made small) and everything beyond ASCII; on UTF-8 bytes the same rule
 _TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -100,10 +99,12 @@ def _name(col: str) -> Column:
 
 
 def probability(count: Column, total: Column, n_terms: Column) -> Column:
-    """``1 + floor(SCALE * (count + 2) / (total + 2 * n_terms))`` without overflow."""
-    wide = lambda c: c.cast("decimal(19,0)")
-    scaled = F.lit(SCALE).cast("decimal(10,0)") * wide(count + 2)
-    return F.lit(1) + F.call_function("div", scaled, wide(total + 2 * n_terms))
+    """``1 + floor(SCALE * (count + 2) / (total + 2 * n_terms))``, three digits at a time: long numbers do not overflow."""
+    whole, left, out = total + 2 * n_terms, count + 2, F.lit(1).cast("long")
+    for unit in (1_000_000, 1_000, 1):
+        out = out + F.call_function("div", left * 1000, whole) * unit
+        left = left * 1000 % whole
+    return out
 
 
 def apart(p: Column, q: Column) -> Column:
@@ -111,81 +112,73 @@ def apart(p: Column, q: Column) -> Column:
 
 
 class PatternTree:
-    """The open path of a frequent-pattern tree whose rows come in path order, and the sums of the closed branches.
+    """A frequent-pattern tree over rows that come in path order, level by level in arrays.
 
-    A node has the source, its p with the count and its p with none, and the rows through it (``times``).
+    Row r is the entries ``starts[r] .. starts[r + 1]`` of the flat arrays.  ``shared[r]`` entries at its front are
+    also those of row r - 1, so its other entries open nodes.  A node at depth d lives until the next row that shares d
+    entries or fewer, and has the multiplicities of all rows until there; its ancestors are the entries before it in
+    the row that opened it.
     """
 
-    def __init__(self):
-        self.path: list[list] = []
-        self.values = np.zeros((2, 16), np.int64)       # by depth: p, p with none
-        self.sums: dict[str, dict[str, int]] = {}
-        self.held = 0
-
-    def insert(self, row: list[tuple], times: int) -> None:
-        """``row``: (source, count, p, p with none) in source order."""
-        depth = 0
-        for node, entry in zip(self.path, row):
-            if node[0] != entry:
-                break
-            node[1] += times
+    def __init__(self, starts: np.ndarray, first: np.ndarray, same: np.ndarray, times: np.ndarray):
+        """``first``: the row's group (no paths are shared between groups); ``same``: an entry's code (source, count)."""
+        self.starts, self.size, self.times = starts[:-1], np.diff(starts), times
+        rows = len(self.size)
+        self.shared = np.zeros(rows, np.int64)
+        alike, depth = np.flatnonzero(first[1:] == first[:-1]) + 1, 0
+        while len(alike):
+            alike = alike[(self.size[alike] > depth) & (self.size[alike - 1] > depth)]
+            alike = alike[same[self.starts[alike] + depth] == same[self.starts[alike - 1] + depth]]
             depth += 1
-        self.close(depth)
-        while len(row) > self.values.shape[1]:
-            self.values = np.concatenate([self.values, np.zeros_like(self.values)], axis=1)
-        for d in range(depth, len(row)):
-            self.path.append([row[d], times])
-            self.values[:, d] = row[d][2:]
-
-    def close(self, depth: int = 0) -> None:
-        """Let go of the nodes below ``depth``: each meets its ancestors once."""
-        while len(self.path) > depth:
-            (source, _, p, none), times = self.path.pop()
-            d = len(self.path)
-            if not d:
-                break
-            own = np.array([[[p]], [[none]]])
-            above = self.values[None, :, :d]
-            f = (own - above) ** 2 // (own + above)
-            correction = times * (f[0, 0] - f[0, 1] - f[1, 0] + f[1, 1])
-            for ((other, *_), _), value in zip(self.path, correction.tolist()):
-                sums = self.sums.setdefault(other, {})
-                if source in sums:
-                    sums[source] += value
-                else:
-                    sums[source] = value
-                    self.held += 1
-
-    def drain(self) -> list[tuple[str, str, int]]:
-        out = [(a, b, v) for a, sums in self.sums.items() for b, v in sums.items()]
-        self.sums, self.held = {}, 0
-        return out
+            self.shared[alike] = depth
 
+    def levels(self):
+        """By depth from 1: the rows that open a node there, and the nodes' multiplicities."""
+        for depth in range(1, int(self.size.max(initial=0))):
+            ends = np.flatnonzero(self.shared <= depth)
+            times = np.add.reduceat(self.times, ends)
+            opens = self.size[ends] > depth
+            yield depth, ends[opens], times[opens]
 
-def _corrections(batches):
-    tree, lang = PatternTree(), None
 
-    def rows():
-        out = tree.drain()
-        return pa.RecordBatch.from_arrays(
-            [pa.array([lang] * len(out), pa.string()), *(pa.array([r[k] for r in out], pa.string()) for k in (0, 1)),
-             pa.array([r[2] for r in out], pa.int64())], names=["lang", "source", "item", "value"])
+def tree_sums(starts, first, same, times, source, p, none, cells: int = 1 << 20):
+    """(group, ancestor's source, node's source, sum) of the pair corrections, a triple once a step.
+
+    Each node meets its ancestors in one row of a matrix; a step has about ``cells`` combinations.
+    """
+    tree = PatternTree(starts, first, same, times)
+    n_sources = int(source.max(initial=0)) + 1
+    for depth, rows, many in tree.levels():
+        step = max(1, cells // depth)
+        for at in range(0, len(rows), step):
+            part = rows[at:at + step]
+            node = (tree.starts[part] + depth)[:, None]
+            above = tree.starts[part][:, None] + np.arange(depth)
+            f = lambda a, b: (a - b) ** 2 // (a + b)
+            own, own_none, its, its_none = p[node], none[node], p[above], none[above]
+            value = f(own, its) - f(own, its_none) - f(own_none, its) + f(own_none, its_none)
+            value *= many[at:at + step][:, None]
+            key = (first[part][:, None] * n_sources + source[above]) * n_sources + source[node]
+            keys, which = np.unique(key, return_inverse=True)
+            sums = np.zeros(len(keys), np.int64)
+            np.add.at(sums, which.reshape(-1), value.reshape(-1))
+            yield keys // n_sources ** 2, keys // n_sources % n_sources, keys % n_sources, sums
 
+
+def _corrections(batches):
     for b in batches:
         entries = b.column("entries")
         flat = entries.flatten()
-        at = np.cumsum([0, *entries.value_lengths().to_pylist()]).tolist()
-        nodes = list(zip(*(flat.field(k).to_pylist() for k in ("source", "n", "p", "none"))))
-        for i, (its, times) in enumerate(zip(b.column("lang").to_pylist(), b.column("times").to_pylist())):
-            if its != lang or tree.held > HELD_SUMS:
-                tree.close()
-                if tree.held:
-                    yield rows()
-                lang = its
-            tree.insert(nodes[at[i]:at[i + 1]], times)
-    tree.close()
-    if tree.held:
-        yield rows()
+        column = lambda name: flat.field(name).to_numpy(zero_copy_only=False)
+        source, lang = flat.field("source").dictionary_encode(), b.column("lang").dictionary_encode()
+        code = source.indices.to_numpy().astype(np.int64)
+        _, same = np.unique(np.stack([code, column("n")]), axis=1, return_inverse=True)
+        starts = np.cumsum(np.append(0, entries.value_lengths().to_numpy()))
+        for group, a, c, sums in tree_sums(starts, lang.indices.to_numpy().astype(np.int64), same.reshape(-1),
+                                           b.column("times").to_numpy(), code, column("p"), column("none")):
+            yield pa.RecordBatch.from_arrays(
+                [lang.dictionary.take(pa.array(group)), source.dictionary.take(pa.array(a)),
+                 source.dictionary.take(pa.array(c)), pa.array(sums)], names=["lang", "source", "item", "value"])
 
 
 class Audit:
@@ -208,12 +201,16 @@ class Audit:
         totals = self.groups.groupBy("lang", "n_terms", "lang_total").agg(
             F.map_from_entries(F.collect_list(F.struct("source", F.struct("total", "none")))).alias("totals"))
         n = F.col("n_terms")
-        rows = terms.join(totals, "lang").withColumn("entries", F.transform("entries", lambda e: F.struct(
-            e["source"].alias("source"), e["n"].alias("n"),
-            probability(e["n"], F.col("totals")[e["source"]]["total"], n).alias("p"),
-            F.col("totals")[e["source"]]["none"].alias("none"))))
+        looked_up = F.transform("entries", lambda e: F.struct(
+            e["source"].alias("source"), e["n"].alias("n"), F.col("totals")[e["source"]].alias("t")))
+        entries = F.transform(looked_up, lambda e: F.struct(
+            e["source"].alias("source"), e["n"].alias("n"), probability(e["n"], e["t"]["total"], n).alias("p"),
+            e["t"]["none"].alias("none")))
         count = F.aggregate("entries", zero, lambda a, e: a + e["n"])
-        self.terms = rows.select("lang", "term", "entries", probability(count, F.col("lang_total"), n).alias("lang_p"))
+        rows = terms.join(totals, "lang").withColumn("n", count)
+        # three branches read this: the probabilities are worked out once
+        self.terms = saved(rows.select("lang", "term", entries.alias("entries"), probability(
+            F.col("n"), F.col("lang_total"), n).alias("lang_p")), "divergence-scored")
 
     def pair_corrections(self) -> DataFrame:
         """lang, source, item, value: the tree's sums, a pair once or more, source before item."""

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 from zlib import crc32
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,28 +72,43 @@ def test_query_equals_direct_sums(spark, corpus, tmp_path):
 def test_small_parts_hand_on_early_and_add_up(spark, corpus, monkeypatch):
     """Counts and sums that leave a task in several parts give the same totals."""
     monkeypatch.setattr(divergence, "HELD_TERMS", 5)
-    monkeypatch.setattr(divergence, "HELD_SUMS", 1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     docs = tables(spark, corpus).withColumnRenamed("lang", "tongue")
     pairs = divergence.Audit(docs, lang_col="tongue", min_docs=3).pairs()
     got = {(r.lang, r.source, r.item): r.value for r in pairs.collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == {r[:2] + (r[3],): r[4] for r in slow_audit(corpus, 3) if r[2] == "pair"}
 
 
-def test_tree_shares_paths_and_adds_each_pair_once():
+@pytest.mark.parametrize("cells", [1, 1 << 20])
+def test_tree_shares_paths_and_adds_each_pair_once(cells):
     rnd = random.Random(6)
-    none = {s: rnd.randint(1, 50) for s in "abcd"}
+    none = {s: rnd.randint(1, 50) for s in range(4)}
     rows = Counter()
     for _ in range(300):
-        rows[tuple((s, n, none[s] + 7 * n, none[s]) for s in "abcd" if (n := rnd.randint(0, 2)))] += rnd.randint(1, 3)
+        rows[rnd.randrange(2), tuple((s, n, none[s] + 7 * n, none[s]) for s in none if (n := rnd.randint(0, 2)))] += rnd.randint(1, 3)
     f = lambda x, y: (x - y) ** 2 // (x + y)
-    want, tree = Counter(), divergence.PatternTree()
-    for row, times in sorted(rows.items()):
-        tree.insert(list(row), times)
+    want, ordered = Counter(), sorted(rows.items())
+    for (group, row), times in ordered:
         for i, (b, _, p, z) in enumerate(row):
             for a, _, q, y in row[:i]:
-                want[a, b] += times * (f(p, q) - f(p, y) - f(z, q) + f(z, y))
-    tree.close()
-    assert {(a, b): v for a, b, v in tree.drain()} == dict(want)
+                want[group, a, b] += times * (f(p, q) - f(p, y) - f(z, q) + f(z, y))
+    flat = np.array([e for (_, row), _ in ordered for e in row])
+    starts = np.cumsum([0] + [len(row) for (_, row), _ in ordered])
+    group, times = np.array([g for (g, _), _ in ordered]), np.array([t for _, t in ordered])
+    same = flat[:, 0] * 10 + flat[:, 1]
+    got = Counter()
+    for part in divergence.tree_sums(starts, group, same, times, flat[:, 0], flat[:, 2], flat[:, 3], cells):
+        for g, a, b, v in zip(*(x.tolist() for x in part)):
+            got[g, a, b] += v
+    assert got == want
+    # a node is a distinct path, its multiplicity that of all rows through it
+    nodes = Counter()
+    for (g, row), t in ordered:
+        for d in range(1, len(row)):
+            nodes[g, row[:d + 1]] += t
+    tree = divergence.PatternTree(starts, group, same, times)
+    assert sorted(nodes.values()) == sorted(t for _, _, many in tree.levels() for t in many.tolist())
 
 
 def test_empty_table(spark, empty, tmp_path):
