@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.normalize import normalise_label
+from ..session import written
 from .windows import DEFAULT_BLOCK, carry_forward, previous_value, running_sum_before
 
 # Act types that inform a value.
@@ -174,6 +175,11 @@ def too_long_rate(turns: DataFrame, max_len: int, correction: int = 4) -> DataFr
 
 # ---------------------------------------------------------- slot labelling
 
+def _visible(o: Column, me: Column) -> Column:
+    """What a slot sees of another one: its value after the turn if it comes earlier in the list, else before."""
+    return F.when(o["slot_idx"] < me["slot_idx"], o["after"]).otherwise(o["before"])
+
+
 def _referred(me: Column, others: Column, variants: Column) -> Column:
     """The slot of ``others`` that ``me`` (slot_idx, slot, value, before) refers to, or 'none'.
 
@@ -184,20 +190,83 @@ def _referred(me: Column, others: Column, variants: Column) -> Column:
     without one, the last slot holding a variant of the value does.
     """
     people = f"^{PEOPLE_SLOT_PATTERN}"
-    visible = lambda o: F.when(o["slot_idx"] < me["slot_idx"], o["after"]).otherwise(o["before"])
     about_stay = lambda o: ((o["slot"].rlike(people) & (me["slot"] == STAY_SLOT))
                             | (me["slot"].rlike(people) & (o["slot"] == STAY_SLOT)))
     open_to = F.filter(others, lambda o: (o["slot_idx"] != me["slot_idx"]) & ~o["slot"].isin(*NO_REFERRAL_SLOTS)
                        & ~about_stay(o))
-    same = F.filter(open_to, lambda o: visible(o) == me["value"])
-    alike = F.filter(open_to, lambda o: F.coalesce(F.array_contains(variants, visible(o)), F.lit(False)))
+    same = F.filter(open_to, lambda o: _visible(o, me) == me["value"])
+    alike = F.filter(open_to, lambda o: F.coalesce(F.array_contains(variants, _visible(o, me)), F.lit(False)))
     barred = me["slot"].isin(*NO_REFERRAL_SLOTS) | (me["before"] == me["value"])
     return F.when(barred, F.lit("none")).otherwise(F.coalesce(
         F.get(same, F.lit(0))["slot"], F.try_element_at(alike, F.lit(-1))["slot"], F.lit("none")))
 
 
+def _shared(me: Column, others: Column) -> Column:
+    """Whether a slot that was seen before gets, from the user, a value that two or more slots hold."""
+    return (me["copied"] & (me["before"] != "none")
+            & (F.size(F.filter(others, lambda o: _visible(o, me) == me["value"])) > 1))
+
+
+def settled_values(features: DataFrame, block_size: int = DEFAULT_BLOCK) -> DataFrame:
+    """Values held ``before`` and ``after`` each (turn, slot) when shared copies are not taken over.
+
+    With labelled repetitions, a slot seen before does not take over a value
+    from the user that two or more slots hold (``withheld``).  What slots hold
+    depends in turn on what was withheld earlier, across slots, so the flags are
+    found in rounds: carry the values forward under the flags so far, look at
+    each turn's slots, set the flags anew, until a round changes none.  A flag
+    depends on earlier (turn, slot) only, so every round settles at least the
+    next link of each chain and the last one is exact; the number of rounds is
+    the length of the longest chain of withheld values that depend on each
+    other, whatever the length of a dialogue.  Rounds read written tables.
+    """
+    columns = features.columns
+    rows = written(features.withColumn("withheld", F.lit(False)), "settled-start")
+    while True:
+        given = F.when((F.col("value_label") != "none") & ~F.col("withheld"), F.col("value_label"))
+        x = carry_forward(rows.withColumn("given", given), ["dialog_id", "slot"], "turn", "given", "after",
+                          default="none", exclusive_out="before", block_size=block_size).drop("given")
+        copied = ~F.col("value_label").isin(*NON_POINTABLE) & F.col("in_usr")
+        one = F.struct("slot_idx", F.col("value_label").alias("value"), "before", "after", copied.alias("copied"),
+                       F.struct(*[c for c in x.columns if c not in ("dialog_id", "turn", "before", "after")]).alias("row"))
+        turn = x.groupBy("dialog_id", "turn").agg(F.sort_array(F.collect_list(one)).alias("all"))
+        shared = F.transform("all", lambda me: _shared(me, F.col("all")))
+        y = turn.select("dialog_id", "turn", F.inline(F.arrays_zip("all", shared.alias("now"))))
+        y = written(y.select("dialog_id", "turn", "all.row.*", "all.before", "all.after", "now"), "settled-round")
+        if y.where(F.col("now") != F.col("withheld")).isEmpty():
+            return y.select(*columns, "before", "after")
+        rows = y.withColumn("withheld", F.col("now")).select(*columns, "withheld")
+
+
+def _mention(usr_toks, value, inform_label, maps: Column) -> dict[str, Column]:
+    """How a value shows in a turn (F8, F10): in the user's words, where last, and among the informed values."""
+    from ..functions.normalize import normalise_text
+    from ..functions.text import word_tokens
+    from ..functions.values import first_informed, label_existence
+
+    ex = label_existence(usr_toks, value, maps)
+    last = F.try_element_at(ex["positions"], F.lit(-1))
+    inf = first_informed(F.array_join(word_tokens(normalise_text(F.lower(_c(value)))), " "), _c(inform_label), maps)
+    return {"in_usr": F.size(F.transform(ex["positions"], lambda p: p["start"])) > 0,
+            "last_start": F.coalesce(last["start"], F.lit(-1)), "last_end": F.coalesce(last["end"], F.lit(-1)),
+            "informed": inf["found"], "informed_value": inf["value"]}
+
+
+def _with_repeated_values(features: DataFrame, tokens: DataFrame, label_maps: dict, block_size: int) -> DataFrame:
+    """Unchanged slots that were seen take their value again; how it shows in the turn is worked out for it."""
+    from ..config import label_map_column
+    x = settled_values(features, block_size)
+    again = (F.col("value_label") == "none") & ~F.col("modified") & (F.col("before") != "none")
+    x = x.withColumn("again", again).withColumn("value_label", F.when(again, F.col("before")).otherwise(F.col("value_label")))
+    same = x.where(~F.col("again"))
+    repeated = x.where(F.col("again")).join(tokens.select("dialog_id", "turn", "usr_toks"), ["dialog_id", "turn"])
+    repeated = repeated.withColumns(_mention("usr_toks", "value_label", "inform_label", label_map_column(label_maps)))
+    return same.unionByName(repeated.select(*same.columns)).drop("again")
+
+
 def label_turns(features: DataFrame, label_maps: dict, label_value_repetitions: bool = False,
-                slots: tuple[str, ...] | None = None, block_size: int = DEFAULT_BLOCK) -> DataFrame:
+                slots: tuple[str, ...] | None = None, block_size: int = DEFAULT_BLOCK,
+                tokens: DataFrame | None = None) -> DataFrame:
     """Class, referral, informed value, span and running state of every (turn, slot).
 
     A slot has a class other than 'none' exactly in the turns that give it a
@@ -207,21 +276,28 @@ def label_turns(features: DataFrame, label_maps: dict, label_value_repetitions:
     class carried forward exclusively gives both the last seen class and the
     dialogue state before the turn.
 
+    ``label_value_repetitions``: slots that did not change are labelled with
+    the value they hold (see ``settled_values``); a slot seen before gets no
+    'copy_value' for a value that two or more slots hold.  It needs ``tokens``
+    (dialog_id, turn, usr_toks).
     ``slots`` is accepted for callers that pass their list; the order is ``slot_idx``.
-    The value-repetition option is not offered: under it the value of an
-    unchanged slot depends on the labels of earlier turns.
 
     ``features``: dialog_id, turn, slot_idx, slot, modified, value_label,
-    in_usr, last_start, last_end, informed, informed_value.
+    inform_label, in_usr, last_start, last_end, informed, informed_value.
     """
     from ..config import label_map_column
-    if label_value_repetitions:
-        raise NotImplementedError("label_value_repetitions: values would depend on the labels of earlier turns")
     key, pointable = ["dialog_id", "slot"], ~F.col("value_label").isin(*NON_POINTABLE)
-    x = features.withColumn("given", F.when(F.col("value_label") != "none", F.col("value_label")))
-    x = carry_forward(x, key, "turn", "given", "after", default="none", exclusive_out="before", block_size=block_size)
+    if label_value_repetitions:
+        if tokens is None:
+            raise ValueError("label_value_repetitions needs the user tokens of the turns")
+        x = _with_repeated_values(features, tokens, label_maps, block_size)
+    else:
+        x = features.withColumn("given", F.when(F.col("value_label") != "none", F.col("value_label")))
+        x = carry_forward(x, key, "turn", "given", "after", default="none", exclusive_out="before",
+                          block_size=block_size)
     one = F.struct("slot_idx", "slot", F.col("value_label").alias("value"), "before", "after",
                    (pointable & ~F.col("in_usr") & ~F.col("informed")).alias("may_refer"),
+                   (pointable & F.col("in_usr")).alias("copied"),
                    F.when(~pointable, F.col("value_label")).when(F.col("in_usr"), "copy_value")
                    .when(F.col("informed"), "inform").alias("found"),
                    F.when(pointable & ~F.col("in_usr"), F.col("informed_value")).otherwise("none").alias("informed_value"),
@@ -231,9 +307,15 @@ def label_turns(features: DataFrame, label_maps: dict, label_value_repetitions:
     maps = label_map_column(label_maps)
     refer = F.transform("all", lambda me: F.when(me["may_refer"], _referred(me, F.col("all"), maps[me["value"]]))
                         .otherwise("none"))
-    y = (turn.withColumn("refer", refer).select("dialog_id", "turn", F.inline(F.arrays_zip("all", "refer")))
-         .select("dialog_id", "turn", "all.*", "refer")
-         .withColumn("class_raw", F.coalesce("found", F.when(F.col("refer") != "none", "refer").otherwise("unpointable")))
+    zipped = [F.col("all"), refer.alias("refer")]
+    if label_value_repetitions:
+        zipped.append(F.transform("all", lambda me: _shared(me, F.col("all"))).alias("shared"))
+    y = (turn.select("dialog_id", "turn", F.inline(F.arrays_zip(*zipped)))
+         .select("dialog_id", "turn", "all.*", "refer", *["shared"] * label_value_repetitions))
+    if label_value_repetitions:
+        y = y.withColumns({"found": F.when(F.col("shared"), "none").otherwise(F.col("found")), **{
+            c: F.when(F.col("shared"), -1).otherwise(F.col(c)) for c in ("label_start", "label_end")}})
+    y = (y.withColumn("class_raw", F.coalesce("found", F.when(F.col("refer") != "none", "refer").otherwise("unpointable")))
          .withColumn("marked", F.when(F.col("class_raw") != "none", F.col("class_raw"))))
     y = carry_forward(y, key, "turn", "marked", None, exclusive_out="last_class", block_size=block_size)
     dropped = (F.col("class_raw") == "unpointable") | (
@@ -257,9 +339,6 @@ def turn_slot_features(turns: DataFrame, changes: DataFrame, acts: DataFrame, sl
     value per system utterance); ``acts`` from ``load_acts``.
     """
     from ..config import label_map_column
-    from ..functions.normalize import normalise_text
-    from ..functions.text import word_tokens
-    from ..functions.values import first_informed, label_existence
 
     maps = label_map_column(label_maps)
     x = turns.select("dialog_id", "turn", "next_sys_idx", "usr_toks",
@@ -268,13 +347,6 @@ def turn_slot_features(turns: DataFrame, changes: DataFrame, acts: DataFrame, sl
     x = x.join(ch, ["dialog_id", "next_sys_idx", "slot"], "left")
     x = x.withColumn("modified", F.col("__v").isNotNull()).withColumn("value_label", F.coalesce("__v", F.lit("none")))
     x = act_lookup(x, acts)
-    ex = label_existence("usr_toks", "value_label", maps)
-    starts = F.transform(ex["positions"], lambda p: p["start"])
-    last = F.try_element_at(ex["positions"], F.lit(-1))
-    vl = F.array_join(word_tokens(normalise_text(F.lower("value_label"))), " ")
-    inf = first_informed(vl, F.col("inform_label"), maps)
+    shown = _mention("usr_toks", "value_label", "inform_label", maps)
     return x.select("dialog_id", "turn", "slot_idx", "slot", "modified", "value_label", "inform_label",
-                    (F.size(starts) > 0).alias("in_usr"),
-                    F.coalesce(last["start"], F.lit(-1)).alias("last_start"),
-                    F.coalesce(last["end"], F.lit(-1)).alias("last_end"),
-                    inf["found"].alias("informed"), inf["value"].alias("informed_value"))
+                    *[c.alias(k) for k, c in shown.items()])

@@ -257,6 +257,14 @@ def q_build_turns_multidomain(spark, sf):
     return _labelled(spark, sf)
 
 
+@register("build_turns_multidomain_repetitions")
+def q_build_turns_multidomain_repetitions(spark, sf):
+    """D9 with labelled value repetitions: unchanged slots are labelled with the value they hold."""
+    _, _, turns, _, changes, acts = _mw(spark, sf)
+    feats = D.turn_slot_features(turns, changes, acts, fx.MW_SLOT_NAMES, fx.MW_LABEL_MAPS)
+    return D.label_turns(feats, fx.MW_LABEL_MAPS, label_value_repetitions=True, tokens=turns)
+
+
 @register("turn_label")
 def q_turn_label(spark, sf):
     return _labelled(spark, sf).select("dialog_id", "turn", "slot", F.col("class_raw").alias("class_type"),

@@ -42,12 +42,15 @@ def _referral(i: str, value: str, sv: str) -> str:
             f"WHEN len({loose}) > 0 THEN {SL}[({loose})[-1] + 1] ELSE 'none' END)")
 
 
-def _slot_step() -> str:
+def _slot_step(repetitions: bool = False) -> str:
     """Inner fold step over the slots of turn ``t``: accumulator ``a`` = {sc, sv, dg (new state), outs},
-    element ``ri`` = {r: slot features, i: slot index}; ``acc.dg`` is the state before the turn."""
+    element ``ri`` = {r: slot features, i: slot index}; ``acc.dg`` is the state before the turn.
+    With ``repetitions`` a seen slot gets no copy_value for a value that several slots hold."""
     v, i = "ri.r.v", "ri.i"
+    shared = (f"ri.r.in_usr AND a.sc[{i} + 1] <> '' AND len(list_filter(a.sv, lambda x: x = {v})) > 1"
+              if repetitions else "false")
     refer = _referral(i, v, "a.sv")
-    raw = (f"(CASE WHEN {v} IN {NP} THEN {v} WHEN ri.r.in_usr THEN 'copy_value' WHEN ri.r.inf THEN 'inform' "
+    raw = (f"(CASE WHEN {v} IN {NP} THEN {v} WHEN {shared} THEN 'none' WHEN ri.r.in_usr THEN 'copy_value' WHEN ri.r.inf THEN 'inform' "
            f"WHEN {refer} <> 'none' THEN 'refer' ELSE 'unpointable' END)")
     ref = f"(CASE WHEN {v} IN {NP} OR ri.r.in_usr OR ri.r.inf THEN 'none' ELSE {refer} END)"
     repeat = f"(a.sc[{i} + 1] <> '' AND {raw} = a.sc[{i} + 1] AND {raw} NOT IN ('copy_value', 'inform'))"
@@ -68,18 +71,35 @@ def _slot_step() -> str:
             f"'outs': list_append(a.outs, {out})}}")
 
 
-def _sql() -> str:
+def _sql(repetitions: bool = False) -> str:
     vl = osql.sql_toks(N.sql_normalise_text("lower(value_label)"))
     empty_out = ("[]::STRUCT(turn BIGINT, slot VARCHAR, class_raw VARCHAR, class_label VARCHAR, refer_label VARCHAR, "
                  "informed_value VARCHAR, diag_state VARCHAR, seen_value VARCHAR, label_start BIGINT, label_end BIGINT)[]")
     none_l = osql.sql_list(["none"] * N_S)
     empty_l = osql.sql_list([""] * N_S)
+    step, again = _slot_step(repetitions), ""
+    if repetitions:
+        # an unchanged slot that was seen takes the entry of the value it holds; bound once in a one-element list
+        step = (f"list_transform([{{'r': CASE WHEN rj.r.ch OR a.sc[rj.i + 1] = '' THEN rj.r.f ELSE "
+                f"list_filter(rj.r.old, lambda o: o.v = a.sv[rj.i + 1])[1] END, 'i': rj.i}}], lambda ri: {step})[1]")
+        again = f""",
+og AS (SELECT tg.dialog_id, tg.turn, tg.si, p.value, tg.usr_toks, tg.il, array_to_string({osql.sql_toks(N.sql_normalise_text("lower(p.value)"))}, ' ') AS vl
+       FROM tg JOIN (SELECT dialog_id, slot, value, min(utt_idx) AS utt_idx FROM changes WHERE value <> 'none' GROUP BY ALL) p
+         ON p.dialog_id = tg.dialog_id AND p.slot = tg.slot AND p.utt_idx < tg.next_sys_idx),
+oh AS (SELECT *, {_sql_exist('usr_toks', 'value', MAPS, 'u')} AS ex, {_sql_inform_match('vl', 'il', MAPS)} AS inf FROM og),
+oi AS (SELECT dialog_id, turn, si, list({{'v': value, 'in_usr': ex.found, 's': CAST(ex.s AS BIGINT), 'e': CAST(ex.e AS BIGINT),
+                                         'inf': inf, 'iv': CASE WHEN inf THEN il ELSE 'none' END}}) AS old FROM oh GROUP BY ALL),
+th AS (SELECT tg.*, oi.old FROM tg LEFT JOIN oi USING (dialog_id, turn, si))"""
     turn_step = (f"list_reduce(list_transform(t.slots, lambda r, k: {{'r': r, 'i': k - 1}}), "
-                 f"lambda a, ri: {_slot_step()}, acc)")
+                 f"lambda a, {'rj' if repetitions else 'ri'}: {step}, acc)")
+    entry = ("{'v': value_label, 'in_usr': ex.found, 's': CAST(ex.s AS BIGINT), 'e': CAST(ex.e AS BIGINT), "
+             "'inf': inf, 'iv': CASE WHEN inf THEN il ELSE 'none' END}")
+    if repetitions:
+        entry = f"{{'f': {entry}, 'ch': changed, 'old': coalesce(old, [])}}"
     return MW + ACTS + f""",
 ts AS (SELECT t.dialog_id, t.turn, t.next_sys_idx, t.usr_toks, si, {SL}[si + 1] AS slot
        FROM turns t CROSS JOIN range(0, {N_S}) r(si)),
-tv AS (SELECT ts.*, coalesce(c.value, 'none') AS value_label FROM ts
+tv AS (SELECT ts.*, coalesce(c.value, 'none') AS value_label, c.value IS NOT NULL AS changed FROM ts
        LEFT JOIN changes c ON c.dialog_id = ts.dialog_id AND c.utt_idx = ts.next_sys_idx AND c.slot = ts.slot),
 ta AS (SELECT tv.*, coalesce(d.value, b.value) AS raw FROM tv
        LEFT JOIN la d ON d.dialog_id = tv.dialog_id AND d.turn = tv.turn AND d.slot = tv.slot
@@ -87,10 +107,8 @@ ta AS (SELECT tv.*, coalesce(d.value, b.value) AS raw FROM tv
 tf AS (SELECT *, CASE WHEN raw IS NULL THEN 'none' ELSE {_sql_label('slot', 'raw')} END AS il,
               array_to_string({vl}, ' ') AS vl,
               {_sql_exist('usr_toks', 'value_label', MAPS, 'u')} AS ex FROM ta),
-tg AS (SELECT *, {_sql_inform_match('vl', 'il', MAPS)} AS inf FROM tf),
-pt AS (SELECT dialog_id, turn, list({{'v': value_label, 'in_usr': ex.found, 's': CAST(ex.s AS BIGINT), 'e': CAST(ex.e AS BIGINT),
-                                      'inf': inf, 'iv': CASE WHEN inf THEN il ELSE 'none' END}} ORDER BY si) AS slots
-       FROM tg GROUP BY dialog_id, turn),
+tg AS (SELECT *, {_sql_inform_match('vl', 'il', MAPS)} AS inf FROM tf){again},
+pt AS (SELECT dialog_id, turn, list({entry} ORDER BY si) AS slots FROM {'th' if repetitions else 'tg'} GROUP BY dialog_id, turn),
 pd AS (SELECT dialog_id, list({{'turn': turn, 'slots': slots}} ORDER BY turn) AS turns FROM pt GROUP BY dialog_id),
 fo AS (SELECT dialog_id, list_reduce(turns, lambda acc, t: {turn_step},
                   {{'sc': {empty_l}, 'sv': {none_l}, 'dg': {none_l}, 'outs': {empty_out}}}).outs AS outs FROM pd),
@@ -98,11 +116,13 @@ lab AS (SELECT dialog_id, unnest(outs, recursive := true) FROM fo)"""
 
 
 FOLD_SQL = _sql()
+REPETITIONS_SQL = _sql(repetitions=True)
 
 
 def _register():
     from .registry import attach_oracle
-    attach_oracle("build_turns_multidomain", FOLD_SQL + """
+    for name, fold in (("build_turns_multidomain", FOLD_SQL), ("build_turns_multidomain_repetitions", REPETITIONS_SQL)):
+        attach_oracle(name, fold + """
 SELECT dialog_id, turn, slot, class_raw, class_label, refer_label, informed_value,
        CAST(CASE WHEN informed_value <> 'none' THEN 1 ELSE 0 END AS INTEGER) AS inform_slot, diag_state, seen_value,
        CAST(label_start AS INTEGER) AS label_start, CAST(label_end AS INTEGER) AS label_end FROM lab""")

@@ -185,15 +185,24 @@ def test_config_tables(spark, tmp_path):
     assert lv.count() == 2 and sl.first()["name"] == "a-b"
 
 
-def test_referral_rule():
-    from parlance.operators.dialogue import _referral
-    maps = {"centre": ["center", "downtown"]}
-    assert _referral("centre", "hotel-area", {"a-x": "downtown", "b-y": "center"}, maps) == "b-y"   # last variant hit
-    assert _referral("centre", "hotel-area", {"a-x": "downtown", "b-y": "centre"}, maps) == "b-y"   # exact wins
-    assert _referral("centre", "hotel-area", {"hotel-area": "centre", "b-y": "centre"}, maps) == "none"
-    assert _referral("2", "hotel-book_stay", {"hotel-book_people": "2"}, maps) == "none"
-    assert _referral("2", "restaurant-book_people", {"hotel-book_people": "2"}, maps) == "hotel-book_people"
-    assert _referral("yes", "hotel-parking", {"a-x": "yes"}, maps) == "none"
+def test_referral_rule(spark):
+    def refer(value, slot, held):
+        """What ``slot`` refers to when the other slots hold ``held`` before and after the turn, in list order."""
+        order = sorted({*held, slot})
+        entry = lambda s, v: F.struct(F.lit(order.index(s)).alias("slot_idx"), F.lit(s).alias("slot"),
+                                      F.lit(v).alias("value"), F.lit(held.get(s, "none")).alias("before"),
+                                      F.lit(held.get(s, "none")).alias("after"))
+        others = F.array(*[entry(s, "none") for s in order])
+        variants = {"centre": ["center", "downtown"]}.get(value, [])
+        return one(spark, D._referred(entry(slot, value), others, F.array(*map(F.lit, variants)).cast("array<string>")))
+
+    assert refer("centre", "hotel-area", {"a-x": "downtown", "b-y": "center"}) == "b-y"     # the last variant
+    assert refer("centre", "hotel-area", {"a-x": "downtown", "b-y": "centre"}) == "b-y"     # the value itself wins
+    assert refer("centre", "hotel-area", {"a-x": "centre", "b-y": "downtown"}) == "a-x"
+    assert refer("centre", "hotel-area", {"hotel-area": "centre", "b-y": "centre"}) == "none"
+    assert refer("2", "hotel-book_stay", {"hotel-book_people": "2"}) == "none"
+    assert refer("2", "restaurant-book_people", {"hotel-book_people": "2"}) == "hotel-book_people"
+    assert refer("yes", "hotel-parking", {"a-x": "yes"}) == "none"
 
 
 def test_delex_and_letter_compat(spark):

@@ -119,15 +119,32 @@ def test_hot_dialogue_small_blocks(spark):
         assert got[(d, t)] == last.get(d, "none")
 
 
-def test_normalisers_match_python_re(spark):
-    """Java-regex normalisers (with the literal 12h->24h steps) against Python ``re`` on every derived phrase."""
+PHRASES = [  # phrase, normalised: one step after the other, by hand
+    ("at 5pm", "at 17:00"), ("at 5 p.m. please", "at 17:00 please"), ("by 12 pm", "by 12:00"), ("from 9", "from 09:00"),
+    ("until 0915", "until 09:15"), ("after 915", "after 09:15"), ("24:30", "00:30"), ("09;45", "09:45"),
+    ("leave 7:15", "leave 07:15"), ("at 11:30 pm", "at 23:30"), ("5am", "05:00 am"), ("room 5", "room 5"),
+    ("i don't know", "i do not know"), ("a four star hotel", "a 4 star hotel"), ("five-star.", "5 star."),
+    ("zero stars", "0 stars"), ("a guesthouse", "a guest house"), ("b & b", "bed and breakfast"),
+    ("bed & breakfast", "bed and breakfast"), ("the archaelogy museum", "the archaeology museum"), ("", "")]
+LABELS = [  # slot, value, normalised
+    ("hotel-area", "", "none"), ("hotel-area", "not mentioned", "none"), ("taxi-leaveAt", "5pm", "17:00"),
+    ("train-arriveBy", "at 9", "at 09:00"), ("restaurant-book_time", "7:15", "07:15"), ("hotel-area", "5pm", "5pm"),
+    ("hotel-parking", "yes", "true"), ("hotel-internet", "free", "true"), ("hotel-parking", "no", "false"),
+    ("hotel-type", "hotel", "true"), ("hotel-type", "guesthouse", "false"), ("hotel-name", "a guesthouse", "a guest house"),
+    ("hotel-area", "guesthouse", "guesthouse"), ("hotel-stars", "no", "no")]
+
+
+def test_normalisers_on_hand_written_pairs(spark):
     from parlance.functions.normalize import normalise_label, normalise_text
+    texts = spark.createDataFrame(PHRASES, "phrase string, want string").select("*", normalise_text("phrase").alias("got"))
+    assert [(r.phrase, r.got) for r in texts.collect()] == PHRASES
+    labels = spark.createDataFrame(LABELS, "slot string, value string, want string")
+    labels = labels.select("slot", "value", normalise_label("slot", "value").alias("got"))
+    assert [tuple(r) for r in labels.collect()] == LABELS
+
+
+def test_normalising_twice_changes_nothing_more(spark):
+    from parlance.functions.normalize import normalise_text
     from parlance.plans.fixtures import time_phrases
-    from tests.test_dialogue_fold import norm_label, norm_text
-    rows = time_phrases(spark, "/root/testdata/sf0.01").select(
-        "phrase", "slot", "value", normalise_text("phrase").alias("t"),
-        normalise_label("slot", "value").alias("l")).collect()
-    assert len(rows) > 500
-    for r in rows:
-        assert r["t"] == norm_text(r["phrase"]), r["phrase"]
-        assert r["l"] == norm_label(r["slot"], r["value"]), (r["slot"], r["value"])
+    once = time_phrases(spark, "/root/testdata/sf0.01").select(normalise_text("phrase").alias("t"))
+    assert once.count() > 500 and once.where(normalise_text("t") != F.col("t")).count() == 0
