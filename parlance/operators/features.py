@@ -1,4 +1,4 @@
-"""Model input features (F17, F18, F20, F22, F23, F26, F27, D12, SK4) and run-time metrics.
+"""Model input features (F17, F18, F20, F22, F23, F26, F27, D12, SK4), run-time metrics (A12, W2) and decoding.
 
 Sub-word encoding is a corpus job: the vocabulary is built by Spark from the
 corpus (top-K words by count plus every character seen, with ``##``
@@ -260,64 +260,84 @@ def per_turn_eval(preds: DataFrame, cfg, batch_size: int, order: str = "ex_idx")
     return slot_m.unionByName(g)
 
 
-DECODE_SCHEMA = T.StructType([
-    T.StructField("dialog_id", T.LongType()), T.StructField("turn", T.LongType()), T.StructField("slot", T.StringType()),
-    T.StructField("slot_prediction", T.StringType()), T.StructField("referral", T.BooleanType()),
-])
+# One turn maps every slot to an entry (p, v): p = -1 is the constant v, p >= 0 what slot p held before the turn.
+# Such maps compose, so the state after any stretch of turns is again one map.
 
+def _composed(later: Column, earlier: Column) -> Column:
+    """The map of two stretches: what the later one takes from before is looked up in the earlier one."""
+    return F.transform(later, lambda e: F.when(e["p"] >= 0, F.get(earlier, e["p"])).otherwise(e))
 
-def decode_state(preds: DataFrame, cfg, slots: tuple[str, ...]) -> DataFrame:
-    """D13 + D14: class -> value per slot (copy_value from pieces, inform ``§§`` + informed value), carried
-    over turns, then referrals in slot order (id 0 wraps to the last slot, Q6), reset at turn 0.
 
-    Streaming fold over rows sorted by (dialogue, turn, slot order); state = one dict per dialogue.
-    Needs: dialog_id, turn, slot_idx, slot, class_prediction, refer_prediction, span_text, inform_value.
+def _turn_map(rows: Column, n: int) -> Column:
+    """The map of one turn from its rows (slot_idx, found, value, referral, target) in slot order.
+
+    Values come first, then the referrals one by one: each takes what its target holds by then.
     """
-    import pandas as pd
-    ct = list(cfg.class_types)
-    idx = {n: (ct.index(n) if n in ct else None) for n in ("dontcare", "copy_value", "true", "false", "inform", "refer")}
-    slot_list = list(slots)
+    value_at = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(
+        F.get(F.transform(F.filter(rows, lambda r: (r["slot_idx"] == i) & r["found"]),
+                          lambda r: F.struct(F.lit(-1).alias("p"), r["value"].alias("v"))), F.lit(0)),
+        F.struct(i.alias("p"), F.lit(None).cast("string").alias("v"))))
+    return F.aggregate(F.filter(rows, lambda r: r["referral"]), value_at, lambda held, r: F.transform(
+        held, lambda e, i: F.when(i == r["slot_idx"], F.get(held, r["target"])).otherwise(e)))
 
-    def run(batches):
-        cur, turn, state, pending = None, None, {}, []
-
-        def flush():
-            out = []
-            for r in pending:
-                if idx["refer"] is not None and r.class_prediction == idx["refer"]:
-                    state[r.slot] = state.get(slot_list[int(r.refer_prediction) - 1], "none")
-            for r in pending:
-                out.append((r.dialog_id, r.turn, r.slot, state.get(r.slot, "none"),
-                            idx["refer"] is not None and r.class_prediction == idx["refer"]))
-            return out
 
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                if (r.dialog_id, r.turn) != (cur, turn):
-                    out.extend(flush())
-                    pending = []
-                    if r.dialog_id != cur or r.turn == 0:
-                        state = {}
-                    cur, turn = r.dialog_id, r.turn
-                c = r.class_prediction
-                if c == idx["dontcare"]:
-                    state[r.slot] = "dontcare"
-                elif c == idx["copy_value"]:
-                    state[r.slot] = r.span_text
-                elif c == idx["true"]:
-                    state[r.slot] = "true"
-                elif c == idx["false"]:
-                    state[r.slot] = "false"
-                elif c == idx["inform"]:
-                    state[r.slot] = "§§" + r.inform_value
-                pending.append(r)
-            if out:
-                yield pd.DataFrame(out, columns=[f.name for f in DECODE_SCHEMA.fields])
-        rest = flush()
-        if rest:
-            yield pd.DataFrame(rest, columns=[f.name for f in DECODE_SCHEMA.fields])
-
-    ordered = (preds.repartition("dialog_id").sortWithinPartitions("dialog_id", "turn", "slot_idx")
-               .select("dialog_id", "turn", "slot", "class_prediction", "refer_prediction", "span_text", "inform_value"))
-    return ordered.mapInPandas(run, DECODE_SCHEMA)
+def _running(stretches: Column, start: Column, kind: str) -> Column:
+    """(stretch, map up to and with it) of each one of an array of structs with a ``map``, from ``start`` on."""
+    begin = F.struct(start.alias("map"), F.array().cast(kind).alias("out"))
+
+    def step(acc, s):
+        now = _composed(s["map"], acc["map"])
+        return F.struct(now.alias("map"), F.concat(acc["out"], F.array(F.struct(
+            s.alias("s"), now.alias("after"), acc["map"].alias("before")))).alias("out"))
+
+    return F.aggregate(stretches, begin, step, lambda acc: acc["out"])
+
+
+def decode_state(preds: DataFrame, cfg, slots: tuple[str, ...], block_size: int = 128) -> DataFrame:
+    """D13 + D14: class -> value per slot (copy_value from pieces, inform ``§§`` + informed value), carried
+    over turns, then referrals in slot order (id 0 wraps to the last slot, Q6); a dialogue begins with 'none'.
+
+    A segmented scan: turns are composed within blocks of ``block_size`` turns, the blocks' maps within a dialogue
+    (one row a block), and each block's result takes what it left open from the state it began with.  All of it
+    is array expressions; no task holds more than a block of a dialogue, or its block summaries.
+    Needs: dialog_id, turn, slot, class_prediction, refer_prediction, span_text, inform_value.
+    A slot outside ``slots`` is an error; slots without a row in a turn keep their value.
+    """
+    n = len(slots)
+    index = {name: i for i, name in enumerate(cfg.class_types)}
+    is_class = lambda name: (F.col("class_prediction") == F.lit(index[name])) if name in index else F.lit(False)
+    constants = [(is_class(c), F.lit(c)) for c in ("dontcare", "true", "false")]
+    cases = [constants[0], (is_class("copy_value"), F.col("span_text")), *constants[1:],
+             (is_class("inform"), F.concat(F.lit("§§"), "inform_value"))]
+    value, found = F.lit(None).cast("string"), F.lit(False)
+    for test, v in reversed(cases):
+        value, found = F.when(test, v).otherwise(value), found | F.coalesce(test, F.lit(False))
+    place = F.array_position(F.array(*map(F.lit, slots)), F.col("slot")).cast("int")
+    slot_idx = F.when(place > 0, place - 1).otherwise(
+        F.raise_error(F.concat(F.lit("not in the slot list: "), "slot")).cast("int"))
+    referral = F.coalesce(is_class("refer"), F.lit(False))
+    row = F.struct(slot_idx.alias("slot_idx"), "slot", found.alias("found"), value.alias("value"), referral.alias("referral"),
+                   F.pmod(F.col("refer_prediction").cast("int") - 1, F.lit(n)).alias("target"))
+    block = F.floor(F.col("turn") / block_size).cast("bigint").alias("block")
+    # one shuffle by (dialogue, block) serves the turns, the blocks and the join below
+    turns = (preds.select("dialog_id", block, "turn", row.alias("r")).repartition("dialog_id", "block")
+             .groupBy("dialog_id", "block", "turn").agg(F.sort_array(F.collect_list("r")).alias("rows")))
+    turns = turns.withColumn("map", _turn_map(F.col("rows"), n))
+    entry = "struct<p:int,v:string>"
+    own = F.array(*[F.struct(F.lit(i).alias("p"), F.lit(None).cast("string").alias("v")) for i in range(n)])
+    none = F.array(*[F.struct(F.lit(-1).alias("p"), F.lit("none").alias("v")) for _ in range(n)])
+    stretch = turns.schema["rows"].dataType.simpleString()
+    kind = lambda s: f"array<struct<s:{s},after:array<{entry}>,before:array<{entry}>>>"
+    blocks = (turns.groupBy("dialog_id", "block").agg(F.sort_array(F.collect_list(F.struct("turn", "map", "rows"))).alias("t"))
+              .select("dialog_id", "block", _running(F.col("t"), own, kind(
+                  f"struct<turn:{turns.schema['turn'].dataType.simpleString()},map:array<{entry}>,rows:{stretch}>")).alias("t")))
+    ends = blocks.select("dialog_id", F.struct("block", F.element_at("t", -1)["after"].alias("map")).alias("b"))
+    starts = (ends.groupBy("dialog_id").agg(F.sort_array(F.collect_list("b")).alias("b"))
+              .select("dialog_id", F.explode(_running(F.col("b"), none, kind(f"struct<block:bigint,map:array<{entry}>>"))).alias("x"))
+              .select("dialog_id", F.col("x.s.block").alias("block"), F.col("x.before").alias("held")))
+    x = blocks.join(starts, ["dialog_id", "block"]).select("dialog_id", "held", F.explode("t").alias("t"))
+    left_open = lambda r: F.get(F.col("t.after"), r["slot_idx"])
+    out = F.transform("t.s.rows", lambda r: F.struct(
+        r["slot"].alias("slot"), F.when(left_open(r)["p"] >= 0, F.get(F.col("held"), left_open(r)["p"])["v"])
+        .otherwise(left_open(r)["v"]).alias("slot_prediction"), r["referral"].alias("referral")))
+    return x.select("dialog_id", F.col("t.s.turn").alias("turn"), F.inline(out))
