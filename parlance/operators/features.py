@@ -1,10 +1,7 @@
-"""Model input features (F17, F18, F20, F22, F23, F26, F27, D12, SK4), run-time metrics (A12, W2) and decoding.
+"""Model input features (F17, F18, F20, F22, F23, F26, SK4), run-time metrics (A12, W2) and decoding.
 
-Sub-word encoding is a corpus job: the vocabulary is built by Spark from the
-corpus (top-K words by count plus every character seen, with ``##``
-continuation forms), checked for size, broadcast, and applied per partition
-with ``mapInPandas`` (greedy longest-match-first, the usual word-piece rule).
-Everything else is array expressions; random choices are md5 draws keyed by
+Word pieces (F27) are in ``pieces``, whole training rows (D12) in ``examples``.
+All of it is array expressions; random choices are md5 draws keyed by
 (seed, example, position) so a retried task makes the same choice.
 """
 
@@ -13,107 +10,19 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from .pieces import CLS, SEP, UNK
 from .windows import carry_forward
 
-# Special tokens and their ids.
-PAD, UNK, CLS, SEP, MASK = "[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]"
-SPECIALS = (PAD, UNK, CLS, SEP, MASK)
-CONT = "##"
 TOKEN_CORRECTION = 4
-MAX_VOCAB = 1_000_000
 
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-# ------------------------------------------------------------------ vocabulary
-
-def build_vocab(token_rows: DataFrame, tokens_col: str = "toks", top_k: int = 2000) -> DataFrame:
-    """(token, id): specials, the ``top_k`` most frequent words, then every character and its ``##`` form."""
-    words = token_rows.select(F.explode(tokens_col).alias("w"))
-    counts = words.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    top = counts.orderBy(F.desc("n"), "w").limit(top_k).select(F.col("w").alias("token"), F.lit(1).alias("grp"),
-                                                               (-F.col("n")).alias("k1"), F.col("w").alias("k2"))
-    chars = (words.select(F.explode(F.split("w", "")).alias("ch")).where(F.col("ch") != "").distinct())
-    ch1 = chars.select(F.col("ch").alias("token"), F.lit(2).alias("grp"), F.lit(0).alias("k1"), F.col("ch").alias("k2"))
-    ch2 = chars.select(F.concat(F.lit(CONT), "ch").alias("token"), F.lit(3).alias("grp"), F.lit(0).alias("k1"),
-                       F.col("ch").alias("k2"))
-    spark = token_rows.sparkSession
-    sp = spark.createDataFrame([(t, 0, i, "") for i, t in enumerate(SPECIALS)], "token string, grp int, k1 bigint, k2 string")
-    allv = sp.unionByName(top.withColumn("k1", F.col("k1").cast("bigint")))
-    allv = allv.unionByName(ch1.withColumn("k1", F.col("k1").cast("bigint"))).unionByName(
-        ch2.withColumn("k1", F.col("k1").cast("bigint")))
-    # a token may be both a frequent word and a character: keep its first place
-    first = allv.groupBy("token").agg(F.min(F.struct("grp", "k1", "k2")).alias("o"))
-    return first.select("token", (F.row_number().over(Window.orderBy("o")) - 1).alias("id"))
-
-
-def collect_vocab(vocab: DataFrame, limit: int = MAX_VOCAB) -> dict:
-    """Driver copy of a vocabulary after a size check (the vocabulary is bounded by construction)."""
-    n = vocab.count()
-    if n > limit:
-        raise ValueError(f"vocabulary of {n} entries exceeds {limit}")
-    return {r["token"]: int(r["id"]) for r in vocab.collect()}
-
-
-def _wordpiece(word: str, vocab: dict) -> list[str]:
-    out, start = [], 0
-    while start < len(word):
-        end = len(word)
-        piece = None
-        while start < end:
-            sub = word[start:end] if start == 0 else CONT + word[start:end]
-            if sub in vocab:
-                piece = sub
-                break
-            end -= 1
-        if piece is None:
-            return [UNK]
-        out.append(piece)
-        start = end
-    return out
-
-
-ENC_FIELDS = [T.StructField("pieces", T.ArrayType(T.StringType())), T.StructField("ids", T.ArrayType(T.IntegerType())),
-              T.StructField("n_pieces", T.ArrayType(T.IntegerType()))]
-
-
-def subword_encode(df: DataFrame, words_col: str, vocab: dict, keep: list[str]) -> DataFrame:
-    """words -> word pieces, ids and pieces-per-word (mapInPandas, broadcast vocabulary)."""
-    import pandas as pd
-    bc = df.sparkSession.sparkContext.broadcast(vocab)
-    schema = T.StructType([df.schema[k] for k in keep] + ENC_FIELDS)
-
-    def run(batches):
-        v = bc.value
-        cache: dict = {}
-        for pdf in batches:
-            pieces, ids, counts = [], [], []
-            for words in pdf[words_col]:
-                p_row, c_row = [], []
-                for w in (words if words is not None else []):
-                    ps = cache.get(w)
-                    if ps is None:
-                        ps = _wordpiece(w, v)
-                        if len(cache) < 100_000:
-                            cache[w] = ps
-                    p_row.extend(ps)
-                    c_row.append(len(ps))
-                pieces.append(p_row)
-                ids.append([v.get(p, v[UNK]) for p in p_row])
-                counts.append(c_row)
-            out = pdf[keep].copy()
-            out["pieces"], out["ids"], out["n_pieces"] = pieces, ids, counts
-            yield out
-
-    return df.select(*keep, words_col).mapInPandas(run, schema)
-
-
 # ------------------------------------------------------------- label layout
 
 def expand_word_labels(labels, n_pieces, label_vocab: tuple[str, ...]) -> Column:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
-from ..functions.text import span_labels
 from ..operators import dialogue as D
 from . import fixtures as fx
 from . import oracle as osql
@@ -284,14 +283,15 @@ def q_cumulative_seen(spark, sf):
 
 @register("history_labels")
 def q_history_labels(spark, sf):
-    """Per slot, label vectors of previous turns (system zeros + user labels), newest first."""
-    from pyspark.sql import Window
-    lab = _labelled(spark, sf)
+    """Size and labelled places of each slot's label vector over the previous turns (system zeros, user labels).
+
+    Both are running sums; the vectors themselves, as far as they fit a row, are gathered by ``turns_to_features``.
+    """
+    from ..operators.windows import running_sum_before
     turns = _mw(spark, sf)[2].select("dialog_id", "turn", F.size("sys_toks").alias("ns"), F.size("usr_toks").alias("nu"))
-    x = lab.join(turns, ["dialog_id", "turn"])
-    vec = F.concat(F.array_repeat(F.lit(0), F.col("ns")),
-                   span_labels(F.col("nu"), F.col("label_start"), F.col("label_end")))
-    w = Window.partitionBy("dialog_id", "slot").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    h = x.withColumn("hst", F.flatten(F.reverse(F.collect_list(vec).over(w))))
-    return h.select("dialog_id", "turn", "slot", F.size("hst").alias("n"),
-                    F.aggregate("hst", F.lit(0), lambda a, v: a + v).alias("n_ones"))
+    x = _labelled(spark, sf).join(turns, ["dialog_id", "turn"])
+    ones = F.greatest(F.least("label_end", "nu") - F.greatest(F.col("label_start"), F.lit(0)), F.lit(0))
+    x = x.select("dialog_id", "turn", "slot", (F.col("ns") + F.col("nu")).alias("own"), ones.alias("own_ones"))
+    for own, out in (("own", "n"), ("own_ones", "n_ones")):
+        x = running_sum_before(x, ["dialog_id", "slot"], "turn", own, out)
+    return x.select("dialog_id", "turn", "slot", F.col("n").cast("int").alias("n"), F.col("n_ones").cast("int").alias("n_ones"))

@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import truncate_triple
 from ..functions.text import undo_wordpiece
+from ..operators import examples as EX
 from ..operators import features as FE
+from ..operators import pieces as P
 from ..operators.ordering import dense_index
+from ..session import written
 from . import fixtures as fx
 from . import oracle as osql
 from .q_dialogue import MW, _mw
@@ -50,10 +53,11 @@ p AS (SELECT dialog_id, turn, list_concat(['[CLS]'], sys_toks[1:ka], ['[SEP]'],
 SELECT dialog_id, turn, CAST(len(toks) AS INTEGER) AS n_tokens, array_to_string(toks, ' ') AS packed,
        CAST(kb + kh + 2 AS INTEGER) AS n_segment_b, CAST({MAX_LEN} - len(toks) AS INTEGER) AS n_pad FROM p""")
 def q_pair_pack(spark, sf):
-    from ..operators.dialogue import history_newest_first
-    t = history_newest_first(_mw(spark, sf)[2])
-    t = t.select("dialog_id", "turn", "sys_toks", "usr_toks", "hst_toks",
-                 F.size("sys_toks").alias("a"), F.size("usr_toks").alias("b"), F.size("hst_toks").alias("h"))
+    turns = _mw(spark, sf)[2].withColumn("own", F.concat("sys_toks", "usr_toks"))
+    t = EX.newest_that_fit(turns, MAX_LEN - FE.TOKEN_CORRECTION)
+    none = F.array().cast("array<string>")
+    t = t.select("dialog_id", "turn", "sys_toks", "usr_toks", F.coalesce(F.flatten(F.col("recent.own")), none).alias("hst_toks"),
+                 F.size("sys_toks").alias("a"), F.size("usr_toks").alias("b"), F.col("past").cast("int").alias("h"))
     ka, kb, kh = truncate_triple("a", "b", "h", F.lit(MAX_LEN - FE.TOKEN_CORRECTION))
     t = t.select("*", ka.alias("ka"), kb.alias("kb"), kh.alias("kh"))
     toks, seg, mask = FE.pair_pack(F.slice("sys_toks", 1, F.col("ka")), F.slice("usr_toks", 1, F.col("kb")),
@@ -104,36 +108,32 @@ def q_mlm_mask(spark, sf):
                     F.array_join(labels.cast("array<string>"), " ").alias("labels"))
 
 
-def _vocab(spark, sf):
-    return FE.collect_vocab(FE.build_vocab(fx.user_turns(spark, sf), "toks", top_k=500))
-
-
 def _wp_ctes(vocab_src: str, words_src: str) -> str:
     """Vocabulary from ``vocab_src`` (a CTE with ``toks``) and a ``wp(w, pieces)`` table for the distinct words of
     ``words_src`` (a CTE with a ``w`` column): greedy longest-match pieces by a recursive CTE."""
     sp = " UNION ALL ".join(f"SELECT {osql.q(t)} AS token, 0 AS grp, {i} AS k1, '' AS k2"
-                            for i, t in enumerate(FE.SPECIALS))
+                            for i, t in enumerate(P.SPECIALS))
     return f""",
 wd AS (SELECT unnest(toks) AS w FROM {vocab_src}),
 cnt AS (SELECT w, count(*) AS n FROM wd GROUP BY w),
-top AS (SELECT w AS token, 1 AS grp, -n AS k1, w AS k2 FROM cnt ORDER BY n DESC, w LIMIT 500),
+top AS (SELECT w AS token, 1 AS grp, -n AS k1, w AS k2 FROM cnt WHERE n >= {P.MIN_COUNT}),
 chs AS (SELECT DISTINCT ch FROM (SELECT unnest(string_split(w, '')) AS ch FROM wd) WHERE ch <> ''),
 allv AS ({sp} UNION ALL SELECT * FROM top UNION ALL SELECT ch, 2, 0, ch FROM chs
          UNION ALL SELECT '##' || ch, 3, 0, ch FROM chs),
 vocab AS (SELECT token, row_number() OVER (ORDER BY grp, k1, k2) - 1 AS id
           FROM (SELECT DISTINCT ON (token) token, grp, k1, k2 FROM allv ORDER BY token, grp, k1, k2)),
-vl AS (SELECT list(token) AS toks_v FROM vocab),
 dw AS (SELECT DISTINCT w FROM {words_src}),
+hit AS (SELECT w, st, max(e) AS e FROM (
+          SELECT w, st, unnest(range(st + 1, length(w) + 1)) AS e FROM (SELECT w, unnest(range(0, length(w))) AS st FROM dw))
+        SEMI JOIN vocab ON token = CASE WHEN st = 0 THEN '' ELSE '##' END || substr(w, st + 1, e - st) GROUP BY w, st),
 wp AS (
   WITH RECURSIVE r(w, st, pieces, failed) AS (
-    SELECT w, 0, []::VARCHAR[], false FROM dw
+    SELECT w, CAST(0 AS BIGINT), []::VARCHAR[], false FROM dw
     UNION ALL
-    SELECT w, CASE WHEN e IS NULL THEN st ELSE e END, CASE WHEN e IS NULL THEN pieces
-           ELSE list_append(pieces, CASE WHEN st = 0 THEN '' ELSE '##' END || substr(w, st + 1, e - st)) END, e IS NULL
-    FROM (SELECT r.w, r.st, r.pieces,
-                 (list_filter(range(length(r.w), r.st, -1), lambda e:
-                    list_contains(vl.toks_v, CASE WHEN r.st = 0 THEN '' ELSE '##' END || substr(r.w, r.st + 1, e - r.st))))[1] AS e
-          FROM r, vl WHERE r.st < length(r.w) AND NOT r.failed))
+    SELECT r.w, coalesce(hit.e, r.st), CASE WHEN hit.e IS NULL THEN pieces
+           ELSE list_append(pieces, CASE WHEN r.st = 0 THEN '' ELSE '##' END || substr(r.w, r.st + 1, hit.e - r.st)) END,
+           hit.e IS NULL
+    FROM r LEFT JOIN hit ON hit.w = r.w AND hit.st = r.st WHERE r.st < length(r.w) AND NOT r.failed)
   SELECT w, CASE WHEN failed THEN ['[UNK]'] ELSE pieces END AS pieces FROM r WHERE failed OR st >= length(w))"""
 
 
@@ -150,7 +150,8 @@ FROM ut LEFT JOIN enc USING (dialog_id, turn)"""
 
 @register("subword_encode", _wordpiece_sql())
 def q_subword_encode(spark, sf):
-    enc = FE.subword_encode(fx.user_turns(spark, sf), "toks", _vocab(spark, sf), ["dialog_id", "turn"])
+    turns = fx.user_turns(spark, sf)
+    enc = P.subword_encode(turns, "toks", written(P.build_vocab(turns), "vocabulary"), ["dialog_id", "turn"])
     return enc.select("dialog_id", "turn", F.array_join("pieces", " ").alias("pieces"),
                       F.size("ids").alias("n_pieces"))
 
@@ -253,91 +254,134 @@ def q_resolve_refer(spark, sf):
     return d.where("referral").select("dialog_id", "turn", "slot", "slot_prediction")
 
 
+CLASS_TYPES = fx.DST_CLASS_TYPES
+DROPOUT = 0.3
+_LISTS = ("input_ids", "input_ids_unmasked", "input_mask", "segment_ids", "start_pos", "end_pos", "values", "inform",
+          "inform_slot", "refer_id", "diag_state", "class_label_id")
+
+
+def _feature_rows(spark, sf, advanced: bool):
+    """Labelled turns as whole training rows; ``advanced`` sets all flags: labelled repetitions, delexicalised system
+    utterances, swapped utterances, history labels and value dropout."""
+    from ..operators.dialogue import label_turns, turn_slot_features
+    _, _, turns, _, changes, acts = _mw(spark, sf)
+    turns, acts = written(turns, "paired-turns"), written(acts, "acts")
+    feats = turn_slot_features(turns, changes, acts, fx.MW_SLOT_NAMES, fx.MW_LABEL_MAPS)
+    lab = label_turns(feats, fx.MW_LABEL_MAPS, label_value_repetitions=advanced, tokens=turns)
+    vocab = written(P.build_vocab(fx.mw_utterances(spark, sf)), "vocabulary")
+    if advanced:
+        turns = EX.delexicalise_system(turns, acts, fx.MW_SLOT_NAMES)
+    return EX.turn_features(turns, lab, vocab, fx.MW_SLOT_NAMES, CLASS_TYPES, MAX_LEN, use_history_labels=advanced,
+                            swap_utterances=advanced, slot_value_dropout=DROPOUT if advanced else 0.0, seed=SEED)
+
+
+def _joined(rows):
+    return rows.select("dialog_id", "turn", *[F.array_join(F.col(c).cast("array<string>"), " ").alias(
+        {"values": "slot_values"}.get(c, c)) for c in _LISTS], "too_long")
+
+
 @register("turns_to_features")
 def q_turns_to_features(spark, sf):
-    """Labelled turns -> word pieces, truncation, packing and per-slot span/class/refer labels."""
-    from ..operators.dialogue import history_newest_first, label_turns, turn_slot_features
-    _, _, turns, _, changes, acts = _mw(spark, sf)
-    lab = label_turns(turn_slot_features(turns, changes, acts, fx.MW_SLOT_NAMES, fx.MW_LABEL_MAPS), fx.MW_LABEL_MAPS,
-                      slots=fx.MW_SLOT_NAMES)
-    t = history_newest_first(turns)
-    vocab = FE.collect_vocab(FE.build_vocab(fx.mw_utterances(spark, sf), "toks", top_k=500))
-    words = t.select("dialog_id", "turn", F.concat("sys_toks", "usr_toks", "hst_toks").alias("w"),
-                     F.size("sys_toks").alias("na"), F.size("usr_toks").alias("nb"))
-    enc = FE.subword_encode(words, "w", vocab, ["dialog_id", "turn", "na", "nb"])
-    n = F.col("n_pieces")
-    pa = F.aggregate(F.slice(n, 1, F.col("na")), F.lit(0), lambda a, v: a + v)
-    pb = F.aggregate(F.slice(n, F.col("na") + 1, F.col("nb")), F.lit(0), lambda a, v: a + v)
-    e = enc.select("dialog_id", "turn", "na", "nb", "ids", "n_pieces", pa.alias("pa"), pb.alias("pb"))
-    e = e.withColumn("ph", F.size("ids") - F.col("pa") - F.col("pb"))
-    ka, kb, kh = truncate_triple("pa", "pb", "ph", F.lit(MAX_LEN - FE.TOKEN_CORRECTION))
-    e = e.select("*", ka.alias("ka"), kb.alias("kb"), kh.alias("kh"))
-    lab = lab.join(e.select("dialog_id", "turn", "nb", "na", "n_pieces", "pa", "ka", "kb", "kh"), ["dialog_id", "turn"])
-    word_lab = FE.expand_word_values(
-        F.transform(F.sequence(F.lit(0), F.greatest(F.col("nb") - 1, F.lit(0))),
-                    lambda i: F.when((i >= F.col("label_start")) & (i < F.col("label_end")), 1).otherwise(0)),
-        F.slice("n_pieces", F.col("na") + 1, F.col("nb")))
-    labels = FE.pack_labels(F.array_repeat(F.lit(0), F.col("ka")), F.slice(word_lab, 1, F.col("kb")),
-                            F.array_repeat(F.lit(0), F.col("kh")), MAX_LEN)
-    cls, s, en = FE.first_span_class(F.col("class_label"), labels)
-    refer_list = F.array(*[F.lit(x) for x in ("none",) + fx.MW_SLOT_NAMES])
-    return lab.select("dialog_id", "turn", "slot", cls.alias("class_type"), s.cast("int").alias("start_pos"),
-                      en.cast("int").alias("end_pos"),
-                      (F.array_position(refer_list, F.col("refer_label")) - 1).cast("int").alias("refer_id"),
-                      (F.col("ka") + F.col("kb") + F.col("kh") + FE.TOKEN_CORRECTION).cast("int").alias("n_input"))
+    """Whole training rows with the default flags (history without labels)."""
+    return _joined(_feature_rows(spark, sf, advanced=False))
+
+
+@register("turns_to_features_advanced")
+def q_turns_to_features_advanced(spark, sf):
+    """D12 with all flags of the builders set."""
+    return _joined(_feature_rows(spark, sf, advanced=True))
 
 
 @register("materialise_features")
 def q_materialise_features(spark, sf):
     from ..session import shared_dir
-    feats = q_turns_to_features(spark, sf)
+    feats = _feature_rows(spark, sf, advanced=False)
     inputs = FE.input_state(fx.read_table(spark, sf, "conversations"))
-    return FE.materialise(feats, shared_dir(spark) + "/feature-cache", inputs=inputs, max_len=MAX_LEN, vocab_top_k=500,
-                          slots=fx.MW_SLOT_NAMES, dropout=0.0)
-
-
-def _features_sql() -> str:
-    from .q_dialogue_fold import FOLD_SQL
-    m = MAX_LEN - FE.TOKEN_CORRECTION
-    refer_list = osql.sql_list(("none",) + fx.MW_SLOT_NAMES)
-    return FOLD_SQL + f""",
-hs AS (SELECT dialog_id, turn, sys_toks, usr_toks,
-              coalesce(flatten(list_reverse(array_agg(list_concat(sys_toks, usr_toks)) OVER (PARTITION BY dialog_id
-                ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))), []::VARCHAR[]) AS hst FROM turns),
-hw AS (SELECT dialog_id, turn, list_concat(list_concat(sys_toks, usr_toks), hst) AS words, len(sys_toks) AS na,
-              len(usr_toks) AS nb FROM hs),
+    return _joined(FE.materialise(feats, shared_dir(spark) + "/feature-cache", inputs=inputs, max_len=MAX_LEN,
+                                  min_count=P.MIN_COUNT, slots=fx.MW_SLOT_NAMES, dropout=0.0))
+
+
+def _features_sql(advanced: bool) -> str:
+    from .q_dialogue_fold import FOLD_SQL, REPETITIONS_SQL
+    from .q_text import _sql_delex
+    m, slots = MAX_LEN - FE.TOKEN_CORRECTION, osql.sql_list(fx.MW_SLOT_NAMES)
+    refer_list, classes = osql.sql_list(("none",) + fx.MW_SLOT_NAMES), osql.sql_list(CLASS_TYPES)
+    first, second = ("usr", "sys") if advanced else ("sys", "usr")
+    sys_toks = (f"coalesce(list_reduce(told.v, lambda tk, vv: {_sql_delex('tk', 'vv')}, turns.sys_toks), turns.sys_toks)"
+                if advanced else "turns.sys_toks")
+    before = "OVER (PARTITION BY {} ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    usr_labels = "list_transform(range(0, nu), lambda i: CASE WHEN i >= label_start AND i < label_end THEN 1 ELSE 0 END)"
+    own = f"list_concat({usr_labels}, zs)" if advanced else f"list_concat(zs, {usr_labels})"
+    past = f"coalesce(flatten(list_reverse(array_agg(own) {before.format('dialog_id, slot')})), [])"
+    if not advanced:
+        past = f"list_transform({past}, lambda x: 0)"
+    pack = lambda cls, sep, a, b, c: (f"list_concat(list_concat(list_concat(list_concat(list_concat(list_concat([{cls}], {a}), "
+                                      f"[{sep}]), {b}), [{sep}]), {c}), [{sep}])")
+    cut = lambda x: pack("{c}", "{s}", f"{x}[1 : ka]", f"{x}[pa + 1 : pa + kb]", f"{x}[pa + pb + 1 : pa + pb + kh]")
+    joined = lambda x: f"array_to_string({x}, ' ')"
+    draw = _u("CAST(dialog_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR)", "i - 1", "drop")
+    masked = (f"list_transform(ids, lambda x, i: CASE WHEN jl[i] = 1 AND {draw} < {DROPOUT} THEN 1 ELSE x END)"
+              if advanced else "ids")
+    listed = {"start_pos": "greatest(st, 0)", "end_pos": "CASE WHEN st < 0 THEN 0 WHEN z = 0 THEN len(l) - 1 ELSE st + z - 2 END",
+              "slot_values": "seen_value", "inform": "informed_value",
+              "inform_slot": "CASE WHEN informed_value <> 'none' THEN 1 ELSE 0 END",
+              "refer_id": f"list_position({refer_list}, refer_label) - 1",
+              "diag_state": f"list_position({classes}, diag_state) - 1",
+              "class_label_id": f"list_position({classes}, CASE WHEN class_label = 'copy_value' AND st < 0 THEN 'none' "
+                                "ELSE class_label END) - 1"}
+    return (REPETITIONS_SQL if advanced else FOLD_SQL) + f""",
+told AS (SELECT dialog_id, turn, list(value ORDER BY list_position({slots}, slot)) AS v FROM la
+         WHERE list_contains({slots}, slot) GROUP BY dialog_id, turn),
+tn AS (SELECT turns.dialog_id, turns.turn, {sys_toks} AS sys_toks, usr_toks
+       FROM turns LEFT JOIN told ON told.dialog_id = turns.dialog_id AND told.turn = turns.turn),
+hs AS (SELECT dialog_id, turn, len({first}_toks) AS na, len({second}_toks) AS nb, len(usr_toks) AS nu, len(sys_toks) AS ns,
+              list_concat({first}_toks, {second}_toks) AS o FROM tn),
+hw AS (SELECT *, list_concat(o, coalesce(flatten(list_reverse(array_agg(o) {before.format('dialog_id')})), []::VARCHAR[]))
+              AS words FROM hs),
 words_all AS (SELECT unnest(words) AS w FROM hw)""" + _wp_ctes("mwu", "words_all") + f""",
-hx AS (SELECT dialog_id, turn, na, nb, unnest(words) AS w, unnest(range(1, len(words) + 1)) AS k FROM hw),
-hp AS (SELECT hx.dialog_id, hx.turn, any_value(hx.na) AS na, any_value(hx.nb) AS nb,
-              list(len(wp.pieces) ORDER BY hx.k) AS np FROM hx JOIN wp USING (w) GROUP BY hx.dialog_id, hx.turn),
-hq AS (SELECT *, coalesce(list_sum(np[1 : na]), 0) AS pa, coalesce(list_sum(np[na + 1 : na + nb]), 0) AS pb,
-              coalesce(list_sum(np), 0) AS tot FROM hp),
+wi AS (SELECT w, len(pieces) AS np, list(id ORDER BY k) AS ids FROM (
+         SELECT w, pieces, unnest(pieces) AS token, unnest(range(1, len(pieces) + 1)) AS k FROM wp) JOIN vocab USING (token)
+       GROUP BY w, pieces),
+hx AS (SELECT dialog_id, turn, unnest(words) AS w, unnest(range(1, len(words) + 1)) AS k FROM hw),
+hp AS (SELECT dialog_id, turn, list(np ORDER BY k) AS np, flatten(list(ids ORDER BY k)) AS all_ids
+       FROM hx JOIN wi USING (w) GROUP BY dialog_id, turn),
+hq AS (SELECT hw.dialog_id, hw.turn, na, nb, nu, ns, coalesce(np, []) AS np, coalesce(all_ids, []) AS all_ids,
+              coalesce(list_sum(np[1 : na]), 0) AS pa, coalesce(list_sum(np[na + 1 : na + nb]), 0) AS pb,
+              coalesce(list_sum(np), 0) AS tot FROM hw LEFT JOIN hp ON hp.dialog_id = hw.dialog_id AND hp.turn = hw.turn),
 hr AS (SELECT *, tot - pa - pb AS ph, greatest(0, pa + pb - {m}) AS xx, least(greatest(0, pa + pb - {m}), abs(pa - pb)) AS gap
        FROM hq),
 hs2 AS (SELECT *, CASE WHEN pa > pb THEN pa - gap ELSE pa END AS a1, CASE WHEN pb >= pa THEN pb - gap ELSE pb END AS b1,
                xx - gap AS rest FROM hr),
 hk AS (SELECT *, CAST(a1 - floor(rest / 2) AS BIGINT) AS ka, CAST(b1 - ceil(rest / 2) AS BIGINT) AS kb,
               CAST(greatest(0, least(ph, {m} - pa - pb)) AS BIGINT) AS kh FROM hs2),
-fl AS (SELECT lab.dialog_id, lab.turn, lab.slot, lab.class_label, lab.refer_label, hk.ka, hk.kb, hk.kh,
-              flatten(list_transform(range(0, hk.nb), lambda i: list_transform(range(0, hk.np[hk.na + i + 1]),
-                lambda z: CASE WHEN i >= lab.label_start AND i < lab.label_end THEN 1 ELSE 0 END))) AS wl
-       FROM lab JOIN hk ON hk.dialog_id = lab.dialog_id AND hk.turn = lab.turn),
-fp AS (SELECT *, list_resize(list_concat(list_concat(list_concat(list_concat(list_concat([0],
-                 list_transform(range(0, ka), lambda z: 0)), [0]), wl[1 : kb]), list_concat([0],
-                 list_transform(range(0, kh), lambda z: 0))), [0]), {MAX_LEN}, 0) AS labels FROM fl),
-fs AS (SELECT *, coalesce(list_position(labels, 1), 0) - 1 AS st FROM fp),
-fz AS (SELECT *, coalesce(list_position(labels[greatest(st, 0) + 1 :], 0), 0) AS z FROM fs)
-SELECT dialog_id, turn, slot,
-       CASE WHEN class_label = 'copy_value' AND st < 0 THEN 'none' ELSE class_label END AS class_type,
-       CAST(greatest(st, 0) AS INTEGER) AS start_pos,
-       CAST(CASE WHEN st < 0 THEN 0 WHEN z = 0 THEN len(labels) - 1 ELSE st + z - 2 END AS INTEGER) AS end_pos,
-       CAST(list_position({refer_list}, refer_label) - 1 AS INTEGER) AS refer_id,
-       CAST(ka + kb + kh + {FE.TOKEN_CORRECTION} AS INTEGER) AS n_input
-FROM fz"""
+lo AS (SELECT lab.*, {own} AS own FROM lab JOIN (SELECT dialog_id, turn, nu, list_transform(range(0, ns), lambda q: 0) AS zs
+         FROM hk) h ON h.dialog_id = lab.dialog_id AND h.turn = lab.turn),
+lw AS (SELECT *, list_concat(own, {past}) AS wl FROM lo),
+lp AS (SELECT lw.* EXCLUDE (own, wl), ka, kb, kh, pa, pb, flatten(list_transform(list_zip(wl, np), lambda e:
+              list_transform(range(0, e[2]), lambda q: e[1]))) AS pl
+       FROM lw JOIN hk ON hk.dialog_id = lw.dialog_id AND hk.turn = lw.turn),
+ll AS (SELECT *, list_resize({cut('pl').format(c=0, s=0)}, {MAX_LEN}, 0) AS l FROM lp),
+ls AS (SELECT *, coalesce(list_position(l, 1), 0) - 1 AS st FROM ll),
+lz AS (SELECT *, coalesce(list_position(l[greatest(st, 0) + 1 :], 0), 0) AS z,
+              list_position({slots}, slot) AS si FROM ls),
+lt AS (SELECT dialog_id, turn, list(l) AS every, {", ".join(f"array_to_string(list(CAST({e} AS VARCHAR) ORDER BY si), ' ') AS {c}"
+                                                           for c, e in listed.items())} FROM lz GROUP BY dialog_id, turn),
+fi AS (SELECT dialog_id, turn, tot, ka, kb, kh, {cut('all_ids').format(c=2, s=3)} AS ids FROM hk),
+fj AS (SELECT fi.*, lt.* EXCLUDE (dialog_id, turn, every), list_transform(range(1, {MAX_LEN} + 1), lambda i:
+              list_max(list_transform(every, lambda l: l[i]))) AS jl
+       FROM fi JOIN lt ON lt.dialog_id = fi.dialog_id AND lt.turn = fi.turn),
+ends AS (SELECT *, list_transform(range(0, {MAX_LEN}), lambda i: i) AS places FROM fj)
+SELECT dialog_id, turn, {joined(f"list_resize({masked}, {MAX_LEN}, 0)")} AS input_ids,
+       {joined(f"list_resize(ids, {MAX_LEN}, 0)")} AS input_ids_unmasked,
+       {joined("list_transform(places, lambda i: CASE WHEN i < len(ids) THEN 1 ELSE 0 END)")} AS input_mask,
+       {joined("list_transform(places, lambda i: CASE WHEN i >= ka + 2 AND i < len(ids) THEN 1 ELSE 0 END)")} AS segment_ids,
+       {", ".join(listed)}, tot > {m} AS too_long
+FROM ends"""
 
 
 def _attach():
     from .registry import attach_oracle
-    sql = _features_sql()
+    sql = _features_sql(advanced=False)
     attach_oracle("turns_to_features", sql)
     attach_oracle("materialise_features", sql)
+    attach_oracle("turns_to_features_advanced", _features_sql(advanced=True))
