@@ -317,7 +317,8 @@ def label_turns(features: DataFrame, label_maps: dict, label_value_repetitions:
             c: F.when(F.col("shared"), -1).otherwise(F.col(c)) for c in ("label_start", "label_end")}})
     y = (y.withColumn("class_raw", F.coalesce("found", F.when(F.col("refer") != "none", "refer").otherwise("unpointable")))
          .withColumn("marked", F.when(F.col("class_raw") != "none", F.col("class_raw"))))
-    y = carry_forward(y, key, "turn", "marked", None, exclusive_out="last_class", block_size=block_size)
+    # rows and block summaries both read this: written once
+    y = carry_forward(written(y, "marked-turns"), key, "turn", "marked", None, exclusive_out="last_class", block_size=block_size)
     dropped = (F.col("class_raw") == "unpointable") | (
         F.coalesce(F.col("class_raw") == F.col("last_class"), F.lit(False))
         & ~F.col("class_raw").isin("copy_value", "inform"))

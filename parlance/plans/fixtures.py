@@ -46,9 +46,9 @@ def digit(h: Column, i: int) -> Column:
 def user_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User utterances numbered 0.. per conversation (dialog_id, turn, text, toks)."""
     conv = read_table(spark, sf_dir, "conversations").where(F.col("role") == "user")
-    # exact rank in blocks of positions: a long conversation is numbered by many tasks
-    from ..operators.ordering import dense_index
-    conv = dense_index(conv.select("conv_id", "turn", "text"), ["conv_id"], "turn", "nth", range_block=4096)
+    # the number of user turns before each one, in blocks of positions: a long conversation is numbered by many tasks
+    from ..operators.windows import running_sum_before
+    conv = running_sum_before(conv.select("conv_id", "turn", "text", F.lit(1).alias("one")), ["conv_id"], "turn", "one", "nth")
     return conv.select(F.col("conv_id").alias("dialog_id"), F.col("nth").cast("bigint").alias("turn"),
                        "text", word_tokens(F.lower("text")).alias("toks"))
 
@@ -256,14 +256,13 @@ def mw_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
                     word_tokens(normalise_text(F.lower("text"))).alias("toks"))
 
 
-def mw_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Belief state of every system utterance: (dialog_id, utt_idx, domain, category, name, value, booked).
+def mw_metadata(u: DataFrame) -> DataFrame:
+    """Belief state of every system utterance of ``u``: (dialog_id, utt_idx, domain, category, name, value, booked).
 
     The state is cumulative: a slot changes at a system turn with probability
     ~3/8 and otherwise keeps its previous value (empty = not mentioned).
     """
     from ..operators.windows import carry_forward
-    u = mw_utterances(spark, sf_dir)
     # the two previous utterances of each one, by position (positions are contiguous): every utterance is
     # emitted under its own position and the next two, and one grouped shuffle collects them -- no
     # dialogue-wide window
@@ -297,15 +296,15 @@ def mw_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("dialog_id", "utt_idx", "si", "domain", "category", "name", "value", "booked_v")
 
 
-def mw_acts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dialogue acts per system utterance: (dialog_id, turn = 1-based system turn, pos, act, slot, value).
+def mw_acts(u: DataFrame) -> DataFrame:
+    """Dialogue acts per system utterance of ``u``: (dialog_id, turn = 1-based system turn, pos, act, slot, value).
 
     Some turns carry no annotation object at all (``annotated`` false).
     """
-    from ..operators.ordering import dense_index
-    u = mw_utterances(spark, sf_dir).where(F.col("is_sys"))
-    # 1-based number of each system utterance in its dialogue: exact rank without a dialogue-wide window
-    u = dense_index(u, ["dialog_id"], "utt_idx", "turn0", range_block=64).withColumn("turn", F.col("turn0") + 1)
+    from ..operators.windows import running_sum_before
+    # 1-based number of each system utterance in its dialogue: how many come before, without a dialogue-wide window
+    u = u.where(F.col("is_sys")).withColumn("one", F.lit(1))
+    u = running_sum_before(u, ["dialog_id"], "utt_idx", "one", "turn0").withColumn("turn", F.col("turn0") + 1)
     x = u.select("dialog_id", "turn", "toks", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("pos"))
     h = md5_of("ma", F.col("dialog_id"), F.col("turn"), F.col("pos"))
     h0 = md5_of("mt", F.col("dialog_id"), F.col("turn"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import normalize as N
 from ..operators import dialogue as D
+from ..session import written
 from . import fixtures as fx
 from . import oracle as osql
 from .q_text import _sql_label
@@ -111,14 +112,19 @@ la AS (
   FROM af GROUP BY ALL)"""
 
 
+def _utterances(spark, sf):
+    """The logs with their normalised words, worked out once: many branches read them."""
+    return written(fx.mw_utterances(spark, sf), "utterances")
+
+
 def _mw(spark, sf):
-    u = fx.mw_utterances(spark, sf)
+    u = _utterances(spark, sf)
     kept = D.cut_at_misorder(u)
     turns = D.pair_turns(kept)
-    meta = fx.mw_metadata(spark, sf).join(kept.select("dialog_id", "utt_idx"), ["dialog_id", "utt_idx"], "left_semi")
+    meta = fx.mw_metadata(u).join(kept.select("dialog_id", "utt_idx"), ["dialog_id", "utt_idx"], "left_semi")
     state = D.booked_overrides(meta)
     changes = D.state_changes(state, fx.MW_SLOT_NAMES)
-    acts = D.load_acts(fx.mw_acts(spark, sf))
+    acts = D.load_acts(fx.mw_acts(u))
     return u, kept, turns, state, changes, acts
 
 
@@ -173,7 +179,7 @@ def q_next_turn_state(spark, sf):
 @register("filter_act_types", MW + ACTS + """
 SELECT dialog_id, turn, CAST(pos AS INTEGER) AS pos, full_slot, value FROM af""")
 def q_filter_act_types(spark, sf):
-    a = fx.mw_acts(spark, sf).where(F.col("annotated"))
+    a = fx.mw_acts(_utterances(spark, sf)).where(F.col("annotated"))
     parts = F.split(F.lower("act"), "-")
     v = F.trim(F.lower("value"))
     f = a.where(F.try_element_at(parts, F.lit(2)).isin(*D.INFORM_ACTS) & (F.lower("slot") != "none") & ~v.isin("?", "none"))
@@ -193,7 +199,7 @@ def q_rename_slots(spark, sf):
 @register("load_acts", MW + ACTS + """
 SELECT dialog_id, turn, slot, value FROM la""")
 def q_load_acts(spark, sf):
-    return D.load_acts(fx.mw_acts(spark, sf))
+    return D.load_acts(fx.mw_acts(_utterances(spark, sf)))
 
 
 @register("act_lookup", MW + ACTS + f""",
@@ -248,7 +254,7 @@ def q_too_long_rate(spark, sf):
 def _labelled(spark, sf):
     _, _, turns, _, changes, acts = _mw(spark, sf)
     feats = D.turn_slot_features(turns, changes, acts, fx.MW_SLOT_NAMES, fx.MW_LABEL_MAPS)
-    return D.label_turns(feats, fx.MW_LABEL_MAPS, slots=fx.MW_SLOT_NAMES)
+    return D.label_turns(written(feats, "turn-slots"), fx.MW_LABEL_MAPS, slots=fx.MW_SLOT_NAMES)
 
 
 @register("build_turns_multidomain")
