@@ -1,8 +1,8 @@
 """Tag sequences and span scoring.
 
 ``bio_spans`` is a single left-to-right fold (``aggregate``) per row: O(n),
-row-local, no explode and no shuffle.  ``span_f1`` aggregates per slot type
-after a row-local fan-out over the (size-checked) type list.
+row-local, no explode and no shuffle.  ``span_f1`` aggregates per slot type;
+the distinct spans are matched against all types once.
 """
 
 from __future__ import annotations
@@ -10,10 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
+
 # Tags that close a span.
 OUTSIDE_TAGS = ("O", "[PAD]")
-# Largest type list kept as a literal array; beyond it the equi-join path runs.
-MAX_LITERAL_TYPES = 20000
 
 
 def _c(x) -> Column:
@@ -64,75 +64,68 @@ def gold_types(gold: DataFrame, true_col: str = "true_spans") -> DataFrame:
     return gold.select(F.explode(true_col).alias("s")).select(span_type("s").alias("slot_type")).distinct()
 
 
-def _with_types_literal(rows: DataFrame, types: list[str], exact: bool,
-                        pred_col: str, true_col: str) -> DataFrame:
-    lit_types = F.array(*[F.lit(t) for t in types]).cast("array<string>")
-    empty = F.array().cast("array<string>")
-
-    def match(p, ty):
-        return (span_type(p) == ty) if exact else p.contains(ty)
-
-    # the span lists ride in the accumulator (evaluated once, not per type)
-    init = F.struct(F.coalesce(F.col(pred_col), empty).alias("ps"), F.coalesce(F.col(true_col), empty).alias("ls"),
-                    F.array().cast("array<struct<slot_type:string,p:array<string>,l:array<string>>>").alias("out"))
-    per = F.aggregate(lit_types, init, lambda acc, ty: F.struct(
-        acc["ps"], acc["ls"],
-        F.concat(acc["out"], F.array(F.struct(ty.alias("slot_type"),
-                                              F.filter(acc["ps"], lambda p: match(p, ty)).alias("p"),
-                                              F.filter(acc["ls"], lambda p: match(p, ty)).alias("l")))).alias("out")),
-        lambda acc: acc["out"])
-    return (rows.select("has_pred", "has_true", F.explode(per).alias("x"))
-            .where((F.size("x.p") > 0) | (F.size("x.l") > 0))
-            .select("has_pred", "has_true", "x.slot_type", F.col("x.p").alias("p"), F.col("x.l").alias("l")))
+def contained_types(spans: DataFrame, types: DataFrame, block_types: int = 50_000, bucket_spans: int = 100_000) -> DataFrame:
+    """(s, slot_type) of the distinct spans and every type that occurs in them as a substring.
 
+    A multi-pattern automaton finds all types of a block in one pass over a span.  Types go to hash blocks of about
+    ``block_types``, distinct spans to buckets of about ``bucket_spans``, and one task handles a block and a bucket: its
+    size does not grow with either list.
+    """
+    import pandas as pd
+
+    spans, types = spans.select("s").distinct(), types.select("slot_type").distinct()
+    blocks, buckets = -(-types.count() // block_types) or 1, -(-spans.count() // bucket_spans) or 1
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    own = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
+    left = types.select("slot_type", own("slot_type", blocks).alias("block"), each(buckets).alias("bucket"))
+    right = spans.select("s", own("s", buckets).alias("bucket"), each(blocks).alias("block"))
+
+    def found(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        import ahocorasick
+        names = left["slot_type"].tolist()
+        automaton = ahocorasick.Automaton()
+        for t in names:
+            if t:
+                automaton.add_word(t, t)
+        hits = [(s, "") for s in right["s"] if "" in names]         # the empty type is in every span
+        if len(automaton) and len(right):
+            automaton.make_automaton()
+            hits += [(s, t) for s in right["s"] for t in {t for _, t in automaton.iter(s)}]
+        return pd.DataFrame(hits, columns=["s", "slot_type"])
+
+    key = ["block", "bucket"]
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(found, "s string, slot_type string")
 
-def _substrings(text: Column) -> Column:
-    """All distinct substrings (the empty one too) of a short text."""
-    n = F.length(text)
-    at = F.transform(F.sequence(F.lit(1), n + 1), lambda i: F.transform(
-        F.sequence(F.lit(0), n + 1 - i), lambda k: F.substring(text, i, k)))
-    return F.array_distinct(F.flatten(at))
 
+def span_type_rows(pairs: DataFrame, types: list[str] | None = None, exact: bool = False,
+                   pred_col: str = "pred_spans", true_col: str = "true_spans") -> DataFrame:
+    """Per example and gold slot type, the spans selected by the type test.
 
-def _with_types_join(rows: DataFrame, types: DataFrame, pred_col: str, true_col: str, exact: bool = True) -> DataFrame:
-    """Path for very large type lists: an equi-join of types with the spans' types or, for the substring test, with
-    the substrings of the distinct spans (a span is short); order kept by index."""
-    keys = [c for c in rows.columns if c not in (pred_col, true_col)]     # name the row, and its two flags
+    ``pairs`` is the full outer alignment of predictions and gold on position
+    (``has_pred``/``has_true`` flag which side exists); its other columns tell
+    the rows apart.  By default the type is matched as a *substring* of the
+    whole span string (Q1): the distinct spans are matched once, and the rows
+    join what their spans hold.  A list of any length takes the same way.
+    """
+    pairs = written(pairs, "span-pairs")        # types, distinct spans and rows come from it
+    if types is None:
+        types_df = gold_types(pairs.where("has_true"), true_col)
+    else:
+        types_df = pairs.sparkSession.createDataFrame([(t,) for t in types], "slot_type string")
+    keys = [c for c in pairs.columns if c not in (pred_col, true_col)]
 
     def side(col, tag):
-        return rows.select(*keys, F.posexplode(col).alias("i", "s"), F.lit(tag).alias("side"))
+        return pairs.select(*keys, F.posexplode(col).alias("i", "s"), F.lit(tag).alias("side"))
     spans = side(pred_col, "p").unionByName(side(true_col, "l"))
     own = spans.select("s").distinct()
-    own = own.select("s", span_type("s").alias("slot_type")) if exact else own.select(
-        "s", F.explode(_substrings(F.col("s"))).alias("slot_type"))
-    grouped = spans.join(own.join(types, "slot_type", "left_semi"), "s").groupBy(*keys, "slot_type").agg(
+    own = (own.select("s", span_type("s").alias("slot_type")).join(types_df, "slot_type", "left_semi") if exact
+           else contained_types(own, types_df))
+    grouped = spans.join(own, "s").groupBy(*keys, "slot_type").agg(
         F.sort_array(F.collect_list(F.when(F.col("side") == "p", F.struct("i", "s")))).alias("p"),
         F.sort_array(F.collect_list(F.when(F.col("side") == "l", F.struct("i", "s")))).alias("l"))
     return grouped.select("has_pred", "has_true", "slot_type", F.col("p.s").alias("p"), F.col("l.s").alias("l"))
 
 
-def span_type_rows(pairs: DataFrame, types: list[str] | None = None, exact: bool = False,
-                   pred_col: str = "pred_spans", true_col: str = "true_spans") -> DataFrame:
-    """Per example and gold slot type, the spans selected by the type test.
-
-    ``pairs`` is the full outer alignment of predictions and gold on position
-    (``has_pred``/``has_true`` flag which side exists).  By default the type is
-    matched as a *substring* of the whole span string (Q1).
-    """
-    if types is None:
-        tdf = gold_types(pairs.where("has_true"), true_col)
-        # stream the distinct types and stop after MAX+1: the size check and the fetch are one pass
-        types = []
-        for r in tdf.toLocalIterator():
-            types.append(r[0])
-            if len(types) > MAX_LITERAL_TYPES:
-                break
-        if len(types) > MAX_LITERAL_TYPES:
-            return _with_types_join(pairs, tdf, pred_col, true_col, exact)
-        types = sorted(types)
-    return _with_types_literal(pairs, types, exact, pred_col, true_col)
-
-
 def align_spans(pred: DataFrame, gold: DataFrame, keys=("pos",)) -> DataFrame:
     """Full outer alignment by position; counts before the zip need both sides (A3)."""
     keys = list(keys)
@@ -179,38 +172,44 @@ def word_bio(words, word_slot) -> Column:
 
 
 def brackets_to_bio(utterance) -> Column:
-    """``[IN:X w [SL:Y w ] ]`` -> ``w:TAG w:TAG <=> IN_X`` (tags are the open-bracket path joined by ``_``).
+    """``[IN:X w [SL:Y w ] ]`` -> ``w:TAG w:TAG <=> IN_X`` (tags are the names of the open brackets joined by ``_``).
 
-    One left-to-right fold over ``split(' ')`` with a struct state (intent,
-    started, first-word flag, open tags, output); no UDF.  The first word after
-    a newly opened tag gets ``B-``, later ones ``I-``; ``]`` pops.
+    By position: the first opener is the root and names the intent; every other
+    bracket changes the level by one (never below 0).  Around a word of level n
+    stand, for each level 1 .. n, the last opener of that level before it.  A
+    word begins a span (``B-``) if an opener came after the last word that had
+    a level; words of level 0 are ``O``.  NULL without a root.
     """
-    toks = F.split(_c(utterance), " ")
-    init = F.struct(F.lit(None).cast("string").alias("intent"), F.lit(False).alias("started"),
-                    F.lit(True).alias("first"), F.array().cast("array<string>").alias("tags"),
-                    F.array().cast("array<string>").alias("out"))
-
-    def step(acc, t):
-        stripped = F.regexp_replace(t, r"^\[+|\[+$", "")
-        is_open, is_close = t.startswith("["), t.startswith("]")
-        n = F.size(acc["tags"])
-        path = F.array_join(acc["tags"], "_")
-        cur = F.when(n == 0, F.lit("O")).when(acc["first"], F.concat(F.lit("B-"), path)) \
-            .otherwise(F.concat(F.lit("I-"), path))
-        return (F.when(is_open & ~acc["started"],
-                       F.struct(F.replace(stripped, F.lit("IN:"), F.lit("IN_")).alias("intent"),
-                                F.lit(True).alias("started"), acc["first"], acc["tags"], acc["out"]))
-                .when(is_open, F.struct(acc["intent"], acc["started"], F.lit(True).alias("first"),
-                                        F.concat(acc["tags"], F.array(F.replace(F.replace(
-                                            stripped, F.lit("IN:"), F.lit("IN_")), F.lit("SL:"), F.lit("SL_"))))
-                                        .alias("tags"), acc["out"]))
-                .when(is_close, F.struct(acc["intent"], acc["started"], acc["first"],
-                                         F.when(n > 0, F.slice(acc["tags"], 1, n - 1)).otherwise(acc["tags"])
-                                         .alias("tags"), acc["out"]))
-                .otherwise(F.struct(acc["intent"], acc["started"],
-                                    F.when(n > 0, F.lit(False)).otherwise(acc["first"]).alias("first"), acc["tags"],
-                                    F.concat(acc["out"], F.array(F.concat(t, F.lit(":"), cur))).alias("out"))))
-
-    return F.aggregate(toks, init, step,
-                       lambda acc: F.when(acc["intent"].isNotNull(),
-                                          F.concat(F.array_join(acc["out"], " "), F.lit(" <=> "), acc["intent"])))
+    turn = lambda t: F.when(t.startswith("["), 1).when(t.startswith("]"), -1).otherwise(0)
+    marks = F.transform(F.split(_c(utterance), " "), lambda t, i: F.struct(t.alias("t"), i.alias("at"), turn(t).alias("turn")))
+    root = F.array_position(F.transform(marks, lambda m: m["turn"]), 1) - 1
+    start = F.struct(F.lit(0).alias("level"), F.array().cast("array<struct<t:string,at:int,turn:int,level:int>>").alias("seen"))
+
+    def leveled(acc, m):
+        level = F.greatest(acc["level"] + F.when(m["at"] == root, 0).otherwise(m["turn"]), F.lit(0))
+        return F.struct(level.alias("level"), F.concat(acc["seen"], F.array(F.struct(
+            m["t"].alias("t"), m["at"].alias("at"), m["turn"].alias("turn"), level.alias("level")))).alias("seen"))
+
+    def name(t, *kinds):
+        for k in kinds:
+            t = F.replace(t, F.lit(f"{k}:"), F.lit(f"{k}_"))
+        return F.regexp_replace(t, r"^\[+|\[+$", "")
+
+    def tagged(words, openers, w):
+        before = F.filter(openers, lambda o: o["at"] < w["at"])
+        path = F.array_join(F.transform(F.sequence(F.lit(1), w["level"]), lambda k: name(F.element_at(
+            F.filter(before, lambda o: o["level"] == k), -1)["t"], "IN", "SL")), "_")
+        last = F.array_max(F.transform(F.filter(words, lambda x: (x["at"] < w["at"]) & (x["level"] > 0)), lambda x: x["at"]))
+        begins = F.coalesce(last, F.lit(-1)) < F.array_max(F.transform(before, lambda o: o["at"]))
+        return F.when(w["level"] == 0, F.lit("O")).otherwise(F.concat(F.when(begins, F.lit("B-")).otherwise(F.lit("I-")), path))
+
+    def line(s):
+        words = F.filter(s["seen"], lambda m: m["turn"] == 0)
+        openers = F.filter(s["seen"], lambda m: (m["turn"] == 1) & (m["at"] != s["root"]))
+        # one-element arrays bind the two lists once for the lambdas inside
+        return F.transform(F.array(F.struct(words.alias("w"), openers.alias("o"))), lambda b: F.concat(
+            F.array_join(F.transform(b["w"], lambda w: F.concat(w["t"], F.lit(":"), tagged(b["w"], b["o"], w))), " "),
+            F.lit(" <=> "), name(F.get(s["seen"], s["root"])["t"], "IN")))[0]
+
+    parse = F.struct(F.aggregate(marks, start, leveled, lambda acc: acc["seen"]).alias("seen"), root.cast("int").alias("root"))
+    return F.when(root >= 0, F.transform(F.array(parse), line)[0])

@@ -1,6 +1,7 @@
 """Operators give the whole result: nothing is lost to a bound, a missing label or a large type list."""
 
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -46,17 +47,46 @@ def test_votes_for_any_label(spark):
         assert nll.n == 2 and nll.mean_nll == pytest.approx(sum(want) / 2)
 
 
-def test_large_type_lists_match_the_same_substrings(spark, monkeypatch):
+@pytest.mark.parametrize("exact", [False, True])
+def test_types_are_matched_like_the_loop(spark, exact):
     rows = [(1, ["date:0-2", "start_date:3-4", "0:5-9"], ["date:0-2", "0:5-9"], True, True),
-            (2, None, ["time:1-2", ":3-4"], False, True), (3, ["a:b:0-2"], None, True, False)]
+            (2, None, ["time:1-2", ":3-4"], False, True), (3, ["a:b:0-2"], None, True, False), (4, [], ["date:0-2"] * 2, True, True),
+            (5, ["0:5-9", "date:0-2"], None, True, False)]
     pairs = spark.createDataFrame(rows, "pos long, pred_spans array<string>, true_spans array<string>, has_pred boolean, "
                                         "has_true boolean")
-    one = lambda df: Counter((r.has_pred, r.has_true, r.slot_type, tuple(r.p), tuple(r.l)) for r in df.collect())
-    for exact in (False, True):
-        monkeypatch.setattr(S, "MAX_LITERAL_TYPES", 20_000)
-        small = one(S.span_type_rows(pairs, exact=exact))
-        monkeypatch.setattr(S, "MAX_LITERAL_TYPES", 0)
-        assert one(S.span_type_rows(pairs, exact=exact)) == small and small
+    kind = lambda s: s.split(":")[0]
+    want = Counter()
+    for _, p, t, has_p, has_t in rows:
+        for ty in {kind(s) for r in rows if r[4] for s in r[2] or []}:
+            held = [tuple(s for s in side or [] if (kind(s) == ty if exact else ty in s)) for side in (p, t)]
+            if any(held):
+                want[(has_p, has_t, ty, *held)] += 1
+    got = Counter((r.has_pred, r.has_true, r.slot_type, tuple(r.p), tuple(r.l)) for r in S.span_type_rows(pairs, exact=exact).collect())
+    assert got == want
+
+
+@pytest.mark.parametrize("block,bucket", [(50_000, 100_000), (3, 4)])
+def test_many_types_in_blocks(spark, block, bucket):
+    rnd = random.Random(4)
+    types = {"".join(rnd.choices("ab_", k=rnd.randint(0, 4))) for _ in range(30)} | {"", "é_a"}
+    spans = {"".join(rnd.choices("ab_:é", k=rnd.randint(0, 12))) for _ in range(60)}
+    got = S.contained_types(spark.createDataFrame([(s,) for s in spans] * 2, "s string"),
+                            spark.createDataFrame([(t,) for t in types], "slot_type string"), block, bucket).collect()
+    assert sorted(map(tuple, got)) == sorted((s, t) for s in spans for t in types if t in s)
+
+
+BRACKETS = [  # nested, empty and unbalanced brackets, words outside, several openers before a word
+    ("[IN:GET_EVENT what [SL:DATE today ] ]", "what:O today:B-SL_DATE <=> IN_GET_EVENT"),
+    ("[IN:A x [SL:B y [IN:GET_LOCATION z w ] v ] u ]",
+     "x:O y:B-SL_B z:B-SL_B_IN_GET_LOCATION w:I-SL_B_IN_GET_LOCATION v:I-SL_B u:O <=> IN_A"),
+    ("[IN:A [SL:B [SL:C ] x y ] [SL:B z ] ]", "x:B-SL_B y:I-SL_B z:B-SL_B <=> IN_A"),
+    ("a ] [IN:A b ] ] c [SL:D e", "a:O b:O c:O e:B-SL_D <=> IN_A"), ("[IN:A [SL:B x ] y [SL:B ] z ]", "x:B-SL_B y:O z:O <=> IN_A"),
+    ("no brackets", None), ("", None), ("[IN:A", " <=> IN_A")]
+
+
+def test_brackets_by_position(spark):
+    df = spark.createDataFrame(BRACKETS, "u string, want string").select("u", S.brackets_to_bio("u").alias("got"))
+    assert [tuple(r) for r in df.collect()] == BRACKETS
 
 
 def test_ranks_over_many_blocks(spark):
