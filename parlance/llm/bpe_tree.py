@@ -31,22 +31,43 @@ import re
 
 import numpy as np
 import pandas as pd
-import public_tokenizers
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import free_name, whole_text, worker_store
 
-MEMO_PIECES = 300_000     # matches, and stretches of text, that a worker process remembers before it starts over
+MEMO_PIECES = 400_000     # matches that a worker process remembers before it starts over
 ROW_BYTES = 64            # matches up to this length are merged together
-# white space as re has it: Unicode White_Space and four more, so a cut stands between characters that are none
-_UNEVEN = re.compile(r" (?:(?=\s)|(?<=\s\s))")
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+GROUP_CHARS = 1 << 20     # characters of the texts that are cut together
 GROUP_BYTES = 1 << 15     # places of the matrices (they fit a core's cache)
 NO_PAIR = np.int64(1) << 48
 
 
+# The letters, numbers and white space of Unicode below U+0250, as the inside of a character class, and the
+# characters that the narrow twin of a pattern may meet (those, and general punctuation without its spaces).
+LETTERS, NUMBERS, WHITE = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾", r"\t-\r \x85\xa0"
+BEYOND = re.compile("[^\x00-ɏ‐-‧‰-⁞]")
+
+
+def narrow_twin(pattern: str) -> str | None:
+    """The pattern for the library's faster matcher, for texts without a character of ``BEYOND``; None if it has other
+    escapes than letters, numbers and white space."""
+    classes = {r"\p{L}": LETTERS, r"\p{N}": NUMBERS, r"\s": WHITE}
+    out, inside = [], False
+    for token in re.findall(r"\\p\{\w+\}|\\.|.", pattern, re.S):
+        if token in classes:
+            token = classes[token] if inside else f"[{classes[token]}]"
+        elif token == r"\S" and not inside:
+            token = f"[^{WHITE}]"
+        elif token[0] == "\\":
+            return None
+        elif token in "[]":
+            inside = token == "["
+        out.append(token)
+    return "".join(out)
+
+
 class Ranks:
     """A rank file: token bytes, their ids, and the rank of every pair of tokens whose bytes joined are a token."""
 
@@ -210,22 +231,20 @@ def merge_rows(pieces: list[bytes], size: int, ranks: Ranks) -> list[bytes]:
 
 
 class TreeEncoder:
-    """Texts to ids (little-endian uint32 bytes).
-
-    A space between two characters that are not white space begins a match, whatever stands around, so a text is the
-    sum of its stretches between such spaces.  Stretches are looked up first, then the matches within a new one.
-    """
+    """Texts to ids (little-endian uint32 bytes)."""
 
     def __init__(self, path: str, pattern: str, memo_pieces: int = MEMO_PIECES, row_bytes: int = ROW_BYTES):
         self.ranks, matcher = load_ranks(path), regex.compile(pattern)
         # findall gives whole matches only where the pattern has no groups
-        self.findall = (lambda text: [m.group() for m in matcher.finditer(text)]) if matcher.groups else matcher.findall
-        # stretches: only where the pattern is known to cut at such spaces
-        self.cuts = pattern == public_tokenizers.PATTERN
-        self.pieces, self.stretches, self.heads = (worker_store("bpe tree", f"{k} {path} {pattern}") for k in (
-            "pieces", "stretches", "heads"))
+        self.every = (lambda text: [m.group() for m in matcher.finditer(text)]) if matcher.groups else matcher.findall
+        twin = None if matcher.groups else narrow_twin(pattern)
+        self.narrow = twin and re.compile(twin).findall
+        self.memo = worker_store("bpe tree", f"pieces {path}")
         self.memo_pieces, self.row_bytes = memo_pieces, row_bytes
 
+    def findall(self, text: str) -> list[str]:
+        return self.narrow(text) if self.narrow and not BEYOND.search(text) else self.every(text)
+
     def merged(self, pieces: list[str]) -> list[bytes]:
         """The ids of each piece (one match of the pattern)."""
         known, out = self.ranks.ids, [b""] * len(pieces)
@@ -246,51 +265,21 @@ class TreeEncoder:
                     out[k] = ids
         return out
 
-    def _stretches(self, text: str) -> list[str]:
-        if not self.cuts:
-            return [text]
-        return _CUT.split(text) if _UNEVEN.search(text) else text.split(" ")
-
-    def _learn(self, memo: dict[str, bytes], new: set[str], lead: str) -> None:
-        matches = [(s, self.findall(lead + s)) for s in new]
-        pieces = set().union(*(m for _, m in matches)).difference(self.pieces)
-        if len(self.pieces) + len(pieces) > self.memo_pieces:
-            self.pieces.clear()
-            pieces = set().union(*(m for _, m in matches))
-        pieces = list(pieces)
-        self.pieces.update(zip(pieces, self.merged(pieces)))
-        memo.update((s, b"".join(map(self.pieces.__getitem__, m))) for s, m in matches)
-
-    def _learn_stretches(self, new: set[str]) -> None:
-        """A stretch of letters is one match with its space; with a mark behind, two.  The others go to the pattern."""
-        memo, marks = self.stretches, ",." if self.cuts else ""
-        marked = [s for s in new if s[-1:] in marks and s[:-1].isalpha()]
-        rest = new.difference(marked)
-        words = {s for s in rest if s.isalpha()} if self.cuts else set()
-        rest.difference_update(words)
-        words.update({s[:-1] for s in marked}.difference(memo))
-        words = list(words)
-        memo.update(zip(words, self.merged([" " + w for w in words])))
-        tail = dict(zip(marks, self.merged(list(marks))))
-        for s in marked:
-            memo[s] = memo[s[:-1]] + tail[s[-1]]
-        self._learn(memo, rest, " ")
-
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out, at = [], 0
         while at < len(texts):
             group, held = [], 0
-            while at < len(texts) and held < 1 << 20:       # about a million characters at a time
-                group.append(self._stretches(texts[at] or ""))
+            while at < len(texts) and held < GROUP_CHARS:
+                group.append(self.findall(texts[at] or ""))
                 held += len(texts[at] or "")
                 at += 1
-            if len(self.stretches) > self.memo_pieces:
-                self.stretches.clear()
-            self.heads.clear()
-            heads = [g.pop(0) for g in group]
-            self._learn(self.heads, set(heads), "")
-            self._learn_stretches(set().union(*group).difference(self.stretches))
-            out.extend(self.heads[h] + b"".join(map(self.stretches.__getitem__, g)) for h, g in zip(heads, group))
+            new = set().union(*group).difference(self.memo)
+            if len(self.memo) + len(new) > self.memo_pieces:
+                self.memo.clear()
+                new = set().union(*group)
+            new = list(new)
+            self.memo.update(zip(new, self.merged(new)))
+            out.extend(b"".join(map(self.memo.__getitem__, g)) for g in group)
         return out
 
 

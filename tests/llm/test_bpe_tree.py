@@ -38,8 +38,7 @@ def test_ids_are_the_librarys(library, row_bytes, memo):
     texts = ["".join(rnd.choices(PARTS, k=s % 200)) for s in range(400)]
     texts += ["x" * 3000, "ab" * 2000, "日本語" * 500, "", None, "=" * 129, " " * 300]
     encoder = bpe_tree.TreeEncoder(PATH, public_tokenizers.PATTERN, memo, row_bytes)
-    encoder.pieces.clear()
-    encoder.stretches.clear()
+    encoder.memo.clear()
     assert [ids(x) for x in encoder.encode(texts)] == [library.encode_ordinary(t or "") for t in texts]
 
 
@@ -64,6 +63,20 @@ def test_equal_ranks_are_merged_from_the_left(library):
     assert library.encode_ordinary("aaaaa") == ids(bpe_tree.TreeEncoder(PATH, public_tokenizers.PATTERN).encode(["aaaaa"])[0])
 
 
+def test_the_narrow_twin_cuts_like_the_pattern():
+    narrow = bpe_tree.re.compile(bpe_tree.narrow_twin(public_tokenizers.PATTERN))
+    wide = bpe_tree.regex.compile(public_tokenizers.PATTERN)
+    plain = [chr(c) for c in range(0x2100) if not bpe_tree.BEYOND.search(chr(c))]
+    for kind in (r"\p{L}", r"\p{N}", r"\s", r"\S"):
+        one = bpe_tree.re.compile(bpe_tree.narrow_twin(kind))
+        assert [c for c in plain if one.match(c)] == [c for c in plain if bpe_tree.regex.match(kind, c)]
+    rnd = random.Random(2)
+    for _ in range(3000):
+        text = "".join(rnd.choices([*plain, *"  \n'tsva12"], k=12))
+        assert narrow.findall(text) == wide.findall(text)
+    assert bpe_tree.narrow_twin(r"\p{Han}+") is None and bpe_tree.BEYOND.search("日")
+
+
 def test_a_pattern_with_groups_cuts_alike(library):
     grouped = "(" + public_tokenizers.PATTERN + ")"
     text = "it's a test, isn't it?  yes"
