@@ -141,6 +141,19 @@ def q_explode_dialogues(spark, sf):
                     "is_sys", F.size(word_tokens(F.lower("text"))).cast("int").alias("n_tokens"))
 
 
+@register("explode_dialogues_one_file", MW + """
+SELECT dialog_id, CAST(utt_idx AS BIGINT) AS utt_idx, is_sys, text FROM mwu""")
+def q_explode_dialogues_one_file(spark, sf):
+    """SC6 as it is published: all dialogues in one JSON object in one file, here written by offsets, read by ranges."""
+    from ..sources import readers as R
+    from ..sources.json_ranges import write_json_object
+    lines = spark.read.text(R.write_keyed_logs(spark, fx.mw_utterances(spark, sf)))
+    logs = lines.select(F.explode(F.from_json("value", "map<string,string>")).alias("k", "v"))
+    e = D.explode_dialogues(R.read_keyed_logs_by_range(spark, write_json_object(logs, "k", "v"), range_bytes=1 << 20))
+    return e.select(F.col("dialog_id").cast("bigint").alias("dialog_id"), F.col("utt_idx").cast("bigint").alias("utt_idx"),
+                    "is_sys", "text")
+
+
 @register("cut_at_misorder", MW + """
 SELECT dialog_id, utt_idx FROM kept""")
 def q_cut_at_misorder(spark, sf):

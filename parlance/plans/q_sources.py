@@ -14,6 +14,8 @@ from ..functions.text import STRIP_WS_CLASS
 from ..functions.values import span_words_to_slot, split_words
 from ..operators import corpus as C
 from ..operators import spans as S
+from ..operators.ordering import dense_index
+from ..sources import json_ranges as J
 from ..sources import readers as R
 from ..sources import sinks as K
 from ..sources.predictions import read_prediction_files
@@ -255,6 +257,20 @@ def q_sink_json_rows(spark, sf):
     return spark.read.schema(d.schema).json(path)
 
 
+@register("submission_object", I + """
+SELECT dataset, pos, pred, row_number() OVER (PARTITION BY dataset ORDER BY pos, split) AS nth FROM intents""")
+def q_submission_object(spark, sf):
+    """SK5 as it is handed in: one JSON object ``{dataset: [output, ...]}`` in one file; read back by byte ranges."""
+    out = fx.intent_rows(spark, sf).select("dataset", "pos", "split", F.to_json(F.struct("pos", "pred")).alias("output"))
+    path = J.write_json_object(out, "dataset", "output", ["pos", "split"], arrays=True)
+    back = J.read_json_elements(spark, path, level=2, range_bytes=1 << 20)
+    # the place in the file, not the position, gives the number
+    back = dense_index(back, ["parent"], "at", "nth", range_block=1 << 22)
+    rec = F.from_json("value", "struct<pos:bigint,pred:string>", {"mode": "FAILFAST"})
+    return back.select(F.col("parent").alias("dataset"), rec.alias("r"), (F.col("nth") + 1).alias("nth")).select(
+        "dataset", "r.pos", "r.pred", "nth")
+
+
 @register("pack_submission", I + """
 SELECT dataset, pos, pred, split AS run, row_number() OVER (PARTITION BY dataset, split ORDER BY pos) AS nth
 FROM intents""")

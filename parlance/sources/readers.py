@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import STRIP_WS_CLASS
 from ..session import fresh_path
+from .json_ranges import read_json_elements
 
 
 def _strip(col):
@@ -102,6 +103,13 @@ def read_keyed_logs(spark: SparkSession, path: str, whole_files: bool = False) -
     return json_objects(spark, path, KEYED_LOG_SCHEMA, whole_files).withColumnRenamed("value", "dialogues")
 
 
+def read_keyed_logs_by_range(spark: SparkSession, path: str, **ranges) -> DataFrame:
+    """SC6 for files of any size: one row a dialogue, each file read by many tasks (see ``json_ranges``)."""
+    d = read_json_elements(spark, path, **ranges)
+    entry = F.from_json("value", f"struct<log:array<{UTTERANCE_SCHEMA}>>", {"mode": "FAILFAST"})
+    return d.select(F.create_map(F.col("key"), entry).alias("dialogues"))
+
+
 def read_keyed_acts(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
     """Dialogue acts ``{dialogue: {turn: {act: [[slot, value], ...]}}}``: one row a (slot, value), in order.
 
