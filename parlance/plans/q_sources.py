@@ -15,6 +15,7 @@ from ..functions.values import span_words_to_slot, split_words
 from ..operators import corpus as C
 from ..operators import spans as S
 from ..operators.ordering import dense_index
+from ..session import written
 from ..sources import json_ranges as J
 from ..sources import readers as R
 from ..sources import sinks as K
@@ -263,7 +264,7 @@ def q_submission_object(spark, sf):
     """SK5 as it is handed in: one JSON object ``{dataset: [output, ...]}`` in one file; read back by byte ranges."""
     out = fx.intent_rows(spark, sf).select("dataset", "pos", "split", F.to_json(F.struct("pos", "pred")).alias("output"))
     path = J.write_json_object(out, "dataset", "output", ["pos", "split"], arrays=True)
-    back = J.read_json_elements(spark, path, level=2, range_bytes=1 << 20)
+    back = written(J.read_json_elements(spark, path, level=2, range_bytes=1 << 20), "elements")   # numbered in three branches
     # the place in the file, not the position, gives the number
     back = dense_index(back, ["parent"], "at", "nth", range_block=1 << 22)
     rec = F.from_json("value", "struct<pos:bigint,pred:string>", {"mode": "FAILFAST"})
