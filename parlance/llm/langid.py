@@ -8,13 +8,16 @@ it gives one weight vector a language (one against the rest), and because
 every step is linear in the presence vectors the scores of a batch are one
 matrix product of its presence rows with a small matrix.
 
-Learning uses at most ``ROWS_PER_LANGUAGE`` rows a language (documented bound,
-drawn by a hash of the id); scoring reads every whole text once, without a
-shuffle.
+Learning uses different texts only (copies count once), at most
+``ROWS_PER_LANGUAGE`` a language and ``TRAIN_ROWS`` in all (documented bounds,
+both hard; drawn by a hash of the text, so neither ids nor copies matter).  With
+many languages each gets its share of ``TRAIN_ROWS``, one text at least; if there
+are more languages than that, the most frequent are learned (ties: the name that
+sorts first).  Scoring reads every whole text once, without a shuffle.
 
 Defined cases: null text, and text without a letter, is ``und`` with score 0;
 so is any text if there is nothing to learn from; ties go to the language that
-sorts first; repeated rows get equal answers; an empty table gives an empty
+sorts first; repeated rows get equal answers and are learned from once; an empty table gives an empty
 result; only the named columns are read.
 """
 
@@ -25,13 +28,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import PandasUDFType
 
-from .common import free_name
+from .common import free_name, saved
 
 ROWS_PER_LANGUAGE = 400
+TRAIN_ROWS = 4096               # rows learned from in all, and so languages at most
+SUBGROUPS = 1024
 LANDMARKS = 256
 RIDGE = 1e-2
 BUCKET_BITS = (10, 12, 14)      # hash buckets for 1-, 2- and 3-grams
@@ -133,18 +138,26 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-          rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
-    """Learn from text and non-null language of rows outside the held-out part."""
+          rows_per_language: int = ROWS_PER_LANGUAGE, train_rows: int = TRAIN_ROWS) -> Model:
+    """Learn from text and non-null language of rows outside the held-out part (see the module text for the bounds)."""
     known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    known = known.filter(~held_out("doc_id") & F.col("lang").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not sizes:
+    known = known.filter(~held_out("doc_id") & F.col("lang").isNotNull() & (F.length("text") > 0))
+    known = known.select("lang", "text", F.xxhash64("text").alias("h"))
+    # different texts by their hash, counted once: copies count as one row
+    texts = saved(known.groupBy("lang", "h").agg(F.count(F.lit(1)).alias("n")), "language-texts")
+    sizes = texts.groupBy("lang").agg(F.sum("n").alias("n"))
+    learned = sizes.orderBy(F.desc("n"), "lang").limit(train_rows).select("lang")
+    n_languages = learned.count()
+    if not n_languages:
         return Model([], None)
-    share = F.lit(0)
-    for lang, n in sorted(sizes.items()):
-        share = F.when(F.col("lang") == lang, int(min(1.0, rows_per_language / n) * 1_000_000)).otherwise(share)
-    # at most rows_per_language rows a language are expected; equal ids (null ids too) draw by their text
-    drawn = known.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < share).select("lang", "text")
+    each = max(1, min(rows_per_language, train_rows // n_languages))
+    # the first rows of each language by a hash, in two rounds: no group grows beyond SUBGROUPS * each rows
+    pick = texts.join(learned, "lang", "left_semi").select("lang", "h", F.xxhash64("h", F.lit("draw")).alias("u"))
+    sub = Window.partitionBy("lang", F.pmod("u", F.lit(SUBGROUPS))).orderBy("u", "h")
+    pick = pick.withColumn("r", F.row_number().over(sub)).filter(F.col("r") <= each)
+    pick = pick.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("u", "h"))).filter(F.col("r") <= each)
+    drawn = known.join(F.broadcast(pick.select("lang", "h")), ["lang", "h"])      # train_rows rows at most
+    drawn = drawn.groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")
 
     def features(batches):
         grams = Grams()

@@ -5,17 +5,22 @@ neighbours.  A size-weighted sample of keys (exponential priorities, a fixed
 expected number of rows) gives quantile boundaries of many small ranges; records are
 range-partitioned by them.  A range that is overfull is subdivided: its other
 keys by a second hash of the key (equal texts stay whole), and a key that by
-itself outweighs a quarter of a shard by a hash of the record id, so one text that
-holds a third of all rows still spreads.  The pieces are dealt to the shards by
+itself outweighs a quarter of a shard by a hash of a row number that is saved
+with the rows, so one text that holds a third of all rows still spreads, also
+when its ids are null or equal.  The pieces are dealt to the shards by
 decreasing size, always to the lightest shard.  A record's slot is its piece's
 offset in the shard plus its rank in the piece; no task numbers more than one
 piece.
 
+The row numbers follow the files as they are read, so the shards of a table
+are the same whenever it is read in the same splits.
+
 What the driver holds is bounded by parameters: the sample, and one row a
 piece (``shards * ranges_per_shard`` and as many subdivisions at most).
 
 Defined cases: null text counts 0 bytes and is grouped with the empty text;
-repeated rows each get a slot of their own; an empty table gives an empty
+repeated rows, null ids and equal ids each get a slot of their own and are
+sampled and spread like any other row; an empty table gives an empty
 result.  Only the id and text columns are read, extra columns are ignored.
 """
 
@@ -39,11 +44,15 @@ WHOLE_GROUP = 0.25      # equal texts stay in one piece up to this share of a sh
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One narrow row a record: id, size, crc32 of the text, key (hash of the text)."""
+    """One narrow row a record: id, size, crc32 of the text, key (hash of the text), row (a number for draws).
+
+    ``row`` depends on the tasks, so the rows are to be saved before anything is drawn by it.
+    """
     t = whole_text(text_col)
     raw = t.cast("binary")
     return docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(t) + ROW_BYTES).cast("long").alias("size"),
-                       F.crc32(raw).alias("text_crc32"), F.xxhash64(t).alias("key"))
+                       F.crc32(raw).alias("text_crc32"), F.xxhash64(t).alias("key"),
+                       F.monotonically_increasing_id().alias("row"))
 
 
 def splitters(rows: DataFrame, n_ranges: int, total: int, per_range: int = SAMPLE_PER_RANGE) -> list[int]:
@@ -52,7 +61,7 @@ def splitters(rows: DataFrame, n_ranges: int, total: int, per_range: int = SAMPL
     A row's priority is exponential with its size as the rate; rows under ``n / total`` are drawn, which are
     ``n = n_ranges * per_range`` or fewer in expectation, whatever the number of rows or tasks.
     """
-    unit = (F.pmod(F.xxhash64("doc_id", "key", F.lit("draw")), F.lit(1 << 52)) + 1) / F.lit(float((1 << 52) + 1))
+    unit = (F.pmod(F.xxhash64("row", F.lit("draw")), F.lit(1 << 52)) + 1) / F.lit(float((1 << 52) + 1))
     drawn = rows.filter(-F.log(unit) / F.col("size") < n_ranges * per_range / max(1, total)).select("key")
     keys = np.sort(np.array([r[0] for r in drawn.collect()], dtype=np.int64))
     if not len(keys):
@@ -101,18 +110,18 @@ def assign_shards(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_c
     light = light.filter(F.col("bytes") > 2 * limit).select(
         "range", F.ceil(F.col("bytes") / limit).cast("int").alias("cuts")).collect()
     cuts = _table(spark, light, "range int, cuts int")
-    # part: 0 .. for the range's light keys, below 0 for the shares of heavy keys (a key's shares by record id)
-    share = F.pmod(F.xxhash64("doc_id", F.lit("share")), F.col("parts"))
+    # part: 0 .. for the range's light keys, below 0 for the shares of heavy keys (a key's shares by row number)
+    share = F.pmod(F.xxhash64("row", F.lit("share")), F.col("parts"))
     order = {r["key"]: i for i, r in enumerate(sorted(heavy, key=lambda r: r["key"]))}
     rank = _table(spark, [(k, i) for k, i in order.items()], "key long, heavy_rank int")
     parted = (tagged.join(F.broadcast(rank), "key", "left").join(F.broadcast(cuts), "range", "left")
               .withColumn("part", F.when(F.col("parts").isNotNull(),
                                          -1 - (F.col("heavy_rank").cast("long") * (n_ranges + 1) + share))
                           .otherwise(F.pmod(F.xxhash64("key", F.lit("cut")), F.coalesce("cuts", F.lit(1)))))
-              .select("doc_id", "size", "text_crc32", "key", "range", "part"))
+              .select("doc_id", "size", "text_crc32", "key", "row", "range", "part"))
     pieces = parted.groupBy("range", "part").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n")).collect()
     dealt = _table(spark, deal([tuple(p) for p in pieces], n_shards), "range int, part long, shard int, offset long")
-    in_piece = Window.partitionBy("range", "part").orderBy("key", "doc_id", "text_crc32")
+    in_piece = Window.partitionBy("range", "part").orderBy("key", "doc_id", "row")
     return (parted.withColumn("nth", F.row_number().over(in_piece)).join(F.broadcast(dealt), ["range", "part"])
             .select("doc_id", "size", "text_crc32", "shard",
                     (F.col("offset") + F.col("nth") - 1).cast("long").alias("slot")))

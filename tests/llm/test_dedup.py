@@ -186,3 +186,24 @@ def test_leaks_on_tables(spark, odd, empty):
     assert decontam.find_leaks(odd, items.limit(0)).count() == 0
     assert decontam.clean_documents(odd, items).count() == odd.count()
     assert decontam.find_leaks(empty, items).count() == 0
+
+
+def test_shards_spread_a_text_whose_ids_are_null_or_equal(spark):
+    """A third of all rows equal in text, with null ids, one id, or ids of their own."""
+    for hot in (None, 7, "own"):
+        rows = [(i if hot == "own" else hot, "the same words again " * 10) for i in range(1000)]
+        rows += [(10_000 + i, f"text {i} " * (1 + i % 40)) for i in range(2000)]
+        got = shards.assign_shards(spark.createDataFrame(rows, "doc_id long, text string"), 10).collect()
+        assert len(got) == len(rows)
+        load, slots = {}, {}
+        for r in got:
+            load[r.shard] = load.get(r.shard, 0) + r["size"]
+            slots.setdefault(r.shard, []).append(r.slot)
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+        assert len(load) == 10 and max(load.values()) < 1.05 * min(load.values())
+
+
+def test_shards_when_every_row_is_the_same(spark):
+    got = shards.assign_shards(spark.createDataFrame([(None, None)] * 1000, "doc_id long, text string"), 4).collect()
+    load = [sum(r.shard == s for r in got) for s in range(4)]
+    assert sum(load) == 1000 and max(load) < 1.1 * min(load)

@@ -187,3 +187,46 @@ def test_rules_are_a_table(spark):
     only = (quality.Rule("symbols", "symbols_per_word", high=0.5), quality.Rule("long", "n_words", low=75))
     got = {r.doc_id: set(r.quality.broken) for r in quality.apply_rules(docs, rules=only).collect()}
     assert got == {1: {"long"}, 2: {"symbols"}}
+
+
+def test_language_sample_has_hard_bounds_and_counts_copies_once(spark, monkeypatch):
+    rows = [(i, t, lang) for i, t, lang in texts_by_language()] + [(None, "one text many times over", "en")] * 3000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    monkeypatch.setattr(langid, "fit", lambda bits, langs: seen.append((bits, langs)))
+    langid.train(docs, rows_per_language=15)
+    bits, langs = seen[0]
+    different = {(t, g) for i, t, g in rows if t and g}
+    assert {g: langs.count(g) for g in set(langs)} == {
+        g: min(15, sum(h == g for _, h in different)) for g in set(langs)} and len(set(langs)) > 1
+    assert len({(b.tobytes(), g) for b, g in zip(bits, langs)}) >= len(langs) - 2
+    langid.train(docs, train_rows=2)
+    assert len(seen[1][1]) == 2
+
+
+def test_thousands_of_languages(spark):
+    rows = [(i, f"{w} {w[::-1]} {w}{w}", f"l{i % 3000:04d}") for i in range(6000)
+            for w in ["".join(chr(97 + (i % 3000) // 26 ** k % 26) * (k + 1) for k in range(3))]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert 2900 <= len(model.languages) <= 3000     # a few have held-out rows only
+    got = langid.predicted(docs.limit(50), model).collect()
+    assert all(r.language.lang_pred in set(model.languages) for r in got)
+
+
+def test_language_fit_equals_ridge_regression_written_out():
+    """The fit against normal equations in the landmark features, solved in another way."""
+    rng = np.random.default_rng(3)
+    presence = rng.random((30, langid._EDGES[-1])) < 0.01
+    names = [["aa", "bb", "cc"][i % 3] for i in range(30)]
+    model = langid.fit(presence, names, landmarks=9, ridge=0.1)
+    rows = langid.kernel_rows(presence).astype(float)
+    marks = np.concatenate([rows[[i for i in range(30) if names[i] == g][:3]] for g in ("aa", "bb", "cc")])
+    inner = marks @ marks.T
+    value, vector = np.linalg.eigh(inner)
+    z = rows @ marks.T @ vector @ np.diag(value ** -0.5)
+    y = np.array([[1.0 if n == g else -1.0 for g in ("aa", "bb", "cc")] for n in names])
+    weight = np.sqrt(np.full(30, 1 / 30))[:, None]          # ten rows a language, three languages
+    top = np.vstack([weight * z, np.sqrt(0.1 / 30) * np.eye(z.shape[1])])
+    w = np.linalg.lstsq(top, np.vstack([weight * y, np.zeros((z.shape[1], 3))]), rcond=None)[0]
+    assert np.allclose(rows @ model.matrix, z @ w, atol=1e-3)
