@@ -91,6 +91,7 @@ class PieceModel:
         self.raw = {i: p.replace(SPACE, " ").encode() for p, i, _ in rows}
         self.raw |= {i: bytes([b]) for b, i in self.byte_id.items()}
         self.raw[self.unknown_id] = " ⁇ ".encode()
+        self.raw_of = np.array([self.raw.get(i, b"") for i in range(max(self.raw) + 1)], dtype=object)
 
     def _parts(self, unit: str) -> list[str]:
         """The unit cut where no piece has the two characters side by side (leading spaces stay with what follows)."""
@@ -214,8 +215,12 @@ class PieceModel:
     def best_score(self, text: str) -> tuple[np.ndarray, np.ndarray, float]:
         """Ids as ``encode`` gives them, ids of the greatest summed score, and that score."""
         got = self._units(text)
-        return (np.frombuffer(b"".join([g[0] for g in got]), np.int32),
-                np.frombuffer(b"".join([g[1] for g in got]), np.int32), float(sum([g[2] for g in got])))
+        own, best, scores = zip(*got) if got else ((), (), ())
+        return (np.frombuffer(b"".join(own), np.int32), np.frombuffer(b"".join(best), np.int32), float(sum(scores)))
+
+    def decoded_bytes(self, ids: np.ndarray) -> bytes:
+        """The bytes of a sequence of the model's own ids, with the space put in front."""
+        return b"".join(self.raw_of[ids].tolist())
 
     def decode(self, ids) -> str:
         """The text of a sequence of ids, without the space put in front; bytes that are no UTF-8 become U+FFFD."""
@@ -286,10 +291,10 @@ def encoded_summary(docs: DataFrame, model_path: str, id_col: str = "doc_id", te
             rows = []
             for t in b["text"]:
                 ids, best, score = model.best_score(t)
-                back = t.replace(SPACE, " ")
+                back = (" " + t.replace(SPACE, " ")).encode() if t else b""
                 rows.append((len(t), len(ids), zlib.crc32(ids.astype("<u4").tobytes()), score, len(best),
                              zlib.crc32(best.astype("<u4").tobytes()),
-                             model.decode(ids.tolist()) == back and model.decode(best.tolist()) == back))
+                             model.decoded_bytes(ids) == back and model.decoded_bytes(best) == back))
             yield pd.DataFrame({"doc_id": b["doc_id"], **{c: [r[i] for r in rows] for i, c in enumerate(names)}})
 
     names = ("n_chars", "n_tokens", "ids_crc32", "best_score", "best_score_tokens", "best_score_crc32", "round_trip")
