@@ -13,4 +13,4 @@ from .sp_codec import encoded_summary
 def op5_sentencepiece_codec(spark, sf_dir):
     bounded_batches(spark)
     return encoded_summary(read_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"),
-                           memo_units=500_000)
+                           memo_units=1_000_000)
