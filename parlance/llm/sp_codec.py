@@ -18,7 +18,10 @@ merges next to the last piece of the prefix before it (``stands``); the ids are
 the library's.  ``best_score`` gives the greatest-sum segmentation for either
 kind; both decode to the same text.
 
-Units seen by a Python worker are remembered in a memo of bounded size.
+Units seen by a Python worker are remembered in a memo of bounded size.  New
+ones are cut all at once, and their short parts share one automaton pass: a
+step relaxes, in numpy, the matches that end at the same position of every part
+(``_side_by_side``; ``segment`` is the same rule for one part of any length).
 
 Defined cases: null and empty texts have no ids and decode to the empty text;
 U+2581 in a text comes back as a space, as in the library; ties and repeated
@@ -32,6 +35,8 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
+from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -45,7 +50,10 @@ from .common import free_name, whole_text, worker_store
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 MEMO_UNITS = 250_000    # about 100 MB a worker
-_EDGE = -1
+SHORT = 64              # characters of a part that is segmented beside others
+BLOCK = 200_000         # characters segmented side by side, about 60 MB of arrays
+GROUP = 500_000         # characters of the texts whose units are looked up together
+_EDGE, _OPEN = -1, -2
 _UNIT = re.compile(r" +[^ ]*|[^ ]+")
 
 
@@ -80,12 +88,20 @@ class PieceModel:
     def _set(self, rows: list[tuple[str, int, float]]) -> None:
         self.auto = ahocorasick.Automaton()
         for piece, i, score in rows:
-            self.auto.add_word(piece, (len(piece), i, score))
+            self.auto.add_word(piece, i)
         self.auto.make_automaton()
+        size = max((i for _, i, _ in rows), default=0) + 1
+        self.size_of, self.score_of = np.zeros(size, np.int64), np.zeros(size)
+        for piece, i, score in rows:
+            self.size_of[i], self.score_of[i] = len(piece), score
+        self.sizes, self.scores = self.size_of.tolist(), self.score_of.tolist()
         self.singles = {p for p, _, _ in rows if len(p) == 1}
         self.unknown = min((s for _, _, s in rows), default=0.0) - UNKNOWN_PENALTY
         self.score = {p: s for p, _, s in rows}
         self.joints = {p[k - 1:k + 1] for p in self.score for k in range(1, len(p))}
+        self.joint_keys = np.array(sorted((ord(a) << 21) + ord(b) for a, b in self.joints) + [1 << 62], np.int64)
+        used = set().union(*self.score) if self.score else set()
+        self.gap = next(c for c in map(chr, range(len(used) + 1)) if c not in used)
         self.name = {i: p for p, i, _ in rows}
         self.pairs: dict[int, bool] = {}
         self.raw = {i: p.replace(SPACE, " ").encode() for p, i, _ in rows}
@@ -93,15 +109,19 @@ class PieceModel:
         self.raw[self.unknown_id] = " ⁇ ".encode()
         self.raw_of = np.array([self.raw.get(i, b"") for i in range(max(self.raw) + 1)], dtype=object)
 
-    def _parts(self, unit: str) -> list[str]:
-        """The unit cut where no piece has the two characters side by side (leading spaces stay with what follows)."""
-        joints, at, out = self.joints, 0, []
-        for k in range(1, len(unit)):
-            if unit[k - 1:k + 1] not in joints and unit[k - 1] != " ":
-                out.append(unit[at:k])
-                at = k
-        out.append(unit[at:])
-        return out
+    def _cut(self, units: list[str]) -> tuple[list[str], list[int]]:
+        """The units cut where no piece has the two characters side by side (leading spaces stay with what follows):
+        all parts in order, and for each unit the number of parts up to its end."""
+        text = "".join(units)
+        ends = np.cumsum(np.fromiter(map(len, units), np.int64, len(units)))
+        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        pair = (code[:-1] << 21) + code[1:]
+        cut = (self.joint_keys[np.searchsorted(self.joint_keys, pair)] != pair) & (code[:-1] != ord(" "))
+        cut[ends[:-1] - 1] = True
+        stops = np.append(np.flatnonzero(cut) + 1, len(text))
+        places = stops.tolist()
+        return ([text[a:b] for a, b in zip([0] + places[:-1], places)],
+                np.searchsorted(stops, ends, side="right").tolist())
 
     def merged(self, text: str) -> list[str]:
         """The pieces that merging leaves of a short text: the best-scored neighbour pair first, leftmost on ties."""
@@ -139,13 +159,14 @@ class PieceModel:
         size_of = [0] * (n + 1)
         gaps = [] if self.singles.issuperset(unit) else [i for i, c in enumerate(unit) if c not in self.singles]
         gap, merging, pairs = 0, self.merging, self.pairs
-        for end, (size, i, score) in self.auto.iter(unit):
+        sizes, scores = self.sizes, self.scores
+        for end, i in self.auto.iter(unit):
             while gap < len(gaps) and gaps[gap] <= end:      # unknown characters up to here, in order
                 self._unknown(best, back, last, size_of, gaps[gap])
                 gap += 1
-            to = end + 1
+            to, size = end + 1, sizes[i]
             start = to - size
-            s = best[start] + score
+            s = best[start] + scores[i]
             if s > best[to]:
                 best[to], back[to] = s, (size, i)
             if merging and last[to] is None:
@@ -188,35 +209,116 @@ class PieceModel:
     def _bytes(self, char: str) -> list[int]:
         return [self.byte_id[b] for b in char.replace(SPACE, " ").encode()] if self.byte_id else [self.unknown_id]
 
-    def _units(self, text: str) -> list[tuple[bytes, bytes, float]]:
-        """For each unit: ids of the model's kind, ids of the best score, that score."""
-        memo, got = self.memo, []
-        for u in _UNIT.findall(" " + text.replace(SPACE, " ")) if text else ():
-            x = memo.get(u)
-            if x is None:
-                if len(memo) >= self.memo_units:
-                    memo.clear()
-                parts = [memo.get(p) or self._part(p) for p in self._parts(u)]
-                x = memo[u] = parts[0] if len(parts) == 1 else (
-                    b"".join([p[0] for p in parts]), b"".join([p[1] for p in parts]), sum([p[2] for p in parts]))
-            got.append(x)
-        return got
+    def _side_by_side(self, parts: list[str]) -> list[tuple[bytes, bytes, float]]:
+        """``segment`` of many parts of at most SHORT characters, each of which is a piece.
+
+        The parts are one text with a character between them that no piece has; a place of that text is a prefix of
+        its part.  Matches are taken in order of the prefix's length, so what they start from is settled.
+        """
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        first = np.cumsum(size + 1) - size - 1
+        found = self.auto.iter(self.gap.join(parts))
+        to, ids = np.fromiter(chain.from_iterable(found), np.int64).reshape(-1, 2).T
+        to = to + 1
+        level = (np.arange((size + 1).sum()) - np.repeat(first, size + 1))[to]
+        order = np.argsort(level.astype(np.uint8), kind="stable")      # matches of one place stay together, longest first
+        bounds = np.cumsum(np.bincount(level, minlength=SHORT + 1)).tolist()
+        ids, to = ids[order], to[order]
+        start, score = to - self.size_of[ids], self.score_of[ids]
+        best, back = np.full((size + 1).sum(), -np.inf), np.zeros((size + 1).sum(), np.int64)
+        last, own = np.full(len(best), _OPEN, np.int64), np.zeros(len(best), np.int64)
+        best[first], last[first] = 0.0, _EDGE
+        pairs = self.pairs
+        for a, b in zip(bounds, bounds[1:]):
+            if a == b:
+                break
+            t, s = to[a:b], best[start[a:b]] + score[a:b]
+            heads = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+            top = np.repeat(np.maximum.reduceat(s, heads), np.diff(np.append(heads, b - a)))
+            hit = np.flatnonzero(s == top)
+            hit = hit[np.append(True, t[hit[1:]] != t[hit[:-1]])]
+            best[t[hit]], back[t[hit]] = s[hit], hit + a
+            if self.merging:
+                left = last[start[a:b]]
+                able = np.flatnonzero(left != _OPEN)
+                stood, done = [], -1
+                for j, place, key in zip(able.tolist(), t[able].tolist(),
+                                         ((left[able] << 32) + ids[a:b][able]).tolist()):
+                    if place != done:
+                        known = pairs.get(key)
+                        if self.stands(key >> 32, key & 0xFFFFFFFF) if known is None else known:
+                            stood.append(j)
+                            done = place
+                stood = np.array(stood, np.int64)
+                last[t[stood]], own[t[stood]] = ids[a:b][stood], stood + a
+        greatest = _walked(back, start, ids, first, size)
+        return list(zip(_walked(own, start, ids, first, size) if self.merging else greatest, greatest,
+                        best[first + size].tolist()))
+
+    def _learn(self, units: list[str]) -> None:
+        """Remember units that the memo lacks."""
+        parts, ends = self._cut(units)
+        memo, short, n = self.memo, [], 0
+        for p in dict.fromkeys(parts):
+            if p in memo:
+                continue
+            own = p.replace(" ", SPACE)
+            if len(p) > SHORT or not self.singles.issuperset(own):
+                memo[p] = self._part(own)
+                continue
+            short.append((p, own))
+            n += len(p)
+            if n >= BLOCK:
+                memo.update(zip([x for x, _ in short], self._side_by_side([x for _, x in short])))
+                short, n = [], 0
+        if short:
+            memo.update(zip([x for x, _ in short], self._side_by_side([x for _, x in short])))
+        at = 0
+        for u, end in zip(units, ends):
+            if end - at > 1:
+                got = [memo[p] for p in parts[at:end]]
+                memo[u] = b"".join([g[0] for g in got]), b"".join([g[1] for g in got]), sum([g[2] for g in got])
+            at = end
 
     def _part(self, part: str) -> tuple[bytes, bytes, float]:
-        own, best, score = self.segment(part.replace(" ", SPACE))
+        own, best, score = self.segment(part)
         best = array("i", best).tobytes()
-        x = self.memo[part] = (best if own is None else array("i", own).tobytes(), best, score)
-        return x
+        return best if own is None else array("i", own).tobytes(), best, score
+
+    def _coded(self, texts: list[str]) -> Iterator[list[tuple[bytes, bytes, float]]]:
+        """For each text its units': ids of the model's kind, ids of the best score, that score."""
+        at = 0
+        while at < len(texts):
+            units, n = [], 0
+            while at < len(texts) and n < GROUP:
+                t = texts[at]
+                units.append(_UNIT.findall(" " + t.replace(SPACE, " ")) if t else [])
+                n += len(t)
+                at += 1
+            new = set(chain.from_iterable(units)).difference(self.memo)
+            if new and len(self.memo) + len(new) > self.memo_units:
+                self.memo.clear()
+                new = set(chain.from_iterable(units))
+            if new:
+                self._learn(list(new))
+            for us in units:
+                yield [self.memo[u] for u in us]
+
+    def encode_all(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Ids (int32) of each whole text."""
+        for got in self._coded(texts):
+            yield np.frombuffer(b"".join([g[0] for g in got]), np.int32)
 
     def encode(self, text: str) -> np.ndarray:
         """Ids (int32) of a whole text."""
-        return np.frombuffer(b"".join([g[0] for g in self._units(text)]), np.int32)
+        return next(self.encode_all([text]))
 
-    def best_score(self, text: str) -> tuple[np.ndarray, np.ndarray, float]:
-        """Ids as ``encode`` gives them, ids of the greatest summed score, and that score."""
-        got = self._units(text)
-        own, best, scores = zip(*got) if got else ((), (), ())
-        return (np.frombuffer(b"".join(own), np.int32), np.frombuffer(b"".join(best), np.int32), float(sum(scores)))
+    def best_scores(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
+        """For each text: ids as ``encode`` gives them, ids of the greatest summed score, and that score."""
+        for got in self._coded(texts):
+            own, best, scores = zip(*got) if got else ((), (), ())
+            yield (np.frombuffer(b"".join(own), np.int32), np.frombuffer(b"".join(best), np.int32),
+                   float(sum(scores)))
 
     def decoded_bytes(self, ids: np.ndarray) -> bytes:
         """The bytes of a sequence of the model's own ids, with the space put in front."""
@@ -228,6 +330,21 @@ class PieceModel:
         return b"".join([raw.get(i, b"") for i in ids]).decode("utf-8", "replace").removeprefix(" ")
 
 
+def _walked(back, start, ids, first, size) -> list[bytes]:
+    """The ids (int32) on the way back from each part's end to its first place."""
+    now, who, steps = first + size, np.arange(len(first)), []
+    while len(who):
+        match = back[now]
+        steps.append((who, ids[match]))
+        now = start[match]
+        more = now > first[who]
+        now, who = now[more], who[more]
+    who, ids = (np.concatenate(x) for x in zip(*reversed(steps)))
+    flat = ids[np.argsort(who, kind="stable")].astype(np.int32).tobytes()
+    stops = (4 * np.cumsum(np.bincount(who, minlength=len(first)))).tolist()
+    return [flat[a:b] for a, b in zip([0] + stops[:-1], stops)]
+
+
 def load_model(path: str, memo_units: int = MEMO_UNITS) -> PieceModel:
     kept = worker_store("pieces", "models")
     if path not in kept:
@@ -243,7 +360,7 @@ def encoded(docs: DataFrame, model_path: str, text_col: str = "text", out: str =
     @F.pandas_udf("array<int>")
     def ids(text: pd.Series) -> pd.Series:
         model = load_model(model_path)
-        return pd.Series([model.encode(t) for t in text])
+        return pd.Series(list(model.encode_all(text.tolist())), dtype=object)
 
     return docs.withColumn(out, ids(whole_text(f"`{text_col}`")))
 
@@ -256,7 +373,7 @@ def encoded_and_checked(docs: DataFrame, model_path: str, text_col: str = "text"
 
     def run(text: pd.Series) -> pd.DataFrame:
         model = load_model(model_path)
-        ids = [model.encode(t) for t in text]
+        ids = list(model.encode_all(text.tolist()))
         same = [model.decode(i.tolist()) == t.replace(SPACE, " ") for i, t in zip(ids, text)]
         return pd.DataFrame({"ids": pd.Series(ids, dtype=object), "same": pd.Series(same, dtype=bool)})
 
@@ -289,8 +406,8 @@ def encoded_summary(docs: DataFrame, model_path: str, id_col: str = "doc_id", te
         model = load_model(model_path, memo_units)
         for b in batches:
             rows = []
-            for t in b["text"]:
-                ids, best, score = model.best_score(t)
+            texts = b["text"].tolist()
+            for t, (ids, best, score) in zip(texts, model.best_scores(texts)):
                 back = (" " + t.replace(SPACE, " ")).encode() if t else b""
                 rows.append((len(t), len(ids), zlib.crc32(ids.astype("<u4").tobytes()), score, len(best),
                              zlib.crc32(best.astype("<u4").tobytes()),

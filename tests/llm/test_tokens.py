@@ -136,6 +136,43 @@ def test_viterbi_finds_the_best_score(rows, text):
     assert b"".join(model.raw[i] for i in ids).decode() == text.replace("▁", " ")
 
 
+def one_by_one(model, parts: list[str]) -> list[tuple]:
+    """What ``_side_by_side`` gives, by ``segment`` of each part alone."""
+    return [model._part(p) for p in parts]
+
+
+def test_parts_side_by_side_are_the_parts_alone(pieces):
+    model, _ = pieces
+    rnd = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyzABCéäñ.,"
+    parts = ["▁" * rnd.randint(0, 2) + "".join(rnd.choices(letters, k=rnd.randint(1, 60))) for _ in range(3000)]
+    parts += ["▁", "a", parts[0], "thethethethe", "▁information"]
+    assert model.singles.issuperset(letters + "▁")
+    assert model._side_by_side(parts) == one_by_one(model, parts)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.dictionaries(st.text("abc▁", min_size=2, max_size=4), st.integers(-20, 0), max_size=15),
+       st.lists(st.text("abc▁", min_size=1, max_size=25), min_size=1, max_size=12))
+def test_parts_side_by_side_of_small_models_with_ties(rows, parts):
+    model = sp_codec.PieceModel.of(sorted(({c: -9 for c in "abc▁"} | rows).items()))
+    assert model._side_by_side(parts) == one_by_one(model, parts)
+
+
+def test_units_of_many_texts_and_a_small_memo(pieces, monkeypatch):
+    """Groups, blocks and a memo far smaller than the texts, parts longer than SHORT, characters without a piece."""
+    model, lib = sp_codec.PieceModel(PIECES), pieces[1]
+    monkeypatch.setattr(sp_codec, "GROUP", 300)
+    monkeypatch.setattr(sp_codec, "BLOCK", 50)
+    model.memo, model.memo_units = {}, 40
+    rnd = random.Random(9)
+    texts = [mixed(s, s % 80) for s in range(200)] + ["ab" * 200, "", "  ", "\x00a\x00 \x00", "x\n\n y\U0001f984z ▁q"]
+    texts += ["".join(rnd.choices("abcdeéß \n", k=rnd.randint(0, 90))) for _ in range(200)]
+    assert [x.tolist() for x in model.encode_all(texts)] == [lib.encode(t) for t in texts]
+    for t, (ids, best_ids, _) in zip(texts, model.best_scores(texts)):
+        assert ids.tolist() == lib.encode(t) and model.decode(best_ids.tolist()) == t.replace("▁", " ")
+
+
 def test_encoded_and_decoded_columns(odd, odd_rows, empty):
     out = sp_codec.decoded(sp_codec.encoded(odd, PIECES), PIECES, "ids_")
     assert {"ids", "ids_", "decoded", "decoded_"} <= set(out.columns)
