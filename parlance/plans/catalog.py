@@ -5,6 +5,7 @@ from . import q_tags  # noqa: F401
 from . import q_corpus  # noqa: F401
 from . import q_text  # noqa: F401
 from . import q_dialogue  # noqa: F401
+from . import q_dialogue_files  # noqa: F401
 from . import q_vectors  # noqa: F401
 from . import q_features  # noqa: F401
 from . import q_sources  # noqa: F401

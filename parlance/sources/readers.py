@@ -39,12 +39,12 @@ KEYED_LOG_SCHEMA = f"map<string,struct<log:array<{UTTERANCE_SCHEMA}>>>"
 # acts of a dialogue by turn; a turn without annotation holds a plain string, kept as its text
 KEYED_ACTS_SCHEMA = "map<string,map<string,string>>"
 TURN_ACTS_SCHEMA = "map<string,array<array<string>>>"
-TRANSCRIPTS_SCHEMA = ("array<struct<dialogue_idx:string,dialogue:array<struct<turn_idx:int,system_transcript:string,"
-                      "transcript:string,turn_label:array<array<string>>>>>>")
+TRANSCRIPT_SCHEMA = ("struct<dialogue_idx:string,dialogue:array<struct<turn_idx:int,system_transcript:string,"
+                     "transcript:string,turn_label:array<array<string>>>>>")
 _SIM_UTTERANCE = "struct<tokens:array<string>,slots:array<struct<slot:string,start:int,exclusive_end:int>>>"
-SPAN_DIALOGUES_SCHEMA = ("array<struct<dialogue_id:string,turns:array<struct<"
-                         f"system_utterance:{_SIM_UTTERANCE},user_utterance:{_SIM_UTTERANCE},"
-                         "dialogue_state:array<struct<slot:string,value:string>>>>>>")
+SPAN_DIALOGUE_SCHEMA = ("struct<dialogue_id:string,turns:array<struct<"
+                        f"system_utterance:{_SIM_UTTERANCE},user_utterance:{_SIM_UTTERANCE},"
+                        "dialogue_state:array<struct<slot:string,value:string>>>>>")
 JSON_SETS_SCHEMA = "map<string,array<array<string>>>"
 
 
@@ -60,6 +60,12 @@ def json_objects(spark: SparkSession, path: str, schema: str, whole_files: bool
     return raw.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("value"))
 
 
+def _elements(spark: SparkSession, path: str, schema, **ranges) -> DataFrame:
+    """The elements (``key``, ``value`` parsed) of one JSON file of any size, read by many tasks (see ``json_ranges``)."""
+    return read_json_elements(spark, path, **ranges).withColumn(
+        "value", F.from_json("value", schema, {"mode": "FAILFAST"}))
+
+
 def read_intent_csv(spark: SparkSession, path: str) -> DataFrame:
     """SC1: comma CSV with header ``text,category`` (quoted fields may hold newlines)."""
     return (spark.read.schema(INTENT_SCHEMA).option("header", True).option("multiLine", True)
@@ -87,9 +93,19 @@ def read_json_sets(spark: SparkSession, path: str, keep=("train", "test", "val")
     """SC4: JSON objects of named sets ``{set: [[text, category], ...]}``; other sets are dropped."""
     raw = json_objects(spark, path, JSON_SETS_SCHEMA, whole_files)
     sets = raw.select(F.explode("value").alias("set_name", "rows"))
-    return (sets.where(F.col("set_name").isin(*keep))
-            .select("set_name", F.explode("rows").alias("r"))
-            .select("set_name", F.try_element_at(F.col("r"), F.lit(1)).alias("text"), F.try_element_at(F.col("r"), F.lit(2)).alias("category")))
+    return _set_rows(sets.where(F.col("set_name").isin(*keep)).select("set_name", F.explode("rows").alias("r")))
+
+
+def read_json_sets_by_range(spark: SparkSession, path: str, keep=("train", "test", "val"), **ranges) -> DataFrame:
+    """SC4 for files of any size: a set of any length is read by many tasks."""
+    rows = _elements(spark, path, "array<string>", level=2, **ranges)
+    return _set_rows(rows.where(F.col("parent").isin(*keep)).select(F.col("parent").alias("set_name"),
+                                                                    F.col("value").alias("r")))
+
+
+def _set_rows(rows: DataFrame) -> DataFrame:
+    return rows.select("set_name", F.try_element_at("r", F.lit(1)).alias("text"),
+                       F.try_element_at("r", F.lit(2)).alias("category"))
 
 
 def read_json_array(spark: SparkSession, path: str, schema: T.StructType = SLOT_EXAMPLE_SCHEMA,
@@ -98,6 +114,12 @@ def read_json_array(spark: SparkSession, path: str, schema: T.StructType = SLOT_
     return spark.read.schema(schema).option("multiLine", multi_line).json(path)
 
 
+def read_json_array_by_range(spark: SparkSession, path: str, schema: T.StructType = SLOT_EXAMPLE_SCHEMA,
+                             **ranges) -> DataFrame:
+    """SC5 for files of any size: one JSON array, read by many tasks."""
+    return _elements(spark, path, schema, **ranges).select("value.*")
+
+
 def read_keyed_logs(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
     """SC6: JSON objects keyed by dialogue id (``dialogues`` map column), one a line or one a file."""
     return json_objects(spark, path, KEYED_LOG_SCHEMA, whole_files).withColumnRenamed("value", "dialogues")
@@ -105,9 +127,8 @@ def read_keyed_logs(spark: SparkSession, path: str, whole_files: bool = False) -
 
 def read_keyed_logs_by_range(spark: SparkSession, path: str, **ranges) -> DataFrame:
     """SC6 for files of any size: one row a dialogue, each file read by many tasks (see ``json_ranges``)."""
-    d = read_json_elements(spark, path, **ranges)
-    entry = F.from_json("value", f"struct<log:array<{UTTERANCE_SCHEMA}>>", {"mode": "FAILFAST"})
-    return d.select(F.create_map(F.col("key"), entry).alias("dialogues"))
+    d = _elements(spark, path, f"struct<log:array<{UTTERANCE_SCHEMA}>>", **ranges)
+    return d.select(F.create_map("key", "value").alias("dialogues"))
 
 
 def read_keyed_acts(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
@@ -115,9 +136,18 @@ def read_keyed_acts(spark: SparkSession, path: str, whole_files: bool = False) -
 
     A turn whose value is a string ("No Annotation") gives one row with ``annotated`` false.
     """
-    turns = (json_objects(spark, path, KEYED_ACTS_SCHEMA, whole_files)
-             .select(F.explode("value").alias("dialog_id", "turns"))
-             .select("dialog_id", F.explode("turns").alias("turn", "acts")))
+    return _act_rows(json_objects(spark, path, KEYED_ACTS_SCHEMA, whole_files)
+                     .select(F.explode("value").alias("dialog_id", "turns")))
+
+
+def read_keyed_acts_by_range(spark: SparkSession, path: str, **ranges) -> DataFrame:
+    """``read_keyed_acts`` for files of any size, read by many tasks."""
+    d = _elements(spark, path, "map<string,string>", **ranges)
+    return _act_rows(d.select(F.col("key").alias("dialog_id"), F.col("value").alias("turns")))
+
+
+def _act_rows(dialogues: DataFrame) -> DataFrame:
+    turns = dialogues.select("dialog_id", F.explode("turns").alias("turn", "acts"))
     plain = ~F.ltrim("acts").startswith("{")
     acts = F.when(~plain, F.from_json("acts", TURN_ACTS_SCHEMA))
     rows = turns.select("dialog_id", F.col("turn").cast("bigint").alias("turn"), plain.alias("plain"),
@@ -133,13 +163,31 @@ def read_keyed_acts(spark: SparkSession, path: str, whole_files: bool = False) -
 
 def read_transcripts(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
     """Transcript dialogues: one row a turn (dialog_id, turn, system_transcript, transcript, turn_label pairs)."""
-    d = json_objects(spark, path, TRANSCRIPTS_SCHEMA, whole_files).select(F.inline("value"))
+    return _transcript_turns(json_objects(spark, path, f"array<{TRANSCRIPT_SCHEMA}>", whole_files)
+                             .select(F.inline("value")))
+
+
+def read_transcripts_by_range(spark: SparkSession, path: str, **ranges) -> DataFrame:
+    """``read_transcripts`` for files of any size, read by many tasks."""
+    return _transcript_turns(_elements(spark, path, TRANSCRIPT_SCHEMA, **ranges).select("value.*"))
+
+
+def _transcript_turns(d: DataFrame) -> DataFrame:
     return d.select(F.col("dialogue_idx").alias("dialog_id"), F.inline("dialogue")).withColumnRenamed("turn_idx", "turn")
 
 
 def read_span_dialogues(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
     """Span dialogues: one row a turn (dialog_id, turn, both utterances' tokens and spans, dialogue state)."""
-    d = json_objects(spark, path, SPAN_DIALOGUES_SCHEMA, whole_files).select(F.inline("value"))
+    return _span_turns(json_objects(spark, path, f"array<{SPAN_DIALOGUE_SCHEMA}>", whole_files)
+                       .select(F.inline("value")))
+
+
+def read_span_dialogues_by_range(spark: SparkSession, path: str, **ranges) -> DataFrame:
+    """``read_span_dialogues`` for files of any size, read by many tasks."""
+    return _span_turns(_elements(spark, path, SPAN_DIALOGUE_SCHEMA, **ranges).select("value.*"))
+
+
+def _span_turns(d: DataFrame) -> DataFrame:
     t = d.select(F.col("dialogue_id").alias("dialog_id"), F.posexplode("turns").alias("turn", "t"))
     return t.select("dialog_id", F.col("turn").cast("bigint").alias("turn"), "t.*")
 

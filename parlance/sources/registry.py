@@ -37,6 +37,12 @@ _READERS = {
     "transcripts": lambda spark, path: R.read_transcripts(spark, path, whole_files=True),
     "spans": lambda spark, path: R.read_span_dialogues(spark, path, whole_files=True),
 }
+# the same rows of JSON files of any size, each read by many tasks
+_RANGE_READERS = {
+    "json": R.read_json_array_by_range, "json_keyed": R.read_keyed_logs_by_range,
+    "dialogues": R.read_keyed_logs_by_range, "transcripts": R.read_transcripts_by_range,
+    "spans": R.read_span_dialogues_by_range,
+}
 
 
 def task_of(name: str) -> str:
@@ -51,12 +57,16 @@ def path_of(root: str, name: str, split: str) -> str:
     return f"{root.rstrip('/')}/{name}/{split}.{ext}"
 
 
-def load_acts(spark: SparkSession, name: str, root: str) -> DataFrame:
+def load_acts(spark: SparkSession, name: str, root: str, by_range: bool = False) -> DataFrame:
     """The act file that stands beside the dialogues of a keyed set."""
-    return R.read_keyed_acts(spark, f"{root.rstrip('/')}/{name}/{ACTS_FILE}", whole_files=True)
+    path = f"{root.rstrip('/')}/{name}/{ACTS_FILE}"
+    return R.read_keyed_acts_by_range(spark, path) if by_range else R.read_keyed_acts(spark, path, whole_files=True)
 
 
-def load(spark: SparkSession, name: str, split: str, root: str) -> DataFrame:
+def load(spark: SparkSession, name: str, split: str, root: str, by_range: bool = False) -> DataFrame:
+    """The rows of a data set's split; ``by_range``: a JSON file is cut into byte ranges instead of read by one task."""
     if split not in SPLITS:
         raise ValueError(f"unknown split {split!r}")
+    if by_range and DATASETS[name][1] in _RANGE_READERS:
+        return _RANGE_READERS[DATASETS[name][1]](spark, path_of(root, name, split))
     return _READERS[DATASETS[name][1]](spark, path_of(root, name, split))

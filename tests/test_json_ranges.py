@@ -123,3 +123,34 @@ def test_written_object_without_rows_nulls_and_null_keys(spark, tmp_path):
     assert json.load(open(J.write_json_object(df, "k", "v", path=str(tmp_path / "f.json")))) == {"a": None, "b": 2}
     with pytest.raises(Exception, match="key is null"):
         J.write_json_object(spark.createDataFrame([(None, "1")], "k string, v string"), "k", "v", path=str(tmp_path / "g.json"))
+
+
+SETS = {"train": [["a, b", "x"], ['"c"', "y"]] * 20, "oos": [["d", "z"]], "val": [["e\n]", "x"]], "test": []}
+SLOTS = [{"userInput": {"text": f"a {i}"}, "context": {"requestedSlots": ["time"]} if i % 2 else None, "pos": i,
+          "labels": [{"slot": "time", "valueSpan": {"startIndex": i, "endIndex": i + 2}}]} for i in range(30)]
+ACTS = {f"d{i}": {"1": {"Hotel-Inform": [["Area", "centre"], ["Name", "a]b"]], "general-bye": [["none", "none"]]},
+                  "2": "No Annotation", "3": {}} for i in range(20)} | {"empty": {}}
+WOZ = [{"dialogue_idx": i, "dialogue": [{"turn_idx": t, "system_transcript": "hi {", "transcript": "thai, food",
+                                         "turn_label": [["food", "thai"]]} for t in range(i % 4)]} for i in range(20)]
+SIM = [{"dialogue_id": f"s{i}", "turns": [
+    {"user_utterance": {"tokens": ["two", '"'], "slots": [{"slot": "num", "start": 0, "exclusive_end": 1}]},
+     "dialogue_state": [{"slot": "num", "value": "two"}]},
+    {"system_utterance": {"tokens": ["ok"], "slots": []}, "user_utterance": {"tokens": [], "slots": []},
+     "dialogue_state": []}]} for i in range(15)]
+
+
+@pytest.mark.parametrize("content,whole,ranged", [
+    (SETS, lambda s, p: R.read_json_sets(s, p, whole_files=True), R.read_json_sets_by_range),
+    (SLOTS, lambda s, p: R.read_json_array(s, p, multi_line=True), R.read_json_array_by_range),
+    (ACTS, lambda s, p: R.read_keyed_acts(s, p, whole_files=True), R.read_keyed_acts_by_range),
+    (WOZ, lambda s, p: R.read_transcripts(s, p, whole_files=True), R.read_transcripts_by_range),
+    (SIM, lambda s, p: R.read_span_dialogues(s, p, whole_files=True), R.read_span_dialogues_by_range)],
+    ids=["sets", "slots", "acts", "transcripts", "spans"])
+def test_every_layout_by_range_equals_the_whole_file(spark, tmp_path, content, whole, ranged):
+    for indent in (None, 2):
+        path = tmp_path / f"file{indent}.json"
+        path.write_text(json.dumps(content, indent=indent))
+        a, b = whole(spark, str(path)), ranged(spark, str(path), range_bytes=150, chunk_bytes=64)
+        assert a.columns == b.columns
+        rows = sorted(map(repr, a.collect()))
+        assert rows and sorted(map(repr, b.collect())) == rows
