@@ -75,18 +75,23 @@ CONFIG_SCHEMA = T.StructType([
 ])
 
 
-def read_config_frame(spark: SparkSession, path: str) -> DataFrame:
-    """SC9 as a DataFrame: one row (class_types, slots, label_maps) per config file."""
+def read_config_frame(spark: SparkSession, path: str, name: str | None = None) -> DataFrame:
+    """SC9 as a DataFrame: one row (class_types, slots, label_maps) per config file.
+
+    ``name``: a column with the file's name without ``.json``, for a folder with the files of several data sets.
+    """
     raw = spark.read.text(path, wholetext=True)
-    return raw.select(F.from_json("value", CONFIG_SCHEMA).alias("c")).select("c.*")
+    file = [F.regexp_extract("_metadata.file_name", r"^(.*?)(\.json)?$", 1).alias(name)] if name else []
+    return raw.select(*file, F.from_json("value", CONFIG_SCHEMA).alias("c")).select(*([name] if name else []), "c.*")
 
 
 def config_tables(cfg_frame: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """SC9 as the three relational tables class_type(idx,name), slot(idx,name), label_variant."""
-    ct = cfg_frame.select(F.posexplode("class_types").alias("idx", "name"))
-    sl = cfg_frame.select(F.posexplode("slots").alias("idx", "name"))
-    lv = (cfg_frame.select(F.explode("label_maps").alias("canonical", "variants"))
-          .select("canonical", F.posexplode("variants").alias("ord", "variant")))
+    """SC9 as the three relational tables class_type(idx,name), slot(idx,name), label_variant; other columns are kept."""
+    kept = [c for c in cfg_frame.columns if c not in CONFIG_SCHEMA.names]
+    ct = cfg_frame.select(*kept, F.posexplode("class_types").alias("idx", "name"))
+    sl = cfg_frame.select(*kept, F.posexplode("slots").alias("idx", "name"))
+    lv = (cfg_frame.select(*kept, F.explode("label_maps").alias("canonical", "variants"))
+          .select(*kept, "canonical", F.posexplode("variants").alias("ord", "variant")))
     return ct, sl, lv
 
 

@@ -340,3 +340,32 @@ def q_source_registry(spark, sf):
                 F.lit(name).alias("dataset"), F.lit(split).alias("split"), "text", "category")
             out = back if out is None else out.unionByName(back)
     return out
+
+
+@register("dataset_config", I + """,
+c AS (SELECT DISTINCT dataset, category FROM intents),
+s AS (SELECT DISTINCT dataset, split FROM intents),
+p AS (SELECT DISTINCT dataset, category, pred FROM intents WHERE pred <> category)
+SELECT dataset, 'class_type' AS part, row_number() OVER (PARTITION BY dataset ORDER BY category) - 1 AS idx,
+       category AS name, NULL AS variant FROM c
+UNION ALL SELECT dataset, 'slot', row_number() OVER (PARTITION BY dataset ORDER BY split) - 1, split, NULL FROM s
+UNION ALL SELECT dataset, 'label', row_number() OVER (PARTITION BY dataset, category ORDER BY pred) - 1, category, pred
+FROM p""")
+def q_dataset_config(spark, sf):
+    """SC9: one configuration file a data set (its classes, splits as slots, confused labels as variants), read by name."""
+    from ..config import config_tables, read_config_frame
+    rows = fx.intent_rows(spark, sf)
+    lists = rows.groupBy("dataset").agg(F.array_sort(F.collect_set("category")).alias("class_types"),
+                                        F.array_sort(F.collect_set("split")).alias("slots"))
+    variants = (rows.where(F.col("pred") != F.col("category")).groupBy("dataset", "category")
+                .agg(F.array_sort(F.collect_set("pred")).alias("variants"))
+                .groupBy("dataset").agg(F.map_from_entries(F.collect_list(F.struct("category", "variants")))
+                                        .alias("label_maps")))
+    cfg = lists.join(variants, "dataset", "left").select("dataset", F.to_json(F.struct(
+        "class_types", "slots", "label_maps")).alias("value"))
+    ct, sl, lv = config_tables(read_config_frame(spark, K.write_named_files(cfg, "dataset", "value"), "dataset"))
+    whole = lambda part: [F.lit(part).alias("part"), F.col("idx").cast("bigint").alias("idx"), "name",
+                          F.lit(None).cast("string").alias("variant")]
+    return (ct.select("dataset", *whole("class_type")).unionByName(sl.select("dataset", *whole("slot")))
+            .unionByName(lv.select("dataset", F.lit("label").alias("part"), F.col("ord").cast("bigint").alias("idx"),
+                                   F.col("canonical").alias("name"), "variant")))

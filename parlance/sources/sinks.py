@@ -8,10 +8,14 @@ per dataset (``partitionBy``) holding ordered JSON lines.
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import fresh_path
+from .json_ranges import local_path
 
 
 def write_csv_quoted(df: DataFrame, path: str | None = None, sep: str = ",", partition_by: str | None = None) -> str:
@@ -52,6 +56,32 @@ def write_json_arrays(df: DataFrame, group_col: str, order_col: str, path: str |
     return path
 
 
+def write_named_files(df: DataFrame, name_col: str, text_col: str, path: str | None = None) -> str:
+    """SC9's layout: ``<name>.json`` holding one text, for each row of a table with few rows and different names.
+
+    Files are written by the tasks, under their final name only when whole, so a task that runs twice leaves the same
+    file.  The folder must be mounted by all executors.
+    """
+    path = path or fresh_path(df.sparkSession, "files")
+    folder = local_path(path)
+    if folder is None:
+        raise ValueError(f"{path}: files can be named on a mounted folder only")
+
+    def put(batches):
+        os.makedirs(folder, exist_ok=True)
+        for b in batches:
+            for name, text in zip(b["name"], b["text"]):
+                part = f"{folder}/_{uuid.uuid4().hex}"
+                with open(part, "w", encoding="utf-8") as f:
+                    f.write(text)
+                os.replace(part, f"{folder}/{name}.json")
+            yield b[["name"]]
+
+    rows = df.select(F.col(name_col).cast("string").alias("name"), F.col(text_col).cast("string").alias("text"))
+    rows.mapInPandas(put, "name string").write.format("noop").mode("overwrite").save()
+    return path
+
+
 def pack_submission(outputs: DataFrame, path: str | None = None, run_col: str | None = None) -> str:
     """SK5: per dataset (and run) the ordered outputs -- one folder per dataset, JSON lines sorted by ``pos``."""
     path = path or fresh_path(outputs.sparkSession, "submission")

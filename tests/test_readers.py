@@ -84,3 +84,20 @@ def test_registry_reads_every_dialogue_set(spark, tmp_path):
     assert sim[0].user_utterance.slots[0].exclusive_end == 1
     with pytest.raises(ValueError):
         registry.load(spark, "woz2", "dev", root)
+
+
+def test_configuration_files_by_name(spark, tmp_path):
+    from parlance.config import config_tables, load_dataset_config, read_config_frame
+    from parlance.sources.sinks import write_named_files
+    texts = {"one": {"class_types": ["none", "copy_value"], "slots": ["hotel-area"], "label_maps": {"north": ["n", "up"]}},
+             "two": {"class_types": ["none"], "slots": [], "label_maps": {}}}
+    rows = spark.createDataFrame([(k, json.dumps(v)) for k, v in texts.items()], "name string, value string")
+    path = str(tmp_path / "configs")
+    for _ in range(2):                                     # a job that runs again leaves the same files
+        assert write_named_files(rows, "name", "value", path) == path
+    assert sorted(x.name for x in (tmp_path / "configs").iterdir() if x.suffix == ".json") == ["one.json", "two.json"]
+    ct, sl, lv = config_tables(read_config_frame(spark, path, "dataset"))
+    assert sorted(map(tuple, ct.collect())) == [("one", 0, "none"), ("one", 1, "copy_value"), ("two", 0, "none")]
+    assert [tuple(r) for r in sl.collect()] == [("one", 0, "hotel-area")]
+    assert sorted(map(tuple, lv.collect())) == [("one", "north", 0, "n"), ("one", "north", 1, "up")]
+    assert load_dataset_config(spark, f"{path}/one.json").label_maps == {"north": ["n", "up"]}
