@@ -47,6 +47,36 @@ def test_votes_for_any_label(spark):
         assert nll.n == 2 and nll.mean_nll == pytest.approx(sum(want) / 2)
 
 
+def test_repeated_rows_of_a_vote_stay_off_the_driver(spark, monkeypatch):
+    """Rows are repeated once a panel of the other side; a broadcast of them grew with the square of the table."""
+    monkeypatch.setattr(V, "PANEL_BLOCKS", 2, raising=False)
+    rng = random.Random(5)
+    vec = lambda: [rng.uniform(-1, 1) for _ in range(3)]
+    held = [(i, rng.randrange(4) if i % 7 else None, vec()) for i in range(60)]
+    held += [(100 + i, label, v) for i, label, v in held]                     # copies score the same
+    asked = [(i, i % 5 if i % 3 else None, vec()) for i in range(25)]
+    memory = spark.createDataFrame(held, "mid long, label int, vec array<double>")
+    queries = spark.createDataFrame(asked, "qid long, gold int, vec array<double>")
+    partials = V.vote_partials(queries, memory, block=4)
+    partials.collect()                                                        # the joins are chosen while it runs
+    assert "Broadcast" not in partials._jdf.queryExecution().executedPlan().toString()
+    assert partials.groupBy("qid").count().agg({"count": "min"}).first()[0] > 1            # several panels
+    votes = {r.qid: r for r in V.example_vote(queries, memory, block=4).collect()}
+    best = {r.qid: r for r in V.nearest_memory(queries, memory, block=4).collect()}
+    assert len(votes) == len(best) == len(asked)
+    for qid, gold, q in asked:
+        score = {mid: sum(a * b for a, b in zip(q, v)) for mid, label, v in held if label is not None}
+        mass = Counter()
+        for mid, label, _ in held:
+            if label is not None:
+                mass[label] += math.exp(score[mid])
+        label, top = mass.most_common(1)[0]
+        assert votes[qid].gold == gold and votes[qid].pred == label
+        assert votes[qid].confidence == pytest.approx(top / sum(mass.values()))
+        assert best[qid].best_score == pytest.approx(max(score.values()))
+        assert score[best[qid].best_mid] == pytest.approx(max(score.values()))
+
+
 @pytest.mark.parametrize("exact", [False, True])
 def test_types_are_matched_like_the_loop(spark, exact):
     rows = [(1, ["date:0-2", "start_date:3-4", "0:5-9"], ["date:0-2", "0:5-9"], True, True),
