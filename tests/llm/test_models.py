@@ -153,6 +153,49 @@ def test_vocabulary_grows_with_the_corpus(spark):
     assert out[0].log_likelihood == pytest.approx(out[59].log_likelihood) and out[0].n_tokens == 1500
 
 
+def test_copies_of_the_weights_do_not_grow_with_the_input_splits(spark):
+    docs = spark.createDataFrame([(i, prose(i, 30)) for i in range(60)], "doc_id long, text string").repartition(40)
+    one = pseudo_lm.one_a_core(docs)
+    assert one.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism < 40
+    assert sorted(one.collect()) == sorted(docs.collect())
+    vocab, flat = pseudo_lm.vocabulary(docs), pseudo_lm.Network().flat
+    sc = spark.sparkContext
+    tracker = sc.statusTracker()
+    sc.setJobGroup("lm-copies", "one training pass")
+    pseudo_lm._train_pass(docs, vocab, flat, "text")
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    stages = {k for j in tracker.getJobIdsForGroup("lm-copies") for k in tracker.getJobInfo(j).stageIds}
+    tasks = [i.numTasks for i in map(tracker.getStageInfo, stages) if i and i.numCompletedTasks]
+    assert tasks and max(tasks) <= sc.defaultParallelism
+
+
+def test_a_training_step_is_adagrad_on_the_whole_softmax():
+    rng = np.random.default_rng(5)
+    net, slow = (pseudo_lm.Network(3000) for _ in range(2))
+    row = rng.integers(0, 3000, 900).astype(np.int32)
+    seen = [np.zeros(s) for s in slow.shapes]
+    for at in (np.arange(2, 600), np.arange(300, 898)):
+        net.learn(row, at)
+        sides = slow.context(row, at)
+        h = np.tanh(sum(slow.embed[p][sides[:, p]] for p in range(4)).astype(float))
+        cls, place = row[at] // slow.members, row[at] % slow.members
+        zc = np.exp(h @ slow.out_c + slow.bias_c)
+        zc = (zc / zc.sum(axis=1, keepdims=True) - np.eye(zc.shape[1])[cls]) / len(at)
+        z = np.exp(np.einsum("nw,nwm->nm", h, slow.out[cls]) + slow.bias[cls])
+        z = (z / z.sum(axis=1, keepdims=True) - np.eye(slow.members)[place]) / len(at)
+        back = (zc @ slow.out_c.T + np.einsum("nm,nwm->nw", z, slow.out[cls])) * (1 - h * h)
+        grads = [np.zeros(s) for s in slow.shapes]
+        for p in range(4):
+            np.add.at(grads[0][p], sides[:, p], back)
+        grads[1:3] = h.T @ zc, zc.sum(axis=0)
+        np.add.at(grads[3], cls, h[:, :, None] * z[:, None, :])
+        np.add.at(grads[4], cls, z)
+        for w, s, g in zip((slow.embed, slow.out_c, slow.bias_c, slow.out, slow.bias), seen, grads):
+            s += g * g
+            w -= pseudo_lm.RATE * g / np.sqrt(s + 1e-3)
+    assert np.abs(net.flat - slow.flat).max() < 1e-4 < np.abs(net.flat - pseudo_lm.Network(3000).flat).max()
+
+
 def slow_quality(t):
     t = t or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", t)
