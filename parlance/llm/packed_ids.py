@@ -97,13 +97,19 @@ SEGMENT_SCHEMA = ("part int, segment int, part_start long, doc_ids array<long>,
                   "continues boolean, payload binary")
 
 
+def stretches(ids: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[bytes]:
+    """The bytes of many stretches of ids."""
+    raw = ids.astype("<u4").tobytes()
+    return [raw[a:b] for a, b in zip((4 * first).tolist(), (4 * last).tolist())]
+
+
 def write_packed(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 0, id_col: str = "doc_id",
                  text_col: str = "text") -> None:
     """Encode all documents (each ended by ``end_id``) in ascending id order and write the packed folder."""
 
     def run(batches):
         enc = UnitEncoder(tokenizer_path, "ids", lambda ids, starts: ids.astype("<u4").tobytes(),
-                          lambda x, y, n: x + y)
+                          lambda x, y, n: x + y, many=stretches)
         bits, end = bits_for(max(enc.tok.get_vocab_size(), end_id + 1)), np.array([end_id], "<u4").tobytes()
         part, number, written = TaskContext.get().partitionId(), 0, 0
         ids, lens, parts, held, continues = [], [], [], 0, False
@@ -117,12 +123,8 @@ def write_packed(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
 
         names = [c.split()[0] for c in SEGMENT_SCHEMA.split(", ")]
         for b in batches:
-            texts = b["text"].tolist()
-            split = [enc.units(t) for t in texts]
-            enc.learn(split)
             rows = []
-            for doc, t, s in zip(b["doc_id"].tolist(), texts, split):
-                code = enc.whole(t) if s is None else enc.bare[s[0]] + b"".join(map(enc.spaced.__getitem__, s[1]))
+            for doc, code in zip(b["doc_id"].tolist(), enc.encoded(b["text"].tolist())):
                 code += end
                 at = 0
                 while at < len(code):       # a document longer than a segment goes on in the next one

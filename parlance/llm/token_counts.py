@@ -42,7 +42,8 @@ class ChunkedCounter:
     """Counts, and ids with offsets, of texts of any length."""
 
     def __init__(self, path: str, chunk: int = CHUNK, overlap: int = OVERLAP, agree: int = AGREE):
-        self.short = UnitEncoder(path, "counts", lambda ids, starts: len(ids), lambda x, y, n: x + y)
+        self.short = UnitEncoder(path, "counts", lambda ids, starts: len(ids), lambda x, y, n: x + y,
+                                 many=lambda ids, first, last: (last - first).tolist())
         self.enc = UnitEncoder(path, "offsets", _with_offsets, _join_offsets, offsets=True)
         self.chunk, self.overlap, self.agree = chunk, overlap, agree
         self.widened = 0

@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from parlance.llm import packed_ids, sp_codec, token_counts
+from parlance.llm.units import UnitEncoder
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -181,3 +182,35 @@ def test_encoded_and_decoded_columns(odd, odd_rows, empty):
     summary = sp_codec.encoded_summary(odd, PIECES).collect()
     assert len(summary) == len(odd_rows) and all(r.round_trip for r in summary)
     assert sp_codec.encoded_summary(empty, PIECES).count() == 0
+
+
+UNITS = ["Word.", "end,", "a.\nThe", "Über!!\nÄnd,", "don't", "it's.", "x'\ns", "s'.\nt", "Un,&&&", "\n\nA", "b\n\nC", "d.\n\nE.",
+         "日本.", "é́.", "12.\nTwo", "a1.", "q.\n", "\nq", "", "Žluť?\nǅ", "ªb.", "m×n.", "(p)", "R.\nS.\nT", "we'll.\nI'd"]
+
+
+def texts_of_units(n: int) -> list[str]:
+    rnd = random.Random(8)
+    return ["", " ", "first.\nSecond third"] + [" ".join(rnd.choices(UNITS, k=rnd.randint(1, 40))) for _ in range(n)]
+
+
+def test_units_cut_into_parts_and_gathered_give_the_library_ids(bpe):
+    texts = texts_of_units(700) + [mixed(s, s % 200) for s in range(200)]
+    ids = UnitEncoder(BPE, "test ids", lambda ids, starts: ids.astype("<u4").tobytes(), lambda x, y, n: x + y,
+                      many=packed_ids.stretches, memo_units=20)
+    want = [library(bpe, t).ids for t in texts]
+    for _ in range(2):                                      # the second time with a memo, and past its bound
+        assert [np.frombuffer(x, "<u4").tolist() for x in ids.encoded(texts)] == want
+    counter = token_counts.ChunkedCounter(BPE)
+    assert counter.counts(texts) == [len(w) for w in want]
+    for t in texts[:200]:
+        got, starts = counter.encode(t)
+        assert (got.tolist(), starts.tolist()) == (library(bpe, t).ids, [a for a, _ in library(bpe, t).offsets])
+
+
+def test_the_library_is_asked_once_for_a_part_and_for_what_a_full_memo_is_needed_for():
+    enc = UnitEncoder(BPE, "test asked", lambda ids, starts: ids.tolist(), lambda x, y, n: x + y, memo_units=3)
+    asked, ask = [], enc._ask
+    enc._ask = lambda words, *lead: (asked.extend(words), ask(words, *lead))
+    enc.learn([enc.units("x alpha beta gamma delta")])
+    enc.learn([enc.units("x alpha.\nbeta, beta!! gamma,&&& delta alpha.")])
+    assert not [w for w in asked if not w.isalpha()] and Counter(asked)["delta"] == 1
