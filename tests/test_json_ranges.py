@@ -154,3 +154,22 @@ def test_every_layout_by_range_equals_the_whole_file(spark, tmp_path, content, w
         assert a.columns == b.columns
         rows = sorted(map(repr, a.collect()))
         assert rows and sorted(map(repr, b.collect())) == rows
+
+
+@pytest.mark.parametrize("arrays", [False, True])
+def test_ranges_of_a_written_object_go_by_short_keys_in_the_values_order(spark, tmp_path, monkeypatch, arrays):
+    rows = [(f"k{i % 7}", json.dumps("same " * (3000 if i % 2 else 1) + f"{i * 37 % 60:03d}é")) for i in range(60)]
+    df = spark.createDataFrame(rows + rows[:5], "k string, v string")
+    cls, longest = type(df), []
+    ranged = cls.repartitionByRange
+
+    def watched(self, *cols):
+        longest.append(max(len(str(r)) for r in self.select(*cols).collect()))
+        return ranged(self, *cols)
+
+    monkeypatch.setattr(cls, "repartitionByRange", watched)
+    path = J.write_json_object(df, "k", "v", arrays=arrays, path=f"{tmp_path}/object.json")
+    got = json.loads(open(path, encoding="utf-8").read(), object_pairs_hook=list)
+    want = sorted(rows + rows[:5])
+    assert [(k, x) for k, v in got for x in (v if arrays else [v])] == [(k, json.loads(v)) for k, v in want]
+    assert longest and max(longest) < 400              # the driver's sample holds such rows
