@@ -3,10 +3,12 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from parlance.llm import langid, pseudo_lm, quality, toxicity
 
@@ -169,6 +171,39 @@ def test_copies_of_the_weights_do_not_grow_with_the_input_splits(spark):
     assert tasks and max(tasks) <= sc.defaultParallelism
 
 
+def test_tasks_and_driver_map_the_weights_and_hold_no_copy(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, prose(i, 60)) for i in range(40)], "doc_id long, text string").repartition(1)
+    vocab, flat = pseudo_lm.train(docs)
+    assert isinstance(flat, np.memmap) and flat.any()
+    assert pseudo_lm.Weights(spark, flat).path == flat.filename                  # no second file
+    assert pseudo_lm.Weights(spark, flat[::-1]).path != flat.filename != pseudo_lm.Weights(spark, flat[1:]).path
+    given = pseudo_lm.Weights(spark, np.arange(3_000_000, dtype=np.float32))
+
+    def run(batches):
+        tracemalloc.start()
+        total = given()[-1] + given()[::1000].sum()
+        yield from (b.assign(total=float(total), held=tracemalloc.get_traced_memory()[1]) for b in batches)
+
+    r = spark.range(1).mapInPandas(run, "id long, total double, held long").first()
+    assert r.total > 1e6 and r.held < 1_000_000                                  # of 12,000,000 bytes
+    with pytest.raises(ValueError):
+        given()[0] = 1
+    want = sorted(pseudo_lm.scored(docs, vocab, flat).collect())
+    monkeypatch.setattr(pseudo_lm, "weight_file", lambda *a: None)               # a folder that is not mounted
+    again, sent = pseudo_lm.train(docs)
+    assert again == vocab and type(sent) is np.ndarray and np.array_equal(sent, flat)
+    assert sorted(pseudo_lm.scored(docs, vocab, sent).collect()) == want
+
+
+def test_scores_do_not_depend_on_the_documents_that_wait(spark, odd, monkeypatch):
+    vocab, flat = pseudo_lm.train(odd)
+    rows = lambda: sorted(map(str, pseudo_lm.scored(odd, vocab, flat).select(
+        "doc_id", "n_tokens", F.round("log_likelihood", 2)).collect()))
+    want = rows()
+    monkeypatch.setattr(pseudo_lm, "HELD", 7)
+    assert rows() == want and len(want) == odd.count()
+
+
 def test_a_training_step_is_adagrad_on_the_whole_softmax():
     rng = np.random.default_rng(5)
     net, slow = (pseudo_lm.Network(3000) for _ in range(2))
