@@ -231,6 +231,111 @@ def test_a_training_step_is_adagrad_on_the_whole_softmax():
     assert np.abs(net.flat - slow.flat).max() < 1e-4 < np.abs(net.flat - pseudo_lm.Network(3000).flat).max()
 
 
+def test_a_large_vocabulary_costs_its_logarithm_and_sums_to_one():
+    sizes = [pseudo_lm.layout(words)[0] for words in (3_000, 4_000, 50_778, 173_397, 2_000_000)]
+    for words, size in zip((3_000, 4_000, 50_778, 173_397, 2_000_000), sizes):
+        classes = pseudo_lm.classes_of(size)
+        members = -(-size // (classes * 2 ** pseudo_lm.depth_of(size)))
+        assert size == classes * members * 2 ** pseudo_lm.depth_of(size)               # no place without a token
+        assert words + pseudo_lm.layout(words)[1] == size < 1.25 * words
+        assert classes + members + pseudo_lm.depth_of(size) <= 64 + 66 + 12            # root of the size: 2 x 1,500
+    size = pseudo_lm.layout(9_000)[0]
+    net = pseudo_lm.Network(size, flat=np.random.default_rng(3).standard_normal(len(pseudo_lm.Network(size).flat)))
+    assert net.depth == 2
+    row = np.random.default_rng(4).integers(0, size, 5).astype(np.int32)
+    rows = np.tile(row, (size, 1))
+    rows[:, 2] = np.arange(size)
+    every = net.log_probability(rows.ravel(), np.arange(size) * 5 + 2)
+    assert np.exp(every).sum() == pytest.approx(1, abs=1e-4)
+    h = np.tanh(sum(net.embed[p][row[k]].astype(float) for p, k in enumerate((0, 1, 3, 4))))
+    softmax = lambda z: np.exp(z) / np.exp(z).sum()
+    vectors, bias = net.nodes
+    groups = size // 4
+    for t in (0, 1, 2, 3, 4_097, size - 1):                  # token by token, down its tree
+        c, g = divmod(t // 4, net.members)
+        want = np.log(softmax(h @ net.out_c + net.bias_c)[c] * softmax(h @ net.out[c] + net.bias[c])[g])
+        for node, turn in ((t // 4, t // 2 % 2), (groups + t // 2, t % 2)):
+            z = h @ vectors[node] + bias[node]
+            want -= np.log1p(np.exp(-z if turn else z))
+        assert every[t] == pytest.approx(want, abs=1e-4)
+
+
+def test_a_training_step_is_adagrad_down_the_trees():
+    size = pseudo_lm.layout(9_000)[0]
+    rng = np.random.default_rng(5)
+    net, slow = (pseudo_lm.Network(size) for _ in range(2))
+    row = (rng.zipf(1.3, 900) % size).astype(np.int32)
+    seen = [np.zeros(s) for s in slow.shapes]
+    parts = (slow.embed, slow.out_c, slow.bias_c, slow.out, slow.bias, *slow.nodes)
+    for at in (np.arange(2, 600), np.arange(300, 898)):
+        net.learn(row, at)
+        grads = [np.zeros(s) for s in slow.shapes]
+        for i in at:
+            sides, t = row[[i - 2, i - 1, i + 1, i + 2]], row[i]
+            h = np.tanh(sum(slow.embed[p][k].astype(float) for p, k in enumerate(sides)))
+            c, g = divmod(t // 4, slow.members)
+            back = np.zeros(slow.width)
+            for w, b, k, places in ((1, 2, c, ...), (3, 4, g, c)):
+                z = np.exp(h @ parts[w][places] + parts[b][places])
+                z = (z / z.sum() - np.eye(len(z))[k]) / len(at)
+                grads[w][places] += np.outer(h, z)
+                grads[b][places] += z
+                back += parts[w][places] @ z
+            for node, turn in ((t // 4, t // 2 % 2), (size // 4 + t // 2, t % 2)):
+                e = (1 / (1 + np.exp(-h @ parts[5][node] - parts[6][node])) - turn) / len(at)
+                grads[5][node] += e * h
+                grads[6][node] += e
+                back += e * parts[5][node]
+            for p, k in enumerate(sides):
+                grads[0][p, k] += back * (1 - h * h)
+        for w, s, g in zip(parts, seen, grads):
+            s += g * g
+            w -= pseudo_lm.RATE * g / np.sqrt(s + 1e-3)
+    assert np.abs(net.flat - slow.flat).max() < 1e-5 < np.abs(net.nodes[0] - pseudo_lm.Network(size).nodes[0]).max()
+
+
+def test_sums_of_rows_and_ranks():
+    rng = np.random.default_rng(6)
+    for n, groups in ((1, 1), (700, 1), (700, 90), (700, 700)):
+        first = np.sort(np.append(0, rng.choice(np.arange(1, n), groups - 1, replace=False)))
+        x = rng.standard_normal((n, 32)).astype(np.float32)
+        assert np.allclose(pseudo_lm.sums(x.copy(), first), np.add.reduceat(x, first, axis=0), atol=1e-4)
+        ids = rng.integers(0, 50, n).astype(np.int32)
+        ranked, order = pseudo_lm.ranked(ids)
+        assert np.array_equal(order, np.argsort(ids, kind="stable")) and np.array_equal(ranked, np.sort(ids))
+
+
+def test_tokens_of_words_that_are_forgotten(monkeypatch):
+    vocab = {w: 64 + i for i, w in enumerate(("a", "b"))}
+    text = " ".join(f"w{i} a w{i % 7} B" for i in range(400))
+    want = pseudo_lm.Tokens(vocab)(text)
+    monkeypatch.setattr(pseudo_lm, "OTHER_WORDS", 5)
+    tokens = pseudo_lm.Tokens(vocab)
+    assert all(np.array_equal(tokens(text), want) and len(tokens.ids) == 2 for _ in range(2))
+    assert np.array_equal(tokens("a w3 b"), [vocab["a"], want[12], vocab["b"]])
+
+
+def test_copies_are_averaged_by_their_tokens_in_few_jobs(spark):
+    docs = spark.createDataFrame([(i, prose(i, 60 + 40 * (i % 3))) for i in range(30)],
+                                 "doc_id long, text string").repartition(3)
+    vocab, start = pseudo_lm.vocabulary(docs), pseudo_lm.Network().flat
+    parts = [[r.text for r in p] for p in docs.select("text").rdd.glom().collect()]
+    alone = [pseudo_lm._train_pass(spark.createDataFrame([(t,) for t in p], "text string").coalesce(1), vocab, start,
+                                   "text") for p in parts if p]
+    sc, tracker = spark.sparkContext, spark.sparkContext.statusTracker()
+    on, before = "spark.sql.adaptive.coalescePartitions.enabled", "true"
+    spark.conf.set(on, "false")
+    try:
+        sc.setJobGroup("lm-average", "copies averaged in several partitions")
+        flat, done = pseudo_lm._train_pass(docs, vocab, start, "text")
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set(on, before)
+    assert done == sum(n for _, n in alone)
+    assert np.abs(flat - sum(w.astype(float) * (n / done) for w, n in alone)).max() < 1e-6
+    assert len(tracker.getJobIdsForGroup("lm-average")) <= 4                        # not one a partition
+
+
 def slow_quality(t):
     t = t or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", t)
