@@ -5,6 +5,7 @@ import random
 import re
 import tracemalloc
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -336,6 +337,24 @@ def test_copies_are_averaged_by_their_tokens_in_few_jobs(spark):
     assert len(tracker.getJobIdsForGroup("lm-average")) <= 4                        # not one a partition
 
 
+def test_rounds_take_turns_in_two_files_of_weights(spark):
+    docs = spark.createDataFrame([(i, prose(i, 50)) for i in range(20)], "doc_id long, text string").repartition(2)
+    vocab, flat = pseudo_lm.vocabulary(docs), pseudo_lm.Network().flat
+    for turn in range(3):                                                           # a file a round
+        flat, _ = pseudo_lm._train_pass(docs, vocab, flat, "text", turn, 3)
+    folder = Path(flat.filename).parent
+    before = set(folder.glob("lm-weights*"))
+    again, got = pseudo_lm.train(docs, rounds=3)
+    assert again == vocab and np.array_equal(got, flat)
+    assert len(set(folder.glob("lm-weights*")) - before) == 2
+    few = spark.createDataFrame([(0, "a")], "doc_id long, text string")             # some rounds learn nothing
+    vocab, got = pseudo_lm.train(few, rounds=4)
+    flat = pseudo_lm.Network().flat
+    for turn in range(4):
+        flat, _ = pseudo_lm._train_pass(few, vocab, flat, "text", turn, 4)
+    assert np.array_equal(got, flat) and not np.array_equal(got, pseudo_lm.Network().flat)
+
+
 def slow_quality(t):
     t = t or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", t)
